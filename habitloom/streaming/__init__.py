@@ -1,0 +1,5 @@
+"""No operator lives here: all inputs of the engine are whole tables.
+
+Event time in this model is categorical (day of week, slot of day), and nothing
+is computed over arrival time, so there is no streaming operator to offer.
+"""

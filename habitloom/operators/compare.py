@@ -86,18 +86,19 @@ def case_study_matrices(events: DataFrame, corpora) -> DataFrame:
 def distribution_penalty(events: DataFrame, target: DataFrame = None) -> DataFrame:
     """``(corpus_id, seq_id, distribution_penalty)``: total variation to ``target``.
 
-    ``target`` is a ``(device, p)`` table, used as given. Devices a sequence
+    ``target`` is a ``(device, p)`` table, used as given; without one, or with
+    an empty one, the penalty is 0. Devices a sequence
     never shows add their whole probability, so the sum over seen devices of
     ``|p - q| - q`` plus the sum of all ``q`` needs no device grid.
     """
     if target is None:
         return events.where(F.col("pos") == 0).select(*SEQ, F.lit(0.0).alias("distribution_penalty"))
-    whole = target.agg(F.coalesce(F.sum(F.abs("p")), F.lit(0.0))).scalar()
+    whole = target.agg(F.sum(F.abs("p"))).scalar()
     seen = events.groupBy(*SEQ, device_key().alias("device")).agg(F.count(F.lit(1)).alias("n"))
     share = seen.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*SEQ)))
     q = F.coalesce(F.col("p"), F.lit(0.0))
     return (
         share.join(target.select("device", "p"), "device", "left")
         .groupBy(*SEQ).agg(F.sum(F.abs(F.col("share") - q) - F.abs(q)).alias("_moved"))
-        .select(*SEQ, (0.5 * (F.col("_moved") + whole)).alias("distribution_penalty"))
+        .select(*SEQ, F.coalesce(0.5 * (F.col("_moved") + whole), F.lit(0.0)).alias("distribution_penalty"))
     )

@@ -133,6 +133,8 @@ def weighted_resample(scores: DataFrame, seed=2024, max_copies=3, target_size=No
     if target_size is not None and target_size <= 0:
         return scores.select(*SEQ, F.lit(0).cast("bigint").alias("copies"))
     weight = F.greatest(F.coalesce("sample_weight", F.lit(0.0)), F.lit(0.0))
+    scores = materialize(scores.select(*SEQ, weight.alias("_w")), "weights")  # one narrow row per sequence, read three times
+    weight = F.col("_w")
     heaviest = scores.agg(F.max(weight)).scalar()
     rows = scores.select(*SEQ, F.when(heaviest > 0, weight).otherwise(F.lit(1.0)).alias("_w"))
 

@@ -41,10 +41,12 @@ def _vocabulary(devices, actions):
 def with_reasons(corpus: DataFrame, devices: DataFrame, actions: DataFrame, expected_length=None) -> DataFrame:
     """Add ``reasons``: what is wrong with each sequence, empty when valid.
 
-    Checked inside the row, so no event-sized shuffle is needed.
+    The vocabulary travels with the row as two values and the check stays
+    inside the row, so no event-sized join or shuffle is needed.
     """
-    legal, by_action = _vocabulary(devices, actions)
-    flat = F.col("flat")
+    legal_ids, entries = _vocabulary(devices, actions)
+    corpus = corpus.withColumns({"_legal": legal_ids, "_entries": entries})
+    flat, legal, by_action = F.col("flat"), F.col("_legal"), F.col("_entries")
 
     def at(text, event, value):
         return F.concat(F.lit(f"{text}@event_"), event["pos"].cast("string"), F.lit(":"), value)
@@ -78,7 +80,7 @@ def with_reasons(corpus: DataFrame, devices: DataFrame, actions: DataFrame, expe
         .when(size == 0, F.array(F.lit("empty_sequence")))
         .otherwise(F.concat(F.array_compact(F.array(*of_row)), of_events))
     )
-    return corpus.withColumn("reasons", reasons)
+    return corpus.withColumn("reasons", reasons).drop("_legal", "_entries")
 
 
 def validation_report(checked: DataFrame, expected_count: int, by=("corpus_id",)) -> DataFrame:

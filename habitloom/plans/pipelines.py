@@ -13,6 +13,7 @@ from habitloom.operators.detect import (
 )
 from habitloom.operators.edges import fuse_edges, overuse_guard, target_weighted
 from habitloom.operators.refine import split_train_validation
+from habitloom.session import materialize
 
 
 def generation_hints(
@@ -45,12 +46,13 @@ def filter_corpus(events: DataFrame, detector, seed=2024, ratio=0.8) -> DataFram
     """Two-stage filter: ``(env, corpus_id, seq_id, loss, is_outlier, readmit, kept)``.
 
     Loss outliers leave; of these, the ones whose presence in the training part
-    does not raise the validation loss come back.
+    does not raise the validation loss come back. The steps and the per-sequence
+    tables are read several times, so each is written once.
     """
-    steps = token_steps(events, [detector])
-    split = iqr_outliers(sequence_losses(steps, fit_markov(steps)))
+    steps = materialize(token_steps(events, [detector]), "steps")
+    split = materialize(iqr_outliers(sequence_losses(steps, fit_markov(steps))), "losses")
     inliers = split.where(~F.col("is_outlier")).select(*SEQ)
-    parts = split_train_validation(inliers, ratio, seed)
+    parts = materialize(split_train_validation(inliers, ratio, seed), "parts")
 
     def steps_of(ids):
         return steps.join(ids.select(*SEQ), list(SEQ), "left_semi")
@@ -89,8 +91,8 @@ def run_detectors(train_events: DataFrame, test_events: DataFrame, detectors, ra
     and ``label``. Returns ``(predictions, thresholds)``; predictions are per
     sequence with ``loss, threshold, predicted, label``.
     """
-    steps = token_steps(train_events, detectors)
-    ids = train_events.where(F.col("pos") == 0).select(*SEQ)
+    steps = materialize(token_steps(train_events, detectors), "steps")
+    ids = steps.where((F.col("env") == detectors[0].env) & (F.col("pos") == 0)).select(*SEQ)
     parts = detection_parts(ids, detectors, ratio, seed)
     model = fit_markov(steps.join(parts.where(F.col("part") == "train"), ["env", *SEQ], "left_semi"))
     validation = steps.join(parts.where(F.col("part") == "validation"), ["env", *SEQ], "left_semi")

@@ -21,34 +21,34 @@ _LINEAGE_SCHEMA = (
 )
 
 
-def _documents(spark, root, file_name, schema):
-    """One row per JSON document named ``file_name`` anywhere under ``root``, with its ``file_path``."""
+def _documents(spark, root, file_name, schema, lines):
+    """JSON documents named ``file_name`` anywhere under ``root``, with their ``file_path``.
+
+    A file is one document, or one per line when ``lines`` is set.
+    """
     return (
         spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
-        .option("multiLine", True).json(root).withColumn("file_path", F.col("_metadata.file_path"))
+        .option("multiLine", not lines).json(root).withColumn("file_path", F.col("_metadata.file_path"))
     )
 
 
-def read_metrics(spark: SparkSession, root: str, file_name="normalized_metrics.json") -> DataFrame:
+def read_metrics(spark: SparkSession, root: str, file_name="normalized_metrics.json", lines=False) -> DataFrame:
     """Raw metric documents outside diagnostic runs; pass them to ``typed_metric_rows``."""
-    return _documents(spark, root, file_name, _METRIC_SCHEMA).where(~is_diagnostic("file_path"))
+    return _documents(spark, root, file_name, _METRIC_SCHEMA, lines).where(~is_diagnostic("file_path"))
 
 
-def read_quality(spark: SparkSession, root: str) -> DataFrame:
-    """Quality summaries ``…/generation_quality/<name>/generation_quality_summary.json``, one row per seed."""
-    rows = _documents(spark, root, "generation_quality_summary.json", _QUALITY_SCHEMA)
+def read_quality(spark: SparkSession, root: str, file_name="generation_quality_summary.json", lines=False) -> DataFrame:
+    """Quality summaries ``…/generation_quality/<name>/<file_name>``, one row per seed."""
+    rows = _documents(spark, root, file_name, _QUALITY_SCHEMA, lines)
     return (
-        rows.where(F.col("file_path").rlike(r"/generation_quality/[^/]+/generation_quality_summary\.json$"))
+        rows.where(F.col("file_path").rlike(r"/generation_quality/[^/]+/[^/]+$"))
         .withColumnRenamed("file_path", "summary_path")
     )
 
 
-def read_lineage(spark: SparkSession, root: str, pattern="*.json") -> DataFrame:
+def read_lineage(spark: SparkSession, root: str, file_name="*.json", lines=False) -> DataFrame:
     """Lineage documents as one row per open event."""
-    rows = (
-        spark.read.schema(_LINEAGE_SCHEMA).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-        .option("multiLine", True).json(root)
-    )
+    rows = _documents(spark, root, file_name, _LINEAGE_SCHEMA, lines)
     return rows.select("variant", "stage", "stage_order", "purpose", "status", F.explode("open_events").alias("_e")).select(
         "variant", "stage", "stage_order", "purpose", "status", "_e.*",
     )

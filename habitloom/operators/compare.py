@@ -12,6 +12,8 @@ from habitloom.operators.descriptive import (
     densify, device_distribution, precedence_matrix, transition_matrix,
 )
 
+from habitloom.session import materialize
+
 
 def _side(corpus, value):
     return F.coalesce(F.max(F.when(F.col("corpus_id") == corpus, F.col(value))), F.lit(0.0))
@@ -93,12 +95,13 @@ def distribution_penalty(events: DataFrame, target: DataFrame = None) -> DataFra
     """
     if target is None:
         return events.where(F.col("pos") == 0).select(*SEQ, F.lit(0.0).alias("distribution_penalty"))
+    target = materialize(target.select("device", "p"), "distribution")
     whole = target.agg(F.sum(F.abs("p"))).scalar()
     seen = events.groupBy(*SEQ, device_key().alias("device")).agg(F.count(F.lit(1)).alias("n"))
     share = seen.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*SEQ)))
     q = F.coalesce(F.col("p"), F.lit(0.0))
     return (
-        share.join(target.select("device", "p"), "device", "left")
+        share.join(target, "device", "left")
         .groupBy(*SEQ).agg(F.sum(F.abs(F.col("share") - q) - F.abs(q)).alias("_moved"))
         .select(*SEQ, F.coalesce(0.5 * (F.col("_moved") + whole), F.lit(0.0)).alias("distribution_penalty"))
     )

@@ -131,17 +131,33 @@ def event_tensor(events: DataFrame, level="action", count_mode="count", min_freq
     return cells.groupBy(*SEQ, "slot", "channel").agg(value.cast("double").alias("value"))
 
 
-def decayed_tensor(tensor: DataFrame, decay: float) -> DataFrame:
-    """Let each slot carry ``decay`` times the previous slot's activity.
+def weekly_activity(tensor: DataFrame, decay=0.0, keys=("channel",)) -> DataFrame:
+    """``(corpus_id, seq_id, *keys, first, week)``: 56 values per sequence and channel.
 
-    Closed form of the recursion: a cell adds ``value * decay^(t - slot)`` to
-    every slot ``t`` from its own on.
+    Each slot carries ``decay`` times the previous slot's activity, in closed
+    form: a cell adds ``value * decay^(t - slot)`` to every slot ``t`` from its
+    own on. Cells are gathered (56 at most) before slots are filled in, so the
+    shuffle is no larger than the sparse tensor.
     """
-    later = F.sequence(F.col("slot"), F.lit(SLOTS_PER_WEEK - 1))
+    cells = F.collect_list(F.struct("slot", "value"))
+    weeks = tensor.groupBy(*SEQ, *keys).agg(cells.alias("_cells"), F.min("slot").alias("first"))
+
+    def at(t):
+        def add(total, cell):
+            reach = cell["value"] * F.pow(F.lit(float(decay)), t - cell["slot"])
+            return total + F.when(cell["slot"] <= t, reach).otherwise(0.0)
+
+        return F.aggregate("_cells", F.lit(0.0), add)
+
+    slots = F.sequence(F.lit(0), F.lit(SLOTS_PER_WEEK - 1))
+    return weeks.select(*SEQ, *keys, "first", F.transform(slots, at).alias("week"))
+
+
+def decayed_tensor(tensor: DataFrame, decay: float) -> DataFrame:
+    """The tensor with activity carried over; rows start at a channel's first slot."""
     return (
-        tensor.withColumn("_t", F.explode(later))
-        .groupBy(*SEQ, F.col("_t").alias("slot"), "channel")
-        .agg(F.sum(F.col("value") * F.pow(F.lit(float(decay)), F.col("_t") - F.col("slot"))).alias("value"))
+        weekly_activity(tensor, decay).select(*SEQ, "channel", "first", F.posexplode("week").alias("slot", "value"))
+        .where(F.col("slot") >= F.col("first")).select(*SEQ, "slot", "channel", "value")
     )
 
 
@@ -149,18 +165,17 @@ def lag_windows(tensor: DataFrame, lag: int) -> DataFrame:
     """``(corpus_id, seq_id, slot, channel, lag_0 .. lag_<lag>)``.
 
     The value at a slot with the ``lag`` values before it, inside the sequence;
-    windows that are zero throughout are left out. A cell is sent to the
-    windows it belongs to, so no week grid is built.
+    windows that are zero throughout are left out.
     """
-    sent = (
-        tensor.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(lag))))
-        .withColumn("_t", F.col("slot") + F.col("_lag"))
-        .where(F.col("_t").between(lag, SLOTS_PER_WEEK - 1))
+    def value(k):
+        return F.get("week", F.col("slot") - k)
+
+    slots = F.sequence(F.lit(lag), F.lit(SLOTS_PER_WEEK - 1))
+    filled = F.filter(slots, lambda t: F.exists(F.slice("week", t - lag + 1, F.lit(lag + 1)), lambda x: x != 0))
+    return (
+        weekly_activity(tensor).select(*SEQ, "channel", "week", F.explode(filled).alias("slot"))
+        .select(*SEQ, "slot", "channel", *[value(k).alias(f"lag_{k}") for k in range(lag + 1)])
     )
-    return sent.groupBy(*SEQ, F.col("_t").alias("slot"), "channel").agg(*[
-        F.coalesce(F.sum(F.when(F.col("_lag") == k, F.col("value"))), F.lit(0.0)).alias(f"lag_{k}")
-        for k in range(lag + 1)
-    ])
 
 
 def top_successors(events: DataFrame, k=5) -> DataFrame:

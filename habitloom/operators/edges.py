@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from habitloom.functions.columns import (
     canonical_device_key, device_name, edge_strength, endpoint_key, first_present,
 )
+from habitloom.session import materialize
 
 FUSION_MODES = ("multiplicative", "additive")
 GUARD_MODES = ("suppress", "downweight")
@@ -158,7 +159,7 @@ def _look_up(edges, distribution, role, name):
 
 def target_weighted(edges: DataFrame, target: DataFrame) -> DataFrame:
     """Scale each edge by the target probability of both its ends."""
-    target = normalized_distribution(target)
+    target = materialize(normalized_distribution(target), "distribution")
     rows = with_endpoints(edges).withColumn("raw_weight", edge_strength(edges.columns))
     rows = _look_up(rows, target, "source", "source_target_probability")
     rows = _look_up(rows, target, "target", "target_target_probability")
@@ -188,7 +189,8 @@ def overuse_guard(
     if not 0 <= downweight_factor <= 1:
         raise ValueError("downweight_factor must be between 0 and 1")
 
-    observed, target = normalized_distribution(observed), normalized_distribution(target)
+    observed = materialize(normalized_distribution(observed), "distribution")
+    target = materialize(normalized_distribution(target), "distribution")
     rows = with_endpoints(edges).withColumn("raw_weight", edge_strength(edges.columns))
     for role in ("source", "target"):
         rows = _look_up(rows, observed, role, f"{role}_observed_freq")

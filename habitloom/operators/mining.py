@@ -15,32 +15,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from habitloom.functions.columns import channel_key
 from habitloom.model import SEQ, SLOTS_PER_WEEK
-from habitloom.operators.descriptive import channels_in_order, decayed_tensor, event_tensor
+from habitloom.operators.descriptive import channels_in_order, event_tensor, weekly_activity
 from habitloom.operators.edges import sparsify
 from habitloom.session import materialize
 
 MAX_FEATURES = 4096
 
 
-def slot_windows(tensor: DataFrame, channels: int, lag: int) -> DataFrame:
+def slot_windows(tensor: DataFrame, channels: int, lag: int, decay=0.0) -> DataFrame:
     """``(window)`` lists: ``lag`` past slots and the slot itself, each with all channels.
 
-    ``tensor`` is ``(corpus_id, seq_id, slot, channel_index, value)``. A cell is
-    sent to the windows it lies in; a window gathers at most
-    (lag + 1) x channels cells. Windows that are zero throughout do not appear.
+    ``tensor`` is ``(corpus_id, seq_id, slot, channel_index, value)``. A sequence
+    gathers at most one week per channel, however long it is, and windows are
+    cut from that inside the row. Windows that are zero throughout are left out.
     """
-    width = (lag + 1) * channels
-    sent = (
-        tensor.withColumn("_back", F.explode(F.sequence(F.lit(0), F.lit(lag))))
-        .withColumn("_t", F.col("slot") + F.col("_back"))
-        .where(F.col("_t").between(lag, SLOTS_PER_WEEK - 1))
-        .withColumn("_k", ((lag - F.col("_back")) * channels + F.col("channel_index")).cast("int"))
+    weeks = F.map_from_entries(F.collect_list(F.struct("channel_index", "week")))
+    per_sequence = weekly_activity(tensor, decay, ["channel_index"]).groupBy(*SEQ).agg(weeks.alias("_weeks"))
+
+    def cell(k):
+        week = F.try_element_at("_weeks", (k % channels).cast("int"))
+        slot = (F.col("_t") - lag + F.floor(k / channels)).cast("int")
+        return F.coalesce(F.get(week, slot), F.lit(0.0))
+
+    window = F.transform(F.sequence(F.lit(0), F.lit((lag + 1) * channels - 1)), cell)
+    return (
+        per_sequence.withColumn("_t", F.explode(F.sequence(F.lit(lag), F.lit(SLOTS_PER_WEEK - 1))))
+        .select(window.alias("window")).where(F.exists("window", lambda x: x != 0))
     )
-    cells = F.map_from_entries(F.collect_list(F.struct("_k", "value")))
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.try_element_at("_cells", k), F.lit(0.0)),
-    )
-    return sent.groupBy(*SEQ, "_t").agg(cells.alias("_cells")).select(dense.alias("window"))
 
 
 def _moments(windows, total):
@@ -73,7 +74,7 @@ def _residual_sums(windows, weights, intercept):
     )
 
 
-def influence_matrix(tensor: DataFrame, channels: DataFrame, num_sequences: int, lag=4, ridge=1e-6) -> DataFrame:
+def influence_matrix(tensor: DataFrame, channels: DataFrame, num_sequences: int, lag=4, ridge=1e-6, decay=0.0) -> DataFrame:
     """``(source, target, weight)`` before sparsifying.
 
     ``channels`` is ``(channel, channel_index)``. Its size is checked: the
@@ -86,7 +87,7 @@ def influence_matrix(tensor: DataFrame, channels: DataFrame, num_sequences: int,
     if count * lag > MAX_FEATURES:
         raise ValueError(f"channels x lag must be at most {MAX_FEATURES}")
     cells = tensor.join(channels, "channel").select(*SEQ, "slot", "channel_index", "value")
-    windows = slot_windows(cells, count, lag)
+    windows = slot_windows(cells, count, lag, decay)
 
     total = num_sequences * (SLOTS_PER_WEEK - lag)
     mean, covariance, listed = _moments(windows, total)
@@ -111,4 +112,4 @@ def mine_prior(events: DataFrame, level="device", lag=4, sparse_threshold=0.001,
     tensor = materialize(event_tensor(events, level, "binary"), "tensor")
     channels = channels_in_order(tensor.select("channel"))
     num_sequences = events.where(F.col("pos") == 0).count()
-    return sparsify(influence_matrix(decayed_tensor(tensor, decay), channels, num_sequences, lag, ridge), sparse_threshold)
+    return sparsify(influence_matrix(tensor, channels, num_sequences, lag, ridge, decay), sparse_threshold)

@@ -128,7 +128,7 @@ def metric_rows(spark, sf_dir) -> DataFrame:
     """One raw metric row per order, fields as text with the blanks and oddities of report files."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     names = F.array(*[F.lit(v) for v in (*KEPT_VARIANTS, "exploratory", "old_run")])
-    score = (F.col("o_totalprice") / 600000).cast("string")
+    score = (F.col("o_totalprice") / 500000).cast("string")
     dataset = F.get(F.array(*[F.lit(d) for d in ("fr", "sp", "us")]), (cust % 3).cast("int"))
     scenario = F.get(F.array(*[F.lit(s) for s in ("st", "tt", "nt")]), (key % 3).cast("int"))
     folder = F.when(key % 17 == 0, "diagnostics").when(key % 19 == 0, "run_beta0").otherwise("run")

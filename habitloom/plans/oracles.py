@@ -233,7 +233,7 @@ met AS (
     2024 + o_custkey % 5 AS seed,
     ['baseline_gen', 'causal_gss_only', 'causal_tof_only', 'full_causal', 'zero_target_baseline', 'zero_target_causal_gss',
      'zero_target_causal_tof', 'zero_target_full', 'target_assisted_full', 'exploratory', 'old_run'][o_orderkey % 11 + 1] AS variant,
-    CASE WHEN o_orderkey % 13 > 2 THEN round(o_totalprice / 600000, 6) END AS f1, round(o_totalprice / 600000, 6) AS precision,
+    CASE WHEN o_orderkey % 13 > 2 THEN round(o_totalprice / 500000, 9) END AS f1, round(o_totalprice / 500000, 9) AS precision,
     CASE WHEN o_orderkey % 5 > 0 THEN 0.5::DOUBLE END AS recall,
     CASE WHEN o_orderkey % 2 = 0 THEN TRUE WHEN o_orderkey % 4 = 1 THEN FALSE END AS used_causal_gss, o_orderkey % 1000 AS train_size,
     CASE WHEN o_orderkey % 17 = 0 THEN 'runs/diagnostics' WHEN o_orderkey % 19 = 0 THEN 'runs/run_beta0' ELSE 'runs/run' END AS run_dir

@@ -8,7 +8,7 @@ from habitloom.functions import columns as c
 from habitloom.model import EVENT_COLUMNS, SEQ
 from habitloom.operators import compare, descriptive, detect, edges, lineage, mining, refine, reporting, sequences, validate
 from habitloom.plans import inputs, pipelines
-from habitloom.session import shared_folder
+from habitloom.session import materialize, shared_folder
 from habitloom.sources import corpora, priors, reports, sinks
 
 QUERIES = {}
@@ -19,8 +19,8 @@ def query(function):
     return function
 
 
-def rounded(df, *names, digits=9):
-    return df.withColumns({name: F.round(name, digits) for name in names})
+def rounded(df, *names):
+    return df.withColumns({name: F.round(name, 9) for name in names})
 
 
 def whole_numbers(df, *names):
@@ -236,7 +236,7 @@ def edge_statistics(spark, sf_dir):
 @query
 def edge_statistics_delta(spark, sf_dir):
     rows = inputs.events(spark, sf_dir)
-    before = inputs.prior(rows)
+    before = materialize(inputs.prior(rows), "prior")
     after = edges.target_weighted(before, inputs.shares(rows, "target"))
     stats = edges.edge_statistics_delta(before, after)
     return rounded(stats, *[x for x in stats.columns if x != "side"])
@@ -304,8 +304,8 @@ def guard_counts(spark, sf_dir):
 
 def _fused(spark, sf_dir, **options):
     rows = inputs.only(inputs.events(spark, sf_dir), "source")
-    causal = inputs.prior(rows).withColumn("lag", F.lit(4))
-    graph = descriptive.transition_graph(rows).where(F.col("source_device") != 3)
+    causal = materialize(inputs.prior(rows).withColumn("lag", F.lit(4)), "prior")
+    graph = materialize(descriptive.transition_graph(rows).where(F.col("source_device") != 3), "graph")
     return edges.fuse_edges(graph, causal, lambda_causal=0.5, **options), graph, causal
 
 
@@ -524,7 +524,7 @@ def typed_metrics(spark, sf_dir):
     return rounded(rows.select(
         "dataset", "scenario", "seed", "variant", "input_pkl", "used_causal_gss", "train_size",
         "precision", "recall", "f1", "threshold", "run_dir", "metrics_path",
-    ), "precision", "f1", digits=6)
+    ), "precision", "f1")
 
 
 def _kept(spark, sf_dir):
@@ -534,13 +534,13 @@ def _kept(spark, sf_dir):
 @query
 def per_seed_results(spark, sf_dir):
     rows = reporting.in_report_order(_kept(spark, sf_dir))
-    return rounded(rows.select("dataset", "scenario", "seed", "variant", "f1", "metrics_path"), "f1", digits=6)
+    return rounded(rows.select("dataset", "scenario", "seed", "variant", "f1", "metrics_path"), "f1")
 
 
 @query
 def ablation_pivot(spark, sf_dir):
     table = reporting.ablation_table(_kept(spark, sf_dir))
-    return rounded(table, *[x for x in table.columns if x.endswith("_f1")], digits=6)
+    return rounded(table, *[x for x in table.columns if x.endswith("_f1")])
 
 
 @query
@@ -693,7 +693,7 @@ def metrics_scan(spark, sf_dir):
     root = _folder(spark, "metrics")
     inputs.metric_rows(spark, sf_dir).withColumn("metrics_path", F.col("file_path")).drop("file_path").write.json(root + "/run")
     rows = reporting.typed_metric_rows(reports.read_metrics(spark, root, "*.json", lines=True))
-    return rounded(rows.select("dataset", "scenario", "seed", "variant", "f1", "train_size", "metrics_path"), "f1", digits=6)
+    return rounded(rows.select("dataset", "scenario", "seed", "variant", "f1", "train_size", "metrics_path"), "f1")
 
 
 @query

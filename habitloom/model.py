@@ -5,8 +5,8 @@ The canonical table holds one event per row::
     corpus_id, seq_id, pos, day, hour_slot, device_id, action_id [, is_long]
 
 ``(corpus_id, seq_id)`` names a sequence and ``pos`` runs 0..n-1 inside it.
-``is_long`` is optional: it marks sequences too large for one task (see
-``operators.sequences``).
+``is_long`` is there only if some sequence is too large for one task; it marks
+those (see ``operators.sequences``).
 """
 
 from pyspark.sql import types as T

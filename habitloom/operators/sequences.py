@@ -3,7 +3,8 @@
 Every function here gives the same result for any sequence length. Ordinary
 sequences are handled whole inside one task. Sequences marked ``is_long`` are
 never gathered: neighbours are found by an equi-join on the position, and
-running counts are carried from part to part.
+running counts are carried from part to part. A table without the column
+``is_long`` holds ordinary sequences only; the readers add it when needed.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
@@ -13,16 +14,16 @@ from habitloom.model import EVENT_COLUMNS, FIELDS_PER_EVENT, LONG_SEQUENCE_EVENT
 
 
 def mark_long(events: DataFrame, long_after=LONG_SEQUENCE_EVENTS) -> DataFrame:
-    """Add ``is_long`` to a canonical table that lacks it.
+    """Add ``is_long`` to a stored canonical table if it has long sequences.
 
     Positions are dense, so a long sequence is one that has an event at
-    ``pos >= long_after``: the filter is pushed to the scan and the list has at
+    ``pos = long_after``: the filter is pushed to the scan, and the list has at
     most (number of events / long_after) rows, hence safe to broadcast.
     """
-    if "is_long" in events.columns:
+    long_ids = events.where(F.col("pos") == long_after).select(*SEQ)
+    if "is_long" in events.columns or long_ids.isEmpty():
         return events
-    long_ids = F.broadcast(events.where(F.col("pos") == long_after).select(*SEQ))
-    keys = list(SEQ)
+    keys, long_ids = list(SEQ), F.broadcast(long_ids)
     return (
         events.join(long_ids, keys, "left_anti").withColumn("is_long", F.lit(False))
         .unionByName(events.join(long_ids, keys, "left_semi").withColumn("is_long", F.lit(True)))
@@ -30,8 +31,9 @@ def mark_long(events: DataFrame, long_after=LONG_SEQUENCE_EVENTS) -> DataFrame:
 
 
 def by_length(events: DataFrame):
-    """``(ordinary, long)`` events; Catalyst prunes the other branch of each."""
-    events = mark_long(events)
+    """``(ordinary, long)`` events, the latter ``None`` if the table has no ``is_long``."""
+    if "is_long" not in events.columns:
+        return events, None
     return events.where(~F.col("is_long")), events.where(F.col("is_long"))
 
 
@@ -90,6 +92,8 @@ def with_neighbour(events: DataFrame, step: int, **wanted) -> DataFrame:
     ordinary, long = by_length(events)
     order = Window.partitionBy(*SEQ).orderBy("pos")
     near = ordinary.withColumns({name: F.lead(source, step).over(order) for name, source in wanted.items()})
+    if long is None:
+        return near
     shifted = long.select(
         *SEQ, (F.col("pos") - step).alias("pos"), *[F.col(source).alias(name) for name, source in wanted.items()],
     )
@@ -108,7 +112,7 @@ def _running_counts(rows, group):
     met = F.sum(F.when(F.col("device") == F.col("earlier"), F.col("n")).otherwise(0)).over(before)
     return (
         rows.withColumn("_met", F.collect_set("device").over(everything))
-        .withColumn("earlier", F.explode("_met"))
+        .select("*", F.explode("_met").alias("earlier"))
         .withColumn("n_earlier", F.coalesce(met, F.lit(0)))
         .where((F.col("pos") >= 0) & ((F.col("n_earlier") > 0) | (F.col("earlier") == F.col("device"))))
         .select(*SEQ, "pos", "device", "earlier", "n_earlier")
@@ -147,7 +151,7 @@ def earlier_device_counts(events: DataFrame, part_events=PART_EVENTS) -> DataFra
     """
     ordinary, long = by_length(events)
     near = _running_counts(_met_once(ordinary), SEQ)
-    return near.unionByName(_counts_when_long(long, part_events))
+    return near if long is None else near.unionByName(_counts_when_long(long, part_events))
 
 
 def ordered_pair_counts(events: DataFrame, part_events=PART_EVENTS) -> DataFrame:
@@ -167,4 +171,4 @@ def ordered_pair_counts(events: DataFrame, part_events=PART_EVENTS) -> DataFrame
 
     ordinary, long = by_length(events)
     near = count(_running_counts(_met_once(ordinary), SEQ))
-    return near.unionByName(count(_counts_when_long(long, part_events)))
+    return near if long is None else near.unionByName(count(_counts_when_long(long, part_events)))

@@ -91,9 +91,8 @@ def attacked(rows: DataFrame) -> DataFrame:
                 F.lit(f"{'attack' if label else 'normal'}:{env}").alias("corpus_id"),
                 *[change.get(c, F.col(c)).cast("int").alias(c) for c in EVENT_COLUMNS[3:]],
             ))
-    return base.select("seq_id", "pos", "is_long", F.explode(F.array(*kinds)).alias("_k")).select(
-        "_k.*", "seq_id", "pos", "is_long",
-    )
+    kept = [c for c in ("seq_id", "pos", "is_long") if c in base.columns]
+    return base.select(*kept, F.explode(F.array(*kinds)).alias("_k")).select("_k.*", *kept)
 
 
 def faulty_corpus(spark, sf_dir) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from habitloom.model import CORPUS_SCHEMA, LABELLED_SCHEMA
+from habitloom.operators.sequences import mark_long
 
 GENERATED_SCHEMA = T.StructType([
     T.StructField("sequence_id", T.StringType()),
@@ -58,6 +59,11 @@ def write_corpus(corpus: DataFrame, path: str) -> None:
     corpus.select(*CORPUS_SCHEMA.names).write.mode("errorifexists").partitionBy("corpus_id").parquet(path)
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Canonical events from parquet; long sequences are marked."""
+    return mark_long(spark.read.parquet(path))
+
+
 def write_events(events: DataFrame, path: str) -> None:
     """Canonical events as parquet, clustered so that a sequence lies in one file.
 

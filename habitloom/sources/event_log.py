@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from habitloom.model import EVENT_COLUMNS, HOURS_PER_SLOT, LONG_SEQUENCE_EVENTS
+from habitloom.session import materialize
 
 
 def sequences_from_log(
@@ -12,10 +13,11 @@ def sequences_from_log(
     """One sequence per entity and calendar day, ordered by ``ts`` then ``tie``.
 
     ``device_id``, ``action_id`` and ``corpus_id`` are columns over the log.
-    Ordinary sequences are numbered by one window over one shuffle on
-    ``seq_id``, which later per-sequence operators reuse. A sequence with more
-    than ``long_after`` events would overload a task, so its events are
-    numbered per second of the day and shifted by the count of earlier seconds.
+    Sequences are numbered by one window over one shuffle on ``seq_id``, which
+    later per-sequence operators reuse. A sequence with more than
+    ``long_after`` events would overload a task: if there is any, its events
+    are numbered per second of the day and shifted by the count of earlier
+    seconds, and the result has the column ``is_long``.
     """
     seq_id = F.concat_ws(":", F.col(entity).cast("string"), F.to_date(ts).cast("string"))
     rows = log.select(
@@ -27,18 +29,19 @@ def sequences_from_log(
         device_id.cast("int").alias("device_id"),
         action_id.cast("int").alias("action_id"),
     )
-    # At most (number of events / long_after) rows, hence safe to broadcast.
-    long_ids = F.broadcast(
-        rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > long_after).select("seq_id")
-    )
-
     in_seq = Window.partitionBy("seq_id").orderBy("_ts", "_tie")
+    numbered = rows.withColumn("pos", F.row_number().over(in_seq) - 1).select(*EVENT_COLUMNS)
+    if not _has_long(log, rows, long_after):
+        return numbered
+
+    long_ids = rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > long_after).select("seq_id")
+    # At most (number of events / long_after) rows, hence safe to broadcast.
+    long_ids = F.broadcast(materialize(long_ids, "long-ids"))
     whole = (
         rows.join(long_ids, "seq_id", "left_anti")
         .withColumn("pos", F.row_number().over(in_seq) - 1)
         .select(*EVENT_COLUMNS, F.lit(False).alias("is_long"))
     )
-
     seconds = rows.join(long_ids, "seq_id", "left_semi").withColumn("_second", F.date_trunc("SECOND", "_ts"))
     earlier = Window.partitionBy("seq_id").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -55,6 +58,18 @@ def sequences_from_log(
     return whole.unionByName(split)
 
 
+def _has_long(log, rows, long_after):
+    """Whether any sequence exceeds ``long_after`` events: one number comes back.
+
+    A log with no more rows than that, known from file footers alone, cannot
+    have one; otherwise rows are counted per sequence, partly before the shuffle.
+    """
+    if log.count() <= long_after:
+        return False
+    sizes = rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.agg(F.max("_n")).head()[0] > long_after
+
+
 def id_in(vocabulary, value) -> Column:
     """Index of a text value in a short fixed vocabulary, -1 when unknown."""
     words = F.array(*[F.lit(word) for word in vocabulary])

@@ -36,12 +36,16 @@ START = -1
 
 @dataclass(frozen=True)
 class Detector:
-    """What one detector reads and how many different tokens there are."""
+    """What one detector reads and how many different tokens there are.
+
+    With ``whole_corpus`` it trains and validates on all sequences instead of a split.
+    """
 
     env: str
     field: str
     vocab_size: int
     percentile: float = 95.0
+    whole_corpus: bool = False
 
     def __post_init__(self):
         if not 0.0 <= self.percentile <= 100.0:

@@ -1,7 +1,7 @@
 """Exact order statistics that never gather all rows in one task.
 
-All three functions work in two steps: count rows per bucket of the sort key,
-then order rows only inside a bucket. Buckets decide how work is spread; the
+All functions work in two steps: count rows per bucket of the sort key, then
+order rows only inside a bucket. Buckets decide how work is spread; the
 result does not depend on them.
 """
 
@@ -22,12 +22,15 @@ def log_bucket(value):
     return F.floor(F.least(F.greatest(F.log2(value), F.lit(-32.0)), F.lit(31.999)) * 1024).cast("int")
 
 
-def keep_smallest(rows: DataFrame, key, bucket, ties, count, error="not enough rows") -> DataFrame:
-    """Exactly the ``count`` rows that are smallest by ``(key, *ties)``.
+def smallest_cutoff(rows: DataFrame, key: list, bucket, count, error="not enough rows") -> DataFrame:
+    """One row ``cutoff``: the key of the ``count``-th smallest row, as a struct.
 
-    ``count`` is a function of the column holding the number of rows.
-    ``bucket`` must rise with ``key`` and take at most some 10^5 values: the
-    bucket table is ordered in one task and broadcast.
+    ``key`` lists columns whose values together are unique. Rows belong to the
+    smallest ``count`` exactly if their key struct is at most the cutoff, a
+    test each row can make by itself, so the rows are never shuffled. ``count``
+    is a function of the column holding the number of rows. ``bucket`` must
+    rise with the first key and take at most some 10^5 values: the bucket
+    table is ordered in one task, and then the rows of one bucket are.
     """
     order = Window.orderBy("_bucket")
     wanted = count(F.col("_total")).cast("bigint")
@@ -36,17 +39,17 @@ def keep_smallest(rows: DataFrame, key, bucket, ties, count, error="not enough r
         .withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(*_BEFORE)), F.lit(0)))
         .withColumn("_total", F.sum("_n").over(Window.partitionBy(F.lit(0))))
         .withColumn("_cut", F.when(wanted > F.col("_total"), F.raise_error(error).cast("bigint")).otherwise(wanted))
-        .where(F.col("_before") < F.col("_cut"))
-        .select("_bucket", "_before", "_cut")
-    )
-    inside = Window.partitionBy("_bucket").orderBy(key, *ties)
-    return (
-        rows.withColumn("_bucket", bucket)
-        .join(F.broadcast(table), "_bucket")
-        .withColumn("_row", F.row_number().over(inside))
-        .where(F.col("_before") + F.col("_row") <= F.col("_cut"))
-        .drop("_bucket", "_before", "_cut", "_row")
     )
+    crossed = (F.col("_before") < F.col("_cut")) & (F.col("_cut") <= F.col("_before") + F.col("_n"))
+    bound = F.broadcast(table.where(crossed).select("_bucket", (F.col("_cut") - F.col("_before")).alias("_place")))
+    near = rows.select(F.struct(*key).alias("cutoff"), bucket.alias("_bucket")).join(bound, "_bucket")
+    placed = near.withColumn("_row", F.row_number().over(Window.partitionBy("_bucket").orderBy("cutoff")))
+    return materialize(placed.where(F.col("_row") == F.col("_place")).select("cutoff"), "cutoff")
+
+
+def within(key: list, cutoff: DataFrame):
+    """Whether a row is among the smallest, given ``smallest_cutoff``."""
+    return F.coalesce(F.struct(*key) <= cutoff.select("cutoff").scalar(), F.lit(False))
 
 
 def exact_percentiles(rows: DataFrame, value: str, quantiles: dict, by=(), resolution=1e-4) -> DataFrame:
@@ -62,6 +65,7 @@ def exact_percentiles(rows: DataFrame, value: str, quantiles: dict, by=(), resol
         rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value"))
         .agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.floor(F.col("_value") / resolution).cast("bigint"))
     )
+    values = materialize(values, "values")  # read twice below
     in_group = Window.partitionBy(*by)
     wanted = F.array(*[
         F.struct(F.lit(name).alias("name"), F.lit(q).cast("double").alias("q")) if isinstance(q, (int, float))

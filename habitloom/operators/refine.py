@@ -6,7 +6,7 @@ from habitloom.functions.columns import SCORING_STRENGTH_FIELDS, edge_strength,
 from habitloom.model import SEQ
 from habitloom.operators.compare import distribution_penalty
 from habitloom.operators.edges import with_endpoints
-from habitloom.operators.ranking import keep_smallest, log_bucket, uniform_bucket, with_rank
+from habitloom.operators.ranking import log_bucket, smallest_cutoff, uniform_bucket, with_rank, within
 from habitloom.operators.sequences import earlier_device_counts, ordered_pair_counts
 from habitloom.session import materialize
 
@@ -126,35 +126,39 @@ def weighted_resample(scores: DataFrame, seed=2024, max_copies=3, target_size=No
     ``target_size`` defaults to the number of sequences. Instead of drawing one
     by one, copy ``c`` of a sequence arrives after ``c`` exponential waits at
     rate ``weight``, and the first ``target_size`` arrivals are taken: the same
-    distribution, with one exact selection.
+    distribution, and each sequence can tell its copies from one cutoff.
     """
     if max_copies < 1:
         raise ValueError("max_copies must be at least 1")
     if target_size is not None and target_size <= 0:
         return scores.select(*SEQ, F.lit(0).cast("bigint").alias("copies"))
     weight = F.greatest(F.coalesce("sample_weight", F.lit(0.0)), F.lit(0.0))
-    scores = materialize(scores.select(*SEQ, weight.alias("_w")), "weights")  # one narrow row per sequence, read three times
-    weight = F.col("_w")
-    heaviest = scores.agg(F.max(weight)).scalar()
-    rows = scores.select(*SEQ, F.when(heaviest > 0, weight).otherwise(F.lit(1.0)).alias("_w"))
-
-    copies = F.sequence(F.lit(1), F.lit(max_copies))
-    waits = F.transform(copies, lambda c: -F.ln(seeded_uniform(seed, "corpus_id", "seq_id", c)) / F.col("_w"))
-    arrivals = F.transform(
-        copies, lambda c: F.aggregate(F.slice("_waits", F.lit(1), c), F.lit(0.0), lambda total, wait: total + wait),
-    )
+    weights = materialize(scores.select(*SEQ, weight.alias("_w")), "weights")  # a narrow row per sequence, read four times
+    heaviest = weights.agg(F.max("_w")).scalar()
+    size = F.lit(target_size) if target_size is not None else weights.agg(F.count(F.lit(1))).scalar()
+
+    numbers = F.sequence(F.lit(1), F.lit(max_copies))
+    rate = F.when(heaviest > 0, F.col("_w")).otherwise(F.lit(1.0))
+    waits = F.transform(numbers, lambda c: -F.ln(seeded_uniform(seed, "corpus_id", "seq_id", c)) / F.col("_rate"))
+    arrivals = F.transform(numbers, lambda c: F.struct(
+        F.aggregate(F.slice("_waits", F.lit(1), c), F.lit(0.0), lambda total, wait: total + wait).alias("arrival"),
+        F.col("corpus_id"), F.col("seq_id"), c.alias("copy"),
+    ))
     clocks = (
-        rows.where(F.col("_w") > 0).withColumn("_waits", waits)
-        .select(*SEQ, F.posexplode(arrivals).alias("_copy", "_arrival"))
+        weights.withColumn("_rate", rate).where(F.col("_rate") > 0).withColumn("_waits", waits)
+        .select(*SEQ, arrivals.alias("_arrivals"))
     )
-
-    size = F.lit(target_size) if target_size is not None else scores.agg(F.count(F.lit(1))).scalar()
-    drawn = keep_smallest(
-        clocks, F.col("_arrival"), log_bucket(F.col("_arrival")), [*SEQ, "_copy"], lambda total: size,
-        error="target_size exceeds the copies available",
+    key = ["arrival", *SEQ, "copy"]
+    cutoff = smallest_cutoff(
+        clocks.select(F.explode("_arrivals").alias("_a")).select("_a.*"), key, log_bucket(F.col("arrival")),
+        lambda total: size, error="target_size exceeds the copies available",
+    )
+    # A sequence's arrivals rise with the copy number: count those not after the cutoff.
+    last = cutoff.select("cutoff").scalar()
+    drawn = clocks.withColumn("_cutoff", last).select(
+        *SEQ, F.size(F.filter("_arrivals", lambda a: a <= F.col("_cutoff"))).cast("bigint").alias("copies"),
     )
-    counts = drawn.groupBy(*SEQ).agg(F.count(F.lit(1)).alias("copies"))
-    return scores.select(*SEQ).join(counts, list(SEQ), "left").fillna(0, ["copies"])
+    return drawn.unionByName(weights.where((F.col("_w") <= 0) & (heaviest > 0)).select(*SEQ, F.lit(0).cast("bigint").alias("copies")))
 
 
 def resampled_events(events: DataFrame, copies: DataFrame) -> DataFrame:
@@ -182,24 +186,30 @@ def consistency_summary(scores: DataFrame) -> DataFrame:
     )
 
 
-def split_train_validation(ids: DataFrame, ratio=0.8, seed=2024) -> DataFrame:
-    """``(…ids, part)``: the first ``floor(n * ratio)`` keys in a seeded order are ``train``.
+def _split_key(seed):
+    return [seeded_uniform(seed, *SEQ).alias("u"), *[F.col(c) for c in SEQ]]
 
-    ``ids`` holds one row per sequence, named by ``(corpus_id, seq_id)``.
-    """
+
+def split_cutoff(ids: DataFrame, ratio=0.8, seed=2024) -> DataFrame:
+    """Where to cut the seeded order of ``ids`` so that ``floor(n * ratio)`` sequences train."""
     if not 0.0 < ratio < 1.0:
         raise ValueError("ratio must be between 0 and 1 (exclusive)")
-    order = seeded_uniform(seed, *SEQ)
-    rows = ids.withColumn("_u", order)
 
     def count(total):
         too_few = F.raise_error("at least 2 sequences are needed to split").cast("bigint")
         return F.when(total < 2, too_few).otherwise(F.floor(total * F.lit(ratio)))
 
-    train = keep_smallest(rows, F.col("_u"), uniform_bucket(F.col("_u")), list(SEQ), count).select(
-        *SEQ, F.lit("train").alias("part"),
-    )
-    return ids.join(train, list(SEQ), "left").fillna("validation", ["part"])
+    return smallest_cutoff(ids.select(*SEQ), _split_key(seed), uniform_bucket(seeded_uniform(seed, *SEQ)), count)
+
+
+def split_part(cutoff: DataFrame, seed=2024):
+    """``train`` or ``validation`` for any table with the sequence columns; needs no join."""
+    return F.when(within(_split_key(seed), cutoff), "train").otherwise("validation")
+
+
+def split_train_validation(ids: DataFrame, ratio=0.8, seed=2024) -> DataFrame:
+    """Add ``part`` to a table with one row per sequence."""
+    return ids.withColumn("part", split_part(split_cutoff(ids, ratio, seed), seed))
 
 
 def lock_corpus(events: DataFrame, edges: DataFrame, seed=2024, max_copies=3) -> DataFrame:

@@ -19,7 +19,7 @@ DEVICES = ("click", "error", "purchase", "signup", "view")
 DETECTORS = (
     Detector("spring", "action_id", 20, 95.0),
     Detector("night", "hour_slot", 8, 95.0),
-    Detector("multiple", "device_id", 5, 99.0),
+    Detector("multiple", "device_id", 5, 99.0, whole_corpus=True),
 )
 # A vocabulary with the special pairing of ``None`` actions and ``Other``.
 VALIDATION_DEVICES = ("click", "error", "None", "Other", "view")

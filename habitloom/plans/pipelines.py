@@ -12,7 +12,7 @@ from habitloom.operators.detect import (
     classify, confusion, fit_markov, iqr_outliers, loss_thresholds, sequence_losses, token_steps, utility_change,
 )
 from habitloom.operators.edges import fuse_edges, overuse_guard, target_weighted
-from habitloom.operators.refine import split_train_validation
+from habitloom.operators.refine import split_cutoff, split_part
 from habitloom.session import materialize
 
 
@@ -49,39 +49,27 @@ def filter_corpus(events: DataFrame, detector, seed=2024, ratio=0.8) -> DataFram
     does not raise the validation loss come back. The steps and the per-sequence
     tables are read several times, so each is written once.
     """
+    key = ["env", *SEQ]
     steps = materialize(token_steps(events, [detector]), "steps")
     split = materialize(iqr_outliers(sequence_losses(steps, fit_markov(steps))), "losses")
-    inliers = split.where(~F.col("is_outlier")).select(*SEQ)
-    parts = materialize(split_train_validation(inliers, ratio, seed), "parts")
-
-    def steps_of(ids):
-        return steps.join(ids.select(*SEQ), list(SEQ), "left_semi")
-
-    change = utility_change(
-        steps_of(parts.where(F.col("part") == "train")), steps_of(parts.where(F.col("part") == "validation")),
-        steps_of(split.where("is_outlier")),
+    cutoff = split_cutoff(split.where(~F.col("is_outlier")), ratio, seed)
+    role = F.when(F.col("is_outlier"), "outlier").otherwise(split_part(cutoff, seed))
+    placed = materialize(
+        steps.join(split.select(*key, "is_outlier"), key).select(*key, "prev", "token", "vocab_size", role.alias("role")), "placed-steps",
     )
-    return split.join(change.select("env", *SEQ, "loss_change", "readmit"), ["env", *SEQ], "left").withColumn(
+    change = utility_change(*[placed.where(F.col("role") == r) for r in ("train", "validation", "outlier")])
+    return split.join(change.select(*key, "loss_change", "readmit"), key, "left").withColumn(
         "kept", ~F.col("is_outlier") | F.coalesce("readmit", F.lit(False)),
     )
 
 
-def detection_parts(ids: DataFrame, detectors, ratio=0.8, seed=2024) -> DataFrame:
-    """``(env, corpus_id, seq_id, part)``: each detector's training and validation sequences.
+def part_of(rows: DataFrame, part: str, detectors, cutoff: DataFrame, seed=2024) -> DataFrame:
+    """The rows ``(env, corpus_id, seq_id, …)`` a detector uses as ``train`` or ``validation``.
 
-    The ``multiple`` environment trains and validates on the whole corpus.
+    Detectors marked ``whole_corpus`` use every sequence as both.
     """
-    parts = split_train_validation(ids, ratio, seed)
-    both = F.array(F.lit("train"), F.lit("validation"))
-    rows = [
-        parts.select(F.lit(d.env).alias("env"), *SEQ, F.explode(both).alias("part")) if d.env == "multiple"
-        else parts.select(F.lit(d.env).alias("env"), *SEQ, "part")
-        for d in detectors
-    ]
-    out = rows[0]
-    for more in rows[1:]:
-        out = out.unionByName(more)
-    return out
+    whole = [d.env for d in detectors if d.whole_corpus]
+    return rows.where(F.col("env").isin(whole) | (split_part(cutoff, seed) == part))
 
 
 def run_detectors(train_events: DataFrame, test_events: DataFrame, detectors, ratio=0.8, seed=2024):
@@ -92,10 +80,9 @@ def run_detectors(train_events: DataFrame, test_events: DataFrame, detectors, ra
     sequence with ``loss, threshold, predicted, label``.
     """
     steps = materialize(token_steps(train_events, detectors), "steps")
-    ids = steps.where((F.col("env") == detectors[0].env) & (F.col("pos") == 0)).select(*SEQ)
-    parts = detection_parts(ids, detectors, ratio, seed)
-    model = fit_markov(steps.join(parts.where(F.col("part") == "train"), ["env", *SEQ], "left_semi"))
-    validation = steps.join(parts.where(F.col("part") == "validation"), ["env", *SEQ], "left_semi")
+    cutoff = split_cutoff(steps.where((F.col("env") == detectors[0].env) & (F.col("pos") == 0)), ratio, seed)
+    model = fit_markov(part_of(steps, "train", detectors, cutoff, seed))
+    validation = part_of(steps, "validation", detectors, cutoff, seed)
     thresholds = loss_thresholds(sequence_losses(validation, model), detectors)
 
     aimed = test_events.withColumnRenamed("env", "_aim")

@@ -707,10 +707,14 @@ def quality_scan(spark, sf_dir):
 
 @query
 def lineage_scan(spark, sf_dir):
+    """A stage is written as documents of up to 1,000 events, so that no document is unbounded."""
     root = _folder(spark, "lineage")
     entry = F.struct(*[F.col(x) for x in ("event_index", "operation", "path", "target_normal", "target_attack")])
     keys = ["variant", "stage", "stage_order", "purpose"]
-    inputs.lineage_events(spark, sf_dir).groupBy(*keys).agg(F.collect_list(entry).alias("open_events")).write.json(root)
+    (
+        inputs.lineage_events(spark, sf_dir).groupBy(*keys, F.floor(F.col("event_index") / 1000).alias("_document"))
+        .agg(F.collect_list(entry).alias("open_events")).drop("_document").write.json(root)
+    )
     return reports.read_lineage(spark, root, lines=True).drop("status")
 
 

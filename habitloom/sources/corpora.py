@@ -42,7 +42,11 @@ def read_generated(spark: SparkSession, path: str, strict=False) -> DataFrame:
 
 
 def read_losses(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_index, loss)`` from a JSON list, or an object holding ``reconstruction_losses``."""
+    """``(row_index, loss)`` from a JSON list, or an object holding ``reconstruction_losses``.
+
+    One such file is one row in memory; losses of a large corpus come as a
+    table ``(corpus_id, seq_id, loss)`` instead, as ``detect`` makes them.
+    """
     text = F.col("value")
     values = F.coalesce(
         F.from_json(F.get_json_object(text, "$.reconstruction_losses"), "array<double>"),

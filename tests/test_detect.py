@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from habitloom.operators import detect
+from habitloom.operators import detect, refine
 from habitloom.plans import pipelines
 
 DEVICE = detect.Detector("multiple", "device_id", 11, 99.0)
@@ -90,9 +90,14 @@ def test_confusion_with_empty_classes(spark):
 
 
 def test_whole_corpus_protocol(spark):
+    detectors = [detect.Detector("multiple", "device_id", 11, 99.0, whole_corpus=True), detect.Detector("night", "hour_slot", 8)]
     ids = spark.range(5).select(F.lit("c").alias("corpus_id"), F.col("id").cast("string").alias("seq_id"))
-    parts = pipelines.detection_parts(ids, [DEVICE, detect.Detector("night", "hour_slot", 8)])
-    found = {(r.env, r.part): r.n for r in parts.groupBy("env", "part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = ids.select("*", F.explode(F.array(F.lit("multiple"), F.lit("night"))).alias("env"))
+    cutoff = refine.split_cutoff(ids)
+    found = {
+        (env, part): n for part in ("train", "validation")
+        for env, n in pipelines.part_of(rows, part, detectors, cutoff).groupBy("env").count().collect()
+    }
     assert found == {("multiple", "train"): 5, ("multiple", "validation"): 5, ("night", "train"): 4, ("night", "validation"): 1}
 
 

@@ -25,7 +25,7 @@ EVENT_COLUMNS = ("corpus_id", "seq_id", "pos", "day", "hour_slot", "device_id",
 # Sequences above this many events are split over several tasks, in pieces of
 # PART_EVENTS positions. Both only change how work is spread, never a result.
 LONG_SEQUENCE_EVENTS = 1_000_000
-PART_EVENTS = 100_000
+PART_EVENTS = 20_000
 
 CORPUS_SCHEMA = T.StructType([
     T.StructField("corpus_id", T.StringType()),

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from habitloom.functions.columns import channel_key, channel_order, device_key, device_name, time_index
 from habitloom.model import FIELDS_PER_EVENT, SEQ, SLOTS_PER_WEEK
 from habitloom.operators.sequences import ordered_pair_counts, with_neighbour
+from habitloom.session import materialize
 
 
 def channel_counts(events: DataFrame, level="action", min_frequency=1) -> DataFrame:
@@ -125,7 +126,7 @@ def event_tensor(events: DataFrame, level="action", count_mode="count", min_freq
     slot = F.pmod(time_index(), F.lit(SLOTS_PER_WEEK)).cast("int")
     cells = events.select(*SEQ, slot.alias("slot"), channel_key(level).alias("channel"))
     if min_frequency > 1:
-        kept = channel_counts(events, level, min_frequency).select("corpus_id", "channel")
+        kept = materialize(channel_counts(events, level, min_frequency).select("corpus_id", "channel"), "channels")
         cells = cells.join(kept, ["corpus_id", "channel"], "left_semi")
     value = F.count(F.lit(1)) if count_mode == "count" else F.max(F.lit(1))
     return cells.groupBy(*SEQ, "slot", "channel").agg(value.cast("double").alias("value"))

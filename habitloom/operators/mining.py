@@ -110,6 +110,6 @@ def influence_matrix(tensor: DataFrame, channels: DataFrame, num_sequences: int,
 def mine_prior(events: DataFrame, level="device", lag=4, sparse_threshold=0.001, decay=0.1, ridge=1e-6) -> DataFrame:
     """Sparse ``(source, target, weight)`` influence matrix of the given events."""
     tensor = materialize(event_tensor(events, level, "binary"), "tensor")
-    channels = channels_in_order(tensor.select("channel"))
+    channels = materialize(channels_in_order(tensor.select("channel")), "channels")
     num_sequences = events.where(F.col("pos") == 0).count()
     return sparsify(influence_matrix(tensor, channels, num_sequences, lag, ridge, decay), sparse_threshold)

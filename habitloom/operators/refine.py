@@ -98,7 +98,9 @@ def sequence_scores(
         float(alpha_rec) * term - float(beta_inconsistency) * (1.0 - F.col("causal_consistency_score"))
         - float(gamma_dist) * F.col("distribution_penalty")
     )
-    return scores.withColumn("final_score", final).withColumn("sample_weight", F.exp(F.col("final_score") / float(temperature)))
+    return scores.withColumns({
+        "causal_inconsistency": 1.0 - F.col("causal_consistency_score"), "reconstruction_term": term, "final_score": final,
+    }).withColumn("sample_weight", F.exp(F.col("final_score") / float(temperature)))
 
 
 def decide(scores: DataFrame, mode="weight", min_weight=0.05) -> DataFrame:

@@ -448,8 +448,8 @@ SELECT count(*) AS num_sequences, round(avg(score), 9) AS mean_causal_consistenc
   round(max(score), 9) AS max_causal_consistency_score FROM cons""")
 _SCORES = "ev dist shares prec cons tv scores"
 _sql("causal_tof_scores", _SCORES, """
-SELECT corpus_id, seq_id, pairs AS num_ordered_event_pairs, supported AS num_causally_supported_pairs, round(score, 9) AS causal_consistency_score,
-  round(penalty, 9) AS distribution_penalty, round(loss, 9) AS reconstruction_loss, round(final, 9) AS final_score, round(exp(final / 2), 9) AS sample_weight
+SELECT corpus_id, seq_id, pairs AS num_ordered_event_pairs, supported AS num_causally_supported_pairs, round(score, 9) AS causal_consistency_score, round(1 - score, 9) AS causal_inconsistency,
+  round(penalty, 9) AS distribution_penalty, round(loss, 9) AS reconstruction_loss, round(greatest(loss, 0), 9) AS reconstruction_term, round(final, 9) AS final_score, round(exp(final / 2), 9) AS sample_weight
 FROM scores""")
 _sql("causal_tof_filter", _SCORES, """
 SELECT corpus_id, seq_id, round(exp(final / 2), 9) AS sample_weight, CASE WHEN exp(final / 2) >= 0.5 THEN 'keep' ELSE 'delete' END AS decision FROM scores""")
@@ -584,6 +584,8 @@ INTERSECT SELECT path FROM lin WHERE purpose = 'filtering' AND operation = 'read
 
 # Files written from the tables and read back
 _sql("jsonl_scan", "ev", f"SELECT seq_id AS sequence_id, {_FLAT} AS sequence FROM ev GROUP BY 1")
+_sql("vocabulary_scan", "ev", """
+SELECT DISTINCT device_id AS id, ['click', 'error', 'purchase', 'signup', 'view'][device_id + 1] AS name FROM ev""")
 _sql("corpus_scan", "ev", f"SELECT corpus_id, seq_id, {_FLAT} AS flat FROM ev GROUP BY 1, 2")
 _sql("prior_scan", "ev prec", """
 SELECT source, target, round(weight, 9) AS weight, 3 AS lag, 'existing_prior_json' AS provenance FROM prior ORDER BY prior.weight DESC, source, target LIMIT 10""")

@@ -9,7 +9,8 @@ from habitloom.model import EVENT_COLUMNS, SEQ
 from habitloom.operators import compare, descriptive, detect, edges, lineage, mining, refine, reporting, sequences, validate
 from habitloom.plans import inputs, pipelines
 from habitloom.session import materialize, shared_folder
-from habitloom.sources import corpora, priors, reports, sinks
+from habitloom.sources import corpora, priors, reports, sinks, vocabulary
+from habitloom.sources.event_log import id_in
 
 QUERIES = {}
 
@@ -374,7 +375,10 @@ def _scores(spark, sf_dir):
     )
 
 
-_SCORE_NUMBERS = ("causal_consistency_score", "distribution_penalty", "reconstruction_loss", "final_score", "sample_weight")
+_SCORE_NUMBERS = (
+    "causal_consistency_score", "causal_inconsistency", "distribution_penalty", "reconstruction_loss",
+    "reconstruction_term", "final_score", "sample_weight",
+)
 
 
 @query
@@ -639,6 +643,17 @@ def jsonl_scan(spark, sf_dir):
     return corpora.read_generated(spark, path).select("sequence_id", F.array_join("sequence", ",").alias("sequence"))
 
 
+@query
+def vocabulary_scan(spark, sf_dir):
+    """Device names of the log written as one ``{name: id}`` document and read back."""
+    path = _folder(spark, "vocabulary")
+    names = inputs.table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
+    entry = F.struct("name", id_in(inputs.DEVICES, F.col("name")).alias("id"))
+    document = names.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(entry)).alias("devices"))).alias("value"))
+    document.coalesce(1).write.text(path)
+    return vocabulary.read_id_names(spark, path, "devices")
+
+
 @query
 def corpus_scan(spark, sf_dir):
     path = _folder(spark, "corpus")

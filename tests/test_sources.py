@@ -4,8 +4,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from habitloom.operators import lineage, reporting
-from habitloom.sources import corpora, priors, reports, sinks
+from habitloom.operators import lineage, reporting, validate
+from habitloom.sources import corpora, priors, reports, sinks, vocabulary
 
 
 def write(path, text):
@@ -67,6 +67,21 @@ def test_successors(spark, tmp_path):
     ]
 
 
+def test_vocabularies(spark, tmp_path):
+    path = write(tmp_path / "v.json", json.dumps({"devices": {"Lamp": 3, "Lock": 0}, "actions": {"7": "Lamp:switch off", "8": "Lock:lock", "x": "y"}}, indent=2))
+    devices, actions = vocabulary.read_id_names(spark, path, "devices"), vocabulary.read_id_names(spark, path, "actions")
+    assert sorted(map(tuple, devices.collect())) == [(0, "Lock"), (3, "Lamp")]
+    found = vocabulary.action_table(actions, devices)
+    assert sorted((r.action_id, r.device_id, r.is_off) for r in found.collect()) == [(7, 3, True), (8, 0, False)]
+    plain = write(tmp_path / "w.json", '{"1": "a"}')
+    assert [tuple(r) for r in vocabulary.read_id_names(spark, plain, "devices").collect()] == [(1, "a")]
+    checked = validate.with_reasons(
+        spark.createDataFrame([("c", "s", [0, 0, 3, 7])], "corpus_id string, seq_id string, flat array<int>"),
+        *vocabulary.devices_and_actions(devices, actions),
+    )
+    assert checked.head().reasons == []
+
+
 def test_metric_documents(spark, tmp_path):
     for folder, variant, score in (("fr_st/seed1/a", "zero_target_full", 0.5), ("diagnostics/a", "zero_target_full", 0.1), ("x_beta0", "zero_target_full", 0.2)):
         write(tmp_path / folder / "normalized_metrics.json", json.dumps({"dataset": "fr", "scenario": "st", "seed": 1, "variant": variant, "f1": score, "threshold": None, "used_causal_tof": True}, indent=2))

@@ -2,13 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from habitloom.llm import pack, shard, vafile
+from habitloom.llm import mixing, pack, secret_scan, shard, vafile
+from habitloom.llm.common import words
 
 QUERIES, ORACLES = {}, {}
 N_SHARDS = 24
 SEQUENCE_LENGTH = 4096
 END_ID = 2
 NEIGHBOURS = 5
+# A value that more sources than these hold is a copied example.
+MAX_OWNERS = 3
+MAX_REPETITION = 2
+MIX_SEED = "mix"
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,6 +36,39 @@ def query(oracle: str | None = None):
     return register
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
+found AS (
+  SELECT *, string_split_regex(t, re) AS gaps, regexp_extract_all(t, re, 0) AS hits, regexp_extract_all(t, re, grp) AS vals
+  FROM d, (VALUES
+    (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+    (1, 'access', 'AKIA[A-Z0-9]+', 0, 20), (2, 'hex', '[0-9a-f]+', 0, 24), (3, 'owned', '[A-Za-z0-9_-]+', 0, 20)
+  ) k(rank, kind, re, grp, least)),
+spots AS (
+  SELECT doc_id, source, rank, kind, least, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM found),
+spans AS (
+  SELECT doc_id, source, rank, kind, vals[i] AS value,
+    CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS BIGINT) AS a,
+    a + length(hits[i]) AS b
+  FROM spots WHERE length(vals[i]) >= least AND (rank < 3
+    OR regexp_matches(vals[i], '[0-9]') AND regexp_matches(vals[i], '[A-Z]') AND regexp_matches(vals[i], '[a-z]'))),
+candidates AS (
+  SELECT * FROM spans s WHERE rank < 3 OR NOT EXISTS (
+    SELECT 1 FROM spans o WHERE o.doc_id = s.doc_id AND o.rank < 3 AND o.a < s.b AND s.a < o.b)),
+live AS (SELECT value FROM candidates GROUP BY value HAVING count(DISTINCT coalesce(source, '(none)')) <= 3),
+judged AS (SELECT c.*, l.value IS NOT NULL AS is_live FROM candidates c LEFT JOIN live l USING (value)),
+kept AS (SELECT *, kind || ':' || a || ':' || b AS span FROM judged WHERE rank < 3 OR is_live)
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+  count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY a, rank), '') AS spans,
+  count(*) FILTER (kind = 'owned') AS n_owned, count(*) FILTER (is_live) AS n_live
+FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+""")
+def op3_ownership_frequency(spark, sf_dir):
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "source", MAX_OWNERS))
+
+
 @query()
 def op4_concatenate_and_cut(spark, sf_dir):
     pieces = pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, SEQUENCE_LENGTH)
@@ -76,3 +114,46 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op9_vector_approximation_files(spark, sf_dir):
     vectors = vafile.scaled_vectors(table(spark, sf_dir, "embeddings"))
     return vafile.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), NEIGHBOURS)
+
+
+def n_words(text="text"):
+    return F.size(words(F.col(text))).cast("bigint")
+
+
+@query(r"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+sums AS (SELECT source, CAST(sum(n) AS BIGINT) AS tokens FROM r GROUP BY source),
+shares AS (SELECT *, tokens / sum(tokens) OVER () AS share FROM sums),
+spread AS (SELECT min(share) / max(share) AS ratio FROM shares WHERE share > 0),
+bisection AS (
+  SELECT 0 AS step, CAST(0 AS DOUBLE) AS low, CAST(1 AS DOUBLE) AS high
+  UNION ALL
+  SELECT step + 1, CASE WHEN pow(ratio, (low + high) / 2 - 1) <= 2 THEN low ELSE (low + high) / 2 END,
+    CASE WHEN pow(ratio, (low + high) / 2 - 1) <= 2 THEN (low + high) / 2 ELSE high END
+  FROM bisection, spread WHERE step < 60),
+raised AS (
+  SELECT source, tokens, CASE WHEN share > 0 THEN pow(share, high) ELSE 0 END AS raised FROM shares, bisection WHERE step = 60),
+weights AS (SELECT *, raised / sum(raised) OVER () AS weight FROM raised),
+quotas AS (
+  SELECT source, tokens, weight, CASE WHEN weight > 0 THEN greatest(round(weight * max(tokens / weight) FILTER (weight > 0) OVER (), 3), tokens) ELSE tokens END AS quota
+  FROM weights),
+epochs AS (
+  SELECT *, CAST(CASE WHEN tokens > 0 THEN floor(quota / tokens) ELSE 1 END AS INTEGER) AS epochs,
+    round(quota - CASE WHEN tokens > 0 THEN floor(quota / tokens) ELSE 1 END * tokens, 3) AS rest FROM quotas),
+keyed AS (
+  SELECT r.doc_id, r.source, n, epochs, rest, weight, md5('mix:' || epochs || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+  FROM r JOIN epochs e ON r.source IS NOT DISTINCT FROM e.source),
+cut AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY source ORDER BY key RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) < rest AS extra
+  FROM keyed),
+begun AS (SELECT *, epochs + CAST(max(CAST(extra AS INTEGER)) OVER (PARTITION BY source) AS INTEGER) AS begun FROM cut),
+taken AS (SELECT *, CAST(unnest(range(epochs + CAST(extra AS INTEGER))) AS INTEGER) AS epoch FROM begun)
+SELECT doc_id, source, epoch,
+  (epoch + CAST('0x' || md5('mix:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null'))[1:12] AS BIGINT) / CAST(281474976710656 AS DOUBLE)) / begun AS place,
+  round(weight, 9) AS weight
+FROM taken
+""")
+def op10_temperature_mixing(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), n_words(), "repetition", MAX_REPETITION, None, MIX_SEED)
+    return mixed.select("doc_id", "source", "epoch", "place", F.round("weight", 9).alias("weight"))

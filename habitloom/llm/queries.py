@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from habitloom.llm import mixing, pack, secret_scan, shard, vafile
+from habitloom.llm import mixing, pack, quality, secret_scan, shard, vafile
 from habitloom.llm.common import words
 
 QUERIES, ORACLES = {}, {}
@@ -36,6 +36,51 @@ def query(oracle: str | None = None):
     return register
 
 
+def _limit(measure, floor):
+    low, high = f"quantile_disc({measure}, 0.25)", f"quantile_disc({measure}, 0.75)"
+    spread = f"3.0 * greatest({high} - {low}, {floor})"
+    return f"CASE WHEN count(*) >= 20 THEN {high} + {spread} END AS {measure}_high, CASE WHEN count(*) >= 20 THEN {low} - {spread} END AS {measure}_low"
+
+
+_LIMITS = ", ".join(_limit(*m) for m in quality.LEAST_SPREAD.items())
+
+
+def _beyond(measure):
+    high = f"coalesce({measure} > coalesce(o.{measure}_high, l.{measure}_high, e.{measure}_high), false)"
+    low = f"coalesce({measure} < coalesce(o.{measure}_low, l.{measure}_low, e.{measure}_low), false)"
+    return f"({high} OR {low})" if measure in quality.TWO_SIDED else high
+
+
+# Groups of up to 4,096 documents have exact sketches.
+@query(r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(3) r(k) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines
+  FROM d JOIN l USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+m AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN n_symbols / n_words END AS symbol_ratio, CASE WHEN n_words > 0 THEN n_repeat_words / n_words END AS repeat_ratio,
+    CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines END AS dup_line_ratio, CASE WHEN n_words > 0 THEN word_chars / n_words END AS mean_word_chars
+  FROM counted),
+o AS (SELECT lang, source, """ + _LIMITS + """ FROM m WHERE NOT base_failed GROUP BY lang, source),
+l2 AS (SELECT lang, """ + _LIMITS + """ FROM m WHERE NOT base_failed GROUP BY lang),
+e AS (SELECT """ + _LIMITS + """ FROM m WHERE NOT base_failed)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (""" + " OR ".join(_beyond(m) for m in quality.LEAST_SPREAD) + """) AS kept
+FROM m LEFT JOIN o ON m.lang IS NOT DISTINCT FROM o.lang AND m.source IS NOT DISTINCT FROM o.source
+  LEFT JOIN l2 l ON m.lang IS NOT DISTINCT FROM l.lang, e
+""")
+def op2_sketched_thresholds(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source FROM documents),
 found AS (

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from habitloom.llm import mixing, pack, quality, secret_scan, shard, vafile
+from habitloom.llm import mixing, pack, quality, secret_scan, shard, simhash, vafile
 from habitloom.llm.common import words
 
 QUERIES, ORACLES = {}, {}
@@ -144,6 +144,13 @@ def op5_byte_balanced_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query()
+def op6_tiled_simhash(spark, sf_dir):
+    found = simhash.classes(table(spark, sf_dir, "documents"), radius=4, shingle=4, seed=42)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
+
+
 @query("""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

@@ -2,11 +2,12 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from habitloom.llm import mixing, pack, quality, secret_scan, shard, simhash, vafile
+from habitloom.llm import mixing, pack, quality, secret_scan, shard, simhash, substring, vafile
 from habitloom.llm.common import words
 
 QUERIES, ORACLES = {}, {}
 N_SHARDS = 24
+WINDOW_WORDS = 13
 SEQUENCE_LENGTH = 4096
 END_ID = 2
 NEIGHBOURS = 5
@@ -114,6 +115,23 @@ def op3_ownership_frequency(spark, sf_dir):
     return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "source", MAX_OWNERS))
 
 
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY t) < doc_id),
+removed AS (SELECT DISTINCT doc_id, i + k AS i FROM repeated, range(13) r(k)),
+places AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM places ANTI JOIN removed USING (doc_id, i) GROUP BY doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op1_recompression(spark, sf_dir):
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), WINDOW_WORDS).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_concatenate_and_cut(spark, sf_dir):
     pieces = pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, SEQUENCE_LENGTH)

@@ -1,9 +1,12 @@
 """The corpus operators as registered queries, with production parameters, and their SQL."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from habitloom.llm import mixing, pack, quality, secret_scan, shard, simhash, substring, vafile
+from habitloom.llm import langid, mixing, pack, quality, rollup, secret_scan, shard, simhash, substring, vafile
 from habitloom.llm.common import words
+from habitloom.session import shared_folder
 
 QUERIES, ORACLES = {}, {}
 N_SHARDS = 24
@@ -14,6 +17,8 @@ NEIGHBOURS = 5
 # A value that more sources than these hold is a copied example.
 MAX_OWNERS = 3
 MAX_REPETITION = 2
+# Labelled rows per language that language models are fitted on.
+FIT_ROWS = 4000
 MIX_SEED = "mix"
 
 
@@ -169,6 +174,30 @@ def op6_tiled_simhash(spark, sf_dir):
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
+@query()
+def op7_delta_rollups(spark, sf_dir):
+    """Load all documents, revise every count by its end id, retire later copies; the revision is committed twice."""
+    counts = rollup.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), "word_bpe_49k")
+    store = f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}"
+    with_end = counts.withColumn("n_tokens", F.col("n_tokens") + 1)
+    rollup.commit(store, "load", rollup.inserted(counts))
+    rollup.commit(store, "revise", rollup.revised(counts, with_end))
+    rollup.commit(store, "retire", rollup.deleted(rollup.later_copies(with_end)))
+    rollup.commit(store, "revise", rollup.revised(counts, with_end))
+    return rollup.totals(spark, store)
+
+
+def fitted_languages(docs):
+    return langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), langid.vocabulary(tokenizer_path("piece_bpe_32k.model")), FIT_ROWS)
+
+
+@query()
+def op8_marginal_unigrams(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs.select("doc_id", "text"), fitted_languages(docs)).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query("""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings

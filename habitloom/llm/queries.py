@@ -171,7 +171,7 @@ def op5_byte_balanced_shards(spark, sf_dir):
 def op6_tiled_simhash(spark, sf_dir):
     found = simhash.classes(table(spark, sf_dir, "documents"), radius=4, shingle=4, seed=42)
     return found.select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
+        "doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("component.doc_id").alias("component_id"))
 
 
 @query()

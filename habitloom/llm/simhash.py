@@ -1,5 +1,7 @@
 """Near-duplicates by SimHash, all fingerprints compared exactly in tiles."""
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,8 +21,28 @@ BLOCKS = (0, 16, 32, 48)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
-    """SimHash of a UTF-8 text as an unsigned number.
+def radius_for(similarity: float, bits: int) -> int:
+    """Bits within which fingerprints of texts with this share of common shingles lie, but for one pair in forty.
+
+    The share gives the cosine of the shingle counts, its angle the chance
+    that a bit differs; the allowance is two standard deviations.
+    """
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * chance + 2 * math.sqrt(bits * chance * (1 - chance)))
+
+
+def _spread(hashes, word):
+    """Independent further 64-bit hashes from given ones; the first word's are the given ones."""
+    if not word:
+        return hashes
+    x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, shingle: int, seed: int, size: int = 1) -> bytes:
+    """SimHash of a UTF-8 text in ``size`` words of 64 bits, greatest bit first.
 
     A-Z are lowered; words are runs of anything but ASCII white space; each
     shingle of ``shingle`` words joined by a space is hashed by XXH64, repeats
@@ -29,7 +51,7 @@ def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
     """
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return bytes(8 * size)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -37,54 +59,64 @@ def fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
         starts, ends = starts[:len(words) - shingle + 1], ends[shingle - 1:]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
+    digest, counts = xxhash.xxh64_digest, np.zeros((size, 64), dtype=np.int64)
     for at in range(0, len(starts), CHUNK):
-        hashes = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at:at + CHUNK].tolist(), ends[at:at + CHUNK].tolist(), strict=True)])
-        counts += np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(starts)).tobytes(), "big")
+        raw = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at:at + CHUNK].tolist(), ends[at:at + CHUNK].tolist(), strict=True)])
+        hashes = np.frombuffer(raw, ">u8").astype(np.uint64)
+        for word in range(size):
+            bits = np.unpackbits(_spread(hashes, word).astype(">u8").view(np.uint8))
+            counts[word] += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts.ravel() > len(starts)).tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, digest, fp)``: a row per row of ``(doc_id, text)``, fingerprints as signed longs, written once.
+def fingerprints(docs: DataFrame, shingle: int, seed: int, size: int) -> DataFrame:
+    """``(doc_id, digest, fp)``: a row per row of ``(doc_id, text)``, written once.
 
     ``digest`` tells rows of one ``doc_id`` apart.
     """
     def compute(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle, seed) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], names=["doc_id", "digest", "fp"])
+            fps = [fingerprint(t.as_py(), shingle, seed, size) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], names=["doc_id", "digest", "fp"])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
-    return materialize(rows.mapInArrow(compute, "doc_id bigint, digest bigint, fp bigint"), "simhash-rows")
+    return materialize(rows.mapInArrow(compute, "doc_id bigint, digest bigint, fp binary"), "simhash-rows")
+
+
+def _array(fps: bytes, size: int):
+    """Fingerprints end to end as a table of 64-bit words."""
+    return np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, size)
 
 
-def _tiles(fps: DataFrame) -> DataFrame:
-    """Distinct fingerprints in tiles, ordered by population count, in whole and by 16-bit blocks.
+def _tiles(fps: DataFrame, size: int) -> DataFrame:
+    """Distinct fingerprints in tiles, ordered by population count of the first word, in whole and by 16-bit blocks.
 
     A tile carries the least and greatest of these counts.
     """
-    block = lambda shift: F.bit_count(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(0xFFFF)))
-    order = [F.bit_count("fp"), *[block(shift) for shift in BLOCKS[:-1]], F.col("fp")]
-    dealt = fps.repartitionByRange(*order).sortWithinPartitions(*order)
+    first = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("bigint")
+    block = lambda shift: F.bit_count(F.shiftrightunsigned("first", shift).bitwiseAND(F.lit(0xFFFF)))
+    order = [F.bit_count("first"), *[block(shift) for shift in BLOCKS[:-1]], F.col("fp")]
+    dealt = fps.select("fp", first.alias("first")).repartitionByRange(*order).sortWithinPartitions(*order).select("fp")
 
     def cut(batches):
-        held = np.zeros(0, dtype=np.uint64)
+        held = []
         for batch in batches:
-            held = np.concatenate([held, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
+            held += batch.column(0).to_pylist()
             while len(held) >= TILE:
                 yield tile(held[:TILE])
                 held = held[TILE:]
-        if len(held):
+        if held:
             yield tile(held)
 
     def tile(fps):
-        counts = [np.bitwise_count(fps), *[np.bitwise_count((fps >> np.uint64(s)) & np.uint64(0xFFFF)) for s in BLOCKS]]
+        raw = b"".join(fps)
+        first = _array(raw, size)[:, 0]
+        counts = [np.bitwise_count(first), *[np.bitwise_count((first >> np.uint64(s)) & np.uint64(0xFFFF)) for s in BLOCKS]]
         return pa.RecordBatch.from_pylist([{
-            "tile": int(fps[:1].view(np.int64)[0]), "least": [int(c.min()) for c in counts], "most": [int(c.max()) for c in counts], "fps": fps.tobytes(),
-        }], schema=pa.schema([("tile", pa.int64()), ("least", pa.list_(pa.int32())), ("most", pa.list_(pa.int32())), ("fps", pa.binary())]))
+            "tile": fps[0], "least": [int(c.min()) for c in counts], "most": [int(c.max()) for c in counts], "fps": raw,
+        }], schema=pa.schema([("tile", pa.binary()), ("least", pa.list_(pa.int32())), ("most", pa.list_(pa.int32())), ("fps", pa.binary())]))
 
-    return materialize(dealt.mapInArrow(cut, "tile bigint, least array<int>, most array<int>, fps binary"), "simhash-tiles")
+    return materialize(dealt.mapInArrow(cut, "tile binary, least array<int>, most array<int>, fps binary"), "simhash-tiles")
 
 
 def _pairs(tiles: DataFrame, radius: int) -> DataFrame:
@@ -119,43 +151,47 @@ def _thin(u, v, n):
     return nodes, label[nodes]
 
 
-def tile_links(a, b, same: bool, radius: int):
+def tile_links(a, b, same: bool, radius: int, first_radius: int):
     """Links between the fingerprints of two tiles, thinned to a forest: indices into ``a`` followed by ``b``.
 
     Both are sorted by population count, so each few rows of ``a`` meet only
-    the stretch of ``b`` whose counts are near enough. Of a dense group no
-    more than a link per fingerprint is kept; its component stays the same.
+    the stretch of ``b`` whose counts are near enough. First words are all
+    compared; where there are more, pairs within ``first_radius`` are compared
+    in whole. Of a dense group no more than a link per fingerprint is kept;
+    its component stays the same.
     """
-    ones_a, ones_b = np.bitwise_count(a).astype(int), np.bitwise_count(b).astype(int)
+    ones_a, ones_b = np.bitwise_count(a[:, 0]).astype(int), np.bitwise_count(b[:, 0]).astype(int)
+    first_b = np.ascontiguousarray(b[:, 0])
     n, shift = (len(a), 0) if same else (len(a) + len(b), len(a))
-    u, v = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    held, size = [], 0
+    held, size = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))], 0
     for at in range(0, len(a), ROWS):
         rows = a[at:at + ROWS]
-        first = np.searchsorted(ones_b, ones_a[at] - radius, "left")
-        last = np.searchsorted(ones_b, ones_a[at + len(rows) - 1] + radius, "right")
+        first = np.searchsorted(ones_b, ones_a[at] - first_radius, "left")
+        last = np.searchsorted(ones_b, ones_a[at + len(rows) - 1] + first_radius, "right")
         if same:
             first = max(first, at)
-        near = np.bitwise_count(rows[:, None] ^ b[first:last]) <= radius
+        near = np.bitwise_count(rows[:, :1] ^ first_b[first:last]) <= first_radius
         if same:
             near[np.arange(len(rows)), np.arange(len(rows)) + at - first] = False
         if near.any():
             i, j = np.nonzero(near)
+            if a.shape[1] > 1:
+                close = np.bitwise_count(rows[i] ^ b[j + first]).sum(axis=1) <= radius
+                i, j = i[close], j[close]
             held.append((i + at, j + first + shift))
             size += len(i)
             if size > HELD:
-                u, v = _thin(np.concatenate([u, *[h[0] for h in held]]), np.concatenate([v, *[h[1] for h in held]]), n)
-                held, size = [], 0
-    return _thin(np.concatenate([u, *[h[0] for h in held]]), np.concatenate([v, *[h[1] for h in held]]), n)
+                held, size = [_thin(*map(np.concatenate, zip(*held, strict=True)), n)], 0
+    return _thin(*map(np.concatenate, zip(*held, strict=True)), n)
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
+def links(fps: DataFrame, radius: int, size: int, first_radius: int) -> DataFrame:
     """``(a, b)``: links of distinct fingerprints ``fp`` within ``radius`` bits, a forest per pair of tiles.
 
     Every pair of tiles that the counts can't tell apart is compared in whole.
     """
-    tiles = _tiles(fps)
-    pairs = materialize(_pairs(tiles, radius), "simhash-pairs")
+    tiles = _tiles(fps, size)
+    pairs = materialize(_pairs(tiles, first_radius), "simhash-pairs")
     blob = lambda x: tiles.select(F.col("tile").alias(x), F.col("fps").alias(f"{x}_fps"))
     # Comparing takes far longer than reading, so pairs are dealt out by number, not by bytes.
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -164,40 +200,44 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     def compare(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                a, b = np.frombuffer(row["a_fps"], np.uint64), np.frombuffer(row["b_fps"], np.uint64)
                 same = row["a"] == row["b"]
-                u, v = tile_links(a, b, same, radius)
-                nodes = (a if same else np.concatenate([a, b])).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[v]), pa.array(nodes[u])], names=["a", "b"])
+                u, v = tile_links(_array(row["a_fps"], size), _array(row["b_fps"], size), same, radius, first_radius)
+                nodes = row["a_fps"] if same else row["a_fps"] + row["b_fps"]
+                name = lambda k: pa.array([nodes[8 * size * i:8 * size * (i + 1)] for i in k.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([name(v), name(u)], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a bigint, b bigint")
+    return dealt.mapInArrow(compare, "a binary, b binary")
 
 
-def classes(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1, first_radius: int | None = None) -> DataFrame:
     """``(doc_id, digest, fp, component)`` per row of ``(doc_id, text)``.
 
     ``component`` is a struct ``(nameless, doc_id, digest)``: the first row of
     those reachable over fingerprints at most ``radius`` bits apart, by
     ``doc_id``, rows without one last. Equal fingerprints are collapsed before
     any comparison, so exact copies cost one row. Null and texts without words
-    have fingerprint zero and are linked like any other.
+    have fingerprint zero and are linked like any other. With more than one
+    word of 64 bits, a pair is only linked if the first words differ in
+    ``first_radius`` bits at most.
     """
-    rows = fingerprints(docs, shingle, seed)
+    rows = fingerprints(docs, shingle, seed, size)
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
     found = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-fingerprints")
-    roots = components(links(found.select("fp"), radius)).select(F.col("node").alias("fp"), "root")
+    linked = links(found.select("fp"), radius, size, radius if first_radius is None else first_radius)
+    roots = components(linked).select(F.col("node").alias("fp"), "root")
     rooted = materialize(found.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
     firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")), "simhash-firsts")
     members = materialize(rooted.join(firsts, "root").select("fp", "component"), "simhash-members")
     return rows.join(members, "fp").select("doc_id", "digest", "fp", "component")
 
 
-def deduplicate(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``docs`` with one row of each class: that with the least ``doc_id``.
+def deduplicate(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1, first_radius: int | None = None) -> DataFrame:
+    """``docs`` with one row of each class of ``classes``: that with the least ``doc_id``.
 
     Of equal rows one stays; all columns are kept.
     """
-    kept = materialize(classes(docs, radius, shingle, seed).select("component.doc_id", "component.digest").distinct(), "simhash-kept")
+    found = classes(docs, radius, shingle, seed, size, first_radius)
+    kept = materialize(found.select("component.doc_id", "component.digest").distinct(), "simhash-kept")
     joined = docs.withColumn("_digest", F.xxhash64("text")).alias("d").join(
         kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("_digest") == F.col("k.digest")), "left_semi")
     return joined.dropDuplicates(["doc_id", "_digest"]).drop("_digest")

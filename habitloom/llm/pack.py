@@ -6,7 +6,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from habitloom.llm.common import pick, running_offsets
-from habitloom.llm.wordpieces import WordPieces
+from habitloom.llm.wordpieces import word_pieces
 from habitloom.session import materialize
 
 STREAMS = "part int, doc_id bigint, start_in_part bigint, n_ids bigint, ids binary"
@@ -30,7 +30,7 @@ def token_streams(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFram
     ])
 
     def tokenize(batches):
-        pieces = WordPieces(tokenizer_path)
+        pieces = word_pieces(tokenizer_path)
         end = np.array([end_id], dtype=pieces.dtype).tobytes()
         part, start = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int) -> Data
     A null or empty text is the end id alone. Repeated rows are packed as often
     as they occur. Columns as in ``PIECES``.
     """
-    return concatenate_and_cut(token_streams(docs, tokenizer_path, end_id), length, WordPieces(tokenizer_path).dtype.itemsize)
+    return concatenate_and_cut(token_streams(docs, tokenizer_path, end_id), length, word_pieces(tokenizer_path).dtype.itemsize)
 
 
 def with_checksums(pieces: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from habitloom.llm.common import pick
-from habitloom.llm.wordpieces import WordPieces
+from habitloom.llm.wordpieces import word_pieces
 from habitloom.session import materialize
 
 GROUP = ("source", "lang", "version")
@@ -20,7 +20,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, version: str) -> DataFram
     schema = "doc_id bigint, digest string, source string, lang string, n_tokens bigint"
 
     def count(batches):
-        pieces = WordPieces(tokenizer_path)
+        pieces = word_pieces(tokenizer_path)
         for batch in batches:
             sizes = [len(pieces.encode(t.as_py())) // pieces.dtype.itemsize for t in batch.column(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64())], names=["doc_id", "digest", "source", "lang", "n_tokens"])

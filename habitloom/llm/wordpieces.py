@@ -1,5 +1,6 @@
 """Token ids of whole texts by a public tokenizer file, fast where words repeat."""
 
+import functools
 import os
 import re
 
@@ -10,8 +11,9 @@ import numpy as np
 # kind is left inside the chunks for the tokenizer to judge.
 _ODD_BLANKS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _BLANKS = re.compile("[ \t-\r]+")
-# A lower-case word of Latin-1 letters, and marks behind it: two separate pre-tokens.
-_PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,!?;:]*)")
+# A lower-case word of Latin-1 letters, and ASCII marks behind it: two separate pre-tokens.
+# An apostrophe may begin a contraction and is left to the tokenizer.
+_PLAIN = re.compile(r"([a-z\xdf-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)")
 # Beyond Latin-1, lower-casing a chunk may differ from the tokenizer's own rule.
 _LATIN = re.compile("[\x00-\xff]*")
 
@@ -24,7 +26,7 @@ class WordPieces:
     may hold a special token is encoded whole. ``cache`` bounds memory only.
     """
 
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -42,10 +44,11 @@ class WordPieces:
     def _encode_words(self, plain):
         """Ids of lower-case words: one call, cut behind each end-of-word piece."""
         ids = self._encode(" ".join(plain))
-        pieces = np.split(ids, np.flatnonzero(self._ends[ids]) + 1)[:-1]
-        if len(pieces) != len(plain):
-            return [self._encode(w) for w in plain]
-        return pieces
+        raw, size = ids.tobytes(), ids.itemsize
+        ends = (np.flatnonzero(self._ends[ids]) + 1) * size
+        if len(ends) != len(plain):
+            return [self._encode(w).tobytes() for w in plain]
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _learn(self, chunks):
         """Put the missing ``chunks`` into the young generation; its ids as bytes."""
@@ -53,12 +56,12 @@ class WordPieces:
         split = {c: m.groups() for c in chunks if (m := _PLAIN.fullmatch(c))}
         units = {u for pair in split.values() for u in pair if u}
         missing = [u for u in units if known(u) is None]
-        plain = [u for u in missing if u[0] not in ".,!?;:"]
+        plain = [u for u in missing if u.isalpha()]
         if plain:
             for word, ids in zip(plain, self._encode_words(plain), strict=True):
-                young[word] = ids.tobytes()
+                young[word] = ids
         for unit in missing:
-            if unit[0] in ".,!?;:":
+            if not unit.isalpha():
                 young[unit] = self._encode(unit).tobytes()
         for chunk in chunks:
             if chunk not in young:
@@ -86,3 +89,9 @@ class WordPieces:
         if missing:
             self._learn(missing)
         return b"".join([young[c] for c in chunks])
+
+
+@functools.lru_cache(maxsize=2)
+def word_pieces(path: str) -> WordPieces:
+    """The tokenizer of this process: a worker keeps it, and the words it has met, from task to task."""
+    return WordPieces(path)

@@ -155,7 +155,7 @@ sized AS (
       lambda c, b: xor(l[CAST(xor(c, b) & 255 AS INT) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) END AS text_crc32
   FROM documents, lookup),
 summed AS (
-  SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS start,
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS start,
     sum(size) OVER () AS total FROM sized),
 placed AS (SELECT *, CAST((2 * start + size) * 24 // (2 * total) AS INTEGER) AS shard FROM summed)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,

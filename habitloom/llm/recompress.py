@@ -126,6 +126,8 @@ class Words:
 
     def stretches(self) -> np.ndarray:
         """Digest of the words under all windows of each anchor."""
+        if not len(self.anchors):
+            return np.zeros(0, np.uint64)
         first = self.windows[self.anchors]
         last = self.windows[np.concatenate([self.anchors[1:], [len(self.windows)]]) - 1] + self.window - 1
         joined, digest = self.joined, xxhash.xxh3_64_intdigest

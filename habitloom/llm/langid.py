@@ -1,6 +1,7 @@
 """Language of a text by unigram pieces, summed over all segmentations."""
 
 import dataclasses
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +12,12 @@ from habitloom.session import materialize
 
 # Letters of a stretch that is segmented as one; longer runs of letters are cut into such stretches.
 STRETCH = 24
-# Pieces of the vocabulary are no longer than this.
+# Longer pieces of the vocabulary are left out.
 PIECE = 16
 # Probability of a letter by itself where no piece of the vocabulary holds it.
 UNKNOWN = 1e-7
 WORDS_AT_ONCE = 4096
+TEXTS_AT_ONCE = 64
 
 
 @dataclasses.dataclass(frozen=True)
@@ -46,24 +48,34 @@ def stretches(word: str) -> list[str]:
     return [marked[i:i + STRETCH] for i in range(0, len(marked), STRETCH)]
 
 
+class _Pieces:
+    """Place of each piece in the vocabulary; -1 for texts that only begin a piece."""
+
+    def __init__(self, pieces):
+        self.unknown = len(pieces)
+        self.places = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+        self.places.update({p: i for i, p in enumerate(pieces)})
+
+
 class _Lattice:
     """All segmentations of some stretches: for each start, which piece leads from it to which end."""
 
-    def __init__(self, texts, index):
-        unknown = len(index)
-        found = [], [], [], []
+    def __init__(self, texts, pieces):
+        unknown, get, found = pieces.unknown, pieces.places.get, []
         for w, text in enumerate(texts):
             n = len(text)
             for i in range(n):
-                for k in range(1, min(PIECE, n - i) + 1):
-                    piece = index.get(text[i:i + k])
-                    if piece is None:
-                        if k > 1:
-                            continue
-                        piece = unknown
-                    for column, value in zip(found, (w, i, k, piece)):
-                        column.append(value)
-        word, start, size, piece = (np.array(c, dtype=np.int64) for c in found)
+                alone = True
+                for end in range(i + 1, n + 1):
+                    piece = get(text[i:end])
+                    if piece is None:  # no piece begins like this
+                        break
+                    if piece >= 0:
+                        found += w, i, end - i, piece
+                        alone = alone and end > i + 1
+                if alone:
+                    found += w, i, 1, unknown
+        word, start, size, piece = np.array(found, dtype=np.int64).reshape(-1, 4).T
         order = np.argsort(start, kind="stable")
         self.word, self.start, self.piece = word[order], start[order], piece[order]
         self.end = self.start + size[order]
@@ -109,7 +121,7 @@ def fit(docs: DataFrame, pieces: tuple[str, ...], rows_per_language: int, iterat
     counts = materialize(sample.select("lang", F.explode(F.split(letters(F.col("text")), " ")).alias("word")).where("word <> ''")
                          .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "langid-words")
     languages = tuple(sorted(r.lang for r in sizes.collect()))
-    index = {p: i for i, p in enumerate(pieces)}
+    index = _Pieces(pieces)
     column = {name: i for i, name in enumerate(languages)}
     uniform = np.full((len(pieces) + 1, len(languages)), 1 / max(1, len(pieces)))
     uniform[-1] = UNKNOWN
@@ -147,9 +159,9 @@ def fit(docs: DataFrame, pieces: tuple[str, ...], rows_per_language: int, iterat
 class _Scorer:
     """Logarithms of word probabilities per language, kept for words met before; ``cache`` bounds memory only."""
 
-    def __init__(self, model: Model, cache: int = 200_000):
+    def __init__(self, model: Model, cache: int = 600_000):
         self.model, self.cache = model, cache
-        self.index = {p: i for i, p in enumerate(model.pieces)}
+        self.index = _Pieces(model.pieces)
         self.clear()
 
     def clear(self):
@@ -170,22 +182,32 @@ class _Scorer:
             while self.size + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[self.size:self.size + len(part)] = rows
-            for i, word in enumerate(part):
-                self.known[word] = self.size + i
+            self.known.update(zip(part, range(self.size, self.size + len(part))))
             self.size += len(part)
 
-    def scores(self, text: str):
-        """Log-probability of a text of blank-separated letter runs, per language; None without letters."""
-        words = text.split(" ") if text else []
-        if not words:
-            return None
+    def scores(self, texts: list[list[str]]) -> list:
+        """Log-probability of each text, given as its letter runs, per language; None without any."""
         if len(self.known) > self.cache:
             self.clear()
-        known = self.known
-        missing = list({w for w in words if w not in known})
+        get, places = self.known.get, []
+        for words in texts:
+            places.append(list(map(get, words)))
+        missing = {w for words, at in zip(texts, places, strict=True) if None in at for w, p in zip(words, at, strict=True) if p is None}
         if missing:
-            self.learn(missing)
-        return self.table[[known[w] for w in words]].sum(axis=0)
+            self.learn(sorted(missing, key=len))
+            places = [list(map(get, words)) if None in at else at for words, at in zip(texts, places, strict=True)]
+        return [self.table[at].sum(axis=0) if at else None for at in places]
+
+
+_scorers = {}
+
+
+def _scorer(name, model):
+    """The scorer of this process: a worker keeps that of one model, and the words it has met, from task to task."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = _Scorer(model)
+    return _scorers[name]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -204,19 +226,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     fields = inner.select(*kept).schema
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
+    name = uuid.uuid4().hex
+
     def classify(batches):
-        scorer = _Scorer(model)
+        scorer = _scorer(name, model)
         for batch in batches:
             names, scores = [], []
-            for text in batch.column(batch.num_columns - 1):
-                logs = scorer.scores(text.as_py()) if model.languages else None
-                if logs is None:
-                    names.append("und")
-                    scores.append(0.0)
-                else:
-                    best = int(np.argmax(logs))
-                    names.append(model.languages[best])
-                    scores.append(float(1 / np.exp(logs - logs[best]).sum()))
+            texts = batch.column(batch.num_columns - 1)
+            for start in range(0, len(texts), TEXTS_AT_ONCE):
+                words = [t.split() for t in texts.slice(start, TEXTS_AT_ONCE).to_pylist()]
+                for logs in scorer.scores(words) if model.languages else [None] * len(words):
+                    best = 0 if logs is None else int(np.argmax(logs))
+                    names.append("und" if logs is None else model.languages[best])
+                    scores.append(0.0 if logs is None else float(1 / np.exp(logs - logs[best]).sum()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"])

@@ -187,7 +187,7 @@ def test_forward_sum_is_over_all_segmentations():
         out = sum(p[i, 0] * total(text[len(x):]) for i, x in enumerate(pieces) if text.startswith(x))
         return out + (1e-7 * total(text[1:]) if text[0] not in pieces else 0)
 
-    index = {x: i for i, x in enumerate(pieces)}
+    index = langid._Pieces(pieces)
     words = ["▁", "▁a", "▁abab", "▁bxa", "ab"]
     lattice = langid._Lattice(words, index)
     np.testing.assert_allclose(lattice.totals(lattice.forward(p[lattice.piece]))[:, 0], [total(w) for w in words])

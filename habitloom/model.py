@@ -2,11 +2,11 @@
 
 The canonical table holds one event per row::
 
-    corpus_id, seq_id, pos, day, hour_slot, device_id, action_id [, is_long]
+    corpus_id, seq_id, pos, day, hour_slot, device_id, action_id
 
 ``(corpus_id, seq_id)`` names a sequence and ``pos`` runs 0..n-1 inside it.
-``is_long`` is there only if some sequence is too large for one task; it marks
-those (see ``operators.sequences``).
+The flat form holds the same as integer lists; ``start`` is the position of a
+row's first event, as a sequence may go on in several rows.
 """
 
 from pyspark.sql import types as T
@@ -22,14 +22,10 @@ PADDED_LENGTH = 40
 SEQ = ("corpus_id", "seq_id")
 EVENT_COLUMNS = ("corpus_id", "seq_id", "pos", "day", "hour_slot", "device_id", "action_id")
 
-# Sequences above this many events are split over several tasks, in pieces of
-# PART_EVENTS positions. Both only change how work is spread, never a result.
-LONG_SEQUENCE_EVENTS = 1_000_000
-PART_EVENTS = 20_000
-
 CORPUS_SCHEMA = T.StructType([
     T.StructField("corpus_id", T.StringType()),
     T.StructField("seq_id", T.StringType()),
+    T.StructField("start", T.IntegerType()),
     T.StructField("flat", T.ArrayType(T.IntegerType())),
 ])
 

@@ -197,8 +197,12 @@ def top_successors(events: DataFrame, k=5) -> DataFrame:
 
 
 def length_histogram(corpus: DataFrame) -> DataFrame:
-    """``(corpus_id, length, n)`` over flat list lengths of ``(corpus_id, seq_id, flat)`` rows."""
-    return corpus.groupBy("corpus_id", F.size("flat").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    """``(corpus_id, length, n)`` over flat list lengths per sequence of ``(corpus_id, seq_id, flat)`` rows."""
+    if "start" in corpus.columns:
+        corpus = corpus.groupBy(*SEQ).agg(F.sum(F.size("flat")).cast("int").alias("length"))
+    else:
+        corpus = corpus.select("corpus_id", F.size("flat").alias("length"))
+    return corpus.groupBy("corpus_id", "length").agg(F.count(F.lit(1)).alias("n"))
 
 
 def event_length_histogram(events: DataFrame) -> DataFrame:

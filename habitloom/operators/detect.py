@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from habitloom.functions.columns import ratio_or_zero
-from habitloom.model import SEQ
+from habitloom.model import EVENT_COLUMNS, SEQ
 from habitloom.operators.ranking import exact_percentiles
 from habitloom.operators.sequences import with_neighbour
 from habitloom.session import materialize
@@ -31,14 +31,20 @@ FILTER_TAG_BY_CELL = {
     ("us", "spring"): "0.905", ("us", "night"): "0.919", ("us", "multiple"): "0.913",
 }
 
-START = -1
+# Context of a first event: no id can be this, whereas -1 is an unknown one.
+START = -(2**31)
+# Field of a detector that reads whole events.
+FLAT = "flat"
 
 
 @dataclass(frozen=True)
 class Detector:
     """What one detector reads and how many different tokens there are.
 
-    With ``whole_corpus`` it trains and validates on all sequences instead of a split.
+    ``field`` is an event column, or ``flat`` for all four of them in their
+    order. With ``whole_corpus`` it trains and validates on all sequences
+    instead of a split; with ``max_tokens`` it reads that many tokens of a
+    sequence (40 in the reference filter) and no more.
     """
 
     env: str
@@ -46,6 +52,7 @@ class Detector:
     vocab_size: int
     percentile: float = 95.0
     whole_corpus: bool = False
+    max_tokens: int | None = None
 
     def __post_init__(self):
         if not 0.0 <= self.percentile <= 100.0:
@@ -74,18 +81,24 @@ def token_steps(events: DataFrame, detectors, keep=()) -> DataFrame:
     once, then each event gives one row per detector. Padding never appears, as
     a sequence has rows only for its events.
     """
-    fields = sorted({d.field for d in detectors})
+    fields = sorted({f for d in detectors for f in ([EVENT_COLUMNS[-1]] if d.field == FLAT else [d.field])})
     rows = with_neighbour(events, -1, **{f"_prev_{field}": field for field in fields})
-    tokens = F.array(*[
-        F.struct(
-            F.lit(d.env).alias("env"),
-            F.coalesce(F.col(f"_prev_{d.field}"), F.lit(START)).alias("prev"),
-            F.col(d.field).alias("token"),
-            F.lit(d.vocab_size).alias("vocab_size"),
+
+    def step(detector, place, before, token):
+        return F.struct(
+            F.lit(detector.env).alias("env"), F.coalesce(before, F.lit(START)).alias("prev"), F.col(token).alias("token"),
+            F.lit(detector.vocab_size).alias("vocab_size"), place.cast("int").alias("pos"),
         )
-        for d in detectors
-    ])
-    return rows.select(*SEQ, "pos", *keep, F.explode(tokens).alias("_t")).select("_t.*", *SEQ, "pos", *keep)
+
+    steps = []
+    for d in detectors:
+        names = EVENT_COLUMNS[3:] if d.field == FLAT else (d.field,)
+        for i, name in enumerate(names):
+            before = F.col(names[i - 1]) if i else F.col(f"_prev_{names[-1]}")
+            place = F.col("pos") * len(names) + i
+            made = step(d, place, before, name)
+            steps.append(made if d.max_tokens is None else F.when(place < d.max_tokens, made))
+    return rows.select(*SEQ, *keep, F.explode(F.array_compact(F.array(*steps))).alias("_t")).select("_t.*", *SEQ, *keep)
 
 
 def fit_markov(steps: DataFrame) -> MarkovModel:

@@ -63,8 +63,8 @@ def with_names(edges: DataFrame, names: DataFrame = None) -> DataFrame:
     return edges
 
 
-def top_edges(matrix: DataFrame, k=20, min_weight=None, include_self=False, weight="weight") -> DataFrame:
-    """The ``k`` heaviest positive edges, ties by ``(source, target)``; all of them if ``k`` is 0."""
+def top_edges(matrix: DataFrame, k=None, min_weight=None, include_self=False, weight="weight") -> DataFrame:
+    """The ``k`` heaviest positive edges, ties by ``(source, target)``; all of them if ``k`` is None or 0."""
     kept = matrix.where(F.col(weight) > 0)
     if not include_self:
         kept = kept.where(F.col("source") != F.col("target"))
@@ -260,13 +260,14 @@ def _strongest_per_pair(causal):
 
 def fuse_edges(
     transitions: DataFrame, causal: DataFrame, *, lambda_causal=1.0, mode="multiplicative",
-    add_causal_edges=False, top_k=50,
+    add_causal_edges=False, top_k=None,
 ) -> DataFrame:
     """Score transition edges together with influence edges.
 
     Both sides are divided by their maximum. Additive: ``t + lambda * c``.
     Multiplicative: ``t * (1 + lambda * c)``, and ``lambda * c`` for an
-    influence edge without a transition.
+    influence edge without a transition. All edges come back unless ``top_k``
+    is given.
     """
     if mode not in FUSION_MODES:
         raise ValueError(f"mode must be one of {FUSION_MODES}")

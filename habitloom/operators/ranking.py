@@ -18,8 +18,9 @@ def uniform_bucket(value):
 
 
 def log_bucket(value):
-    """65,536 buckets for a positive number: 1,024 per factor of two."""
-    return F.floor(F.least(F.greatest(F.log2(value), F.lit(-32.0)), F.lit(31.999)) * 1024).cast("int")
+    """1,024 buckets per factor of two, over the whole range of positive numbers; one more on either side."""
+    exact = F.floor(F.log2(value) * 1024).cast("int")
+    return F.when(value <= 0, F.lit(-(2**30))).when(value == float("inf"), F.lit(2**30)).otherwise(exact)
 
 
 def smallest_cutoff(rows: DataFrame, key: list, bucket, count, error="not enough rows") -> DataFrame:
@@ -29,7 +30,7 @@ def smallest_cutoff(rows: DataFrame, key: list, bucket, count, error="not enough
     smallest ``count`` exactly if their key struct is at most the cutoff, a
     test each row can make by itself, so the rows are never shuffled. ``count``
     is a function of the column holding the number of rows. ``bucket`` must
-    rise with the first key and take at most some 10^5 values: the bucket
+    rise with the first key and take at most some 10^6 values: the bucket
     table is ordered in one task, and then the rows of one bucket are.
     """
     order = Window.orderBy("_bucket")

@@ -83,8 +83,9 @@ def sequence_scores(
     """Final score and sample weight per sequence.
 
     ``alpha * loss - beta * (1 - consistency) - gamma * penalty``, and
-    ``exp(score / temperature)``. ``losses`` is ``(corpus_id, seq_id, loss)``;
-    a missing loss counts 0 and a negative one is clipped.
+    ``exp(score / temperature)``. ``losses`` is ``(corpus_id, seq_id, loss)``
+    and has to cover the sequences: one without a row fails the job. A null
+    loss counts 0 and a negative one is clipped.
     """
     if temperature <= 0:
         raise ValueError("temperature must be positive")
@@ -92,7 +93,10 @@ def sequence_scores(
     if losses is None:
         scores = scores.withColumn("reconstruction_loss", F.lit(None).cast("double"))
     else:
-        scores = scores.join(losses.select(*SEQ, F.col("loss").alias("reconstruction_loss")), list(SEQ), "left")
+        found = losses.select(*SEQ, F.col("loss").alias("reconstruction_loss"), F.lit(True).alias("_found"))
+        uncovered = F.raise_error(F.concat(F.lit("no loss for sequence "), F.concat_ws("/", *SEQ))).cast("double")
+        scores = scores.join(found, list(SEQ), "left").withColumn(
+            "reconstruction_loss", F.when(F.col("_found"), F.col("reconstruction_loss")).otherwise(uncovered)).drop("_found")
     term = F.greatest(F.coalesce("reconstruction_loss", F.lit(0.0)), F.lit(0.0))
     final = (
         float(alpha_rec) * term - float(beta_inconsistency) * (1.0 - F.col("causal_consistency_score"))

@@ -1,104 +1,82 @@
 """Building blocks that walk along a sequence.
 
-Every function here gives the same result for any sequence length. Ordinary
-sequences are handled whole inside one task. Sequences marked ``is_long`` are
-never gathered: neighbours are found by an equi-join on the position, and
-running counts are carried from part to part. A table without the column
-``is_long`` holds ordinary sequences only; the readers add it when needed.
+By default a sequence is handled whole inside one task. Where sequences may be
+too long for that, the caller gives ``part_events``: work is then split every so
+many positions. This changes the plan, never a result or a schema.
 """
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from habitloom.functions.columns import events_of_flat
-from habitloom.model import EVENT_COLUMNS, FIELDS_PER_EVENT, LONG_SEQUENCE_EVENTS, PART_EVENTS, SEQ
+from habitloom.functions.columns import events_of_flat, pad_or_truncate
+from habitloom.model import EVENT_COLUMNS, FIELDS_PER_EVENT, PADDED_LENGTH, SEQ
 
 
-def mark_long(events: DataFrame, long_after=LONG_SEQUENCE_EVENTS) -> DataFrame:
-    """Add ``is_long`` to a stored canonical table if it has long sequences.
+def flat_to_events(corpus: DataFrame) -> DataFrame:
+    """Canonical events of ``(corpus_id, seq_id, flat)`` rows.
 
-    Positions are dense, so a long sequence is one that has an event at
-    ``pos = long_after``: the filter is pushed to the scan, and the list has at
-    most (number of events / long_after) rows, hence safe to broadcast.
+    A column ``start`` says where a row goes on in its sequence; null or absent is 0.
     """
-    long_ids = events.where(F.col("pos") == long_after).select(*SEQ)
-    if "is_long" in events.columns or long_ids.isEmpty():
-        return events
-    keys, long_ids = list(SEQ), F.broadcast(long_ids)
-    return (
-        events.join(long_ids, keys, "left_anti").withColumn("is_long", F.lit(False))
-        .unionByName(events.join(long_ids, keys, "left_semi").withColumn("is_long", F.lit(True)))
-    )
-
-
-def by_length(events: DataFrame):
-    """``(ordinary, long)`` events, the latter ``None`` if the table has no ``is_long``."""
-    if "is_long" not in events.columns:
-        return events, None
-    return events.where(~F.col("is_long")), events.where(F.col("is_long"))
-
-
-def flat_to_events(corpus: DataFrame, long_after=LONG_SEQUENCE_EVENTS) -> DataFrame:
-    """Canonical events of ``(corpus_id, seq_id, flat)`` rows."""
-    is_long = F.size("flat") > long_after * FIELDS_PER_EVENT
-
-    def explode(rows, flag):
-        return (
-            rows.select(*SEQ, F.explode(events_of_flat("flat")).alias("_event"))
-            .select(*SEQ, "_event.*", F.lit(flag).alias("is_long"))
-            .select(*EVENT_COLUMNS, "is_long")
-        )
-
-    return explode(corpus.where(~is_long), False).unionByName(explode(corpus.where(is_long), True))
+    start = F.coalesce("start", F.lit(0)) if "start" in corpus.columns else F.lit(0)
+    rows = corpus.select(*SEQ, start.alias("_start"), F.explode(events_of_flat("flat")).alias("_e"))
+    return rows.select(*SEQ, (F.col("_start") + F.col("_e.pos")).alias("pos"), *[f"_e.{c}" for c in EVENT_COLUMNS[3:]])
 
 
 def _gathered(events, value, name, keep, part_events):
-    """Ordered values per sequence and part: a part bounds the size of a group."""
-    part = F.floor(F.col("pos") / part_events).cast("int").alias("part")
+    """Ordered values per sequence, or per part of it."""
+    start = F.lit(0) if part_events is None else F.floor(F.col("pos") / part_events) * part_events
     ordered = F.array_sort(F.collect_list(F.struct("pos", value.alias("_value"))))
     return (
-        events.groupBy(*SEQ, part, *keep).agg(ordered.alias("_rows"))
+        events.withColumn("start", start.cast("int")).groupBy(*SEQ, "start", *keep).agg(ordered.alias("_rows"))
         .withColumn(name, F.transform("_rows", lambda row: row["_value"])).drop("_rows")
     )
 
 
-def events_to_flat(events: DataFrame, keep=(), part_events=PART_EVENTS) -> DataFrame:
-    """Flat integer lists ``(corpus_id, seq_id, part, flat)``.
+def events_to_flat(events: DataFrame, keep=(), part_events=None) -> DataFrame:
+    """Flat integer lists ``(corpus_id, seq_id, start, flat)``.
 
-    A sequence of up to ``part_events`` events gives one row with part 0; a
-    longer one continues in parts 1, 2, ... because a row must fit in memory.
+    One row per sequence, which must fit in memory; with ``part_events`` a
+    sequence goes on in further rows, and ``start`` is the first position of each.
     """
     quad = F.array(*[F.col(c).cast("int") for c in EVENT_COLUMNS[3:]])
     rows = _gathered(events, quad, "_quads", list(keep), part_events)
     return rows.withColumn("flat", F.flatten("_quads")).drop("_quads")
 
 
-def id_lists(events: DataFrame, part_events=PART_EVENTS) -> DataFrame:
-    """Ordered device and action ids ``(corpus_id, seq_id, part, device_ids, action_ids)``."""
+def id_lists(events: DataFrame, part_events=None) -> DataFrame:
+    """Ordered device and action ids ``(corpus_id, seq_id, start, device_ids, action_ids)``, in rows as ``events_to_flat``."""
     pair = F.struct(F.col("device_id").alias("d"), F.col("action_id").alias("a"))
     rows = _gathered(events, pair, "_pairs", [], part_events)
     return rows.select(
-        *SEQ, "part",
+        *SEQ, "start",
         F.transform("_pairs", lambda p: p["d"]).alias("device_ids"),
         F.transform("_pairs", lambda p: p["a"]).alias("action_ids"),
     )
 
 
-def with_neighbour(events: DataFrame, step: int, **wanted) -> DataFrame:
+def padded_lists(events: DataFrame, vocab_size: int, length=PADDED_LENGTH) -> DataFrame:
+    """``(corpus_id, seq_id, padded)``: flat lists of fixed length, one per sequence.
+
+    Only events that have a place in the list are gathered, so a row is small
+    however long its sequence is.
+    """
+    rows = events_to_flat(events.where(F.col("pos") * FIELDS_PER_EVENT < length))
+    return rows.select(*SEQ, pad_or_truncate("flat", vocab_size, length).alias("padded"))
+
+
+def with_neighbour(events: DataFrame, step: int, part_events=None, **wanted) -> DataFrame:
     """Add columns of the event ``step`` places later (negative: earlier).
 
     ``wanted`` maps the new column name to the column to fetch. The columns
-    are null where the sequence has no such event.
+    are null where the sequence has no such event. With ``part_events`` the
+    neighbour is found by an equi-join on the position.
     """
-    ordinary, long = by_length(events)
-    order = Window.partitionBy(*SEQ).orderBy("pos")
-    near = ordinary.withColumns({name: F.lead(source, step).over(order) for name, source in wanted.items()})
-    if long is None:
-        return near
-    shifted = long.select(
+    if part_events is None:
+        order = Window.partitionBy(*SEQ).orderBy("pos")
+        return events.withColumns({name: F.lead(source, step).over(order) for name, source in wanted.items()})
+    shifted = events.select(
         *SEQ, (F.col("pos") - step).alias("pos"), *[F.col(source).alias(name) for name, source in wanted.items()],
     )
-    far = long.join(shifted, [*SEQ, "pos"], "left")
-    return near.unionByName(far)
+    return events.join(shifted, [*SEQ, "pos"], "left")
 
 
 def _running_counts(rows, group):
@@ -123,9 +101,9 @@ def _met_once(events):
     return events.select(*SEQ, "pos", F.col("device_id").alias("device"), F.lit(1).cast("bigint").alias("n"))
 
 
-def _counts_when_long(long, part_events):
+def _counts_by_part(events, part_events):
     """``_running_counts`` per part, with the counts of earlier parts carried in."""
-    parted = _met_once(long).withColumn("part", F.floor(F.col("pos") / part_events).cast("int"))
+    parted = _met_once(events).withColumn("part", F.floor(F.col("pos") / part_events).cast("int"))
     in_device = Window.partitionBy(*SEQ, "device").orderBy("part")
     totals = (
         parted.groupBy(*SEQ, "device", "part").agg(F.sum("n").alias("n"))
@@ -141,7 +119,7 @@ def _counts_when_long(long, part_events):
     return _running_counts(parted.unionByName(carried), [*SEQ, "part"])
 
 
-def earlier_device_counts(events: DataFrame, part_events=PART_EVENTS) -> DataFrame:
+def earlier_device_counts(events: DataFrame, part_events=None) -> DataFrame:
     """``(corpus_id, seq_id, pos, device, earlier, n_earlier)``.
 
     One row per event and device met before it: how many earlier events of the
@@ -149,26 +127,20 @@ def earlier_device_counts(events: DataFrame, part_events=PART_EVENTS) -> DataFra
     so every event is present. This stands for all ordered event pairs, at
     (events x distinct devices) instead of (events squared).
     """
-    ordinary, long = by_length(events)
-    near = _running_counts(_met_once(ordinary), SEQ)
-    return near if long is None else near.unionByName(_counts_when_long(long, part_events))
+    return _running_counts(_met_once(events), SEQ) if part_events is None else _counts_by_part(events, part_events)
 
 
-def ordered_pair_counts(events: DataFrame, part_events=PART_EVENTS) -> DataFrame:
+def ordered_pair_counts(events: DataFrame, part_events=None) -> DataFrame:
     """Ordered device pairs per sequence.
 
     ``(corpus_id, seq_id, source, target, n_pairs, n_sources_before_last)``:
     pairs of events with the source earlier, and how many source events precede
     the last target event. A device met only once has a row with both counts 0,
-    so every sequence is present. Counting happens before the union so that
-    ordinary sequences need no shuffle beyond the one that numbered them.
+    so every sequence is present. By default this needs no shuffle beyond the
+    one that numbered the events.
     """
-    def count(rows):
-        return (
-            rows.groupBy(*SEQ, F.col("earlier").alias("source"), F.col("device").alias("target"))
-            .agg(F.sum("n_earlier").alias("n_pairs"), F.max("n_earlier").alias("n_sources_before_last"))
-        )
-
-    ordinary, long = by_length(events)
-    near = count(_running_counts(_met_once(ordinary), SEQ))
-    return near if long is None else near.unionByName(count(_counts_when_long(long, part_events)))
+    return (
+        earlier_device_counts(events, part_events)
+        .groupBy(*SEQ, F.col("earlier").alias("source"), F.col("device").alias("target"))
+        .agg(F.sum("n_earlier").alias("n_pairs"), F.max("n_earlier").alias("n_sources_before_last"))
+    )

@@ -1,9 +1,9 @@
 """Check flat sequences against a vocabulary."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from habitloom.functions.columns import events_of_flat, is_usable_flat
-from habitloom.model import DAYS_PER_WEEK, FIELDS_PER_EVENT, SLOTS_PER_DAY
+from habitloom.model import DAYS_PER_WEEK, FIELDS_PER_EVENT, SEQ, SLOTS_PER_DAY
 
 # This pairing is legal in stored data although the names differ.
 UNPLACED_DEVICE, CATCH_ALL_DEVICE = "None", "Other"
@@ -30,30 +30,39 @@ def action_devices(devices: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def _vocabulary(devices, actions):
-    """Maps of the vocabulary as two values (a few hundred entries)."""
-    by_action = action_devices(devices, actions).agg(F.map_from_entries(F.collect_list(F.struct(
-        "action_id", F.struct("device_id", "allowed"),
-    )))).scalar()
-    legal = devices.agg(F.collect_set("device_id")).scalar()
-    return legal, by_action
+    """One row: legal device ids, and per action id, shifted by the least, its device and allowed devices.
 
+    An array indexed by the id makes a lookup one step however many actions there are.
+    """
+    entries = F.map_from_entries(F.collect_list(F.struct("action_id", F.struct("device_id", "allowed"))))
+    ids = action_devices(devices, actions).where("action_id IS NOT NULL").agg(
+        entries.alias("_by_id"), F.coalesce(F.min("action_id"), F.lit(0)).alias("_least"), F.coalesce(F.max("action_id"), F.lit(-1)).alias("_most"))
+    listed = F.when(F.col("_most") >= F.col("_least"), F.transform(F.sequence("_least", "_most"), lambda i: F.try_element_at("_by_id", i)))
+    legal = devices.agg(F.collect_set("device_id").alias("_legal"))
+    return ids.select("_least", listed.alias("_listed")).crossJoin(legal)  # one row each
 
-def with_reasons(corpus: DataFrame, devices: DataFrame, actions: DataFrame, expected_length=None) -> DataFrame:
-    """Add ``reasons``: what is wrong with each sequence, empty when valid.
 
-    The vocabulary travels with the row as two values and the check stays
-    inside the row, so no event-sized join or shuffle is needed.
+def with_reasons(corpus: DataFrame, devices: DataFrame, actions: DataFrame, expected_length=None) -> DataFrame:
+    """Add ``reasons``: what is wrong with each row, empty when valid.
+
+    The vocabulary travels with the row as small values and the check stays
+    inside the row, so no event-sized join or shuffle is needed. A column
+    ``problem`` (see ``corpora.read_generated``) is taken over as the reason. A
+    column ``start`` says where a row goes on in its sequence: events are
+    counted from there, and an unexpected length of the whole sequence is
+    reported at its first row.
     """
-    legal_ids, entries = _vocabulary(devices, actions)
-    corpus = corpus.withColumns({"_legal": legal_ids, "_entries": entries})
-    flat, legal, by_action = F.col("flat"), F.col("_legal"), F.col("_entries")
+    corpus = corpus.crossJoin(F.broadcast(_vocabulary(devices, actions)))  # one row
+    flat, legal = F.col("flat"), F.col("_legal")
+    start = F.coalesce("start", F.lit(0)) if "start" in corpus.columns else F.lit(0)
 
     def at(text, event, value):
-        return F.concat(F.lit(f"{text}@event_"), event["pos"].cast("string"), F.lit(":"), value)
+        return F.concat(F.lit(f"{text}@event_"), (event["pos"] + start).cast("string"), F.lit(":"), value)
 
     def event_reasons(event):
         day, slot, device, action = (event[c] for c in ("day", "hour_slot", "device_id", "action_id"))
-        entry = F.try_element_at(by_action, action)
+        place = action - F.col("_least")
+        entry = F.when(place >= 0, F.get("_listed", place))
         legal_device = F.array_contains(legal, device)
         mismatch = legal_device & entry["allowed"].isNotNull() & ~F.array_contains(entry["allowed"], device)
         pair = F.concat(
@@ -71,22 +80,36 @@ def with_reasons(corpus: DataFrame, devices: DataFrame, actions: DataFrame, expe
     size = F.size(flat)
     of_row = [F.when(size % FIELDS_PER_EVENT != 0, F.lit("length_not_multiple_of_4"))]
     if expected_length is not None:
-        text = F.concat(F.lit("length_mismatch:"), size.cast("string"), F.lit(f"!=expected_{expected_length}"))
-        of_row.append(F.when(size != expected_length, text))
+        whole = F.sum(size).over(Window.partitionBy(*SEQ)).cast("int") if "start" in corpus.columns else size
+        corpus = corpus.withColumn("_whole", whole)
+        text = F.concat(F.lit("length_mismatch:"), F.col("_whole").cast("string"), F.lit(f"!=expected_{expected_length}"))
+        of_row.append(F.when((F.col("_whole") != expected_length) & (start == 0), text))
     of_events = F.flatten(F.transform(events_of_flat("flat"), event_reasons))
+    problem = F.col("problem") if "problem" in corpus.columns else F.lit(None).cast("string")
     reasons = (
-        F.when(flat.isNull(), F.array(F.lit("missing_sequence")))
+        F.when(problem.isNotNull(), F.array(problem)).when(flat.isNull(), F.array(F.lit("missing_sequence")))
         .when(F.exists(flat, lambda x: x.isNull()), F.array(F.lit("non_integer_value")))
         .when(size == 0, F.array(F.lit("empty_sequence")))
         .otherwise(F.concat(F.array_compact(F.array(*of_row)), of_events))
     )
-    return corpus.withColumn("reasons", reasons).drop("_legal", "_entries")
+    return corpus.withColumn("reasons", reasons).drop("_legal", "_listed", "_least", "_whole")
 
 
 def validation_report(checked: DataFrame, expected_count: int, by=("corpus_id",)) -> DataFrame:
-    """Counts per corpus. Equal sequences are counted together before they are shuffled."""
+    """Counts of sequences per corpus.
+
+    Equal valid sequences are told by a digest, so no list is shuffled. Rows of
+    one sequence (column ``start``) are one sequence, valid if all of them are.
+    """
     valid = F.size("reasons") == 0
-    same = checked.groupBy(*by, valid.alias("valid"), F.when(valid, F.col("flat")).alias("flat")).agg(F.count(F.lit(1)).alias("n"))
+    digest = F.sha2(F.array_join("flat", ","), 256)
+    if "start" in checked.columns:
+        rows = checked.groupBy(*dict.fromkeys([*by, *SEQ])).agg(
+            F.bool_and(valid).alias("valid"), F.sha2(F.array_join(F.transform(
+                F.sort_array(F.collect_list(F.struct("start", digest.alias("d")))), lambda r: r["d"]), ","), 256).alias("digest"))
+    else:
+        rows = checked.select(*by, valid.alias("valid"), digest.alias("digest"))
+    same = rows.groupBy(*by, "valid", F.when(F.col("valid"), F.col("digest")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
     report = same.groupBy(*by).agg(
         F.sum("n").alias("num_rows"),
         F.coalesce(F.sum(F.when(F.col("valid"), F.col("n"))), F.lit(0)).alias("num_valid"),

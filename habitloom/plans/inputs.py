@@ -29,14 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark, sf_dir) -> DataFrame:
+def events(spark, sf_dir, devices=DEVICES, corpus_id=None, per_second=False) -> DataFrame:
     """Sequences of the event log; first half of the month is ``source``, the rest ``target``."""
-    device = id_in(DEVICES, F.col("event_type"))
+    device = id_in(devices, F.col("event_type"))
     k = F.get_json_object("props", "$.k").cast("int")
+    if corpus_id is None:
+        corpus_id = F.when(F.dayofmonth("ts") <= 15, "source").otherwise("target")
     return sequences_from_log(
         table(spark, sf_dir, "events"), entity="user_id", ts="ts", tie="event_id", device_id=device,
-        action_id=device * 4 + F.floor(k / 25),
-        corpus_id=F.when(F.dayofmonth("ts") <= 15, "source").otherwise("target"),
+        action_id=device * 4 + F.floor(k / 25), corpus_id=corpus_id, per_second=per_second,
     )
 
 
@@ -91,8 +92,7 @@ def attacked(rows: DataFrame) -> DataFrame:
                 F.lit(f"{'attack' if label else 'normal'}:{env}").alias("corpus_id"),
                 *[change.get(c, F.col(c)).cast("int").alias(c) for c in EVENT_COLUMNS[3:]],
             ))
-    kept = [c for c in ("seq_id", "pos", "is_long") if c in base.columns]
-    return base.select(*kept, F.explode(F.array(*kinds)).alias("_k")).select("_k.*", *kept)
+    return base.select("seq_id", "pos", F.explode(F.array(*kinds)).alias("_k")).select("_k.*", "seq_id", "pos")
 
 
 def faulty_corpus(spark, sf_dir) -> DataFrame:

@@ -15,7 +15,7 @@ raw AS (
   FROM events),
 ev AS (
   SELECT corpus_id, seq_id,
-    CAST(row_number() OVER (PARTITION BY seq_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos,
+    CAST(row_number() OVER (PARTITION BY corpus_id, seq_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos,
     day, hour_slot, device_id, CAST(device_id * 4 + k // 25 AS INTEGER) AS action_id
   FROM raw)""",
     "steps_next": """
@@ -57,11 +57,13 @@ guard AS (
   SELECT *, s_obs / greatest(s_tgt, 0.001, 1e-8) AS s_ratio, t_obs / greatest(t_tgt, 0.001, 1e-8) AS t_ratio,
     s_obs / greatest(s_tgt, 0.001, 1e-8) > 1.0 AS s_over, t_obs / greatest(t_tgt, 0.001, 1e-8) > 1.0 AS t_over
   FROM ends)""",
+    "known": """
+known AS (SELECT corpus_id, seq_id, pos, action_id - 4 * device_id AS verb, CASE WHEN device_id <= 2 THEN device_id ELSE -1 END AS k FROM ev),
+known_next AS (SELECT corpus_id, k, lead(k) OVER (PARTITION BY corpus_id, seq_id ORDER BY pos) AS next_k FROM known)""",
     "fuse": """
-steps AS (
-  SELECT 'd:' || s AS source, 'd:' || t AS target, n, n::DOUBLE / sum(n) OVER (PARTITION BY s) AS score
-  FROM trans WHERE corpus_id = 'source'),
-kept_steps AS (SELECT * FROM steps WHERE source <> 'd:3'),
+kept_steps AS (
+  SELECT 'd:' || k AS source, 'd:' || next_k AS target, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY k) AS score
+  FROM known_next WHERE corpus_id = 'source' AND next_k IS NOT NULL GROUP BY k, next_k),
 fuse AS (
   SELECT coalesce(a.source, b.source) AS source, coalesce(a.target, b.target) AS target, a.n, a.score, b.weight,
     coalesce(a.score, 0) / (SELECT max(score) FROM kept_steps) AS nt,
@@ -81,7 +83,7 @@ seqshare AS (
   FROM ev GROUP BY 1, 2, 3),
 tv AS (
   SELECT q.corpus_id, q.seq_id, 0.5 * sum(abs(coalesce(s.share, 0) - t.p)) AS penalty
-  FROM (SELECT DISTINCT corpus_id, seq_id FROM ev WHERE corpus_id = 'source') q CROSS JOIN tgt t
+  FROM (SELECT DISTINCT corpus_id, seq_id FROM ev) q CROSS JOIN tgt t
   LEFT JOIN seqshare s ON s.corpus_id = q.corpus_id AND s.seq_id = q.seq_id AND s.device = t.device
   GROUP BY 1, 2)""",
     "scores": """
@@ -89,16 +91,15 @@ scores AS (
   SELECT c.corpus_id, c.seq_id, c.pairs, c.supported, c.score, tv.penalty, l.loss,
     0.5 * greatest(l.loss, 0) - 1.5 * (1 - c.score) - 0.8 * tv.penalty AS final
   FROM cons c JOIN tv USING (corpus_id, seq_id)
-  JOIN (SELECT corpus_id, seq_id, avg(action_id) / 20 - 0.1 AS loss FROM ev GROUP BY 1, 2) l USING (corpus_id, seq_id)
-  WHERE c.corpus_id = 'source')""",
+  JOIN (SELECT corpus_id, seq_id, avg(action_id) / 20 - 0.1 AS loss FROM ev GROUP BY 1, 2) l USING (corpus_id, seq_id))""",
     "tok": """
 pv AS (
   SELECT *, lag(action_id) OVER w AS pa, lag(hour_slot) OVER w AS ph, lag(device_id) OVER w AS pd
   FROM ev WINDOW w AS (PARTITION BY corpus_id, seq_id ORDER BY pos)),
 tok AS (
-  SELECT 'spring' AS env, corpus_id, seq_id, pos, coalesce(pa, -1) AS prev, action_id AS token, 20 AS v FROM pv
-  UNION ALL SELECT 'night', corpus_id, seq_id, pos, coalesce(ph, -1), hour_slot, 8 FROM pv
-  UNION ALL SELECT 'multiple', corpus_id, seq_id, pos, coalesce(pd, -1), device_id, 5 FROM pv)""",
+  SELECT 'spring' AS env, corpus_id, seq_id, pos, coalesce(pa, CAST(-2147483648 AS INTEGER)) AS prev, action_id AS token, 20 AS v FROM pv
+  UNION ALL SELECT 'night', corpus_id, seq_id, pos, coalesce(ph, CAST(-2147483648 AS INTEGER)), hour_slot, 8 FROM pv
+  UNION ALL SELECT 'multiple', corpus_id, seq_id, pos, coalesce(pd, CAST(-2147483648 AS INTEGER)), device_id, 5 FROM pv)""",
     "loss": """
 cnt AS (SELECT env, prev, token, count(*) AS n FROM tok WHERE corpus_id = 'source' GROUP BY 1, 2, 3),
 ctx AS (SELECT env, prev, count(*) AS n FROM tok WHERE corpus_id = 'source' GROUP BY 1, 2),
@@ -114,7 +115,7 @@ ordered AS (
   FROM ids),
 split AS (SELECT corpus_id, seq_id, CASE WHEN place <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS part FROM ordered)""",
     "filt": """
-stok AS (SELECT * FROM tok WHERE corpus_id = 'source' AND env = 'multiple'),
+stok AS (SELECT * FROM tok WHERE env = 'multiple'),
 fcnt AS (SELECT prev, token, count(*) AS n FROM stok GROUP BY 1, 2),
 fctx AS (SELECT prev, count(*) AS n FROM stok GROUP BY 1),
 floss AS (
@@ -174,7 +175,7 @@ thr AS (SELECT env, CASE WHEN env = 'multiple' THEN quantile_cont(loss, 0.99) EL
 ptest AS (
   SELECT env, label, corpus_id, seq_id, CASE env WHEN 'spring' THEN action_id WHEN 'night' THEN hour_slot ELSE device_id END AS token,
     CASE env WHEN 'spring' THEN 20 WHEN 'night' THEN 8 ELSE 5 END AS v, pos FROM att),
-ptok AS (SELECT *, coalesce(lag(token) OVER (PARTITION BY corpus_id, seq_id ORDER BY pos), -1) AS prev FROM ptest),
+ptok AS (SELECT *, coalesce(lag(token) OVER (PARTITION BY corpus_id, seq_id ORDER BY pos), CAST(-2147483648 AS INTEGER)) AS prev FROM ptest),
 ploss AS (
   SELECT t.env, t.label, t.corpus_id, t.seq_id, avg(-ln((coalesce(c.n, 0) + 1)::DOUBLE / (coalesce(x.n, 0) + t.v))) AS loss
   FROM ptok t LEFT JOIN dcnt c USING (env, prev, token) LEFT JOIN dctx x USING (env, prev) GROUP BY 1, 2, 3, 4),
@@ -274,8 +275,24 @@ def _sql(name, blocks, body):
 
 # Sequences and projections
 _sql("sequences_from_events", "ev", f"SELECT {_EV_COLUMNS} FROM ev")
-_sql("flat_sequences", "ev", f"SELECT corpus_id, seq_id, 0::INTEGER AS part, {_FLAT} AS flat FROM ev GROUP BY 1, 2")
+_sql("flat_sequences", "ev", f"SELECT corpus_id, seq_id, 0::INTEGER AS start, {_FLAT} AS flat FROM ev GROUP BY 1, 2")
 _sql("flatten_roundtrip", "ev", f"SELECT {_EV_COLUMNS} FROM ev")
+_sql("flatten_parts", "ev", f"SELECT {_EV_COLUMNS} FROM ev")
+_sql("pair_counts_by_part", "ev steps_next", """
+SELECT a.corpus_id, a.seq_id, 'ordered' AS kind, a.device_id AS source, b.device_id AS target, count(*) AS n
+FROM ev a JOIN ev b ON a.corpus_id = b.corpus_id AND a.seq_id = b.seq_id AND a.pos < b.pos GROUP BY ALL
+UNION ALL SELECT corpus_id, seq_id, 'adjacent', device_id, next_device, count(*) FROM nx WHERE next_device IS NOT NULL GROUP BY ALL""")
+_sql("hourly_corpora", "", """
+WITH raw AS (
+  SELECT event_id, ts, CAST(user_id AS VARCHAR) || ':' || strftime(ts, '%Y-%m-%d') AS seq_id,
+    CASE WHEN hour(ts) < 12 THEN 'morning' ELSE 'evening' END AS corpus_id,
+    coalesce(list_position(['click', 'error', 'purchase'], event_type), 0) - 1 AS device FROM events),
+e AS (SELECT *, lag(device) OVER w AS before, lead(device) OVER w AS next, row_number() OVER w AS place FROM raw
+  WINDOW w AS (PARTITION BY corpus_id, seq_id ORDER BY ts, event_id)),
+edges AS (SELECT corpus_id, count(DISTINCT (device, next)) AS num_edges FROM e WHERE next IS NOT NULL GROUP BY 1)
+SELECT corpus_id, count(*) FILTER (place = 1) AS num_sequences, num_edges, count(*) FILTER (before IS NULL) AS num_starts,
+  count(*) FILTER (before = -1) AS num_after_unknown, CAST(max(place) * 4 AS INTEGER) AS longest
+FROM e JOIN edges USING (corpus_id) GROUP BY corpus_id, num_edges""")
 _sql("id_lists", "ev", """
 SELECT corpus_id, seq_id, array_to_string(list(device_id ORDER BY pos), ',') AS device_ids,
   array_to_string(list(action_id ORDER BY pos), ',') AS action_ids FROM ev GROUP BY 1, 2""")
@@ -308,11 +325,11 @@ FROM trans""")
 _sql("graph_size", "ev steps_next trans", """
 SELECT corpus_id, (SELECT count(DISTINCT seq_id) FROM ev WHERE ev.corpus_id = t.corpus_id) AS num_sequences, count(*) AS num_edges
 FROM trans t GROUP BY 1""")
-_sql("transition_matrix_dense", "ev steps_next trans", """
-SELECT g.corpus_id, 'd:' || g.s AS source, 'd:' || g.t AS target,
-  round(coalesce(n::DOUBLE / sum(n) OVER (PARTITION BY g.corpus_id, g.s), 0), 9) AS value
-FROM (SELECT * FROM (SELECT unnest(['source', 'target']) AS corpus_id), (SELECT unnest([0, 1, 2, 4]) AS s), (SELECT unnest([0, 1, 2, 4]) AS t)) g
-LEFT JOIN trans x ON x.corpus_id = g.corpus_id AND x.s = g.s AND x.t = g.t""")
+_sql("transition_matrix_dense", "ev known", """
+, n AS (SELECT corpus_id, k, next_k, count(*) AS n FROM known_next WHERE k >= 0 AND next_k >= 0 GROUP BY ALL)
+SELECT g.corpus_id, 'd:' || g.k AS source, 'd:' || g.t AS target, round(coalesce(n::DOUBLE / sum(n) OVER (PARTITION BY g.corpus_id, g.k), 0), 9) AS value
+FROM (SELECT * FROM (SELECT unnest(['source', 'target']) AS corpus_id), (SELECT unnest([0, 1, 2]) AS k), (SELECT unnest([0, 1, 2]) AS t)) g
+LEFT JOIN n ON n.corpus_id = g.corpus_id AND n.k = g.k AND n.next_k = g.t""")
 _sql("precedence_matrix", "ev prec", "SELECT corpus_id, source, target, round(value, 9) AS value FROM prec")
 _sql("channel_order", "ev", """
 SELECT 'd:' || d AS channel, CAST(row_number() OVER (ORDER BY d) - 1 AS INTEGER) AS channel_index FROM (SELECT DISTINCT device_id AS d FROM ev)""")
@@ -409,7 +426,7 @@ SELECT DISTINCT device, 'device_' || device[3:] AS device_name, round(o, 9) AS o
   SELECT source AS device, s_obs AS o, s_tgt AS t, s_ratio AS r FROM guard WHERE s_over UNION ALL SELECT target, t_obs, t_tgt, t_ratio FROM guard WHERE t_over)""")
 _sql("guard_counts", _GUARD, """
 SELECT count(*) AS num_edges, count(CASE WHEN s_over AND t_over THEN 1 END) AS num_suppressed_edges, 0::BIGINT AS num_downweighted_edges FROM guard""")
-_FUSE = "ev steps_next trans prec fuse"
+_FUSE = "ev prec known fuse"
 _FUSED = """
 SELECT source AS source_device_key, target AS target_device_key, 'device_' || source[3:] AS source_name, 'device_' || target[3:] AS target_name,
   coalesce(n, 0) AS count, round(coalesce(score, 0), 9) AS transition_score, round(nt, 9) AS normalized_transition_score,
@@ -418,11 +435,19 @@ SELECT source AS source_device_key, target AS target_device_key, 'device_' || so
   CASE WHEN weight IS NOT NULL THEN 4 END AS lag
 FROM fuse"""
 _sql("fuse_multiplicative", _FUSE, _FUSED.format(final="CASE WHEN score IS NULL THEN 0.5 * nc ELSE nt * (1 + 0.5 * nc) END"))
+_sql("fuse_unclean", _FUSE, _FUSED.format(final="CASE WHEN score IS NULL THEN 0.5 * nc ELSE nt * (1 + 0.5 * nc) END"))
 _sql("fuse_additive", _FUSE, _FUSED.format(final="nt + 0.5 * nc") + " WHERE score IS NOT NULL ORDER BY nt + 0.5 * nc DESC, source, target LIMIT 10")
 _sql("fuse_summary", _FUSE, """
 SELECT (SELECT count(*) FROM kept_steps) AS input_transition_edges, (SELECT count(*) FROM prior) AS input_causal_edges, count(*) AS output_edges,
   count(CASE WHEN score IS NULL THEN 1 END) AS num_causal_relation_augmented_edges, round(avg(coalesce(weight, 0)), 9) AS avg_causal_strength
 FROM fuse""")
+_sql("hints_source_only", "ev steps_next trans prec", """
+, st AS (SELECT 'd:' || s AS source, 'd:' || t AS target, n, n::DOUBLE / sum(n) OVER (PARTITION BY s) AS score FROM trans WHERE corpus_id = 'source'),
+j AS (SELECT source, target, n, score, coalesce(weight, 0) AS w, score / (SELECT max(score) FROM st) AS nt, coalesce(weight, 0) / (SELECT max(weight) FROM prior) AS nc
+  FROM st LEFT JOIN prior USING (source, target))
+SELECT source AS source_device_key, target AS target_device_key, n AS count, round(score, 9) AS transition_score, round(nt, 9) AS normalized_transition_score,
+  round(w, 9) AS raw_causal_strength, round(w, 9) AS causal_strength, round(nc, 9) AS normalized_causal_strength, round(nt * (1 + nc), 9) AS final_score
+FROM j""")
 _sql("hints_target_assisted", "ev steps_next dist shares trans prec", """
 , a AS (SELECT source, target, weight * s.p * t.p AS w, os.p / s.p AS rs, ot.p / t.p AS rt
   FROM prior JOIN tgt s ON s.device = source JOIN tgt t ON t.device = target JOIN src os ON os.device = source JOIN src ot ON ot.device = target),
@@ -443,6 +468,10 @@ LEFT JOIN strength s ON s.source = 'd:' || a.device_id AND s.target = 'd:' || b.
 GROUP BY 1, 2, 3, 4, 5""")
 _sql("causal_consistency", "ev prec cons", """
 SELECT corpus_id, seq_id, pairs AS num_ordered_event_pairs, supported AS num_causally_supported_pairs, round(score, 9) AS causal_consistency_score FROM cons""")
+_BLOCKS["left_over"] = "left_over AS (SELECT source, target, weight FROM guard WHERE NOT t_over)"
+_BLOCKS["guarded_cons"] = _BLOCKS["cons"].replace("prior", "left_over")
+_sql("guarded_scoring", _GUARD + " left_over guarded_cons", """
+SELECT corpus_id, seq_id, pairs AS num_ordered_event_pairs, supported AS num_causally_supported_pairs, round(score, 9) AS causal_consistency_score FROM cons""")
 _sql("consistency_summary", "ev prec cons", """
 SELECT count(*) AS num_sequences, round(avg(score), 9) AS mean_causal_consistency_score, round(min(score), 9) AS min_causal_consistency_score,
   round(max(score), 9) AS max_causal_consistency_score FROM cons""")
@@ -485,6 +514,12 @@ _sql("loss_threshold", "ev tok loss", """
 SELECT env, round(CASE WHEN env = 'multiple' THEN quantile_cont(loss, 0.99) ELSE quantile_cont(loss, 0.95) END, 9) AS threshold FROM loss GROUP BY env""")
 _sql("labelled_test", "ev attack", f"SELECT env, label, {_EV_COLUMNS} FROM att")
 _DETECT = "ev tok attack detect"
+_sql("labelled_rows", "ev attack", f"""
+SELECT way, seq_id, {_FLAT} AS flat, label FROM att, (SELECT unnest(['stored', 'tables']) AS way) WHERE env = 'night' GROUP BY way, seq_id, label""")
+_sql("flat_detector_tokens", "ev", """
+, q AS (SELECT corpus_id, seq_id, CAST(4 * pos + i AS INTEGER) AS pos, [day, hour_slot, device_id, action_id][i + 1] AS token FROM ev, range(4) r(i))
+SELECT 'filter' AS env, corpus_id, seq_id, pos, coalesce(lag(token) OVER (PARTITION BY corpus_id, seq_id ORDER BY pos), CAST(-2147483648 AS INTEGER)) AS prev, token
+FROM q QUALIFY pos < 12""")
 _sql("anomaly_eval", _DETECT, "SELECT * FROM eval")
 _sql("cell_parameters", "met", """
 SELECT dataset, env, n, field, percentile, filter_tag FROM (
@@ -516,15 +551,15 @@ FROM v GROUP BY 1""")
 _sql("variant_dimension", "met", """
 SELECT k || '.json' AS run, m.variant, dataset || '_' || scenario AS cell, canonical, TRUE AS used_filter, gss AS used_causal_gss, tof AS used_causal_tof, stage AS input_stage
 FROM met m JOIN (VALUES
-  ('baseline_gen', 'baseline_gen', FALSE, FALSE, 'published_generation_plus_original_tof'),
-  ('causal_gss_only', 'causal_gss_only', TRUE, FALSE, 'published_causal_gss_plus_original_tof'),
-  ('causal_tof_only', 'causal_tof_only', FALSE, TRUE, 'published_generation_plus_original_tof_plus_causal_tof'),
-  ('full_causal', 'target_assisted_full', TRUE, TRUE, 'target_assisted_causal_gss_plus_original_tof_plus_causal_tof'),
-  ('zero_target_baseline', 'zero_target_baseline', FALSE, FALSE, 'source_only_generation_plus_original_tof'),
-  ('zero_target_causal_gss', 'zero_target_causal_gss', TRUE, FALSE, 'source_only_causal_gss_plus_original_tof'),
-  ('zero_target_causal_tof', 'zero_target_causal_tof', FALSE, TRUE, 'source_only_generation_plus_original_tof_plus_causal_tof'),
-  ('zero_target_full', 'zero_target_full', TRUE, TRUE, 'source_only_causal_gss_plus_original_tof_plus_causal_tof'),
-  ('target_assisted_full', 'target_assisted_full', TRUE, TRUE, 'target_assisted_causal_gss_plus_original_tof_plus_causal_tof'))
+  ('baseline_gen', 'baseline_gen', FALSE, FALSE, 'published_gen_original_tof'),
+  ('causal_gss_only', 'causal_gss_only', TRUE, FALSE, 'causal_gss_plus_gen_original_tof'),
+  ('causal_tof_only', 'causal_tof_only', FALSE, TRUE, 'published_gen_original_tof_plus_causal_tof'),
+  ('full_causal', 'target_assisted_full', TRUE, TRUE, 'target_assisted_causal_gss_plus_gen_original_tof_plus_target_assisted_causal_tof'),
+  ('zero_target_baseline', 'zero_target_baseline', FALSE, FALSE, 'source_only_generation_plus_gen_original_tof'),
+  ('zero_target_causal_gss', 'zero_target_causal_gss', TRUE, FALSE, 'source_only_causal_gss_plus_gen_original_tof'),
+  ('zero_target_causal_tof', 'zero_target_causal_tof', FALSE, TRUE, 'source_only_generation_plus_gen_original_tof_plus_source_causal_tof'),
+  ('zero_target_full', 'zero_target_full', TRUE, TRUE, 'source_only_causal_gss_plus_gen_original_tof_plus_source_causal_tof'),
+  ('target_assisted_full', 'target_assisted_full', TRUE, TRUE, 'target_assisted_causal_gss_plus_gen_original_tof_plus_target_assisted_causal_tof'))
   AS d(variant, canonical, gss, tof, stage) ON d.variant = m.variant""")
 _sql("typed_metrics", "met", """
 SELECT dataset, scenario, seed, variant, 'syn_' || k AS input_pkl, used_causal_gss, train_size, precision, recall, f1, NULL::DOUBLE AS threshold,
@@ -540,18 +575,45 @@ _sql("normalized_metrics", "", """
 SELECT CASE WHEN k % 10 = 0 THEN 'dry_run' ELSE 'success' END AS status, dataset, scenario, k AS seed,
   CASE WHEN k % 2 = 0 THEN 'causal_gss_only' ELSE 'zero_target_full' END AS variant, env,
   round((k % 3)::DOUBLE / nullif(k % 3 + k % 5, 0), 9) AS fpr, round((k % 4)::DOUBLE / nullif(k % 4 + k % 7, 0), 9) AS fnr, o_totalprice AS threshold,
-  'validation_percentile_' || CASE WHEN env = 'multiple' THEN '99.0' WHEN dataset = 'fr' AND env = 'spring' THEN '95.5' WHEN dataset = 'us' AND env = 'night' THEN '93.0' ELSE '95.0' END AS threshold_source
+  'validation_percentile_' || CASE WHEN env = 'multiple' THEN '99.0' WHEN dataset = 'fr' AND env = 'spring' THEN '95.5' WHEN dataset = 'us' AND env = 'night' THEN '93.0' ELSE '95.0' END AS threshold_source,
+  k % 100 AS train_size, k % 50 AS validation_size, k % 25 AS test_size, k % 1000 AS generated_size, 'cpu' AS device, CAST(NULL AS VARCHAR) AS requested_device,
+  'runs/' || k || '/downstream_ad_metrics.json' AS metrics_path, CASE WHEN k % 3 = 0 THEN 'own' ELSE 'source_distribution_driven' END AS generator,
+  'unknown' AS generation_model, TRUE AS manual_generation,
+  CASE WHEN k % 2 = 0 THEN 'causal_gss_plus_gen_original_tof' ELSE 'source_only_causal_gss_plus_gen_original_tof_plus_source_causal_tof' END AS input_stage,
+  TRUE AS used_causal_gss, k % 2 = 1 AS used_causal_tof, k % 200 AS num_generated_before_tof,
+  CASE WHEN k % 2 = 0 THEN k % 90 ELSE k % 150 END AS num_generated_after_gen_tof, CASE WHEN k % 2 = 1 THEN k % 90 END AS num_generated_after_causal_tof
 FROM (SELECT o_orderkey AS k, o_totalprice, ['fr', 'sp', 'us'][o_orderkey % 3 + 1] AS dataset, ['st', 'night', 'multiple'][o_custkey % 3 + 1] AS scenario,
   ['spring', 'night', 'multiple'][o_custkey % 3 + 1] AS env FROM orders)""")
+_sql("provenance", "met", """
+SELECT dataset, run_dir || '/' || k AS run_dir, CASE WHEN k % 3 = 0 THEN 'replay' ELSE 'source_distribution_driven' END AS generator,
+  CASE WHEN k % 6 = 0 THEN 'm1' ELSE 'unknown' END AS generation_model, k % 3 <> 0 AS manual_generation FROM met""")
 _sql("result_integrity", "", """
 WITH p AS (
-  SELECT o_orderkey AS k, ['fr', 'sp', 'us'][o_custkey % 3 + 1] AS ds, o_custkey % 500 AS sd, o_orderkey % 3 = 0 AS proposed,
-    ['fr', 'sp', 'us'][o_custkey % 3 + 1] || '_st/seed' || (o_custkey % 500) || '/downstream_ad/zero_target_full/' AS dir FROM orders)
-SELECT 'missing_metric_fields' AS kind, dir || k || '.json' AS path,
-  concat_ws(', ', CASE WHEN k % 11 = 0 THEN 'status' END, CASE WHEN k % 9 = 0 THEN 'f1' END) AS detail FROM p WHERE proposed AND (k % 11 = 0 OR k % 9 = 0)
-UNION ALL SELECT 'variant_mismatch', dir || k || '.json', 'wrong' FROM p WHERE proposed AND k % 15 = 0
-UNION ALL SELECT 'experiment_coordinate_mismatch', dir || k || '.json', 'path and payload disagree' FROM p WHERE proposed AND (k % 10 = 0 OR k % 14 = 0)
-UNION ALL SELECT 'missing_proposed_metrics', dir, 'seed has no normalized proposed result' FROM p GROUP BY dir HAVING NOT bool_or(proposed)""")
+  SELECT o_orderkey AS k, ['fr', 'sp', 'us'][o_custkey % 3 + 1] || '_st/seed' || (o_custkey % 500) || '/downstream_ad/' AS folder, o_orderkey % 3 = 0 AS proposed,
+    folder || CASE WHEN o_orderkey % 3 = 0 THEN 'zero_target_full/' ELSE 'zero_target_baseline/' END || o_orderkey || '.json' AS path FROM orders),
+whole AS (SELECT * FROM p WHERE proposed AND k % 21 <> 0),
+folders AS (
+  SELECT folder, proposed FROM p
+  UNION ALL SELECT ['fr', 'sp', 'us'][c_custkey % 3 + 1] || '_st/seed' || (c_custkey % 700) || '/downstream_ad/', FALSE FROM customer)
+SELECT 'missing_metric_fields' AS kind, path,
+  concat_ws(', ', CASE WHEN k % 11 = 0 THEN 'status' END, CASE WHEN k % 9 = 0 THEN 'f1' END) AS detail FROM whole WHERE k % 11 = 0 OR k % 9 = 0
+UNION ALL SELECT 'variant_mismatch', path, 'wrong' FROM whole WHERE k % 15 = 0
+UNION ALL SELECT 'experiment_coordinate_mismatch', path, 'path and payload disagree' FROM whole WHERE k % 10 = 0 OR k % 14 = 0
+UNION ALL SELECT 'invalid_json', path, 'not a JSON object' FROM p WHERE k % 21 = 0
+UNION ALL SELECT 'missing_proposed_metrics', folder || 'zero_target_full/', 'seed has no normalized proposed result' FROM folders GROUP BY folder HAVING NOT bool_or(proposed)""")
+_sql("asset_grid", "", """
+WITH cells AS (SELECT * FROM (SELECT unnest(['fr', 'sp', 'us']) AS ds), (VALUES ('st', 'spring'), ('tt', 'night'), ('nt', 'multiple')) v(sc, env)),
+expected AS (
+  SELECT ds || '_' || env AS cell, 'train' AS name, ds || '/' || env || '/trn' AS path, TRUE AS required FROM cells
+  UNION ALL SELECT ds || '_' || env, 'test', ds || '/' || env || '/test', TRUE FROM cells
+  UNION ALL SELECT ds || '_' || env, 'spare', ds || '/' || env || '/spare', FALSE FROM cells
+  UNION ALL SELECT ds || '_' || env, 'other', ds || '_' || sc || '/other', TRUE FROM cells),
+files AS (
+  SELECT ['fr', 'us'][o_orderkey // 4 % 2 + 1] || '/' || ['spring', 'night'][o_custkey % 2 + 1] || '/' || ['trn', 'test', 'spare'][o_orderkey % 3 + 1] AS path, count(*) AS num_rows
+  FROM orders GROUP BY 1)
+SELECT e.cell, e.name, e.path, CASE WHEN f.path IS NOT NULL THEN 'ok' WHEN required THEN 'missing' ELSE 'optional_missing' END AS status, num_rows,
+  f.path IS NULL AND required AS reported_missing
+FROM expected e LEFT JOIN files f ON f.path = e.path""")
 _sql("stage_funnel", "ev tok filt prec cons", """
 SELECT 'zero_target_full' AS variant, count(*) AS before_filter, count(CASE WHEN kept THEN 1 END) AS after_filter,
   count(CASE WHEN kept AND exp((score - 1) / 2) >= 0.62 THEN 1 END) AS after_consistency
@@ -583,20 +645,35 @@ SELECT path FROM lin WHERE purpose = 'offline_generation_quality_evaluation' AND
 INTERSECT SELECT path FROM lin WHERE purpose = 'filtering' AND operation = 'read'""")
 
 # Files written from the tables and read back
-_sql("jsonl_scan", "ev", f"SELECT seq_id AS sequence_id, {_FLAT} AS sequence FROM ev GROUP BY 1")
+_sql("jsonl_scan", "ev", f"SELECT seq_id AS sequence_id, 0::INTEGER AS start, {_FLAT} AS sequence, CAST(NULL AS VARCHAR) AS problem FROM ev GROUP BY corpus_id, seq_id")
 _sql("vocabulary_scan", "ev", """
 SELECT DISTINCT device_id AS id, ['click', 'error', 'purchase', 'signup', 'view'][device_id + 1] AS name FROM ev""")
-_sql("corpus_scan", "ev", f"SELECT corpus_id, seq_id, {_FLAT} AS flat FROM ev GROUP BY 1, 2")
-_sql("prior_scan", "ev prec", """
-SELECT source, target, round(weight, 9) AS weight, 3 AS lag, 'existing_prior_json' AS provenance FROM prior ORDER BY prior.weight DESC, source, target LIMIT 10""")
-_sql("matrix_scan", "ev prec", """
-, ch AS (SELECT DISTINCT 'd:' || device_id AS c FROM ev)
-SELECT a.c AS source, b.c AS target, round(coalesce(p.weight, 0), 9) AS weight, 4 AS lag FROM ch a CROSS JOIN ch b LEFT JOIN prior p ON p.source = a.c AND p.target = b.c""")
+_sql("action_vocabulary", "ev", """
+SELECT DISTINCT action_id, device_name || ':' || action_id % 4 AS name, device_name, CASE WHEN device_id < 4 THEN device_id END AS device_id, action_id % 4 = 3 AS is_off
+FROM (SELECT action_id, device_id, coalesce(['click', 'error', 'purchase', 'signup'][device_id + 1], 'Nothing') AS device_name FROM ev)""")
+_sql("corpus_scan", "ev", f"SELECT corpus_id, seq_id, 0::INTEGER AS start, {_FLAT} AS flat FROM ev GROUP BY 1, 2")
+_DENSE = """
+, ch AS (SELECT DISTINCT corpus_id, 'd:' || device_id AS c FROM ev),
+cells AS (
+  SELECT a.corpus_id, a.c AS source, b.c AS target, coalesce(p.value, 0) AS weight FROM ch a JOIN ch b USING (corpus_id)
+  LEFT JOIN prec p ON p.corpus_id = a.corpus_id AND p.source = a.c AND p.target = b.c)
+SELECT corpus_id, 'cells' AS kind, source, target, round(weight, 9) AS weight, {lag} AS lag, '{name}' AS provenance FROM cells
+UNION ALL SELECT corpus_id, 'edges', source, target, round(weight, 9), {lag}, '{name}' FROM cells WHERE weight > 0 AND source <> target"""
+_sql("prior_scan", "ev prec", _DENSE.format(lag=3, name="existing_prior_json") + """ AND corpus_id = 'source'
+UNION ALL VALUES ('target', 'edges', 'd:1', 'd:4', 0.75, 3, 'existing_prior_json'), ('target', 'edges', 'd:2', 'd:4', 0.5, 3, 'existing_prior_json')""")
+_sql("matrix_scan", "ev prec", _DENSE.format(lag=4, name="prior_matrix_path"))
+_sql("mined_route", "ev prec", """
+, d AS (SELECT a.source, a.target, a.weight - coalesce(b.weight, 0) AS w FROM prior a LEFT JOIN prior b ON b.source = a.target AND b.target = a.source),
+n AS (SELECT source, target, w / (SELECT max(w) FROM d) AS w FROM d WHERE w > 0),
+cells AS (SELECT source, target, w FROM n WHERE w >= 0.001),
+best AS (SELECT * FROM cells ORDER BY w DESC, source, target LIMIT 5)
+SELECT 'cells' AS kind, source, target, round(w, 9) AS weight, 4 AS lag, 'mined_from_source' AS provenance FROM cells
+UNION ALL SELECT 'edges', source, target, round(w, 9), 4, 'mined_from_source' FROM best""")
 _sql("successor_scan", "ev steps_next", """
-, f AS (SELECT action_id AS action, next_action, count(*) AS n FROM nx WHERE next_action IS NOT NULL AND corpus_id = 'source' GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY n DESC, next_action) AS rank FROM f)
-SELECT 'source' AS context, a.action::VARCHAR AS action, r.next_action::VARCHAR AS next_action, r.n AS count, r.rank
-FROM (SELECT DISTINCT action_id AS action FROM ev WHERE corpus_id = 'source') a LEFT JOIN (SELECT * FROM r WHERE rank <= 5) r ON r.action = a.action""")
+, f AS (SELECT corpus_id, action_id AS action, next_action, count(*) AS n FROM nx WHERE next_action IS NOT NULL GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY corpus_id, action ORDER BY n DESC, next_action) AS rank FROM f)
+SELECT a.corpus_id AS context, a.action::VARCHAR AS action, r.next_action::VARCHAR AS next_action, r.n AS count, r.rank
+FROM (SELECT DISTINCT corpus_id, action_id AS action FROM ev) a LEFT JOIN (SELECT * FROM r WHERE rank <= 5) r ON r.corpus_id = a.corpus_id AND r.action = a.action""")
 _sql("metrics_scan", "met", "SELECT dataset, scenario, seed, variant, f1, train_size, run_dir || '/' || k || '.json' AS metrics_path FROM met")
 _sql("quality_scan", _QUALITY, f"SELECT 'baseline' AS variant, num_target_sequences, device_distribution_kl, causal_graph_similarity FROM ({_SUMMARY})")
 _sql("lineage_scan", "ev lin", "SELECT variant, stage, stage_order, purpose, event_index::BIGINT AS event_index, operation, path, target_normal, target_attack FROM lin")
@@ -604,4 +681,21 @@ _sql("loss_scan", "ev tok", """
 SELECT CAST(row_number() OVER (ORDER BY env, token, prev) - 1 AS INTEGER) AS row_index, count(*)::DOUBLE AS loss FROM tok GROUP BY env, token, prev""")
 _sql("csv_sink", "met", "SELECT dataset, scenario, seed, variant, train_size, NULL::VARCHAR AS not_there FROM kept")
 _sql("json_sink", "", "SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN value END AS value FROM events")
-_sql("snapshot_difference", "", "SELECT '' AS path, 0::BIGINT AS size, '' AS sha256, '' AS side FROM events WHERE FALSE")
+def _files(name, rows, device, action):
+    """Inventory of one text file per device: its actions with their counts."""
+    return f"""{name} AS (
+  SELECT 'device_id=' || d AS path, strlen(t) AS size, sha256(t) AS sha256
+  FROM (SELECT d, string_agg(a || ':' || n, ' ' ORDER BY a) || chr(10) AS t FROM (SELECT {device} AS d, {action} AS a, count(*) AS n FROM {rows} GROUP BY 1, 2) GROUP BY d))"""
+
+
+_MANIFEST = ", " + _files("files", "ev", "device_id", "action_id")
+_sql("file_manifest", "ev", _MANIFEST + " SELECT * FROM files")
+_sql("manifest_digest", "ev", _MANIFEST + """,
+grouped AS (
+  SELECT substr(md5(path), 1, 3) AS g, count(*) AS n, sha256(string_agg(path || '|' || size || '|' || sha256, chr(10) ORDER BY path || '|' || size || '|' || sha256)) AS digest
+  FROM files GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS file_count, sha256(string_agg(digest, chr(10) ORDER BY g)) AS manifest_sha256 FROM grouped""")
+_sql("snapshot_difference", "ev known", ", " + _files("before", "known", "k", "4 * k + verb") + ",\n"
+     + _files("after", "(SELECT * FROM ev WHERE device_id <> 1 OR corpus_id = 'source')", "device_id", "action_id") + """
+SELECT *, 'before' AS side FROM (SELECT * FROM before EXCEPT SELECT * FROM after)
+UNION ALL SELECT *, 'after' FROM (SELECT * FROM after EXCEPT SELECT * FROM before)""")
\ No newline at end of file

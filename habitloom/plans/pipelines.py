@@ -18,7 +18,7 @@ from habitloom.session import materialize
 
 def generation_hints(
     source_events: DataFrame, prior: DataFrame, target_events: DataFrame = None, *, guard=None,
-    lambda_causal=1.0, mode="multiplicative", add_causal_edges=False, top_k=50,
+    lambda_causal=1.0, mode="multiplicative", add_causal_edges=False, top_k=None,
 ) -> DataFrame:
     """Fuse the source transition graph with influence edges.
 

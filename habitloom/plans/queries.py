@@ -1,5 +1,6 @@
 """Registered queries: one per operator, over the given tables."""
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def sequences_from_events(spark, sf_dir):
 @query
 def flat_sequences(spark, sf_dir):
     rows = sequences.events_to_flat(inputs.events(spark, sf_dir))
-    return rows.select(*SEQ, "part", F.array_join("flat", ",").alias("flat"))
+    return rows.select(*SEQ, "start", F.array_join("flat", ",").alias("flat"))
 
 
 @query
@@ -46,6 +47,36 @@ def flatten_roundtrip(spark, sf_dir):
     return sequences.flat_to_events(sequences.events_to_flat(inputs.events(spark, sf_dir))).select(*EVENT_COLUMNS)
 
 
+@query
+def flatten_parts(spark, sf_dir):
+    """The round trip in rows of three events, by way of files, from events numbered per second."""
+    path = _folder(spark, "parts")
+    corpora.write_corpus(sequences.events_to_flat(inputs.events(spark, sf_dir, per_second=True), part_events=3), path)
+    return sequences.flat_to_events(corpora.read_corpus(spark, path)).select(*EVENT_COLUMNS)
+
+
+@query
+def pair_counts_by_part(spark, sf_dir):
+    """Ordered pairs and neighbours from the plans for long sequences."""
+    rows = inputs.events(spark, sf_dir, per_second=True)
+    pairs = sequences.ordered_pair_counts(rows, part_events=2).select(
+        *SEQ, F.lit("ordered").alias("kind"), "source", "target", F.col("n_pairs").alias("n")).where("n > 0")
+    near = sequences.with_neighbour(rows, 1, 2, _next="device_id").where("_next IS NOT NULL")
+    return pairs.unionByName(near.groupBy(*SEQ, F.col("device_id").alias("source"), F.col("_next").alias("target")).agg(
+        F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("adjacent")))
+
+
+@query
+def hourly_corpora(spark, sf_dir):
+    """Graph sizes and start counts where a day falls into several corpora and some device names are unknown."""
+    rows = inputs.events(spark, sf_dir, devices=inputs.DEVICES[:3], corpus_id=F.when(F.hour("ts") < 12, "morning").otherwise("evening"))
+    detector = detect.Detector("device", "device_id", 4)
+    starts = detect.token_steps(rows, [detector]).groupBy("corpus_id").agg(
+        F.count_if(F.col("prev") == detect.START).alias("num_starts"), F.count_if(F.col("prev") == -1).alias("num_after_unknown"))
+    lengths = descriptive.event_length_histogram(rows).groupBy("corpus_id").agg(F.max("length").alias("longest"))
+    return descriptive.graph_size(rows).join(starts, "corpus_id").join(lengths, "corpus_id")
+
+
 @query
 def id_lists(spark, sf_dir):
     rows = sequences.id_lists(inputs.events(spark, sf_dir))
@@ -92,11 +123,10 @@ def canonical_keys(spark, sf_dir):
 
 @query
 def pad_truncate(spark, sf_dir):
-    rows = sequences.events_to_flat(inputs.events(spark, sf_dir))
-    padded = c.pad_or_truncate("flat", 21)
+    rows = sequences.padded_lists(inputs.events(spark, sf_dir), 21)
     return rows.select(
-        *SEQ, F.array_join(padded, ",").alias("padded"),
-        F.size(F.filter(padded, lambda x: x != 20)).alias("num_unmasked"),
+        *SEQ, F.array_join("padded", ",").alias("padded"),
+        F.size(F.filter("padded", lambda x: x != 20)).alias("num_unmasked"),
     )
 
 
@@ -126,8 +156,9 @@ def graph_size(spark, sf_dir):
 
 @query
 def transition_matrix_dense(spark, sf_dir):
-    rows = inputs.events(spark, sf_dir)
-    listed = inputs.channels(rows).where(F.col("channel") != "d:3")
+    """Unknown device names have no channel; the list is that of the known ones."""
+    rows = inputs.events(spark, sf_dir, devices=inputs.DEVICES[:3])
+    listed = spark.createDataFrame([(f"d:{i}",) for i in range(3)], "channel string")
     matrix = descriptive.transition_matrix(rows, listed)
     return rounded(descriptive.densify(matrix, listed, ["source", "target"]), "value")
 
@@ -209,7 +240,7 @@ def case_study_matrices(spark, sf_dir):
 @query
 def tv_penalty(spark, sf_dir):
     rows = inputs.events(spark, sf_dir)
-    penalty = compare.distribution_penalty(inputs.only(rows, "source"), inputs.shares(rows, "target"))
+    penalty = compare.distribution_penalty(rows, inputs.shares(rows, "target"))
     return rounded(penalty, "distribution_penalty")
 
 
@@ -303,10 +334,13 @@ def guard_counts(spark, sf_dir):
     return edges.guard_counts(_guarded(spark, sf_dir, endpoint_policy="both"))
 
 
-def _fused(spark, sf_dir, **options):
+def _fused(spark, sf_dir, causal=None, **options):
+    """The source graph over three known device names, and influence over all five: ends are missing on both sides."""
     rows = inputs.only(inputs.events(spark, sf_dir), "source")
-    causal = materialize(inputs.prior(rows).withColumn("lag", F.lit(4)), "prior")
-    graph = materialize(descriptive.transition_graph(rows).where(F.col("source_device") != 3), "graph")
+    known = inputs.only(inputs.events(spark, sf_dir, devices=inputs.DEVICES[:3]), "source")
+    if causal is None:
+        causal = materialize(inputs.prior(rows).withColumn("lag", F.lit(4)), "prior")
+    graph = materialize(descriptive.transition_graph(known), "graph")
     return edges.fuse_edges(graph, causal, lambda_causal=0.5, **options), graph, causal
 
 
@@ -318,7 +352,7 @@ _FUSED_NUMBERS = (
 
 @query
 def fuse_multiplicative(spark, sf_dir):
-    return rounded(_fused(spark, sf_dir, mode="multiplicative", add_causal_edges=True, top_k=0)[0], *_FUSED_NUMBERS)
+    return rounded(_fused(spark, sf_dir, mode="multiplicative", add_causal_edges=True)[0], *_FUSED_NUMBERS)
 
 
 @query
@@ -328,16 +362,34 @@ def fuse_additive(spark, sf_dir):
 
 @query
 def fuse_summary(spark, sf_dir):
-    fused, graph, causal = _fused(spark, sf_dir, add_causal_edges=True, top_k=0)
+    fused, graph, causal = _fused(spark, sf_dir, add_causal_edges=True)
     return rounded(edges.fusion_summary(fused, graph, causal), "avg_causal_strength")
 
 
+@query
+def fuse_unclean(spark, sf_dir):
+    """Influence edges with unknown ends, repeated pairs and weaker copies give what the clean ones give."""
+    rows = inputs.only(inputs.events(spark, sf_dir), "source")
+    clean = materialize(inputs.prior(rows).withColumn("lag", F.lit(4)), "prior")
+    weaker = clean.withColumns({"weight": F.col("weight") / 2, "lag": F.lit(3)})
+    nowhere = clean.withColumns({"source": F.lit(None).cast("string"), "weight": F.col("weight") * 9})
+    causal = clean.unionByName(weaker).unionByName(clean).unionByName(nowhere)
+    return rounded(_fused(spark, sf_dir, causal, mode="multiplicative", add_causal_edges=True)[0], *_FUSED_NUMBERS)
+
+
+@query
+def hints_source_only(spark, sf_dir):
+    rows = inputs.only(inputs.events(spark, sf_dir), "source")
+    hints = pipelines.generation_hints(rows, materialize(inputs.prior(rows), "prior"))
+    return rounded(hints.select("source_device_key", "target_device_key", "count", *_FUSED_NUMBERS), *_FUSED_NUMBERS)
+
+
 @query
 def hints_target_assisted(spark, sf_dir):
     rows = inputs.events(spark, sf_dir)
     hints = pipelines.generation_hints(
         inputs.only(rows, "source"), inputs.prior(rows), inputs.only(rows, "target"),
-        guard={"max_overuse_ratio": 1.0, "mode": "downweight"}, top_k=0,
+        guard={"max_overuse_ratio": 1.0, "mode": "downweight"},
     )
     return rounded(hints.select("source_device_key", "target_device_key", "count", *_FUSED_NUMBERS), *_FUSED_NUMBERS)
 
@@ -367,10 +419,17 @@ def consistency_summary(spark, sf_dir):
     return rounded(summary, *[x for x in summary.columns if x.endswith("score")])
 
 
+@query
+def guarded_scoring(spark, sf_dir):
+    """Consistency without the edges that the guard has weakened."""
+    edges_left = refine.scoring_edges(_guarded(spark, sf_dir, mode="downweight"))
+    return rounded(refine.consistency(inputs.events(spark, sf_dir), edges_left), "causal_consistency_score")
+
+
 def _scores(spark, sf_dir):
     rows = inputs.events(spark, sf_dir)
     return refine.sequence_scores(
-        inputs.only(rows, "source"), _scoring_edges(rows), inputs.shares(rows, "target"), inputs.losses(inputs.only(rows, "source")),
+        rows, _scoring_edges(rows), inputs.shares(rows, "target"), inputs.losses(rows),
         alpha_rec=0.5, beta_inconsistency=1.5, gamma_dist=0.8, temperature=2.0,
     )
 
@@ -462,8 +521,7 @@ def iqr_outliers(spark, sf_dir):
 
 @query
 def utility_readmission(spark, sf_dir):
-    rows = inputs.only(inputs.events(spark, sf_dir), "source")
-    filtered = pipelines.filter_corpus(rows, inputs.DETECTORS[2])
+    filtered = pipelines.filter_corpus(inputs.events(spark, sf_dir), inputs.DETECTORS[2])
     return rounded(filtered.select(*SEQ, "is_outlier", "readmit", "kept", "loss_change"), "loss_change")
 
 
@@ -480,6 +538,26 @@ def labelled_test(spark, sf_dir):
     return inputs.attacked(inputs.events(spark, sf_dir)).select("env", "label", *EVENT_COLUMNS)
 
 
+@query
+def labelled_rows(spark, sf_dir):
+    """Normal rows and attack rows stored apart and read as one labelled test set."""
+    normal, attack = _folder(spark, "normal"), _folder(spark, "attack")
+    rows = inputs.attacked(inputs.events(spark, sf_dir)).where(F.col("env") == "night")
+    flat = sequences.events_to_flat(rows, keep=["label"]).select("seq_id", "flat", "label")
+    flat.where("label = 0").select("seq_id", "flat", F.lit(7).alias("label")).write.parquet(normal)
+    flat.where("label = 1").write.parquet(attack)
+    stored = corpora.read_labelled(spark, normal, attack).withColumn("way", F.lit("stored"))
+    tables = corpora.labelled(flat.where("label = 0").drop("label"), flat.where("label = 1").drop("label")).withColumn("way", F.lit("tables"))
+    return stored.unionByName(tables).select("way", "seq_id", F.array_join("flat", ",").alias("flat"), "label")
+
+
+@query
+def flat_detector_tokens(spark, sf_dir):
+    """A detector over whole events, 12 numbers of each sequence."""
+    detector = detect.Detector("filter", detect.FLAT, 40, max_tokens=12)
+    return detect.token_steps(inputs.events(spark, sf_dir), [detector]).select("env", *SEQ, "pos", "prev", "token")
+
+
 @query
 def anomaly_eval(spark, sf_dir):
     rows = inputs.events(spark, sf_dir)
@@ -558,19 +636,65 @@ def normalized_metrics(spark, sf_dir):
         *[F.lit(None).cast("double").alias(x) for x in ("precision", "recall", "f1", "accuracy")],
         F.col("o_totalprice").alias("threshold"),
     )
+    sizes = {
+        "train_size": key % 100, "vld_size": key % 50, "test_size": key % 25, "synthetic_size": key % 1000, "current_size": key % 90,
+        "filtered_size": F.when(key % 4 == 0, key % 80), "report_before": key % 200, "report_after": key % 150,
+    }
+    payloads = payloads.join(inputs.table(spark, sf_dir, "orders").select(
+        key.alias("seed"), F.concat(F.lit("runs/"), key.cast("string")).alias("run_dir"), F.lit("cpu").alias("device"),
+        F.when(key % 3 == 0, "own").alias("generator"), *[x.alias(name) for name, x in sizes.items()],
+    ), "seed")
     rows = reporting.normalized_metrics(payloads, detect.cell_parameters(spark))
-    return rounded(rows.select("status", "dataset", "scenario", "seed", "variant", "env", "fpr", "fnr", "threshold", "threshold_source"), "fpr", "fnr")
+    return rounded(rows.select(
+        "status", "dataset", "scenario", "seed", "variant", "env", "fpr", "fnr", "threshold", "threshold_source", "train_size", "validation_size",
+        "test_size", "generated_size", "device", "requested_device", "metrics_path", "generator", "generation_model", "manual_generation",
+        "input_stage", "used_causal_gss", "used_causal_tof", "num_generated_before_tof", "num_generated_after_gen_tof", "num_generated_after_causal_tof",
+    ).withColumn("requested_device", F.col("requested_device").cast("string")), "fpr", "fnr")
+
+
+@query
+def provenance(spark, sf_dir):
+    """Every third run has a generation report beside it."""
+    runs = inputs.metric_rows(spark, sf_dir).select(F.regexp_replace("file_path", r"\.json$", "").alias("run_dir"), "dataset")
+    number = F.regexp_extract("run_dir", r"(\d+)$", 1).cast("bigint")
+    found = runs.where(number % 3 == 0).select(
+        "run_dir", F.lit("replay").alias("generator"), F.when(number % 2 == 0, "m1").alias("generation_model"), F.lit(False).alias("manual_generation"))
+    return reporting.with_provenance(runs, found)
 
 
 @query
 def result_integrity(spark, sf_dir):
-    return reporting.result_issues(inputs.placed_results(spark, sf_dir))
+    """Some documents can't be read; customers without an order are seed folders without any result."""
+    results = inputs.placed_results(spark, sf_dir)
+    key = F.regexp_extract("path", r"(\d+)\.json$", 1).cast("bigint")
+    results = results.withColumn("_corrupt_record", F.when(key % 21 == 0, F.lit("{")))
+    folders = inputs.table(spark, sf_dir, "customer").select(
+        F.concat(F.get(F.array(*[F.lit(d) for d in reporting.DATASETS]), (F.col("c_custkey") % 3).cast("int")), F.lit("_st")).alias("cell"),
+        (F.col("c_custkey") % 700).alias("seed"))
+    return reporting.result_issues(results, folders)
+
+
+@query
+def asset_grid(spark, sf_dir):
+    """Which of the files that the nine cells need exist: here, one per dataset and environment of the orders."""
+    templates = {
+        "train": ("{dataset}/{env}/trn", True), "test": ("{dataset}/{env}/test", True), "spare": ("{dataset}/{env}/spare", False),
+        "other": ("{dataset}_{scenario}/other", True),
+    }
+    key = F.col("o_orderkey")
+    kind = F.get(F.array(F.lit("trn"), F.lit("test"), F.lit("spare")), (key % 3).cast("int"))
+    env = F.get(F.array(F.lit("spring"), F.lit("night")), (F.col("o_custkey") % 2).cast("int"))
+    dataset = F.get(F.array(F.lit("fr"), F.lit("us")), (F.floor(key / 4) % 2).cast("int"))
+    files = inputs.table(spark, sf_dir, "orders").groupBy(F.concat_ws("/", dataset, env, kind).alias("path")).agg(F.count(F.lit(1)).alias("num_rows"))
+    expected = reporting.expected_assets(spark, templates)
+    absent = reporting.missing_assets(files, expected.where("required")).select("path", F.lit(True).alias("reported_missing"))
+    return reporting.asset_report(files, expected).join(absent, "path", "left").fillna(False, ["reported_missing"])
 
 
 @query
 def stage_funnel(spark, sf_dir):
     """Corpus sizes before the filter, after it, and after the consistency filter."""
-    rows = inputs.only(inputs.events(spark, sf_dir), "source")
+    rows = inputs.events(spark, sf_dir)
     filtered = pipelines.filter_corpus(rows, inputs.DETECTORS[2]).select(*SEQ, "kept")
     scored = refine.decide(refine.sequence_scores(rows, _scoring_edges(rows), gamma_dist=0.0), "filter", min_weight=0.62)
     both = filtered.join(scored.select(*SEQ, "decision"), list(SEQ))
@@ -639,8 +763,8 @@ def _folder(spark, label):
 def jsonl_scan(spark, sf_dir):
     path = _folder(spark, "generated")
     rows = sequences.events_to_flat(inputs.events(spark, sf_dir))
-    rows.select(F.col("seq_id").alias("sequence_id"), F.col("flat").alias("sequence"), F.lit("").alias("notes")).write.json(path)
-    return corpora.read_generated(spark, path).select("sequence_id", F.array_join("sequence", ",").alias("sequence"))
+    rows.select(F.col("seq_id").alias("sequence_id"), "start", F.col("flat").alias("sequence"), F.lit("").alias("notes")).write.json(path)
+    return corpora.read_generated(spark, path).select("sequence_id", "start", F.array_join("sequence", ",").alias("sequence"), "problem")
 
 
 @query
@@ -654,53 +778,95 @@ def vocabulary_scan(spark, sf_dir):
     return vocabulary.read_id_names(spark, path, "devices")
 
 
+@query
+def action_vocabulary(spark, sf_dir):
+    """Action names of the log with their devices; each device's last action is listed as one that switches off."""
+    names = F.array(*[F.lit(name) for name in inputs.DEVICES[:4]])
+    met = inputs.events(spark, sf_dir).select("device_id", "action_id").distinct()
+    device = F.coalesce(F.get(names, F.col("device_id")), F.lit("Nothing"))
+    actions = met.select(F.col("action_id").alias("id"), F.concat_ws(":", device, F.col("action_id") % 4).alias("name"))
+    devices = spark.createDataFrame(list(enumerate(inputs.DEVICES[:4])), "id int, name string")
+    return vocabulary.action_table(actions, devices, actions.where(F.col("name").endswith(":3")).select("name"))
+
+
 @query
 def corpus_scan(spark, sf_dir):
     path = _folder(spark, "corpus")
     corpora.write_corpus(sequences.events_to_flat(inputs.events(spark, sf_dir)), path)
-    return corpora.read_corpus(spark, path).select(*SEQ, F.array_join("flat", ",").alias("flat"))
+    return corpora.read_corpus(spark, path).select(*SEQ, "start", F.array_join("flat", ",").alias("flat"))
 
 
-def _matrix_text(spark, sf_dir, path, fields):
-    """Write the dense source precedence matrix as one JSON document."""
-    rows = inputs.only(inputs.events(spark, sf_dir), "source")
+def _matrix_text(rows, path, fields=(), as_csv=False):
+    """Write the dense precedence matrix of ``rows``, one corpus, as one JSON or CSV document."""
+    corpus = "all"
+    rows = rows.withColumn("corpus_id", F.lit(corpus))
     listed = inputs.channels(rows)
-    dense = descriptive.densify(descriptive.precedence_matrix(rows), listed, ["source"])
+    dense = descriptive.densify(descriptive.precedence_matrix(rows), listed, [corpus])
     by_row = dense.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("target", "value"))), lambda x: x["value"]).alias("row"))
     matrix = by_row.agg(F.transform(F.sort_array(F.collect_list(F.struct("source", "row"))), lambda x: x["row"]).alias("matrix"))
-    document = matrix.select(F.to_json(F.struct("matrix", *fields)).alias("value")) if fields else matrix.select(F.to_json("matrix").alias("value"))
-    document.coalesce(1).write.text(path)
+    if as_csv:
+        text = F.array_join(F.transform("matrix", lambda row: F.array_join(F.transform(row, lambda x: x.cast("string")), ",")), "\n")
+    else:
+        text = F.to_json(F.struct("matrix", *fields)) if fields else F.to_json("matrix")
+    matrix.select(text.alias("value")).coalesce(1).write.text(path)
 
 
 @query
 def prior_scan(spark, sf_dir):
-    path = _folder(spark, "prior")
-    names = F.array(*[F.lit(f"d:{i}") for i in range(5)])
-    _matrix_text(spark, sf_dir, path, [names.alias("channel_to_key"), F.lit(3).alias("lag")])
-    found = priors.resolve_prior(spark, prior_path=path, k=10)
-    return rounded(found, "weight")
+    """Both halves as prior documents; that of the target lists its own strongest edges, by name and by number."""
+    rows, found = inputs.events(spark, sf_dir), []
+    names = F.array(*[F.lit(f"d:{i}") for i in range(5)]).alias("channel_to_key")
+    own = F.array(*[F.struct(
+        F.lit(source).alias("source"), F.lit(index).cast("int").alias("source_index"), F.lit("d:4").alias("target"), F.lit(weight).alias("raw_weight"),
+    ) for source, index, weight in (("d:1", None, 0.75), ("", 2, 0.5))]).alias("top_causal_edges")
+    for corpus in ("source", "target"):
+        path = _folder(spark, "prior")
+        _matrix_text(inputs.only(rows, corpus), path, [names, F.lit(3).alias("lag"), *([own] if corpus == "target" else [])])
+        prior = priors.resolve_prior(spark, prior_path=path)
+        for kind in ("cells", "edges"):
+            found.append(getattr(prior, kind).select(F.lit(corpus).alias("corpus_id"), F.lit(kind).alias("kind"), "*"))
+    return rounded(functools.reduce(lambda a, b: a.unionByName(b), found), "weight")
 
 
 @query
 def matrix_scan(spark, sf_dir):
-    path = _folder(spark, "matrix") + ".json"
-    _matrix_text(spark, sf_dir, path, [])
-    return rounded(priors.read_matrix(spark, path).select("source", "target", "weight", "lag"), "weight")
+    """Both halves as bare matrices, one in JSON and one in CSV, resolved to priors."""
+    rows, found = inputs.events(spark, sf_dir), []
+    for corpus, end in (("source", ".json"), ("target", ".csv")):
+        path = _folder(spark, "matrix") + end
+        _matrix_text(inputs.only(rows, corpus), path, as_csv=end == ".csv")
+        prior = priors.resolve_prior(spark, matrix_path=path)
+        found += [getattr(prior, kind).select(F.lit(corpus).alias("corpus_id"), F.lit(kind).alias("kind"), "*") for kind in ("cells", "edges")]
+    return rounded(functools.reduce(lambda a, b: a.unionByName(b), found), "weight")
+
+
+@query
+def mined_route(spark, sf_dir):
+    """A prior from source events by a miner given by the caller, its five strongest edges as the top ones."""
+    def miner(events, level, lag, sparse_threshold):
+        return edges.sparsify(inputs.prior(events), sparse_threshold)
+
+    prior = priors.resolve_prior(spark, source_events=inputs.events(spark, sf_dir), miner=miner, k=5)
+    both = prior.cells.withColumn("kind", F.lit("cells")).unionByName(prior.edges.withColumn("kind", F.lit("edges")))
+    return rounded(both, "weight")
 
 
 @query
 def successor_scan(spark, sf_dir):
-    path = _folder(spark, "successors")
-    top = descriptive.top_successors(inputs.only(inputs.events(spark, sf_dir), "source"))
-    follower = F.when(F.col("next_action").isNotNull(), F.struct(F.col("rank"), F.col("next_action").cast("string").alias("next_action"), F.col("count")))
-    entries = top.groupBy("action").agg(F.sort_array(F.collect_list(follower)).alias("_f")).select(
-        F.struct(
-            F.col("action").cast("string"),
-            F.struct(F.lit("most common next actions").alias("message"), F.transform("_f", lambda x: F.struct(x["next_action"].alias("next_action"), x["count"].alias("count"))).alias("transitions")),
-        ).alias("_e")
-    )
-    entries.agg(F.to_json(F.map_from_entries(F.collect_list("_e"))).alias("value")).coalesce(1).write.text(path)
-    return whole_numbers(priors.read_successors(spark, path, "source"), "rank")
+    found = []
+    for corpus in ("source", "target"):
+        path = _folder(spark, "successors")
+        top = descriptive.top_successors(inputs.only(inputs.events(spark, sf_dir), corpus))
+        follower = F.when(F.col("next_action").isNotNull(), F.struct(F.col("rank"), F.col("next_action").cast("string").alias("next_action"), F.col("count")))
+        entries = top.groupBy("action").agg(F.sort_array(F.collect_list(follower)).alias("_f")).select(
+            F.struct(
+                F.col("action").cast("string"),
+                F.struct(F.lit("most common next actions").alias("message"), F.transform("_f", lambda x: F.struct(x["next_action"].alias("next_action"), x["count"].alias("count"))).alias("transitions")),
+            ).alias("_e")
+        )
+        entries.agg(F.to_json(F.map_from_entries(F.collect_list("_e"))).alias("value")).coalesce(1).write.text(path)
+        found.append(whole_numbers(priors.read_successors(spark, path, corpus), "rank"))
+    return found[0].unionByName(found[1])
 
 
 @query
@@ -758,18 +924,37 @@ def json_sink(spark, sf_dir):
     return spark.read.schema("event_id bigint, value double").json(path)
 
 
+def _texts(rows, path):
+    """One small text file per device: how often each of its actions was met, in order."""
+    counts = rows.groupBy("device_id", "action_id").agg(F.count(F.lit(1)).alias("n"))
+    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("action_id", "n"))), lambda x: F.concat_ws(":", x["action_id"], x["n"])), " ")
+    counts.groupBy("device_id").agg(line.alias("value")).coalesce(1).write.partitionBy("device_id").text(path)
+
+
+def _inventory(spark, path):
+    """The files of ``_texts`` under their folder's name: Spark gives the files themselves new names each time."""
+    return reports.file_inventory(spark, path).withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+
+
 @query
 def file_manifest(spark, sf_dir):
-    """Inventory of a corpus written from the tables; contents are compressed, so only counts are stable."""
     path = _folder(spark, "manifest")
-    corpora.write_corpus(sequences.events_to_flat(inputs.events(spark, sf_dir)), path)
-    inventory = reports.file_inventory(spark, path)
-    return inventory.withColumn("corpus_id", F.regexp_extract("path", r"corpus_id=([^/]+)/", 1)).where(F.col("corpus_id") != "")
+    _texts(inputs.events(spark, sf_dir), path)
+    return _inventory(spark, path)
+
+
+@query
+def manifest_digest(spark, sf_dir):
+    path = _folder(spark, "manifest")
+    _texts(inputs.events(spark, sf_dir), path)
+    return reports.manifest_digest(_inventory(spark, path))
 
 
 @query
 def snapshot_difference(spark, sf_dir):
-    path = _folder(spark, "snapshot")
-    corpora.write_corpus(sequences.events_to_flat(inputs.events(spark, sf_dir)), path)
-    before, after = reports.file_inventory(spark, path), reports.file_inventory(spark, path)
-    return lineage.manifest_differences(before, after)
+    """Before, three device names are known, later all five: files change, come and go; the click file stays."""
+    before, after = _folder(spark, "before"), _folder(spark, "after")
+    rows = inputs.events(spark, sf_dir)
+    _texts(inputs.events(spark, sf_dir, devices=inputs.DEVICES[:3]), before)
+    _texts(rows.where((F.col("device_id") != 1) | (F.col("corpus_id") == "source")), after)
+    return lineage.manifest_differences(_inventory(spark, before), _inventory(spark, after))

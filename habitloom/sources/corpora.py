@@ -3,18 +3,13 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from habitloom.model import CORPUS_SCHEMA, LABELLED_SCHEMA
-from habitloom.operators.sequences import mark_long
 
-GENERATED_SCHEMA = T.StructType([
-    T.StructField("sequence_id", T.StringType()),
-    T.StructField("sequence", T.ArrayType(T.IntegerType())),
-    T.StructField("notes", T.StringType()),
-])
+LINE_SCHEMA = "sequence_id string, sequence string, start int, notes string"
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Flat sequences ``(corpus_id, seq_id, flat)`` from parquet."""
-    return spark.read.schema(CORPUS_SCHEMA).parquet(path)
+    """Flat sequences ``(corpus_id, seq_id, start, flat)`` from parquet; files without ``start`` hold whole sequences."""
+    return spark.read.schema(CORPUS_SCHEMA).parquet(path).fillna(0, ["start"])
 
 
 def read_labelled(spark: SparkSession, normal_path: str, attack_path: str) -> DataFrame:
@@ -28,17 +23,43 @@ def labelled(normal: DataFrame, attack: DataFrame) -> DataFrame:
     return normal.withColumn("label", F.lit(0)).unionByName(attack.withColumn("label", F.lit(1)))
 
 
-def read_generated(spark: SparkSession, path: str, strict=False) -> DataFrame:
-    """Line-delimited JSON ``{sequence_id, sequence, notes}``; blank lines are skipped.
+def read_generated(spark: SparkSession, path: str) -> DataFrame:
+    """Line-delimited JSON ``{sequence_id, sequence, start, notes}``; blank lines are skipped.
 
-    A line that is not JSON, or whose sequence is not a list of integers, fails
-    the job when ``strict``; otherwise it comes with the text in
-    ``_corrupt_record``.
+    ``(sequence_id, start, sequence, notes, problem, file_path, line)``.
+    ``problem`` is null for a list of whole numbers, else it is what the
+    validator reports: ``missing_sequence``, ``sequence_not_list:<type>`` or
+    ``non_integer_value:<value>``, or ``invalid_json`` for a line that can't be
+    read at all; ``line`` then holds its text. Numbers with a fraction are cut
+    towards zero, and whole numbers in text are read.
     """
-    if strict:
-        return spark.read.schema(GENERATED_SCHEMA).option("mode", "FAILFAST").json(path)
-    schema = T.StructType([*GENERATED_SCHEMA.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+    text = spark.read.text(path).where(F.trim("value") != "").select(
+        F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file_path"))
+    parsed = text.withColumn("_object", F.from_json("line", LINE_SCHEMA)).withColumn(
+        "_valid", F.coalesce(F.get_json_object("line", "$").startswith("{"), F.lit(False)))
+    raw = F.col("_object.sequence")
+    items = F.from_json(raw, "array<string>")
+    number = lambda x: F.coalesce(x.try_cast("int"), F.when(~x.rlike("[a-zA-Z]"), x.try_cast("double").try_cast("int")))
+    odd = F.filter(items, lambda x: number(x).isNull())
+    is_list = F.coalesce(raw.startswith("["), F.lit(False))
+    kind = F.when(raw.startswith("{"), "dict").when(raw.isin("true", "false"), "bool") \
+        .when(F.get_json_object("line", "$").rlike('"sequence"\\s*:\\s*"'), "str").when(raw.rlike(r"^-?[0-9]+$"), "int").otherwise("float")
+    problem = (
+        F.when(~F.col("_valid"), "invalid_json").when(raw.isNull(), "missing_sequence")
+        .when(~is_list, F.concat(F.lit("sequence_not_list:"), kind))
+        .when(F.size(odd) > 0, F.concat(F.lit("non_integer_value:"), F.coalesce(F.get(odd, F.lit(0)), F.lit("null"))))
+    )
+    return parsed.select(
+        F.col("_object.sequence_id").alias("sequence_id"), F.coalesce("_object.start", F.lit(0)).alias("start"),
+        F.when(problem.isNull(), F.transform(items, number)).alias("sequence"), F.col("_object.notes").alias("notes"),
+        problem.alias("problem"), "file_path", F.when(problem == "invalid_json", F.col("line")).alias("line"))
+
+
+def require_readable(generated: DataFrame) -> None:
+    """Fail on the first line of ``read_generated`` that is not JSON, naming its file and text; looks at one row only."""
+    found = generated.where(F.col("problem") == "invalid_json").select("file_path", "line").head(1)
+    if found:
+        raise ValueError(f"invalid JSON in {found[0].file_path}: {found[0].line[:200]}")
 
 
 def read_losses(spark: SparkSession, path: str) -> DataFrame:
@@ -60,21 +81,19 @@ def read_losses(spark: SparkSession, path: str) -> DataFrame:
 
 def write_corpus(corpus: DataFrame, path: str) -> None:
     """Flat sequences as parquet, one directory per corpus."""
+    if "start" not in corpus.columns:
+        corpus = corpus.withColumn("start", F.lit(0))
     corpus.select(*CORPUS_SCHEMA.names).write.mode("errorifexists").partitionBy("corpus_id").parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical events from parquet; long sequences are marked."""
-    return mark_long(spark.read.parquet(path))
+    """Canonical events from parquet."""
+    return spark.read.parquet(path)
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Canonical events as parquet, clustered so that a sequence lies in one file.
-
-    Files are sorted by sequence and position: the row-group statistics then
-    let operators find long sequences from ``pos`` alone.
-    """
+    """Canonical events as parquet, clustered so that a sequence lies in one file, in order."""
     (
-        events.drop("is_long").repartition("corpus_id", "seq_id").sortWithinPartitions("corpus_id", "seq_id", "pos")
+        events.repartition("corpus_id", "seq_id").sortWithinPartitions("corpus_id", "seq_id", "pos")
         .write.mode("errorifexists").parquet(path)
     )

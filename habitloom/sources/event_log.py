@@ -2,72 +2,46 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from habitloom.model import EVENT_COLUMNS, HOURS_PER_SLOT, LONG_SEQUENCE_EVENTS
-from habitloom.session import materialize
+from habitloom.model import EVENT_COLUMNS, HOURS_PER_SLOT, SEQ
 
 
 def sequences_from_log(
-    log: DataFrame, *, entity, ts, tie, device_id, action_id, corpus_id=None,
-    long_after=LONG_SEQUENCE_EVENTS,
+    log: DataFrame, *, entity, ts, tie, device_id, action_id, corpus_id=None, per_second=False,
 ) -> DataFrame:
-    """One sequence per entity and calendar day, ordered by ``ts`` then ``tie``.
+    """One sequence per corpus, entity and calendar day, ordered by ``ts`` then ``tie``.
 
     ``device_id``, ``action_id`` and ``corpus_id`` are columns over the log.
-    Sequences are numbered by one window over one shuffle on ``seq_id``, which
-    later per-sequence operators reuse. A sequence with more than
-    ``long_after`` events would overload a task: if there is any, its events
-    are numbered per second of the day and shifted by the count of earlier
-    seconds, and the result has the column ``is_long``.
+    Sequences are numbered by one window over one shuffle, which later
+    per-sequence operators reuse. Where an entity may have more events a day
+    than a task should sort, ``per_second`` numbers the events of each second
+    and shifts them by the counts of earlier seconds: the same table from a
+    plan with one more shuffle. Which plan runs is the caller's word, never
+    the data's size.
     """
-    seq_id = F.concat_ws(":", F.col(entity).cast("string"), F.to_date(ts).cast("string"))
     rows = log.select(
         (F.lit("all") if corpus_id is None else corpus_id).alias("corpus_id"),
-        seq_id.alias("seq_id"),
+        F.concat_ws(":", F.col(entity).cast("string"), F.to_date(ts).cast("string")).alias("seq_id"),
         F.col(ts).alias("_ts"), F.col(tie).alias("_tie"),
         F.weekday(ts).cast("int").alias("day"),
         F.floor(F.hour(ts) / HOURS_PER_SLOT).cast("int").alias("hour_slot"),
         device_id.cast("int").alias("device_id"),
         action_id.cast("int").alias("action_id"),
     )
-    in_seq = Window.partitionBy("seq_id").orderBy("_ts", "_tie")
-    numbered = rows.withColumn("pos", F.row_number().over(in_seq) - 1).select(*EVENT_COLUMNS)
-    if not _has_long(log, rows, long_after):
-        return numbered
+    if not per_second:
+        place = F.row_number().over(Window.partitionBy(*SEQ).orderBy("_ts", "_tie")) - 1
+        return rows.withColumn("pos", place).select(*EVENT_COLUMNS)
 
-    long_ids = rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > long_after).select("seq_id")
-    # At most (number of events / long_after) rows, hence safe to broadcast.
-    long_ids = F.broadcast(materialize(long_ids, "long-ids"))
-    whole = (
-        rows.join(long_ids, "seq_id", "left_anti")
-        .withColumn("pos", F.row_number().over(in_seq) - 1)
-        .select(*EVENT_COLUMNS, F.lit(False).alias("is_long"))
-    )
-    seconds = rows.join(long_ids, "seq_id", "left_semi").withColumn("_second", F.date_trunc("SECOND", "_ts"))
-    earlier = Window.partitionBy("seq_id").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_second", F.date_trunc("SECOND", "_ts"))
+    earlier = Window.partitionBy(*SEQ).orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        seconds.groupBy("seq_id", "_second").agg(F.count(F.lit(1)).alias("_n"))
-        .select("seq_id", "_second", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        rows.groupBy(*SEQ, "_second").agg(F.count(F.lit(1)).alias("_n"))
+        .select(*SEQ, "_second", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     )
-    in_second = Window.partitionBy("seq_id", "_second").orderBy("_ts", "_tie")
-    split = (
-        seconds.withColumn("_row", F.row_number().over(in_second) - 1)
-        .join(starts, ["seq_id", "_second"])
-        .withColumn("pos", (F.col("_start") + F.col("_row")).cast("int"))
-        .select(*EVENT_COLUMNS, F.lit(True).alias("is_long"))
+    in_second = F.row_number().over(Window.partitionBy(*SEQ, "_second").orderBy("_ts", "_tie")) - 1
+    return (
+        rows.withColumn("_row", in_second).join(starts, [*SEQ, "_second"])
+        .withColumn("pos", (F.col("_start") + F.col("_row")).cast("int")).select(*EVENT_COLUMNS)
     )
-    return whole.unionByName(split)
-
-
-def _has_long(log, rows, long_after):
-    """Whether any sequence exceeds ``long_after`` events: one number comes back.
-
-    A log with no more rows than that, known from file footers alone, cannot
-    have one; otherwise rows are counted per sequence, partly before the shuffle.
-    """
-    if log.count() <= long_after:
-        return False
-    sizes = rows.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_n"))
-    return sizes.agg(F.max("_n")).head()[0] > long_after
 
 
 def id_in(vocabulary, value) -> Column:

@@ -1,5 +1,7 @@
 """Read run reports: metrics, quality summaries, lineage, file inventories."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from habitloom.operators.reporting import METRIC_ROW_FIELDS, is_diagnostic
@@ -57,8 +59,9 @@ def read_lineage(spark: SparkSession, root: str, file_name="*.json", lines=False
 def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     """``(path, size, sha256)`` of every file under ``root``, paths relative to it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = "file:" + root if root.startswith("/") else root
-    relative = F.regexp_replace(F.col("path"), "^" + base.rstrip("/") + "/", "")
+    # A local path is written in several ways: with or without a scheme, with one slash or three.
+    base = re.sub("^file:/+", "/", root).rstrip("/") + "/"
+    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base), "")
     return files.select(relative.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -2,14 +2,6 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-# Days and three-hour slots of the event model, in id order.
-DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
-SLOT_NAMES = ("(0~3)", "(3~6)", "(6~9)", "(9~12)", "(12~15)", "(15~18)", "(18~21)", "(21~24)")
-
-# Fixed value: actions that switch something off.
-OFF_PATTERN = r":(.* off|valve close)$"
-
-
 def read_id_names(spark: SparkSession, path: str, section: str = None) -> DataFrame:
     """``(id, name)`` from a JSON object, or one of its sections.
 
@@ -31,14 +23,15 @@ def devices_and_actions(devices: DataFrame, actions: DataFrame):
     return devices.withColumnRenamed("id", "device_id"), actions.withColumnRenamed("id", "action_id")
 
 
-def action_table(actions: DataFrame, devices: DataFrame) -> DataFrame:
+def action_table(actions: DataFrame, devices: DataFrame, off_actions: DataFrame = None) -> DataFrame:
     """``(action_id, name, device_name, device_id, is_off)`` of ``Device:verb`` names.
 
-    ``is_off`` marks actions that switch something off.
+    ``off_actions`` is a ``(name)`` table of the actions that switch something
+    off, from whoever knows the vocabulary; without it ``is_off`` is null.
     """
-    parts = F.split("name", ":")
-    named = actions.select(
-        F.col("id").alias("action_id"), "name", F.get(parts, F.lit(0)).alias("device_name"),
-        F.col("name").rlike(OFF_PATTERN).alias("is_off"),
-    )
-    return named.join(devices.select(F.col("name").alias("device_name"), F.col("id").alias("device_id")), "device_name", "left")
+    named = actions.select(F.col("id").alias("action_id"), "name", F.get(F.split("name", ":"), F.lit(0)).alias("device_name"))
+    joined = named.join(devices.select(F.col("name").alias("device_name"), F.col("id").alias("device_id")), "device_name", "left")
+    if off_actions is None:
+        return joined.withColumn("is_off", F.lit(None).cast("boolean"))
+    off = off_actions.select("name").distinct().withColumn("_off", F.lit(True))
+    return joined.join(off, "name", "left").withColumn("is_off", F.coalesce("_off", F.lit(False))).drop("_off")

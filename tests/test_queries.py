@@ -38,9 +38,9 @@ def test_entry_file_registers_all():
     assert set(ORACLES) <= set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-def test_only_two_queries_lack_sql():
+def test_only_one_query_lacks_sql():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"mined_prior", "file_manifest"}
+    assert set(QUERIES) - set(ORACLES) == {"mined_prior"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

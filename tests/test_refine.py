@@ -28,6 +28,8 @@ def test_score_formula(make_events, spark):
     assert score.final_score == pytest.approx(0.5)
     negative = losses.withColumn("loss", F.lit(-1.0))
     assert refine.sequence_scores(events, edges, losses=negative).head().final_score == pytest.approx(0.0)
+    with pytest.raises(Exception, match="no loss for sequence c/s"):
+        refine.sequence_scores(events, edges, losses=losses.where("loss > 9")).collect()
     with pytest.raises(ValueError):
         refine.sequence_scores(events, edges, temperature=0)
 

@@ -27,10 +27,33 @@ def test_flat_round_trip(spark):
 
 def test_flat_continues_in_parts(make_events):
     events = make_events({("c", "s"): [(0, 0, d, d) for d in range(5)]})
-    found = {r.part: r.flat for r in sequences.events_to_flat(events, part_events=2).collect()}
-    assert found == {0: [0, 0, 0, 0, 0, 0, 1, 1], 1: [0, 0, 2, 2, 0, 0, 3, 3], 2: [0, 0, 4, 4]}
-    lists = {r.part: (r.device_ids, r.action_ids) for r in sequences.id_lists(events, part_events=3).collect()}
-    assert lists == {0: ([0, 1, 2], [0, 1, 2]), 1: ([3, 4], [3, 4])}
+    parts = sequences.events_to_flat(events, part_events=2)
+    found = {r.start: r.flat for r in parts.collect()}
+    assert found == {0: [0, 0, 0, 0, 0, 0, 1, 1], 2: [0, 0, 2, 2, 0, 0, 3, 3], 4: [0, 0, 4, 4]}
+    assert rows(sequences.flat_to_events(parts), *EVENT_COLUMNS) == rows(events, *EVENT_COLUMNS)
+    lists = {r.start: (r.device_ids, r.action_ids) for r in sequences.id_lists(events, part_events=3).collect()}
+    assert lists == {0: ([0, 1, 2], [0, 1, 2]), 3: ([3, 4], [3, 4])}
+
+
+@pytest.mark.parametrize("part", [None, 1, 2, 100])
+def test_parts_survive_both_file_forms(random_events, spark, tmp_path, part):
+    events, _ = random_events
+    flat = sequences.events_to_flat(events, part_events=part)
+    corpora.write_corpus(flat, str(tmp_path / "corpus"))
+    assert rows(sequences.flat_to_events(corpora.read_corpus(spark, str(tmp_path / "corpus"))), *EVENT_COLUMNS) == rows(events, *EVENT_COLUMNS)
+    lines = flat.select(F.concat_ws("/", *SEQ).alias("sequence_id"), "start", F.col("flat").alias("sequence"))
+    lines.write.json(str(tmp_path / "lines"))
+    back = corpora.read_generated(spark, str(tmp_path / "lines"))
+    assert back.where("problem IS NOT NULL").isEmpty()
+    names = F.split("sequence_id", "/")
+    back = back.select(names[0].alias("corpus_id"), names[1].alias("seq_id"), "start", F.col("sequence").alias("flat"))
+    assert rows(sequences.flat_to_events(back), *EVENT_COLUMNS) == rows(events, *EVENT_COLUMNS)
+
+
+def test_padded_lists_are_per_sequence(make_events):
+    events = make_events({("c", "s"): [(0, 0, d, d) for d in range(5)], ("c", "t"): [(1, 1, 1, 1)]})
+    found = {r.seq_id: r.padded for r in sequences.padded_lists(events, 21, 8).collect()}
+    assert found == {"s": [0, 0, 0, 0, 0, 0, 1, 1], "t": [1, 1, 1, 1, 20, 20, 20, 20]}
 
 
 @pytest.fixture(scope="module")
@@ -40,32 +63,34 @@ def log(spark):
     return spark.createDataFrame(data, "id bigint, who bigint, ts timestamp_ntz, kind int")
 
 
-@pytest.mark.parametrize("limit", [1, 40])
-def test_long_sequences_give_the_same_events(log, limit):
-    def build(long_after):
+def test_numbering_per_second_gives_the_same_events(log):
+    """The log has several corpora a day, and seconds with many events of one entity."""
+    hot = log.unionByName(log.select((F.col("id") + 1000).alias("id"), "who", F.date_trunc("HOUR", "ts").cast("timestamp_ntz").alias("ts"), "kind"))
+
+    def build(per_second):
         return sequences_from_log(
-            log, entity="who", ts="ts", tie="id", device_id=F.col("kind"), action_id=F.col("kind"), long_after=long_after,
+            hot, entity="who", ts="ts", tie="id", device_id=F.col("kind"), action_id=F.col("kind"),
+            corpus_id=F.when(F.hour("ts") < 9, "early").otherwise("late"), per_second=per_second,
         )
 
-    plain, split = build(10_000), build(limit)
-    assert "is_long" not in plain.columns and "is_long" in split.columns
-    assert split.where("is_long").count() > 0
+    plain, split = build(False), build(True)
+    assert plain.schema == split.schema
     assert rows(plain, *EVENT_COLUMNS) == rows(split, *EVENT_COLUMNS)
+    first = plain.where("pos = 0").select(*SEQ).distinct()
+    assert first.count() == plain.select(*SEQ).distinct().count()
 
 
-@pytest.mark.parametrize("limit,part", [(2, 2), (4, 3), (6, 100)])
-def test_long_sequences_give_the_same_walks(random_events, limit, part):
+@pytest.mark.parametrize("part", [1, 2, 3, 100])
+def test_walks_by_part_give_the_same(random_events, part):
     events, _ = random_events
-    marked = sequences.mark_long(events, limit)
-    assert marked.where("is_long").count() > 0
     for step in (1, -1):
         near = sequences.with_neighbour(events, step, other="action_id")
-        far = sequences.with_neighbour(marked, step, other="action_id")
+        far = sequences.with_neighbour(events, step, part, other="action_id")
         assert rows(near.fillna(-9), *SEQ, "pos", "other") == rows(far.fillna(-9), *SEQ, "pos", "other")
     shape = [*SEQ, "pos", "device", "earlier", "n_earlier"]
-    assert rows(sequences.earlier_device_counts(events), *shape) == rows(sequences.earlier_device_counts(marked, part), *shape)
+    assert rows(sequences.earlier_device_counts(events), *shape) == rows(sequences.earlier_device_counts(events, part), *shape)
     shape = [*SEQ, "source", "target", "n_pairs", "n_sources_before_last"]
-    assert rows(sequences.ordered_pair_counts(events), *shape) == rows(sequences.ordered_pair_counts(marked, part), *shape)
+    assert rows(sequences.ordered_pair_counts(events), *shape) == rows(sequences.ordered_pair_counts(events, part), *shape)
 
 
 def test_earlier_counts_are_all_ordered_pairs(random_events):
@@ -83,13 +108,10 @@ def test_earlier_counts_are_all_ordered_pairs(random_events):
     assert found == expected
 
 
-def test_stored_events_are_marked_when_read(random_events, spark, tmp_path):
+def test_stored_events_come_back(random_events, spark, tmp_path):
     events, _ = random_events
     corpora.write_events(events, str(tmp_path / "events"))
-    stored = corpora.read_events(spark, str(tmp_path / "events"))
-    assert "is_long" not in stored.columns
-    assert rows(stored, *EVENT_COLUMNS) == rows(events, *EVENT_COLUMNS)
-    assert "is_long" in sequences.mark_long(stored, 3).columns
+    assert rows(corpora.read_events(spark, str(tmp_path / "events")), *EVENT_COLUMNS) == rows(events, *EVENT_COLUMNS)
 
 
 def test_id_in_marks_unknown_words(spark):

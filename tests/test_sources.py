@@ -15,14 +15,30 @@ def write(path, text):
 
 
 def test_generated_lines(spark, tmp_path):
-    lines = ['{"sequence_id": "x", "sequence": [0, 1, 2, 3], "notes": "n"}', "", '{"sequence_id": 7, "sequence": [4]}']
-    good = write(tmp_path / "good.jsonl", "\n".join(lines))
-    assert sorted((r.sequence_id, r.sequence) for r in corpora.read_generated(spark, good, strict=True).collect()) == [("7", [4]), ("x", [0, 1, 2, 3])]
-    bad = write(tmp_path / "bad.jsonl", "\n".join([*lines, "{oops"]))
-    found = corpora.read_generated(spark, bad).collect()
-    assert [r._corrupt_record for r in found if r._corrupt_record] == ["{oops"]
-    with pytest.raises(Exception):
-        corpora.read_generated(spark, bad, strict=True).collect()
+    lines = [
+        '{"sequence_id": "x", "sequence": [0, 1, 2, 3], "notes": "n"}', "", '{"sequence_id": 7, "sequence": [4]}',
+        '{"sequence_id": "a", "sequence": "0,1"}', '{"sequence_id": "b", "sequence": {"p": 1}}', '{"sequence_id": "c"}', '{"sequence_id": "d", "sequence": null}',
+        '{"sequence_id": "e", "sequence": [1, "two"]}', '{"sequence_id": "f", "sequence": ["3", 4.7, null]}', '{"sequence_id": "g", "sequence": 5}',
+        '{"sequence_id": "h", "sequence": [2.9], "start": 3}', "{oops",
+    ]
+    found = corpora.read_generated(spark, write(tmp_path / "bad.jsonl", "\n".join(lines)))
+    rows = found.collect()
+    assert {r.sequence_id: (r.sequence, r.problem) for r in rows if r.sequence_id} == {
+        "x": ([0, 1, 2, 3], None), "7": ([4], None), "a": (None, "sequence_not_list:str"), "b": (None, "sequence_not_list:dict"),
+        "c": (None, "missing_sequence"), "d": (None, "missing_sequence"), "e": (None, "non_integer_value:two"), "f": (None, "non_integer_value:null"),
+        "g": (None, "sequence_not_list:int"), "h": ([2], None),
+    }
+    assert {r.start for r in rows if r.sequence_id == "h"} == {3}
+    assert [(r.line, r.problem) for r in rows if r.line] == [("{oops", "invalid_json")] and all(r.file_path.endswith("bad.jsonl") for r in rows)
+    with pytest.raises(ValueError, match="oops"):
+        corpora.require_readable(found)
+    corpora.require_readable(found.where("problem IS NULL"))
+    checked = validate.with_reasons(
+        found.select(F.lit("c").alias("corpus_id"), F.col("sequence_id").alias("seq_id"), F.col("sequence").alias("flat"), "problem"),
+        spark.createDataFrame([(2, "Lamp")], "device_id int, name string"), spark.createDataFrame([(3, "Lamp:on")], "action_id int, name string"),
+    )
+    reasons = {r.seq_id: r.reasons for r in checked.collect()}
+    assert reasons["x"] == [] and reasons["a"] == ["sequence_not_list:str"] and reasons["7"] == ["length_not_multiple_of_4"]
 
 
 def test_labelled_rows(spark, tmp_path):
@@ -41,9 +57,12 @@ def test_losses(spark, tmp_path, text):
 def test_prior_documents(spark, tmp_path):
     full = {"matrix": [[0, 0.5], [0, 0]], "channel_to_key": ["d:1", "d:2"], "lag": 2, "method": "m"}
     path = write(tmp_path / "p.json", json.dumps(full, indent=1))
-    assert [tuple(r) for r in priors.resolve_prior(spark, prior_path=path).collect()] == [("d:1", "d:2", 0.5, 2, "m")]
+    assert [tuple(r) for r in priors.resolve_prior(spark, prior_path=path).edges.collect()] == [("d:1", "d:2", 0.5, 2, "m")]
+    assert priors.resolve_prior(spark, prior_path=path).cells.count() == 4
+    own = write(tmp_path / "o.json", json.dumps({**full, "top_causal_edges": [{"source_index": 1, "target": "d:9", "raw_weight": 0.125, "lag": 7}]}))
+    assert [tuple(r) for r in priors.resolve_prior(spark, prior_path=own).edges.collect()] == [("d:2", "d:9", 0.125, 7, "m")]
     path = write(tmp_path / "q.json", json.dumps({"causal_matrix": [[0, 0], [0.25, 0]]}))
-    assert [tuple(r) for r in priors.resolve_prior(spark, prior_path=path, level="action").collect()] == [("a:1", "a:0", 0.25, 4, "existing_prior_json")]
+    assert [tuple(r) for r in priors.resolve_prior(spark, prior_path=path, level="action").edges.collect()] == [("a:1", "a:0", 0.25, 4, "existing_prior_json")]
     with pytest.raises(Exception, match="no matrix"):
         priors.read_prior(spark, write(tmp_path / "r.json", '{"lag": 1}')).collect()
     with pytest.raises(Exception, match="square"):
@@ -55,7 +74,7 @@ def test_prior_documents(spark, tmp_path):
 @pytest.mark.parametrize("name,text", [("m.csv", "0, 0.5\n\n0.25,0\n"), ("m.json", "[[0, 0.5], [0.25, 0]]")])
 def test_matrix_files(spark, tmp_path, name, text):
     path = write(tmp_path / name, text)
-    found = [tuple(r)[:3] for r in priors.resolve_prior(spark, matrix_path=path).collect()]
+    found = [tuple(r)[:3] for r in priors.resolve_prior(spark, matrix_path=path).edges.collect()]
     assert found == [("d:0", "d:1", 0.5), ("d:1", "d:0", 0.25)]
 
 
@@ -71,7 +90,8 @@ def test_vocabularies(spark, tmp_path):
     path = write(tmp_path / "v.json", json.dumps({"devices": {"Lamp": 3, "Lock": 0}, "actions": {"7": "Lamp:switch off", "8": "Lock:lock", "x": "y"}}, indent=2))
     devices, actions = vocabulary.read_id_names(spark, path, "devices"), vocabulary.read_id_names(spark, path, "actions")
     assert sorted(map(tuple, devices.collect())) == [(0, "Lock"), (3, "Lamp")]
-    found = vocabulary.action_table(actions, devices)
+    assert {r.is_off for r in vocabulary.action_table(actions, devices).collect()} == {None}
+    found = vocabulary.action_table(actions, devices, spark.createDataFrame([("Lamp:switch off",)], "name string"))
     assert sorted((r.action_id, r.device_id, r.is_off) for r in found.collect()) == [(7, 3, True), (8, 0, False)]
     plain = write(tmp_path / "w.json", '{"1": "a"}')
     assert [tuple(r) for r in vocabulary.read_id_names(spark, plain, "devices").collect()] == [(1, "a")]

@@ -40,3 +40,18 @@ def running_offsets(totals: DataFrame, part: str, *amounts: str) -> DataFrame:
             F.sum(a).over(every).cast("bigint").alias(f"{a}_all"),
         ]
     return totals.select(*columns)
+
+
+_kept = {}
+
+
+def kept_in_worker(key, build):
+    """What ``build`` makes, kept in this Python worker from task to task under ``key``.
+
+    A worker keeps one such thing at a time: those of different operators
+    would add up in the memory of an executor.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from habitloom.llm.common import pick
+from habitloom.llm.common import kept_in_worker, pick
 from habitloom.session import materialize
 
 # Letters of a stretch that is segmented as one; longer runs of letters are cut into such stretches.
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, pieces: tuple[str, ...], rows_per_language: int, iterat
 class _Scorer:
     """Logarithms of word probabilities per language, kept for words met before; ``cache`` bounds memory only."""
 
-    def __init__(self, model: Model, cache: int = 600_000):
+    def __init__(self, model: Model, cache: int = 300_000):
         self.model, self.cache = model, cache
         self.index = _Pieces(model.pieces)
         self.clear()
@@ -199,17 +199,6 @@ class _Scorer:
         return [self.table[at].sum(axis=0) if at else None for at in places]
 
 
-_scorers = {}
-
-
-def _scorer(name, model):
-    """The scorer of this process: a worker keeps that of one model, and the words it has met, from task to task."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = _Scorer(model)
-    return _scorers[name]
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``: the likeliest language and its probability among all.
 
@@ -229,7 +218,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     name = uuid.uuid4().hex
 
     def classify(batches):
-        scorer = _scorer(name, model)
+        # The model is told by a name: comparing its numbers would take longer than using them.
+        scorer = kept_in_worker(("languages", name), lambda: _Scorer(model))
         for batch in batches:
             names, scores = [], []
             texts = batch.column(batch.num_columns - 1)

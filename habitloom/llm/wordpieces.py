@@ -1,11 +1,12 @@
 """Token ids of whole texts by a public tokenizer file, fast where words repeat."""
 
-import functools
 import os
 import re
 
 import numpy as np
 
+from habitloom.llm.common import kept_in_worker
+
 # The tokenizer drops white space and never joins across it, so a text's ids are
 # those of its blank-separated chunks in order. Other white space than the ASCII
 # kind is left inside the chunks for the tokenizer to judge.
@@ -26,7 +27,7 @@ class WordPieces:
     may hold a special token is encoded whole. ``cache`` bounds memory only.
     """
 
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -91,7 +92,6 @@ class WordPieces:
         return b"".join([young[c] for c in chunks])
 
 
-@functools.lru_cache(maxsize=2)
 def word_pieces(path: str) -> WordPieces:
-    """The tokenizer of this process: a worker keeps it, and the words it has met, from task to task."""
-    return WordPieces(path)
+    """The tokenizer of this process, which keeps it, and the words it has met, from task to task."""
+    return kept_in_worker(("tokenizer", path), lambda: WordPieces(path))

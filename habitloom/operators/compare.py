@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from habitloom.functions.columns import device_key
 from habitloom.model import SEQ
-from habitloom.operators.descriptive import (
-    densify, device_distribution, precedence_matrix, transition_matrix,
-)
-
+from habitloom.operators.descriptive import densify
+from habitloom.operators.sequences import corpus_cells
 from habitloom.session import materialize
 
 
@@ -51,18 +49,28 @@ def matrix_similarity(matrix: DataFrame, left: str, right: str) -> DataFrame:
     )
 
 
+def _described(events):
+    """Device shares and the two matrices of each corpus, from one pass over the events; the counts are written once."""
+    cells = materialize(corpus_cells(events), "cells")
+    kind = lambda name: cells.where(F.col("kind") == name)
+    ends = [device_key("source").alias("source"), device_key("target").alias("target")]
+    in_corpus, in_row = Window.partitionBy("corpus_id"), Window.partitionBy("corpus_id", "source")
+    shares = kind("device").select("corpus_id", device_key("source").alias("device"), "n", (F.col("n") / F.sum("n").over(in_corpus)).alias("p"))
+    transitions = kind("adjacent").select("corpus_id", *ends, (F.col("n") / F.sum("n").over(in_row)).alias("value"))
+    met = kind("device").select("corpus_id", "source", F.col("n").alias("_met"))
+    precedence = kind("followed").join(met, ["corpus_id", "source"]).select("corpus_id", *ends, (F.col("n") / F.col("_met")).alias("value"))
+    return kind("sequence"), shares, transitions, precedence
+
+
 def quality_summary(events: DataFrame, target: str, synthetic: str) -> DataFrame:
     """One row with both corpus sizes, device KL and the two graph similarities."""
-    events = events.where(F.col("corpus_id").isin(target, synthetic))
-    sizes = events.where(F.col("pos") == 0).agg(
-        F.count_if(F.col("corpus_id") == target).alias("num_target_sequences"),
-        F.count_if(F.col("corpus_id") == synthetic).alias("num_synthetic_sequences"),
-    )
-    return sizes.select(
+    counts, shares, transitions, precedence = _described(events.where(F.col("corpus_id").isin(target, synthetic)))
+    size = lambda corpus: F.coalesce(F.sum(F.when(F.col("corpus_id") == corpus, F.col("n"))), F.lit(0))
+    return counts.agg(size(target).alias("num_target_sequences"), size(synthetic).alias("num_synthetic_sequences")).select(
         "num_target_sequences", "num_synthetic_sequences",
-        device_kl(device_distribution(events), target, synthetic).scalar().alias("device_distribution_kl"),
-        matrix_similarity(transition_matrix(events), target, synthetic).scalar().alias("transition_matrix_similarity"),
-        matrix_similarity(precedence_matrix(events), target, synthetic).scalar().alias("causal_graph_similarity"),
+        device_kl(shares, target, synthetic).scalar().alias("device_distribution_kl"),
+        matrix_similarity(transitions, target, synthetic).scalar().alias("transition_matrix_similarity"),
+        matrix_similarity(precedence, target, synthetic).scalar().alias("causal_graph_similarity"),
     )
 
 
@@ -72,17 +80,16 @@ def case_study_matrices(events: DataFrame, corpora) -> DataFrame:
     ``kind`` is ``distribution`` (target is null), ``transition`` or ``causal``.
     """
     corpora = list(corpora)
-    events = events.where(F.col("corpus_id").isin(corpora))
-    channels = events.select(device_key().alias("channel")).distinct()
-    shares = device_distribution(events).select(
-        "corpus_id", F.lit("distribution").alias("kind"), F.col("device").alias("source"),
-        F.lit(None).cast("string").alias("target"), F.col("p").alias("value"),
-    )
+    _, shares, transitions, precedence = _described(events.where(F.col("corpus_id").isin(corpora)))
+    channels = shares.select(F.col("device").alias("channel")).distinct()
     matrices = [
-        densify(build(events), channels, corpora).select("corpus_id", F.lit(kind).alias("kind"), "source", "target", "value")
-        for kind, build in (("transition", transition_matrix), ("causal", precedence_matrix))
+        densify(matrix, channels, corpora).select("corpus_id", F.lit(kind).alias("kind"), "source", "target", "value")
+        for kind, matrix in (("transition", transitions), ("causal", precedence))
     ]
-    return shares.unionByName(matrices[0]).unionByName(matrices[1])
+    return shares.select(
+        "corpus_id", F.lit("distribution").alias("kind"), F.col("device").alias("source"),
+        F.lit(None).cast("string").alias("target"), F.col("p").alias("value"),
+    ).unionByName(matrices[0]).unionByName(matrices[1])
 
 
 def distribution_penalty(events: DataFrame, target: DataFrame = None) -> DataFrame:

@@ -101,18 +101,33 @@ def token_steps(events: DataFrame, detectors, keep=()) -> DataFrame:
     return rows.select(*SEQ, *keep, F.explode(F.array_compact(F.array(*steps))).alias("_t")).select("_t.*", *SEQ, *keep)
 
 
+def counted_steps(steps: DataFrame, keep=()) -> DataFrame:
+    """``(env, corpus_id, seq_id, *keep, prev, token, vocab_size, n)``: equal steps of a sequence counted.
+
+    All that the detectors need of a sequence; made where its events are, without a shuffle.
+    """
+    return steps.groupBy("env", *SEQ, *keep, "prev", "token", "vocab_size").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _times(steps):
+    """How often a row of steps or counted steps stands."""
+    return F.col("n") if "n" in steps.columns else F.lit(1).cast("bigint")
+
+
 def fit_markov(steps: DataFrame) -> MarkovModel:
-    """Count transitions; the tables are bounded by the squared vocabulary and written once."""
-    pairs = materialize(steps.groupBy("env", "prev", "token").agg(F.count(F.lit(1)).alias("n")), "markov")
+    """Count transitions of steps, counted or not; the tables are bounded by the squared vocabulary and written once."""
+    pairs = materialize(steps.groupBy("env", "prev", "token").agg(F.sum(_times(steps)).alias("n")), "markov")
     return MarkovModel(pairs, pairs.groupBy("env", "prev").agg(F.sum("n").alias("n_context")))
 
 
 def sequence_losses(steps: DataFrame, model: MarkovModel, keep=()) -> DataFrame:
     """``(env, corpus_id, seq_id, *keep, loss, n_tokens)``: mean ``-ln((n + 1) / (n_context + vocab))``."""
-    chance = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("n_context", F.lit(0)) + F.col("vocab_size"))
+    chance = (F.coalesce("_n_pair", F.lit(0)) + 1) / (F.coalesce("n_context", F.lit(0)) + F.col("vocab_size"))
+    times = F.col("_times")
     return (
-        steps.join(model.pairs, ["env", "prev", "token"], "left").join(model.contexts, ["env", "prev"], "left")
-        .groupBy("env", *SEQ, *keep).agg(F.avg(-F.ln(chance)).alias("loss"), F.count(F.lit(1)).alias("n_tokens"))
+        steps.withColumn("_times", _times(steps)).join(model.pairs.withColumnRenamed("n", "_n_pair"), ["env", "prev", "token"], "left")
+        .join(model.contexts, ["env", "prev"], "left")
+        .groupBy("env", *SEQ, *keep).agg((F.sum(times * -F.ln(chance)) / F.sum(times)).alias("loss"), F.sum(times).alias("n_tokens"))
     )
 
 
@@ -185,7 +200,7 @@ def utility_change(train: DataFrame, validation: DataFrame, outliers: DataFrame)
     in_sequence = F.sum("n").over(Window.partitionBy(*key))
     sequences = F.sum("_share").over(Window.partitionBy("env"))
     weights = (
-        validation.groupBy(*key, "prev", "token").agg(F.count(F.lit(1)).alias("n"))
+        validation.groupBy(*key, "prev", "token").agg(F.sum(_times(validation)).alias("n"))
         .withColumn("_share", F.col("n") / in_sequence)
         .groupBy("env", "prev", "token").agg(F.sum("_share").alias("_share"))
         .withColumn("w", F.col("_share") / sequences).drop("_share")
@@ -197,7 +212,7 @@ def utility_change(train: DataFrame, validation: DataFrame, outliers: DataFrame)
         weights.groupBy("env", "prev").agg(F.sum("w").alias("w"))
         .join(model.contexts, ["env", "prev"], "left").fillna(0, ["n_context"]), "context-weights",
     )
-    added = outliers.groupBy(*key, "prev", "token", "vocab_size").agg(F.count(F.lit(1)).alias("d"))
+    added = outliers.groupBy(*key, "prev", "token", "vocab_size").agg(F.sum(_times(outliers)).alias("d"))
     gained = added.join(pair_table, ["env", "prev", "token"]).select(
         *key, (-F.col("w") * (F.ln(F.col("n") + F.col("d") + 1) - F.ln(F.col("n") + 1))).alias("_change"),
     )

@@ -1,7 +1,7 @@
 """End-to-end pipelines over operators.
 
-Each returns lazy tables; only small fitted or derived tables are written on
-the way (see ``session.materialize``).
+What several jobs of a pipeline read is written once (see ``session.materialize``):
+small fitted tables, one row per sequence, and the counted steps of sequences.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from habitloom.model import SEQ
 from habitloom.operators.descriptive import device_distribution, transition_graph
 from habitloom.operators.detect import (
-    classify, confusion, fit_markov, iqr_outliers, loss_thresholds, sequence_losses, token_steps, utility_change,
+    START, classify, confusion, counted_steps, fit_markov, iqr_outliers, loss_thresholds, sequence_losses, token_steps, utility_change,
 )
 from habitloom.operators.edges import fuse_edges, overuse_guard, target_weighted
 from habitloom.operators.refine import split_cutoff, split_part
@@ -46,17 +46,15 @@ def filter_corpus(events: DataFrame, detector, seed=2024, ratio=0.8) -> DataFram
     """Two-stage filter: ``(env, corpus_id, seq_id, loss, is_outlier, readmit, kept)``.
 
     Loss outliers leave; of these, the ones whose presence in the training part
-    does not raise the validation loss come back. The steps and the per-sequence
-    tables are read several times, so each is written once.
+    does not raise the validation loss come back. The log is read once; all
+    later jobs work on the counted steps.
     """
     key = ["env", *SEQ]
-    steps = materialize(token_steps(events, [detector]), "steps")
+    steps = materialize(counted_steps(token_steps(events, [detector])), "steps")
     split = materialize(iqr_outliers(sequence_losses(steps, fit_markov(steps))), "losses")
     cutoff = split_cutoff(split.where(~F.col("is_outlier")), ratio, seed)
     role = F.when(F.col("is_outlier"), "outlier").otherwise(split_part(cutoff, seed))
-    placed = materialize(
-        steps.join(split.select(*key, "is_outlier"), key).select(*key, "prev", "token", "vocab_size", role.alias("role")), "placed-steps",
-    )
+    placed = steps.join(split.select(*key, "is_outlier"), key).select(*key, "prev", "token", "vocab_size", "n", role.alias("role"))
     change = utility_change(*[placed.where(F.col("role") == r) for r in ("train", "validation", "outlier")])
     return split.join(change.select(*key, "loss_change", "readmit"), key, "left").withColumn(
         "kept", ~F.col("is_outlier") | F.coalesce("readmit", F.lit(False)),
@@ -79,15 +77,16 @@ def run_detectors(train_events: DataFrame, test_events: DataFrame, detectors, ra
     and ``label``. Returns ``(predictions, thresholds)``; predictions are per
     sequence with ``loss, threshold, predicted, label``.
     """
-    steps = materialize(token_steps(train_events, detectors), "steps")
-    cutoff = split_cutoff(steps.where((F.col("env") == detectors[0].env) & (F.col("pos") == 0)), ratio, seed)
+    steps = materialize(counted_steps(token_steps(train_events, detectors)), "steps")
+    # Every sequence has one first step.
+    cutoff = split_cutoff(steps.where((F.col("env") == detectors[0].env) & (F.col("prev") == START)), ratio, seed)
     model = fit_markov(part_of(steps, "train", detectors, cutoff, seed))
     validation = part_of(steps, "validation", detectors, cutoff, seed)
     thresholds = loss_thresholds(sequence_losses(validation, model), detectors)
 
     aimed = test_events.withColumnRenamed("env", "_aim")
     test_steps = token_steps(aimed, detectors, keep=["_aim", "label"]).where(F.col("env") == F.col("_aim"))
-    losses = sequence_losses(test_steps, model, keep=["label"])
+    losses = sequence_losses(counted_steps(test_steps, keep=["label"]), model, keep=["label"])
     return classify(losses, thresholds), thresholds
 
 

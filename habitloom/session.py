@@ -51,9 +51,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     is a known statistic, so Catalyst broadcasts the table only below
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a shuffled
     join, which adaptive execution splits on hot keys. The written table also
-    outlives a lost executor.
+    outlives a lost executor. It is removed when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = spark.sparkContext
+    written = context._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)

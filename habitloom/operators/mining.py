@@ -9,8 +9,6 @@ with N the number of windows.
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from habitloom.functions.columns import channel_key
@@ -19,9 +17,39 @@ from habitloom.operators.descriptive import channels_in_order, event_tensor, wee
 from habitloom.operators.edges import sparsify
 from habitloom.session import materialize
 
+# Channels x lag up to which the driver solves the system, unless the caller says otherwise.
 MAX_FEATURES = 4096
 
 
+def lag_moments(cells: DataFrame, lag: int) -> DataFrame:
+    """Sums over all windows of ``lag`` past slots and the slot itself: ``(back, source, ahead, target, total)``.
+
+    ``cells`` is ``(corpus_id, seq_id, slot, channel_index, value)`` without
+    zeros. ``total`` sums value times value, of ``source`` at place ``back`` and
+    ``target`` at place ``ahead`` of the window (``back <= ahead``, 0 is the
+    oldest); with ``ahead`` null, it sums values alone. Only cells that are
+    there are multiplied, at most a week of each channel per sequence; the
+    sums are made before the shuffle and are as many as pairs of channels and
+    places.
+    """
+    last = SLOTS_PER_WEEK - 1
+    met = cells.groupBy(*SEQ).agg(F.collect_list(F.struct("slot", "channel_index", "value")).alias("_cells"))
+    earlier = met.select("_cells", F.explode("_cells").alias("a"))
+    # Places of the window at which a cell can stand.
+    first = F.greatest(F.lit(0), F.col("a.slot") + lag - last)
+    alone = earlier.select(
+        F.explode(F.sequence(first, F.least(F.lit(lag), F.col("a.slot")))).alias("back"), F.col("a.channel_index").alias("source"),
+        F.lit(None).cast("int").alias("ahead"), F.lit(None).cast("int").alias("target"), F.col("a.value").alias("product"))
+    near = F.filter("_cells", lambda b: b["slot"].between(F.col("a.slot"), F.col("a.slot") + lag))
+    pairs = earlier.select("a", F.explode(near).alias("b")).withColumn("_d", F.col("b.slot") - F.col("a.slot")) \
+        .withColumn("_most", F.least(lag - F.col("_d"), F.col("a.slot"))).where(F.col("_most") >= first)
+    both = pairs.select(
+        F.explode(F.sequence(first, F.col("_most"))).alias("back"), F.col("a.channel_index").alias("source"), "_d",
+        F.col("b.channel_index").alias("target"), (F.col("a.value") * F.col("b.value")).alias("product"),
+    ).select("back", "source", (F.col("back") + F.col("_d")).alias("ahead"), "target", "product")
+    return alone.unionByName(both).groupBy("back", "source", "ahead", "target").agg(F.sum("product").alias("total"))
+
+
 def slot_windows(tensor: DataFrame, channels: int, lag: int, decay=0.0) -> DataFrame:
     """``(window)`` lists: ``lag`` past slots and the slot itself, each with all channels.
 
@@ -44,65 +72,70 @@ def slot_windows(tensor: DataFrame, channels: int, lag: int, decay=0.0) -> DataF
     )
 
 
-def _moments(windows, total):
-    """Mean and covariance over ``total`` windows, of which those not listed are zero.
-
-    Means, deviations and correlations are distributed Spark ML aggregates.
-    """
-    vectors = windows.select(array_to_vector("window").alias("x"))
-    summary = vectors.agg(Summarizer.metrics("mean", "std", "count").summary(F.col("x")).alias("s")).select("s.*").head()
-    mean, std, n = summary["mean"].toArray(), summary["std"].toArray(), summary["count"]
-    correlation = np.nan_to_num(Correlation.corr(vectors, "x", "pearson").head()[0].toArray())
-    products = correlation * np.outer(std, std) * (n - 1) + n * np.outer(mean, mean)
-    mean = mean * n / total
-    return mean, (products - total * np.outer(mean, mean)) / (total - 1), n
+def _moments(sums, count, lag, total):
+    """Mean and covariance of the places of a window over ``total`` windows, from ``lag_moments``: vocabulary-sized arrays."""
+    size = (lag + 1) * count
+    rows = sums.toPandas()
+    place = rows["back"].to_numpy() * count + rows["source"].to_numpy()
+    alone = rows["ahead"].isna().to_numpy()
+    first, products = np.zeros(size), np.zeros((size, size))
+    first[place[alone]] = rows["total"].to_numpy()[alone]
+    other = (rows["ahead"] * count + rows["target"]).to_numpy()[~alone].astype(int)
+    products[place[~alone], other] = products[other, place[~alone]] = rows["total"].to_numpy()[~alone]
+    mean = first / total
+    return mean, (products - total * np.outer(mean, mean)) / (total - 1)
 
 
 def _residual_sums(windows, weights, intercept):
-    """``(channel_index, total)``: sums of absolute residuals over the listed windows."""
+    """``(channel_index, total, listed)``: sums of absolute residuals over the listed windows, and their number."""
     width, channels = weights.shape
 
     def residuals(batches):
-        total = np.zeros(channels)
+        total, listed = np.zeros(channels), 0
         for batch in batches:
             block = np.stack(batch["window"].to_numpy())
+            listed += len(block)
             total += np.abs(block[:, :width] @ weights + intercept - block[:, width:]).sum(axis=0)
-        yield pd.DataFrame({"channel_index": np.arange(channels, dtype="int32"), "total": total})
+        yield pd.DataFrame({"channel_index": np.arange(channels, dtype="int32"), "total": total, "listed": listed})
 
-    return windows.mapInPandas(residuals, "channel_index int, total double").groupBy("channel_index").agg(
-        F.sum("total").alias("total")
+    return windows.mapInPandas(residuals, "channel_index int, total double, listed bigint").groupBy("channel_index").agg(
+        F.sum("total").alias("total"), F.sum("listed").alias("listed")
     )
 
 
-def influence_matrix(tensor: DataFrame, channels: DataFrame, num_sequences: int, lag=4, ridge=1e-6, decay=0.0) -> DataFrame:
+def influence_matrix(
+    tensor: DataFrame, channels: DataFrame, num_sequences: int, lag=4, ridge=1e-6, decay=0.0, max_features=MAX_FEATURES,
+) -> DataFrame:
     """``(source, target, weight)`` before sparsifying.
 
-    ``channels`` is ``(channel, channel_index)``. Its size is checked: the
-    driver solves one system of size channels x lag, whatever the data size.
+    ``channels`` is ``(channel, channel_index)``. The driver gets the moments
+    and solves one system of size channels x lag, whatever the data size; that
+    size is checked against ``max_features``.
     """
-    names = [row.channel for row in channels.orderBy("channel_index").limit(MAX_FEATURES + 1).collect()]
+    names = [row.channel for row in channels.orderBy("channel_index").limit(max_features + 1).collect()]
     count = len(names)
     if not names:
         raise ValueError("no channels found in the source events")
-    if count * lag > MAX_FEATURES:
-        raise ValueError(f"channels x lag must be at most {MAX_FEATURES}")
+    if count * lag > max_features:
+        raise ValueError(f"channels x lag must be at most {max_features}")
     cells = tensor.join(channels, "channel").select(*SEQ, "slot", "channel_index", "value")
-    windows = slot_windows(cells, count, lag, decay)
+    weeks = weekly_activity(cells, decay, ["channel_index"])
+    filled = weeks.select(*SEQ, "channel_index", F.posexplode("week").alias("slot", "value")).where("value <> 0")
 
     total = num_sequences * (SLOTS_PER_WEEK - lag)
-    mean, covariance, listed = _moments(windows, total)
+    mean, covariance = _moments(lag_moments(filled, lag), count, lag, total)
     width = lag * count
     weights = np.linalg.solve(covariance[:width, :width] + ridge * np.eye(width), covariance[:width, width:])
     intercept = mean[width:] - mean[:width] @ weights
     strength = np.abs(weights).reshape(lag, count, count).mean(axis=0)
 
-    silent = (total - listed) * np.abs(intercept)
     table = tensor.sparkSession.createDataFrame(
-        [(names[i], names[j], j, float(strength[i, j]), float(silent[j])) for i in range(count) for j in range(count)],
+        [(names[i], names[j], j, float(strength[i, j]), float(abs(intercept[j]))) for i in range(count) for j in range(count)],
         "source string, target string, channel_index int, strength double, silent double",
     )
-    residual = (F.col("total") + F.col("silent")) / total
-    return table.join(_residual_sums(windows, weights, intercept), "channel_index").select(
+    # Windows that are zero throughout leave the intercept as their residual.
+    residual = (F.col("total") + (total - F.col("listed")) * F.col("silent")) / total
+    return table.join(_residual_sums(slot_windows(cells, count, lag, decay), weights, intercept), "channel_index").select(
         "source", "target", (2.0 / total * residual * F.col("strength")).alias("weight"),
     )
 

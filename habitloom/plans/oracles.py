@@ -351,6 +351,13 @@ lagged AS (
   SELECT corpus_id, seq_id, channel, t AS slot, x AS lag_0, lag(x, 1) OVER w AS lag_1, lag(x, 2) OVER w AS lag_2, lag(x, 3) OVER w AS lag_3, lag(x, 4) OVER w AS lag_4
   FROM dense WINDOW w AS (PARTITION BY corpus_id, seq_id, channel ORDER BY t))
 SELECT * FROM lagged WHERE slot >= 4 AND lag_0 + lag_1 + lag_2 + lag_3 + lag_4 > 0""")
+_sql("lag_moments", "ev", """
+, cell AS (SELECT DISTINCT corpus_id, seq_id, day * 8 + hour_slot AS slot, device_id FROM ev),
+placed AS (SELECT corpus_id, seq_id, t, CAST(slot - t + 4 AS INTEGER) AS place, device_id FROM cell, range(4, 56) r(t) WHERE slot BETWEEN t - 4 AND t)
+SELECT place AS back, device_id AS source, CAST(NULL AS INTEGER) AS ahead, CAST(NULL AS INTEGER) AS target, count(*)::DOUBLE AS total FROM placed GROUP BY ALL
+UNION ALL
+SELECT a.place, a.device_id, b.place, b.device_id, count(*)::DOUBLE
+FROM placed a JOIN placed b ON a.corpus_id = b.corpus_id AND a.seq_id = b.seq_id AND a.t = b.t AND a.place <= b.place GROUP BY ALL""")
 _sql("top_successors", "ev steps_next", """
 , f AS (SELECT corpus_id, action_id AS action, next_action, count(*) AS n FROM nx WHERE next_action IS NOT NULL GROUP BY 1, 2, 3),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY corpus_id, action ORDER BY n DESC, next_action) AS INTEGER) AS rank FROM f)

@@ -750,6 +750,14 @@ def feedback_check(spark, sf_dir):
 
 # Mining, and files written from the tables and read back
 
+@query
+def lag_moments(spark, sf_dir):
+    """The sums that the miner solves its model from, over the device cells of a week."""
+    tensor = descriptive.event_tensor(inputs.events(spark, sf_dir), "device", "binary")
+    cells = tensor.select(*SEQ, "slot", F.substring("channel", 3, 9).cast("int").alias("channel_index"), "value")
+    return mining.lag_moments(cells, 4)
+
+
 @query
 def mined_prior(spark, sf_dir):
     return mining.mine_prior(inputs.only(inputs.events(spark, sf_dir), "source"))

@@ -199,41 +199,43 @@ class _Scorer:
         return [self.table[at].sum(axis=0) if at else None for at in places]
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, names=("lang_pred", "score")) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``: the likeliest language and its probability among all.
 
+    ``names`` are the names of these two; columns of ``docs`` that have them are replaced.
+
     Languages are equally likely beforehand. A text that is null or has no
     letter gets ``und`` and 0, as has every text if the model knows no
     language. A text's probability is the product over its words; that of a
     word is the sum over all its segmentations into pieces, by a forward pass.
-    Only ``text`` is used. Existing columns of these names are replaced.
+    Only ``text`` is used.
     """
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in names]
     inner = docs.toDF(*[f"_d{i}" for i in range(len(docs.columns))])
     place = {c: f"_d{i}" for i, c in reversed(list(enumerate(docs.columns)))}
-    kept = [F.col(f"_d{i}") for i, c in enumerate(docs.columns) if c not in ("lang_pred", "score")]
+    kept = [F.col(f"_d{i}") for i, c in enumerate(docs.columns) if c not in names]
     fields = inner.select(*kept).schema
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
 
-    name = uuid.uuid4().hex
+    model_name = uuid.uuid4().hex
 
     def classify(batches):
         # The model is told by a name: comparing its numbers would take longer than using them.
-        scorer = kept_in_worker(("languages", name), lambda: _Scorer(model))
+        scorer = kept_in_worker(("languages", model_name), lambda: _Scorer(model))
         for batch in batches:
-            names, scores = [], []
+            found, scores = [], []
             texts = batch.column(batch.num_columns - 1)
             for start in range(0, len(texts), TEXTS_AT_ONCE):
                 words = [t.split() for t in texts.slice(start, TEXTS_AT_ONCE).to_pylist()]
                 for logs in scorer.scores(words) if model.languages else [None] * len(words):
                     best = 0 if logs is None else int(np.argmax(logs))
-                    names.append("und" if logs is None else model.languages[best])
+                    found.append("und" if logs is None else model.languages[best])
                     scores.append(0.0 if logs is None else float(1 / np.exp(logs - logs[best]).sum()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return inner.select(*kept, letters(F.col(place["text"])).alias("_letters")).mapInArrow(classify, schema).toDF(*columns, "lang_pred", "score")
+    return inner.select(*kept, letters(F.col(place["text"])).alias("_letters")).mapInArrow(classify, schema).toDF(*columns, *names)
 
 
 def held_out(doc_id: Column) -> Column:

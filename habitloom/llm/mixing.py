@@ -111,9 +111,11 @@ def plan(docs: DataFrame, tokens: Column, target: str, limit: float, budget: int
         "r.source", "tokens", "exponent", "weight", "epochs", F.coalesce("last_key", F.lit("")).alias("last_key")), "mix-plan")
 
 
-def mix(docs: DataFrame, tokens: Column, target: str, limit: float, budget: int | None, seed: str) -> DataFrame:
+def mix(docs: DataFrame, tokens: Column, target: str, limit: float, budget: int | None, seed: str, names=("epoch", "place", "weight")) -> DataFrame:
     """``docs`` with ``epoch``, ``place`` and ``weight``: a row per time a document is taken.
 
+    ``names`` are the names of these three; columns of ``docs`` that have them are replaced.
+
     ``place`` in 0 to 1 spreads each source's epochs evenly over the mixture:
     its whole and begun epochs follow each other, each a permutation of its
     own. Ordering by it, or dealing ranges of it, gives the mixed stream.
@@ -130,5 +132,5 @@ def mix(docs: DataFrame, tokens: Column, target: str, limit: float, budget: int
     part = F.conv(F.substring(permutation_key(seed, F.col("_epoch"), F.col(name["doc_id"])), 1, 12), 16, 10).cast("double") / float(16 ** 12)
     begun = F.col("epochs") + (F.col("last_key") != "").cast("int")
     return taken.select(
-        *[F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("epoch", "place", "weight")],
-        F.col("_epoch").alias("epoch"), ((F.col("_epoch") + part) / begun).alias("place"), "weight")
+        *[F.col(f"_d{i}").alias(c) for i, c in enumerate(docs.columns) if c not in names],
+        *[x.alias(name) for x, name in zip((F.col("_epoch"), (F.col("_epoch") + part) / begun, F.col("weight")), names, strict=True)])

@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from habitloom.llm.queries import END_ID, tokenizer_path
@@ -14,13 +15,15 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_stages_one_by_one(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    columns = docs.columns
     base = docs.collect()
     planted = [
         (5000, "123 456 ### --", "en", "src0", 14), (5001, None, "en", "src0", 0), (5002, base[3].text, "fr", "src1", 1),
         (5003, base[6].text + " end", "en", "src1", 1), (5004, 'the password = "swordfish99" is not for you and me', "en", "src2", 50),
     ]
-    docs = materialize(docs.unionByName(spark.createDataFrame(planted, docs.schema)), "planted")
+    docs = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    extra = ("score", "lang_pred", "epoch", "weight", "place", "fp", "spans")
+    docs = materialize(docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id")) for name in extra}), "planted")
+    columns = docs.columns
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_copies", "secrets", "mixture", "sequences"]
     kept = [docs]
@@ -35,6 +38,8 @@ def test_stages_one_by_one(spark):
     assert ids[3] == ids[2]
     secret = {r.doc_id: r for r in kept[3].collect()}[5004]
     assert secret.text == 'the [secret]" is not for you and me' and secret.n_chars == len(secret.text)
+    # Columns that are named like an operator's own keep what they hold.
+    assert all(r[name] == f"{name}{r.doc_id}" for r in kept[4].collect() for name in extra)
     # The mixture drops nothing; what follows it takes every copy.
     assert set(ids[4]) == set(ids[3]) and 1 <= max(ids[4].values()) <= 3
     tokenizer = WordPieces(tokenizer_path())._tokenizer

@@ -64,6 +64,18 @@ def candidates(text: Column) -> tuple[Column, Column]:
     return base, loose
 
 
+def ownership(values: DataFrame) -> DataFrame:
+    """``(value, owners, repositories)`` from ``(value, owner, repository)`` rows: how widely a value is held.
+
+    Owners are exact; a repository belongs to one owner, and their number is a
+    sketched estimate. Rows are counted per (value, owner) before they are
+    counted per value, so a value in a third of all documents costs a row per
+    task and owner.
+    """
+    per_owner = values.groupBy("value", "owner").agg(F.approx_count_distinct("repository").alias("repositories"))
+    return per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+
+
 def scan(docs: DataFrame, repository: str, owner: str, max_owners: int) -> DataFrame:
     """Secrets of every whole text of ``docs`` with their ownership across all of it.
 
@@ -78,9 +90,7 @@ def scan(docs: DataFrame, repository: str, owner: str, max_owners: int) -> DataF
 
     Returns a row per input row: ``doc_id, spans`` (array of start, rank, end,
     kind, live), start and end in code points, by start and then rank. Null
-    and empty texts have no spans. Digests are counted per (digest, owner)
-    before they are counted per digest, so a value in a third of all documents
-    costs a row per task and owner. Documents with the same id and text share
+    and empty texts have no spans. Documents with the same id and text share
     one verdict, so repeated rows are safe.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -96,9 +106,7 @@ def scan(docs: DataFrame, repository: str, owner: str, max_owners: int) -> DataF
 
     values = held.select("doc_id", "digest", "repository", "owner", F.explode(F.array_distinct(
         F.transform(F.concat("base", "loose"), lambda s: F.sha2(s["value"], 256)))).alias("value"))
-    owned = values.groupBy("value", "owner").agg(F.approx_count_distinct("repository").alias("repositories")) \
-        .groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
-    live = materialize(owned.where(F.col("owners") <= max_owners).select("value"), "secret-live")
+    live = materialize(ownership(values).where(F.col("owners") <= max_owners).select("value"), "secret-live")
     # A list per text that has a live value; it is no longer than the text's own spans.
     verdicts = values.select("doc_id", "digest", "value").join(live, "value").distinct() \
         .groupBy("doc_id", "digest").agg(F.collect_list("value").alias("live"))

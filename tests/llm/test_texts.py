@@ -228,6 +228,12 @@ def test_secrets_overlap_nest_and_repeat(spark):
     assert clean[4] == "ééé[secret]" and "AKIA" not in clean[1]
 
 
+def test_ownership_counts_owners_and_repositories(spark):
+    rows = [("v", f"o{i % 4}", f"r{i % 8}") for i in range(50)] + [("w", None, "r"), ("w", None, "r"), ("w", "o", None)]
+    found = secret_scan.ownership(spark.createDataFrame(rows, "value string, owner string, repository string"))
+    assert sorted(map(tuple, found.collect())) == [("v", 4, 8), ("w", 2, 1)]
+
+
 @pytest.mark.parametrize("target,limit", [("repetition", 1.5), ("repetition", 4.0), ("entropy", 1.0), ("entropy", 9.0)])
 def test_mixing_meets_target_and_budget(spark, target, limit):
     rng = random.Random(9)

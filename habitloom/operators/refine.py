@@ -2,9 +2,8 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from habitloom.functions.columns import SCORING_STRENGTH_FIELDS, edge_strength, seeded_uniform
+from habitloom.functions.columns import SCORING_STRENGTH_FIELDS, device_key, edge_strength, seeded_uniform
 from habitloom.model import SEQ
-from habitloom.operators.compare import distribution_penalty
 from habitloom.operators.edges import with_endpoints
 from habitloom.operators.ranking import log_bucket, smallest_cutoff, uniform_bucket, with_rank, within
 from habitloom.operators.sequences import earlier_device_counts, ordered_pair_counts
@@ -48,15 +47,34 @@ def consistency(events: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``edges`` comes from ``scoring_edges``. Sequences without pairs score 1.
     """
+    return consistency_and_penalty(events, edges).drop("distribution_penalty")
+
+
+def consistency_and_penalty(events: DataFrame, edges: DataFrame, target: DataFrame = None) -> DataFrame:
+    """``consistency`` and ``compare.distribution_penalty`` of each sequence, from one pass over the events.
+
+    The pair counts of a device with itself tell how many events it has.
+    """
     pairs = _with_strength(ordered_pair_counts(events), edges)
+    own = F.col("source") == F.col("target")
+    of_device = F.when(own, F.col("n_sources_before_last") + 1)
+    moved, whole = F.lit(None).cast("double"), F.lit(0.0)
+    if target is not None:
+        target = materialize(target.select("device", "p"), "distribution")
+        whole = target.agg(F.sum(F.abs("p"))).scalar()
+        pairs = pairs.withColumn("_events", F.sum(of_device).over(Window.partitionBy(*SEQ))) \
+            .join(target, F.when(own, device_key("source")) == F.col("device"), "left")
+        q = F.coalesce(F.col("p"), F.lit(0.0))
+        moved = F.when(own, F.abs(of_device / F.col("_events") - q) - F.abs(q))
     return pairs.groupBy(*SEQ).agg(
         F.sum("n_pairs").alias("num_ordered_event_pairs"),
         F.sum(F.when(F.col("strength") > 0, F.col("n_pairs")).otherwise(0)).alias("num_causally_supported_pairs"),
-        F.sum(F.col("n_pairs") * F.col("normalized")).alias("_sum"),
+        F.sum(F.col("n_pairs") * F.col("normalized")).alias("_sum"), F.sum(moved).alias("_moved"),
     ).select(
         *SEQ, "num_ordered_event_pairs", "num_causally_supported_pairs",
         F.when(F.col("num_ordered_event_pairs") > 0, F.col("_sum") / F.col("num_ordered_event_pairs"))
         .otherwise(F.lit(1.0)).alias("causal_consistency_score"),
+        F.coalesce(0.5 * (F.col("_moved") + whole), F.lit(0.0)).alias("distribution_penalty"),
     )
 
 
@@ -89,7 +107,7 @@ def sequence_scores(
     """
     if temperature <= 0:
         raise ValueError("temperature must be positive")
-    scores = consistency(events, edges).join(distribution_penalty(events, target), list(SEQ))
+    scores = consistency_and_penalty(events, edges, target)
     if losses is None:
         scores = scores.withColumn("reconstruction_loss", F.lit(None).cast("double"))
     else:

@@ -127,14 +127,8 @@ def scan(docs: DataFrame, repository: str, owner: str, max_owners: int) -> DataF
         .unionByName(held.where(~some).select("doc_id", "digest", nothing.alias("spans")))
 
 
-def redact(docs: DataFrame, repository: str, owner: str, max_owners: int, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``scan`` replaced by ``mark``, and ``n_chars`` counted anew where it exists.
-
-    All rows and columns are kept; texts without spans are unchanged.
-    """
-    spans = scan(docs, repository, owner, max_owners).where(F.size("spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_digest"])
-    text = F.col("text")
+def _masked(text: Column, spans: Column, mark: str) -> Column:
+    """A text with each of its sorted spans replaced by ``mark``."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc, s):
@@ -143,12 +137,34 @@ def redact(docs: DataFrame, repository: str, owner: str, max_owners: int, mark:
             F.greatest(acc["at"], s["end"]).alias("at"),
             F.when(s["start"] >= acc["at"], F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["done"]).alias("done"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    joined = docs.join(materialize(spans, "secret-spans"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2("text", 256) == F.col("_digest")), "left") \
-        .withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(text))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return joined.select(*docs.columns)
+    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+
+
+def redact(docs: DataFrame, repository: str, owner: str, max_owners: int, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with every span of ``scan`` replaced by ``mark``, and ``n_chars`` counted anew where it exists.
+
+    All rows and columns are kept; texts without spans are unchanged. A row's
+    base spans follow from its text alone. Only rows with a loose candidate,
+    whose verdict depends on the corpus, are joined with the scan.
+    """
+    text = F.col("text")
+    loose = F.coalesce(F.regexp_like(text, F.lit(LOOSE)), F.lit(False))
+    ends = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    owned = scan(docs, repository, owner, max_owners).where(F.exists("spans", lambda s: s["kind"] == "owned")).select(
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), ends(F.col("spans")).alias("_found")).dropDuplicates(["_id", "_digest"])
+    judged = docs.where(loose).join(
+        materialize(owned, "secret-owned"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2("text", 256) == F.col("_digest")), "left")
+
+    def masked(rows, spans):
+        rows = rows.withColumn("_spans", spans)
+        hit = F.size("_spans") > 0
+        rows = rows.withColumn("text", F.when(hit, _masked(text, F.col("_spans"), mark)).otherwise(text))
+        if "n_chars" in docs.columns:
+            rows = rows.withColumn("n_chars", F.when(hit, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+        return rows.select(*docs.columns)
+
+    base = ends(candidates(text)[0])
+    return masked(docs.where(~loose), base).unionByName(masked(judged, F.coalesce("_found", base)))
 
 
 def digests(found: DataFrame) -> DataFrame:

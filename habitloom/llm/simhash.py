@@ -12,7 +12,7 @@ from habitloom.llm.components import components
 from habitloom.session import materialize
 
 # Fingerprints of one tile; what a task holds of either side of a comparison.
-TILE = 8192
+TILE = 32768
 # Rows of a tile that are compared with the other tile at once, and links held before they are thinned.
 ROWS, HELD = 32, 1 << 20
 # Shingles hashed before their bits are added up.
@@ -96,7 +96,9 @@ def _tiles(fps: DataFrame, size: int) -> DataFrame:
     first = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("bigint")
     block = lambda shift: F.bit_count(F.shiftrightunsigned("first", shift).bitwiseAND(F.lit(0xFFFF)))
     order = [F.bit_count("first"), *[block(shift) for shift in BLOCKS[:-1]], F.col("fp")]
-    dealt = fps.select("fp", first.alias("first")).repartitionByRange(*order).sortWithinPartitions(*order).select("fp")
+    # As many partitions as make full tiles: what is sent for the comparison grows with the number of pairs.
+    parts = max(1, math.ceil(fps.count() / (0.9 * TILE)))
+    dealt = fps.select("fp", first.alias("first")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("fp")
 
     def cut(batches):
         held = []
@@ -237,7 +239,8 @@ def deduplicate(docs: DataFrame, radius: int, shingle: int, seed: int, size: int
     Of equal rows one stays; all columns are kept.
     """
     found = classes(docs, radius, shingle, seed, size, first_radius)
-    kept = materialize(found.select("component.doc_id", "component.digest").distinct(), "simhash-kept")
-    joined = docs.withColumn("_digest", F.xxhash64("text")).alias("d").join(
-        kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("_digest") == F.col("k.digest")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    # Ids as text, so that null is a value: join and removal of equal rows then share one exchange.
+    key = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
+    kept = materialize(found.select(key("component.doc_id").alias("_key"), F.col("component.digest").alias("_digest")).distinct(), "simhash-kept")
+    keyed = docs.withColumns({"_key": key("doc_id"), "_digest": F.xxhash64("text")})
+    return keyed.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).drop("_key", "_digest")

@@ -1,7 +1,5 @@
 """Removal of word windows that start in an earlier document, over the whole corpus."""
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc

@@ -11,7 +11,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from habitloom.functions.columns import channel_key
 from habitloom.model import SEQ, SLOTS_PER_WEEK
 from habitloom.operators.descriptive import channels_in_order, event_tensor, weekly_activity
 from habitloom.operators.edges import sparsify

@@ -17,18 +17,21 @@ TILE = 32768
 ROWS, HELD = 32, 1 << 20
 # Shingles hashed before their bits are added up.
 CHUNK = 1 << 16
+# Candidates that a fingerprint gets from a tile at first, and times that number in each further pass.
+NEAREST, MORE = 4, 16
 BLOCKS = (0, 16, 32, 48)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def radius_for(similarity: float, bits: int) -> int:
+def radius_for(similarity: float, bits: int, deviations: float = 2) -> int:
     """Bits within which fingerprints of texts with this share of common shingles lie, but for one pair in forty.
 
     The share gives the cosine of the shingle counts, its angle the chance
-    that a bit differs; the allowance is two standard deviations.
+    that a bit differs; the allowance is two standard deviations, or as many
+    as are given.
     """
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * chance + 2 * math.sqrt(bits * chance * (1 - chance)))
+    return round(bits * chance + deviations * math.sqrt(bits * chance * (1 - chance)))
 
 
 def _spread(hashes, word):
@@ -41,17 +44,11 @@ def _spread(hashes, word):
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes | None, shingle: int, seed: int, size: int = 1) -> bytes:
-    """SimHash of a UTF-8 text in ``size`` words of 64 bits, greatest bit first.
-
-    A-Z are lowered; words are runs of anything but ASCII white space; each
-    shingle of ``shingle`` words joined by a space is hashed by XXH64, repeats
-    included. A shorter text is one shingle; a text without words gives 0. A
-    bit is set if it is set in more than half of the hashes.
-    """
+def _shingles(text: bytes | None, shingle: int, seed: int):
+    """XXH64 of each shingle of a UTF-8 text, some at a time, repeats included."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return bytes(8 * size)
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -59,24 +56,54 @@ def fingerprint(text: bytes | None, shingle: int, seed: int, size: int = 1) -> b
         starts, ends = starts[:len(words) - shingle + 1], ends[shingle - 1:]
     else:
         starts, ends = starts[:1], ends[-1:]
-    digest, counts = xxhash.xxh64_digest, np.zeros((size, 64), dtype=np.int64)
+    digest = xxhash.xxh64_digest
     for at in range(0, len(starts), CHUNK):
         raw = b"".join([digest(joined[s:e], seed) for s, e in zip(starts[at:at + CHUNK].tolist(), ends[at:at + CHUNK].tolist(), strict=True)])
-        hashes = np.frombuffer(raw, ">u8").astype(np.uint64)
+        yield np.frombuffer(raw, ">u8").astype(np.uint64)
+
+
+def _majority(chunks, size: int) -> bytes:
+    """Bits that are set in more than half of the hashes, for ``size`` words."""
+    counts, n = np.zeros((size, 64), dtype=np.int64), 0
+    for hashes in chunks:
+        n += len(hashes)
         for word in range(size):
             bits = np.unpackbits(_spread(hashes, word).astype(">u8").view(np.uint8))
             counts[word] += bits.reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts.ravel() > len(starts)).tobytes()
+    return np.packbits(2 * counts.ravel() > n).tobytes()
+
+
+def fingerprint(text: bytes | None, shingle: int, seed: int, size: int = 1) -> bytes:
+    """SimHash of a UTF-8 text in ``size`` words of 64 bits, greatest bit first.
+
+    A-Z are lowered; words are runs of anything but ASCII white space; each
+    shingle of ``shingle`` words joined by a space is hashed by XXH64, repeats
+    included. A shorter text is one shingle; a text without words gives 0. A
+    bit is set if it is set in more than half of the hashes.
+    """
+    return _majority(_shingles(text, shingle, seed), size)
+
+
+def shingle_set(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order; none for a text without words."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(text, shingle, seed)]))
 
 
-def fingerprints(docs: DataFrame, shingle: int, seed: int, size: int) -> DataFrame:
+def set_fingerprint(text: bytes | None, shingle: int, seed: int, size: int) -> bytes:
+    """SimHash like ``fingerprint``, each distinct shingle once, and a word more that is a digest of their set."""
+    hashes = shingle_set(text, shingle, seed)
+    chunks = (hashes[at:at + CHUNK] for at in range(0, len(hashes), CHUNK))
+    return _majority(chunks, size) + xxhash.xxh3_64_digest(hashes.tobytes())
+
+
+def fingerprints(docs: DataFrame, shingle: int, seed: int, size: int, of=fingerprint) -> DataFrame:
     """``(doc_id, digest, fp)``: a row per row of ``(doc_id, text)``, written once.
 
-    ``digest`` tells rows of one ``doc_id`` apart.
+    ``digest`` tells rows of one ``doc_id`` apart; ``of`` makes the fingerprint.
     """
     def compute(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle, seed, size) for t in batch.column(2)]
+            fps = [of(t.as_py(), shingle, seed, size) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], names=["doc_id", "digest", "fp"])
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
@@ -187,18 +214,21 @@ def tile_links(a, b, same: bool, radius: int, first_radius: int):
     return _thin(*map(np.concatenate, zip(*held, strict=True)), n)
 
 
-def links(fps: DataFrame, radius: int, size: int, first_radius: int) -> DataFrame:
-    """``(a, b)``: links of distinct fingerprints ``fp`` within ``radius`` bits, a forest per pair of tiles.
-
-    Every pair of tiles that the counts can't tell apart is compared in whole.
-    """
+def _dealt(fps: DataFrame, size: int, radius: int) -> DataFrame:
+    """``(a, b, a_fps, b_fps)``: every pair of tiles that the counts can't tell apart."""
     tiles = _tiles(fps, size)
-    pairs = materialize(_pairs(tiles, first_radius), "simhash-pairs")
+    pairs = materialize(_pairs(tiles, radius), "simhash-pairs")
     blob = lambda x: tiles.select(F.col("tile").alias(x), F.col("fps").alias(f"{x}_fps"))
     # Comparing takes far longer than reading, so pairs are dealt out by number, not by bytes.
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pairs.join(blob("a"), "a").join(blob("b"), "b").repartition(partitions, "a", "b")
+    return pairs.join(blob("a"), "a").join(blob("b"), "b").repartition(partitions, "a", "b")
+
 
+def links(fps: DataFrame, radius: int, size: int, first_radius: int) -> DataFrame:
+    """``(a, b)``: links of distinct fingerprints ``fp`` within ``radius`` bits, a forest per pair of tiles.
+
+    Every pair of tiles that the counts can't tell apart is compared in whole.
+    """
     def compare(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -208,10 +238,123 @@ def links(fps: DataFrame, radius: int, size: int, first_radius: int) -> DataFram
                 name = lambda k: pa.array([nodes[8 * size * i:8 * size * (i + 1)] for i in k.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([name(v), name(u)], names=["a", "b"])
 
-    return dealt.mapInArrow(compare, "a binary, b binary")
+    return _dealt(fps, size, first_radius).mapInArrow(compare, "a binary, b binary")
+
+
+def tile_candidates(a, b, same: bool, radius: int, first_radius: int, size: int, most: int):
+    """Pairs of two tiles within the radius whose last words, their groups, differ; some at a time.
+
+    Yields indices into ``a`` and ``b`` and whether the row of ``a`` had more
+    pairs than are given: the ``most`` nearest of each row of ``a``, and in the
+    end the nearest of each row of ``b``. ``size`` words are compared.
+    """
+    ones_a, ones_b = np.bitwise_count(a[:, 0]).astype(int), np.bitwise_count(b[:, 0]).astype(int)
+    first_b, none = np.ascontiguousarray(b[:, 0]), np.iinfo(np.int64).max
+    nearest = np.full(len(b), none, dtype=np.int64)
+    for at in range(0, len(a), ROWS):
+        rows = a[at:at + ROWS]
+        first = np.searchsorted(ones_b, ones_a[at] - first_radius, "left")
+        last = np.searchsorted(ones_b, ones_a[at + len(rows) - 1] + first_radius, "right")
+        if same:
+            first = max(first, at)
+        i, j = np.nonzero(np.bitwise_count(rows[:, :1] ^ first_b[first:last]) <= first_radius)
+        i, j = i + at, j + first
+        open_ = (a[i, -1] != b[j, -1]) & ((j > i) | (not same))
+        i, j = i[open_], j[open_]
+        bits = np.bitwise_count(a[i, :size] ^ b[j, :size]).sum(axis=1, dtype=np.int64)
+        close = bits <= radius
+        i, j, bits = i[close], j[close], bits[close]
+        if len(i):
+            np.minimum.at(nearest, j, bits << 32 | i)
+            order = np.lexsort((j, bits, i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            cut = np.bincount(i - at)[i - at] > most
+            yield i[place < most], j[place < most], cut[place < most]
+    j = np.flatnonzero(nearest != none)
+    yield nearest[j] & 0xFFFFFFFF, j, np.zeros(len(j), dtype=bool)
+
+
+def _candidates(nodes: DataFrame, radius: int, size: int, first_radius: int, most: int) -> DataFrame:
+    """``(a, b, cut)`` of ``(fp, label)``: pairs of different labels within the radius; ``cut`` where ``tile_candidates`` left some out."""
+    label = F.unhex(F.lpad(F.hex("label"), 16, "0"))
+    width = size + 2
+
+    def compare(batches):
+        def name(rows):
+            raw = pa.py_buffer(np.ascontiguousarray(rows[:, :size + 1].astype(">u8")).tobytes())
+            return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * (size + 1)), len(rows), [None, raw]).cast(pa.binary())
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                a, b = _array(row["a_fps"], width), _array(row["b_fps"], width)
+                for i, j, cut in tile_candidates(a, b, row["a"] == row["b"], radius, first_radius, size, most):
+                    yield pa.RecordBatch.from_arrays([name(a[i]), name(b[j]), pa.array(cut)], names=["a", "b", "cut"])
+
+    found = _dealt(nodes.select(F.concat("fp", label).alias("fp")), width, first_radius).mapInArrow(compare, "a binary, b binary, cut boolean")
+    return materialize(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "simhash-candidates")
+
+
+def _key(name):
+    """An id as text, so that null is a value."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1, first_radius: int | None = None) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """``(fp, hashes)``: the shingle set of the first row of each of ``nodes``."""
+    def compute(batches):
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle, seed).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "hashes"])
+
+    texts = pick(docs, "doc_id", "text").select(_key("doc_id").alias("_key"), F.xxhash64("text").alias("_digest"), F.col("text").cast("binary").alias("text"))
+    firsts = nodes.select("fp", _key("first.doc_id").alias("_key"), F.col("first.digest").alias("_digest"))
+    rows = texts.join(firsts, ["_key", "_digest"]).dropDuplicates(["_key", "_digest"])
+    return materialize(rows.select("fp", "text").mapInArrow(compute, "fp binary, hashes binary"), "simhash-sets")
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets have that share of common shingles or more."""
+    def check(batches):
+        for batch in batches:
+            held = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                every = len(x) + len(y) - both
+                held.append(both / every >= similarity if every else True)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    of = lambda x: sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"{x}_hashes"))
+    found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_hashes", "b_hashes")
+    return materialize(found.mapInArrow(check, "a binary, b binary"), "simhash-checked")
+
+
+def _similar(docs: DataFrame, nodes: DataFrame, similarity: float, radius: int, shingle: int, seed: int, size: int, first_radius: int) -> DataFrame:
+    """``(node, root)`` over the pairs of ``nodes`` within the radius whose shingle sets are similar enough.
+
+    Each pass checks the nearest candidates of every node. Pairs inside one
+    component need no check, so dense groups cost few; passes go on, with more
+    candidates, until none between two components was left out.
+    """
+    labelled, most, sets, linked = nodes.select("fp", F.xxhash64("fp").alias("label")), NEAREST, None, None
+    while True:
+        pairs = _candidates(labelled, radius, size, first_radius, most)
+        if sets is None:
+            # Whatever has a candidate has one in the first pass.
+            ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+            sets = _sets(docs, materialize(nodes.join(ends, "fp"), "simhash-ends"), shingle, seed)
+        found = _checked(pairs, sets, similarity)
+        linked = found if linked is None else linked.unionByName(found)
+        roots = components(linked)
+        if pairs.where("cut").isEmpty():
+            return roots
+        labels = nodes.select("fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+        labelled = materialize(labels.select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "simhash-labels")
+        most *= MORE
+
+
+def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1, first_radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """``(doc_id, digest, fp, component)`` per row of ``(doc_id, text)``.
 
     ``component`` is a struct ``(nameless, doc_id, digest)``: the first row of
@@ -221,26 +364,33 @@ def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1
     have fingerprint zero and are linked like any other. With more than one
     word of 64 bits, a pair is only linked if the first words differ in
     ``first_radius`` bits at most.
+
+    With a ``similarity``, a pair is only linked if its distinct shingles also
+    have that share in common, counted on their hashes; fingerprints then take
+    each distinct shingle once and end in a word that tells different sets apart.
     """
-    rows = fingerprints(docs, shingle, seed, size)
+    rows = fingerprints(docs, shingle, seed, size, fingerprint if similarity is None else set_fingerprint)
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
     found = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "simhash-fingerprints")
-    linked = links(found.select("fp"), radius, size, radius if first_radius is None else first_radius)
-    roots = components(linked).select(F.col("node").alias("fp"), "root")
+    first_radius = radius if first_radius is None else first_radius
+    if similarity is None:
+        ends = components(links(found.select("fp"), radius, size, first_radius))
+    else:
+        ends = _similar(docs, found, similarity, radius, shingle, seed, size, first_radius)
+    roots = ends.select(F.col("node").alias("fp"), "root")
     rooted = materialize(found.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
     firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")), "simhash-firsts")
     members = materialize(rooted.join(firsts, "root").select("fp", "component"), "simhash-members")
     return rows.join(members, "fp").select("doc_id", "digest", "fp", "component")
 
 
-def deduplicate(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1, first_radius: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1, first_radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each class of ``classes``: that with the least ``doc_id``.
 
     Of equal rows one stays; all columns are kept.
     """
-    found = classes(docs, radius, shingle, seed, size, first_radius)
-    # Ids as text, so that null is a value: join and removal of equal rows then share one exchange.
-    key = lambda x: F.coalesce(F.col(x).cast("string"), F.lit(""))
-    kept = materialize(found.select(key("component.doc_id").alias("_key"), F.col("component.digest").alias("_digest")).distinct(), "simhash-kept")
-    keyed = docs.withColumns({"_key": key("doc_id"), "_digest": F.xxhash64("text")})
+    found = classes(docs, radius, shingle, seed, size, first_radius, similarity)
+    # Join and removal of equal rows share one exchange.
+    kept = materialize(found.select(_key("component.doc_id").alias("_key"), F.col("component.digest").alias("_digest")).distinct(), "simhash-kept")
+    keyed = docs.withColumns({"_key": _key("doc_id"), "_digest": F.xxhash64("text")})
     return keyed.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).drop("_key", "_digest")

@@ -18,6 +18,13 @@ PIECE = 16
 UNKNOWN = 1e-7
 WORDS_AT_ONCE = 4096
 TEXTS_AT_ONCE = 64
+# Labelled rows that limits of evidence are taken from, at least; languages with fewer share one limit.
+LEAST_ROWS = 20
+# Times the usual logarithm per letter that a text of a learned language may have. On the test data,
+# texts of languages that were not learned have more than twice the usual one.
+SLACK = 1.75
+# Names for what ``predict`` gives as evidence.
+EVIDENCE = ("log", "letters", "words")
 
 
 @dataclasses.dataclass(frozen=True)
@@ -104,6 +111,14 @@ class _Lattice:
         return sums[self.word, self.start] * p * back[self.word, self.end] / self.totals(sums)[self.word]
 
 
+def _sample(docs: DataFrame, rows_per_language: int) -> tuple[DataFrame, DataFrame]:
+    """About so many labelled rows of each language, by a digest of the id, and the number of all per language."""
+    rows = pick(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    sizes = rows.groupBy("lang").count()
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(float(1 << 20)) * rows_per_language / F.col("count")
+    return rows.join(F.broadcast(sizes), "lang").where(share), sizes  # a row per language
+
+
 def fit(docs: DataFrame, pieces: tuple[str, ...], rows_per_language: int, iterations: int = 2, smoothing: float = 0.01) -> Model:
     """Piece probabilities per language from ``(doc_id, text, lang)``.
 
@@ -114,10 +129,7 @@ def fit(docs: DataFrame, pieces: tuple[str, ...], rows_per_language: int, iterat
     and backward sums, in parallel, starting from equal probabilities. What
     comes back to the driver is a number per piece and language.
     """
-    rows = pick(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(float(1 << 20)) * rows_per_language / F.col("count")
-    sample = rows.join(F.broadcast(sizes), "lang").where(share)  # a row per language
+    sample, sizes = _sample(docs, rows_per_language)
     counts = materialize(sample.select("lang", F.explode(F.split(letters(F.col("text")), " ")).alias("word")).where("word <> ''")
                          .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "langid-words")
     languages = tuple(sorted(r.lang for r in sizes.collect()))
@@ -199,10 +211,12 @@ class _Scorer:
         return [self.table[at].sum(axis=0) if at else None for at in places]
 
 
-def predict(docs: DataFrame, model: Model, names=("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: Model, names=("lang_pred", "score"), evidence: tuple | None = None) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``: the likeliest language and its probability among all.
 
     ``names`` are the names of these two; columns of ``docs`` that have them are replaced.
+    With ``evidence``, three more columns have these names: the logarithm of the
+    text's probability in that language, its letters and word marks, its words.
 
     Languages are equally likely beforehand. A text that is null or has no
     letter gets ``und`` and 0, as has every text if the model knows no
@@ -210,12 +224,13 @@ def predict(docs: DataFrame, model: Model, names=("lang_pred", "score")) -> Data
     word is the sum over all its segmentations into pieces, by a forward pass.
     Only ``text`` is used.
     """
+    names = (*names, *(evidence or ()))
     columns = [c for c in docs.columns if c not in names]
     inner = docs.toDF(*[f"_d{i}" for i in range(len(docs.columns))])
     place = {c: f"_d{i}" for i, c in reversed(list(enumerate(docs.columns)))}
     kept = [F.col(f"_d{i}") for i, c in enumerate(docs.columns) if c not in names]
     fields = inner.select(*kept).schema
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"] + (["log double", "letters bigint", "words bigint"] if evidence else []))
 
     model_name = uuid.uuid4().hex
 
@@ -223,21 +238,66 @@ def predict(docs: DataFrame, model: Model, names=("lang_pred", "score")) -> Data
         # The model is told by a name: comparing its numbers would take longer than using them.
         scorer = kept_in_worker(("languages", model_name), lambda: _Scorer(model))
         for batch in batches:
-            found, scores = [], []
+            found, scores, held = [], [], ([], [], [])
             texts = batch.column(batch.num_columns - 1)
             for start in range(0, len(texts), TEXTS_AT_ONCE):
                 words = [t.split() for t in texts.slice(start, TEXTS_AT_ONCE).to_pylist()]
-                for logs in scorer.scores(words) if model.languages else [None] * len(words):
+                for text, logs in zip(words, scorer.scores(words) if model.languages else [None] * len(words), strict=True):
                     best = 0 if logs is None else int(np.argmax(logs))
                     found.append("und" if logs is None else model.languages[best])
                     scores.append(0.0 if logs is None else float(1 / np.exp(logs - logs[best]).sum()))
+                    if evidence:
+                        for column, value in zip(held, (0.0 if logs is None else float(logs[best]), sum(map(len, text)) + len(text), len(text)), strict=True):
+                            column.append(value)
+            more = [pa.array(held[0], pa.float64()), *(pa.array(c, pa.int64()) for c in held[1:])] if evidence else []
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())],
-                names=[*batch.schema.names[:-1], "lang_pred", "score"])
+                [*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64()), *more],
+                names=[*batch.schema.names[:-1], "lang_pred", "score", *(EVIDENCE if evidence else ())])
 
     return inner.select(*kept, letters(F.col(place["text"])).alias("_letters")).mapInArrow(classify, schema).toDF(*columns, *names)
 
 
+def limits(docs: DataFrame, model: Model, rows_per_language: int) -> dict:
+    """Per language, and under null for all others: how little evidence clean labelled texts have.
+
+    ``docs`` are labelled rows that the model was not fitted on; those found in
+    their own language count. A limit is ``(mean, rate, excess)``: the mean
+    logarithm per letter over all letters, the least logarithm per letter of a
+    text, and the least excess over the mean by the root of the number of words.
+    The least logarithm per letter is twice as far below the median as the
+    lowest hundredth, or ``SLACK`` times the median where that is lower: mixed
+    and repetitive texts of learned languages stay. The least excess is six times
+    as far below the median as the lower quartile. Nothing is given where too
+    few rows are labelled.
+    """
+    found = predict(_sample(docs, rows_per_language)[0], model, ("_pred", "_score"), EVIDENCE).where("_pred = lang AND words > 0")
+    found = materialize(found.select("lang", *EVIDENCE), "langid-evidence")
+
+    def of(rows, *by):
+        means = rows.groupBy(*by).agg((F.sum("log") / F.sum("letters")).alias("mean"), F.count(F.lit(1)).alias("n"))
+        rows = rows.join(F.broadcast(means), list(by)) if by else rows.crossJoin(F.broadcast(means))  # a row per language
+        rate, excess = F.col("log") / F.col("letters"), (F.col("log") - F.col("mean") * F.col("letters")) / F.sqrt("words")
+        at = lambda x, share: F.percentile(x, F.lit(share))
+        return rows.where(F.col("n") >= LEAST_ROWS).groupBy(*by, "mean").agg(
+            F.least(2 * at(rate, 0.01) - at(rate, 0.5), SLACK * at(rate, 0.5)).alias("rate"),
+            (7 * at(excess, 0.25) - 6 * at(excess, 0.5)).alias("excess")).collect()  # a row per language
+
+    every = {None: (r.mean, r.rate, r.excess) for r in of(found)}
+    return every | {r.lang: (r.mean, r.rate, r.excess) for r in of(found, "lang")}
+
+
+def has_evidence(limits: dict, lang: str, log: str, letters: str, words: str) -> Column:
+    """Whether a text's evidence reaches the limits of its language: that per letter or, as short texts vary more, the excess."""
+    def reaches(mean, rate, excess):
+        return (F.col(log) >= rate * F.col(letters)) | (F.col(log) - mean * F.col(letters) >= excess * F.sqrt(words))
+
+    enough = reaches(*limits[None]) if None in limits else F.lit(True)
+    for name, limit in limits.items():
+        if name is not None:
+            enough = F.when(F.col(lang) == name, reaches(*limit)).otherwise(enough)
+    return enough
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that are kept from the fit: a fixed quarter by the checksum of the id as text."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -67,29 +67,36 @@ def candidates(text: Column) -> tuple[Column, Column]:
 def ownership(values: DataFrame) -> DataFrame:
     """``(value, owners, repositories)`` from ``(value, owner, repository)`` rows: how widely a value is held.
 
-    Owners are exact; a repository belongs to one owner, and their number is a
-    sketched estimate. Rows are counted per (value, owner) before they are
-    counted per value, so a value in a third of all documents costs a row per
-    task and owner.
+    Both are exact; null is one owner, but no repository. Rows are reduced to
+    distinct pairs with an owner and with a repository, and these are counted
+    per task, before anything meets per value: no task holds all of a value that
+    is in a third of all documents.
     """
-    per_owner = values.groupBy("value", "owner").agg(F.approx_count_distinct("repository").alias("repositories"))
-    return per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    def distinct(of):
+        return values.select("value", of).distinct().groupBy("value").agg(
+            F.count(F.lit(1) if of == "owner" else of).alias("n"), F.lit(of).alias("of"))
 
+    number = lambda of: F.max(F.when(F.col("of") == of, F.col("n")))
+    return distinct("owner").unionByName(distinct("repository")).groupBy("value").agg(
+        number("owner").alias("owners"), number("repository").alias("repositories"))
 
-def scan(docs: DataFrame, repository: str, owner: str, max_owners: int) -> DataFrame:
+
+def scan(docs: DataFrame, repository: str, owner: str, max_owners: int, max_repositories: int | None = None) -> DataFrame:
     """Secrets of every whole text of ``docs`` with their ownership across all of it.
 
     ``docs`` has ``doc_id, text`` and the columns that name a document's
     repository and its owner (both may be ``doc_id`` or ``source``; nulls are
     one owner). Candidates are the base spans and loose ones, which only look
     like a random key. The digest of a candidate's value is aggregated over
-    the corpus: a value held by more than ``max_owners`` owners is a widely
-    copied example, one held by fewer is owner-specific and looks live.
+    the corpus: a value held by more than ``max_owners`` owners, or in more
+    than ``max_repositories`` repositories where that is given, is a widely
+    copied example; any other is owner-specific and looks live.
     Base spans are all kept, whatever their verdict; a loose span is added
     (kind ``owned``) only if owner-specific.
 
     Returns a row per input row: ``doc_id, spans`` (array of start, rank, end,
-    kind, live), start and end in code points, by start and then rank. Null
+    kind, live, owners, repositories), start and end in code points, by start and
+    then rank; the last two say how many hold the value. Null
     and empty texts have no spans. Documents with the same id and text share
     one verdict, so repeated rows are safe.
     """
@@ -106,23 +113,28 @@ def scan(docs: DataFrame, repository: str, owner: str, max_owners: int) -> DataF
 
     values = held.select("doc_id", "digest", "repository", "owner", F.explode(F.array_distinct(
         F.transform(F.concat("base", "loose"), lambda s: F.sha2(s["value"], 256)))).alias("value"))
-    live = materialize(ownership(values).where(F.col("owners") <= max_owners).select("value"), "secret-live")
-    # A list per text that has a live value; it is no longer than the text's own spans.
-    verdicts = values.select("doc_id", "digest", "value").join(live, "value").distinct() \
-        .groupBy("doc_id", "digest").agg(F.collect_list("value").alias("live"))
+    held_by = ownership(values)
+    few = F.col("owners") <= max_owners
+    if max_repositories is not None:
+        few &= F.col("repositories") <= max_repositories
+    counted = materialize(held_by.withColumn("live", few), "secret-owners")
+    # A list per text that has a candidate; it is no longer than the text's own spans.
+    verdicts = values.select("doc_id", "digest", "value").join(counted, "value").distinct() \
+        .groupBy("doc_id", "digest").agg(F.map_from_entries(F.collect_list(F.struct("value", F.struct("live", "owners", "repositories")))).alias("verdicts"))
     some = (F.size("base") > 0) | (F.size("loose") > 0)
     judged = held.where(some).alias("h").join(
         materialize(verdicts, "secret-verdicts").alias("v"),
         F.col("h.doc_id").eqNullSafe(F.col("v.doc_id")) & (F.col("h.digest") == F.col("v.digest")), "left",
-    ).select("h.doc_id", "h.digest", "base", "loose", F.coalesce("live", F.array().cast("array<string>")).alias("live"))
+    ).select("h.doc_id", "h.digest", "base", "loose", "verdicts")
 
     def verdict(s, kind):
+        found = F.col("verdicts")[F.sha2(s["value"], 256)]
         return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), kind.alias("kind"),
-                        F.array_contains("live", F.sha2(s["value"], 256)).alias("live"))
+                        found["live"].alias("live"), found["owners"].alias("owners"), found["repositories"].alias("repositories"))
 
     every = F.concat(F.transform("base", lambda s: verdict(s, s["kind"])),
                      F.filter(F.transform("loose", lambda s: verdict(s, F.lit("owned"))), lambda s: s["live"]))
-    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,live:boolean>>")
+    nothing = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,live:boolean,owners:bigint,repositories:bigint>>")
     return judged.select("doc_id", "digest", F.sort_array(every).alias("spans")) \
         .unionByName(held.where(~some).select("doc_id", "digest", nothing.alias("spans")))
 
@@ -140,7 +152,7 @@ def _masked(text: Column, spans: Column, mark: str) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
 
 
-def redact(docs: DataFrame, repository: str, owner: str, max_owners: int, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, repository: str, owner: str, max_owners: int, mark: str = "[secret]", max_repositories: int | None = None) -> DataFrame:
     """``docs`` with every span of ``scan`` replaced by ``mark``, and ``n_chars`` counted anew where it exists.
 
     All rows and columns are kept; texts without spans are unchanged. A row's
@@ -150,7 +162,7 @@ def redact(docs: DataFrame, repository: str, owner: str, max_owners: int, mark:
     text = F.col("text")
     loose = F.coalesce(F.regexp_like(text, F.lit(LOOSE)), F.lit(False))
     ends = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    owned = scan(docs, repository, owner, max_owners).where(F.exists("spans", lambda s: s["kind"] == "owned")).select(
+    owned = scan(docs, repository, owner, max_owners, max_repositories).where(F.exists("spans", lambda s: s["kind"] == "owned")).select(
         F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), ends(F.col("spans")).alias("_found")).dropDuplicates(["_id", "_digest"])
     judged = docs.where(loose).join(
         materialize(owned, "secret-owned"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2("text", 256) == F.col("_digest")), "left")

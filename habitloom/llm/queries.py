@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from habitloom.llm import langid, mixing, pack, quality, rollup, secret_scan, shard, simhash, substring, vafile
+from habitloom.llm import align, jaccard, langid, mixing, pack, quality, rollup, secret_scan, shard, simhash, substring, vafile, whitening
 from habitloom.llm.common import words
 from habitloom.session import shared_folder
 
@@ -20,6 +20,7 @@ MAX_REPETITION = 2
 # Labelled rows per language that language models are fitted on.
 FIT_ROWS = 4000
 MIX_SEED = "mix"
+COMPONENTS = 32
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -256,3 +257,19 @@ FROM taken
 def op10_temperature_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"), n_words(), "repetition", MAX_REPETITION, None, MIX_SEED)
     return mixed.select("doc_id", "source", "epoch", "place", F.round("weight", 9).alias("weight"))
+
+
+@query()
+def op11_bit_sliced_scatter(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), COMPONENTS)
+
+
+@query()
+def op12_fragment_monoid(spark, sf_dir):
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query()
+def op13_token_group_matrix(spark, sf_dir):
+    found = jaccard.jaccard_classes(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

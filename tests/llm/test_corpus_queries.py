@@ -12,7 +12,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_one_query_per_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     registered = entry_points.queries()
     assert set(QUERIES) | {"pipeline"} <= set(registered)
     assert set(ORACLES) <= set(entry_points.oracle_sql())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from habitloom.llm.common import pick
 from habitloom.llm.components import components
+from habitloom.llm.setjoin import gathered, hashed_sets, linked, parts_of, thin
 from habitloom.session import materialize
 
 # Fingerprints of one tile; what a task holds of either side of a comparison.
@@ -17,8 +18,6 @@ TILE = 32768
 ROWS, HELD = 32, 1 << 20
 # Shingles hashed before their bits are added up.
 CHUNK = 1 << 16
-# Candidates that a fingerprint gets from a tile at first, and times that number in each further pass.
-NEAREST, MORE = 4, 16
 BLOCKS = (0, 16, 32, 48)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -165,30 +164,18 @@ def _pairs(tiles: DataFrame, radius: int) -> DataFrame:
     return left.join(right, "ones").where(F.col("a") <= F.col("b")).where(apart <= radius).select("a", "b").distinct()
 
 
-def _thin(u, v, n):
-    """A forest over nodes 0 to n - 1 with the components of the links (u, v)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[u], label[v])
-        if (label[u] == low).all() and (label[v] == low).all():
-            break
-        np.minimum.at(label, label[u], low)
-        np.minimum.at(label, label[v], low)
-        while (label[label] != label).any():
-            label = label[label]
-    nodes = np.flatnonzero(label != np.arange(n))
-    return nodes, label[nodes]
-
-
-def tile_links(a, b, same: bool, radius: int, first_radius: int):
+def tile_links(a, b, same: bool, radius: int, first_radius: int, compared: int | None = None):
     """Links between the fingerprints of two tiles, thinned to a forest: indices into ``a`` followed by ``b``.
 
+    The first ``compared`` words are compared (all, if not given); further ones only name a fingerprint.
+
     Both are sorted by population count, so each few rows of ``a`` meet only
     the stretch of ``b`` whose counts are near enough. First words are all
     compared; where there are more, pairs within ``first_radius`` are compared
     in whole. Of a dense group no more than a link per fingerprint is kept;
     its component stays the same.
     """
+    compared = compared or a.shape[1]
     ones_a, ones_b = np.bitwise_count(a[:, 0]).astype(int), np.bitwise_count(b[:, 0]).astype(int)
     first_b = np.ascontiguousarray(b[:, 0])
     n, shift = (len(a), 0) if same else (len(a) + len(b), len(a))
@@ -204,14 +191,14 @@ def tile_links(a, b, same: bool, radius: int, first_radius: int):
             near[np.arange(len(rows)), np.arange(len(rows)) + at - first] = False
         if near.any():
             i, j = np.nonzero(near)
-            if a.shape[1] > 1:
-                close = np.bitwise_count(rows[i] ^ b[j + first]).sum(axis=1) <= radius
+            if compared > 1:
+                close = np.bitwise_count(rows[i, :compared] ^ b[j + first, :compared]).sum(axis=1) <= radius
                 i, j = i[close], j[close]
             held.append((i + at, j + first + shift))
             size += len(i)
             if size > HELD:
-                held, size = [_thin(*map(np.concatenate, zip(*held, strict=True)), n)], 0
-    return _thin(*map(np.concatenate, zip(*held, strict=True)), n)
+                held, size = [thin(*map(np.concatenate, zip(*held, strict=True)), n)], 0
+    return thin(*map(np.concatenate, zip(*held, strict=True)), n)
 
 
 def _dealt(fps: DataFrame, size: int, radius: int) -> DataFrame:
@@ -224,75 +211,24 @@ def _dealt(fps: DataFrame, size: int, radius: int) -> DataFrame:
     return pairs.join(blob("a"), "a").join(blob("b"), "b").repartition(partitions, "a", "b")
 
 
-def links(fps: DataFrame, radius: int, size: int, first_radius: int) -> DataFrame:
+def links(fps: DataFrame, radius: int, size: int, first_radius: int, width: int | None = None) -> DataFrame:
     """``(a, b)``: links of distinct fingerprints ``fp`` within ``radius`` bits, a forest per pair of tiles.
 
     Every pair of tiles that the counts can't tell apart is compared in whole.
+    Fingerprints are ``width`` words long, of which ``size`` are compared.
     """
+    width = width or size
+
     def compare(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 same = row["a"] == row["b"]
-                u, v = tile_links(_array(row["a_fps"], size), _array(row["b_fps"], size), same, radius, first_radius)
+                u, v = tile_links(_array(row["a_fps"], width), _array(row["b_fps"], width), same, radius, first_radius, size)
                 nodes = row["a_fps"] if same else row["a_fps"] + row["b_fps"]
-                name = lambda k: pa.array([nodes[8 * size * i:8 * size * (i + 1)] for i in k.tolist()], pa.binary())
+                name = lambda k: pa.array([nodes[8 * width * i:8 * width * (i + 1)] for i in k.tolist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([name(v), name(u)], names=["a", "b"])
 
-    return _dealt(fps, size, first_radius).mapInArrow(compare, "a binary, b binary")
-
-
-def tile_candidates(a, b, same: bool, radius: int, first_radius: int, size: int, most: int):
-    """Pairs of two tiles within the radius whose last words, their groups, differ; some at a time.
-
-    Yields indices into ``a`` and ``b`` and whether the row of ``a`` had more
-    pairs than are given: the ``most`` nearest of each row of ``a``, and in the
-    end the nearest of each row of ``b``. ``size`` words are compared.
-    """
-    ones_a, ones_b = np.bitwise_count(a[:, 0]).astype(int), np.bitwise_count(b[:, 0]).astype(int)
-    first_b, none = np.ascontiguousarray(b[:, 0]), np.iinfo(np.int64).max
-    nearest = np.full(len(b), none, dtype=np.int64)
-    for at in range(0, len(a), ROWS):
-        rows = a[at:at + ROWS]
-        first = np.searchsorted(ones_b, ones_a[at] - first_radius, "left")
-        last = np.searchsorted(ones_b, ones_a[at + len(rows) - 1] + first_radius, "right")
-        if same:
-            first = max(first, at)
-        i, j = np.nonzero(np.bitwise_count(rows[:, :1] ^ first_b[first:last]) <= first_radius)
-        i, j = i + at, j + first
-        open_ = (a[i, -1] != b[j, -1]) & ((j > i) | (not same))
-        i, j = i[open_], j[open_]
-        bits = np.bitwise_count(a[i, :size] ^ b[j, :size]).sum(axis=1, dtype=np.int64)
-        close = bits <= radius
-        i, j, bits = i[close], j[close], bits[close]
-        if len(i):
-            np.minimum.at(nearest, j, bits << 32 | i)
-            order = np.lexsort((j, bits, i))
-            i, j = i[order], j[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            cut = np.bincount(i - at)[i - at] > most
-            yield i[place < most], j[place < most], cut[place < most]
-    j = np.flatnonzero(nearest != none)
-    yield nearest[j] & 0xFFFFFFFF, j, np.zeros(len(j), dtype=bool)
-
-
-def _candidates(nodes: DataFrame, radius: int, size: int, first_radius: int, most: int) -> DataFrame:
-    """``(a, b, cut)`` of ``(fp, label)``: pairs of different labels within the radius; ``cut`` where ``tile_candidates`` left some out."""
-    label = F.unhex(F.lpad(F.hex("label"), 16, "0"))
-    width = size + 2
-
-    def compare(batches):
-        def name(rows):
-            raw = pa.py_buffer(np.ascontiguousarray(rows[:, :size + 1].astype(">u8")).tobytes())
-            return pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * (size + 1)), len(rows), [None, raw]).cast(pa.binary())
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = _array(row["a_fps"], width), _array(row["b_fps"], width)
-                for i, j, cut in tile_candidates(a, b, row["a"] == row["b"], radius, first_radius, size, most):
-                    yield pa.RecordBatch.from_arrays([name(a[i]), name(b[j]), pa.array(cut)], names=["a", "b", "cut"])
-
-    found = _dealt(nodes.select(F.concat("fp", label).alias("fp")), width, first_radius).mapInArrow(compare, "a binary, b binary, cut boolean")
-    return materialize(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), "simhash-candidates")
+    return _dealt(fps, width, first_radius).mapInArrow(compare, "a binary, b binary")
 
 
 def _key(name):
@@ -300,58 +236,28 @@ def _key(name):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``(fp, hashes)``: the shingle set of the first row of each of ``nodes``."""
-    def compute(batches):
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle, seed).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["fp", "hashes"])
-
-    texts = pick(docs, "doc_id", "text").select(_key("doc_id").alias("_key"), F.xxhash64("text").alias("_digest"), F.col("text").cast("binary").alias("text"))
-    firsts = nodes.select("fp", _key("first.doc_id").alias("_key"), F.col("first.digest").alias("_digest"))
-    rows = texts.join(firsts, ["_key", "_digest"]).dropDuplicates(["_key", "_digest"])
-    return materialize(rows.select("fp", "text").mapInArrow(compute, "fp binary, hashes binary"), "simhash-sets")
-
-
-def _checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets have that share of common shingles or more."""
-    def check(batches):
-        for batch in batches:
-            held = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                every = len(x) + len(y) - both
-                held.append(both / every >= similarity if every else True)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(held, pa.bool_()))
-
-    of = lambda x: sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"{x}_hashes"))
-    found = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_hashes", "b_hashes")
-    return materialize(found.mapInArrow(check, "a binary, b binary"), "simhash-checked")
-
-
-def _similar(docs: DataFrame, nodes: DataFrame, similarity: float, radius: int, shingle: int, seed: int, size: int, first_radius: int) -> DataFrame:
-    """``(node, root)`` over the pairs of ``nodes`` within the radius whose shingle sets are similar enough.
+def _similar(docs: DataFrame, nodes: DataFrame, similarity: float, radius: int, shingle: int, size: int, first_radius: int) -> DataFrame:
+    """``(node, root)`` over ``nodes`` ``(fp, first)`` whose shingle sets are similar enough.
 
-    Each pass checks the nearest candidates of every node. Pairs inside one
-    component need no check, so dense groups cost few; passes go on, with more
-    candidates, until none between two components was left out.
+    Fingerprints only form groups: whatever is reachable within the radius.
+    The sets of a group are then compared with each other exactly, part by
+    part, so a group of thousands costs a few exchanges of its sets and no
+    pair is sent anywhere.
     """
-    labelled, most, sets, linked = nodes.select("fp", F.xxhash64("fp").alias("label")), NEAREST, None, None
-    while True:
-        pairs = _candidates(labelled, radius, size, first_radius, most)
-        if sets is None:
-            # Whatever has a candidate has one in the first pass.
-            ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-            sets = _sets(docs, materialize(nodes.join(ends, "fp"), "simhash-ends"), shingle, seed)
-        found = _checked(pairs, sets, similarity)
-        linked = found if linked is None else linked.unionByName(found)
-        roots = components(linked)
-        if pairs.where("cut").isEmpty():
-            return roots
-        labels = nodes.select("fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-        labelled = materialize(labels.select("fp", F.xxhash64(F.coalesce("root", "fp")).alias("label")), "simhash-labels")
-        most *= MORE
+    near = components(links(nodes.select("fp"), radius, size, first_radius, size + 1)).select(F.col("node").alias("fp"), "root")
+    members = materialize(near.join(nodes, "fp").select(
+        F.monotonically_increasing_id().alias("sid"), "fp", F.xxhash64("root").alias("gid"), "first.doc_id", "first.digest"), "simhash-members")
+    sets = materialize(hashed_sets(docs, members, shingle).select("sid", F.col("gid").alias("group"), (F.length("hashes") / 8).cast("bigint").alias("n"), "hashes"), "simhash-sets")
+    dealt = parts_of(sets, "group")
+    name = lambda part: F.xxhash64("group", part)
+    # A group is as many parts as its tokens need; each part meets itself and those after it.
+    last = F.greatest("parts", F.lit(1)) - 1
+    several = dealt.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.max("parts").alias("parts")).where("size > 1")
+    ahead = several.select("group", "parts", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    pairs = materialize(ahead.select("group", "i", F.explode(F.sequence("i", last)).alias("j")).select(name("i").alias("a"), name("j").alias("b")), "simhash-parts")
+    found = linked(gathered(dealt.select(name("part").alias("gid"), "sid", "hashes")), pairs, round(100 * similarity))
+    of = lambda x: members.select(F.col("sid").alias(x), F.col("fp").alias(f"{x}_fp"))
+    return components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
 
 
 def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1, first_radius: int | None = None, similarity: float | None = None) -> DataFrame:
@@ -365,9 +271,11 @@ def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1
     word of 64 bits, a pair is only linked if the first words differ in
     ``first_radius`` bits at most.
 
-    With a ``similarity``, a pair is only linked if its distinct shingles also
-    have that share in common, counted on their hashes; fingerprints then take
-    each distinct shingle once and end in a word that tells different sets apart.
+    With a ``similarity``, fingerprints take each distinct shingle once and end
+    in a word that tells different sets apart; they only form groups. Two rows
+    of a group are linked if their distinct shingles have that share in common,
+    counted on their hashes, however far apart their fingerprints are. A pair
+    that no chain of fingerprints within the radius joins is not looked at.
     """
     rows = fingerprints(docs, shingle, seed, size, fingerprint if similarity is None else set_fingerprint)
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
@@ -376,7 +284,7 @@ def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1
     if similarity is None:
         ends = components(links(found.select("fp"), radius, size, first_radius))
     else:
-        ends = _similar(docs, found, similarity, radius, shingle, seed, size, first_radius)
+        ends = _similar(docs, found, similarity, radius, shingle, size, first_radius)
     roots = ends.select(F.col("node").alias("fp"), "root")
     rooted = materialize(found.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
     firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")), "simhash-firsts")
@@ -387,7 +295,8 @@ def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1
 def deduplicate(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1, first_radius: int | None = None, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each class of ``classes``: that with the least ``doc_id``.
 
-    Of equal rows one stays; all columns are kept.
+    Of equal rows one stays; all columns are kept. What ``classes`` says of
+    pairs beyond the radius holds here.
     """
     found = classes(docs, radius, shingle, seed, size, first_radius, similarity)
     # Join and removal of equal rows share one exchange.

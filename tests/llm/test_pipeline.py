@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from habitloom.llm.queries import END_ID, tokenizer_path
 from habitloom.llm.wordpieces import WordPieces
+from habitloom.llm import mixing
+from habitloom.llm.queries import MAX_REPETITION, MIX_SEED, n_words
 from habitloom.session import materialize
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -61,3 +63,20 @@ def test_run_equals_the_stages(spark):
     total = lambda rows: collections.Counter({r.doc_id: 0 for r in rows}) + collections.Counter(r.doc_id for r in rows if r.start == 0)
     assert total(corpus_pipeline.run(spark, SF_DIR).collect()) == total(docs.collect())
     assert key(docs.collect())
+
+
+def test_sequences_follow_the_mixture(spark):
+    """Places rise along the sequences, though files are read by size and in several tasks."""
+    docs = materialize(spark.read.parquet(f"{SF_DIR}/documents.parquet"), "docs")
+    place = {}
+    for r in mixing.mix(docs, n_words(), "repetition", MAX_REPETITION, None, MIX_SEED).collect():
+        place.setdefault(r.doc_id, []).append(r.place)
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF_DIR)
+    stored = materialize(mixed.repartitionByRange(7, F.rand(3)).sortWithinPartitions("doc_id"), "shuffled")
+    assert stored.rdd.getNumPartitions() > 1
+    for written, rises in ((materialize(mixed, "mixed"), True), (stored, False)):
+        pieces = sorted(corpus_pipeline.pack_sequences(spark, written, SF_DIR).where("start = 0").collect(), key=lambda p: (p.sequence_id, p.offset))
+        assert collections.Counter(p.doc_id for p in pieces) == {doc: len(at) for doc, at in place.items()}
+        left = {doc: sorted(at, reverse=True) for doc, at in place.items()}
+        along = [left[p.doc_id].pop() for p in pieces]
+        assert (along == sorted(along)) == rises

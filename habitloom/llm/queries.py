@@ -16,6 +16,8 @@ END_ID = 2
 NEIGHBOURS = 5
 # A value that more sources than these hold is a copied example.
 MAX_OWNERS = 3
+# A value in more documents than these is a copied example, however few sources hold it.
+MAX_REPOSITORIES = 30
 MAX_REPETITION = 2
 # Labelled rows per language that language models are fitted on.
 FIT_ROWS = 4000
@@ -107,18 +109,19 @@ spans AS (
 candidates AS (
   SELECT * FROM spans s WHERE rank < 3 OR NOT EXISTS (
     SELECT 1 FROM spans o WHERE o.doc_id = s.doc_id AND o.rank < 3 AND o.a < s.b AND s.a < o.b)),
-live AS (SELECT value FROM candidates GROUP BY value HAVING count(DISTINCT coalesce(source, '(none)')) <= 3),
-judged AS (SELECT c.*, l.value IS NOT NULL AS is_live FROM candidates c LEFT JOIN live l USING (value)),
+held AS (SELECT value, count(DISTINCT coalesce(source, '(none)')) AS owners, count(DISTINCT doc_id) AS repositories FROM candidates GROUP BY value),
+judged AS (SELECT *, owners <= 3 AND repositories <= 30 AS is_live FROM candidates JOIN held USING (value)),
 kept AS (SELECT *, kind || ':' || a || ':' || b AS span FROM judged WHERE rank < 3 OR is_live)
 SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
   count(*) FILTER (kind = 'hex') AS n_hex,
   sha256(coalesce(string_agg(span, ',' ORDER BY a, rank) FILTER (rank < 3), '')) AS base_sha256,
   coalesce(string_agg(span, ',' ORDER BY a, rank), '') AS spans,
-  count(*) FILTER (kind = 'owned') AS n_owned, count(*) FILTER (is_live) AS n_live
+  count(*) FILTER (kind = 'owned') AS n_owned, count(*) FILTER (is_live) AS n_live,
+  coalesce(max(owners), 0) AS most_owners, coalesce(max(repositories), 0) AS most_repositories
 FROM d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
 """)
 def op3_ownership_frequency(spark, sf_dir):
-    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "source", MAX_OWNERS))
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "source", MAX_OWNERS, MAX_REPOSITORIES))
 
 
 @query(r"""

@@ -180,7 +180,7 @@ def redact(docs: DataFrame, repository: str, owner: str, max_owners: int, mark:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts, base digest and span list per row of ``scan``."""
+    """Counts, base digest and span list per row of ``scan``, and how many owners and repositories hold its most widely held span."""
     def text(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -189,4 +189,5 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", *[count(kind).alias(f"n_{kind}") for kind, *_ in BASE], F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"), count("owned").alias("n_owned"),
-        F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live"))
+        F.size(F.filter("spans", lambda s: s["live"])).cast("bigint").alias("n_live"),
+        *[F.coalesce(F.array_max(F.col("spans")[of]), F.lit(0)).cast("bigint").alias(f"most_{of}") for of in ("owners", "repositories")])

@@ -16,12 +16,10 @@ from habitloom.session import materialize
 
 # Bytes of a chunk; longer documents are cut every so many bytes, wherever that falls.
 CHUNK = 1 << 16
-# How far from a cut both tokenizers must have a sure boundary; else the chunk goes on to the next cut.
-SLACK = 1 << 14
 # Fragments composed by one task of a round.
 FAN = 16
-# Segments kept from text to text, and the longest of them: bounds of memory only.
-KEPT, KEPT_LENGTH = 200_000, 64
+# Segments kept from text to text, in each of two generations, and the longest of them: bounds of memory only.
+KEPT, KEPT_LENGTH = 160_000, 64
 DOCS_AT_ONCE = 256
 # A blank between two characters that are none: neither tokenizer joins across it, and both begin a token with it.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
@@ -110,76 +108,102 @@ class Aligner:
         self.a_bytes = {i: bytes(map(of.__getitem__, t)) if all(c in of for c in t) else t.encode() for t, i in entries.items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.known = {}
+        self.a_lengths = np.zeros(max(self.a_bytes) + 1, np.int64)
+        self.a_lengths[list(self.a_bytes)] = [len(t) for t in self.a_bytes.values()]
+        self.b_lengths = np.array([len(t) for t in self.b_bytes], np.int64)
+        self.marked = [f"{i}{mark}" for i in range(max(len(self.a_lengths), len(self.b_lengths))) for mark in ",|;\n"]
+        self.known, self.before = {}, {}
 
     def tokens(self, segments):
-        """Per segment, ids and end offsets of both sides over a blank and the segment; None if the bytes differ."""
-        first = self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)
-        for segment, one, b in zip(segments, first, self.b.encode(segments, num_threads=1), strict=True):
-            a, raw = one.ids, b" " + segment.encode()
-            a_bytes, b_bytes = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-                yield None
-            else:
-                yield a, list(itertools.accumulate(map(len, a_bytes))), b, list(itertools.accumulate(map(len, b_bytes)))
+        """Ids, their number per segment and their end offsets, of both sides, over all segments each behind a blank; and which segments come back byte by byte."""
+        raw = [b" " + s.encode() for s in segments]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        of_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)]
+        of_b = self.b.encode(segments, num_threads=1)
+        sides, good = [], np.ones(len(segments), bool)
+        for lists, token_bytes, lengths in ((of_a, self.a_bytes, self.a_lengths), (of_b, self.b_bytes, self.b_lengths)):
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(counts.sum()))
+            if b"".join(map(token_bytes.__getitem__, ids.tolist())) != b"".join(raw):
+                good &= np.fromiter((b"".join(map(token_bytes.__getitem__, x)) == r for x, r in zip(lists, raw, strict=True)), bool, len(raw))
+            sides.append((ids, counts, lengths))
+        if not good.all():  # what does not come back has no tokens
+            sides = [(ids[np.repeat(good, counts)], np.where(good, counts, 0), lengths) for ids, counts, lengths in sides]
+        return [(ids, counts, np.cumsum(lengths[ids])) for ids, counts, lengths in sides], np.cumsum(np.where(good, sizes, 0)), good
 
     def learn(self, segments):
-        """Numbers, groups and links of whole segments, whose ends close a group on both sides."""
-        found = {}
-        for segment, tokens in zip(segments, self.tokens(segments), strict=True):
-            if tokens is None:
-                found[segment] = None
-            else:
-                fragment, pairs = fragment_of(*tokens)
-                found[segment] = len(tokens[0]), len(tokens[2]), fragment.text(), pairs
-        return found
+        """Numbers, groups as text and links of whole segments, whose ends close a group on both sides."""
+        if not segments:
+            return {}
+        ((a, count_a, a_ends), (b, count_b, b_ends)), ends, good = self.tokens(segments)
+        common, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        # Of each group first the tokens of A, then those of B; a mark behind each tells what follows.
+        text = np.empty(len(a) + len(b), np.int64)
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[at_a], mark_b[at_b] = 1, np.where(np.isin(common, ends), 3, 2)
+        before = np.concatenate([[0], at_b + 1])
+        text[np.arange(len(a)) + before[np.searchsorted(at_a, np.arange(len(a)))]] = 4 * a + mark_a
+        text[np.arange(len(b)) + at_a[np.searchsorted(at_b, np.arange(len(b)))] + 1] = 4 * b + mark_b
+        groups = iter("".join(map(self.marked.__getitem__, text.tolist())).split("\n"))
+        pairs = tuple((a[at_a] << 32 | b[at_b]).tolist())
+        # Only segments that come back have ends; each of those ends a group.
+        last = np.searchsorted(common, ends, "right").tolist()
+        return {s: (n_a, n_b, next(groups), pairs[first:end]) if ok else False for s, ok, n_a, n_b, first, end in zip(
+            segments, good.tolist(), count_a.tolist(), count_b.tolist(), [0, *last[:-1]], last, strict=True)}
 
     def aligned(self, chunks):
-        """``(ok, n_a, n_b, fragment, pairs)`` per ``(slice, start, low, high)``: the tokens that end in the byte range ``low`` to ``high``.
+        """``(ok, n_a, n_b, fragment, pairs)`` per ``(slice, start, low, high, end)``: the tokens that end in the byte range ``low`` to ``high``.
 
-        A slice begins at offset ``start`` with a blank and ends where both
-        tokenizers have a boundary, so that its tokens are those of the whole
-        text; only its first and last segments may reach beyond the range.
+        A slice has the bytes ``start`` to ``end``; it begins with a blank and
+        ends where both tokenizers have a boundary, so that its tokens are those
+        of the whole text. Only its first and last segments may reach beyond
+        the range.
         """
         if len(self.known) > KEPT:
-            self.known = {}
+            self.known, self.before = {}, self.known
         split = []
         for text, *_ in chunks:
             segments = _SPLIT.split(text)
             segments[0] = segments[0][1:]
             split.append(segments)
-        missing = list({s for segments in split for s in segments if s not in self.known})
-        new = self.learn(missing)
+        found = [list(map(self.known.get, segments)) for segments in split]
+        missing = {s for segments, values in zip(split, found, strict=True) if None in values for s, v in zip(segments, values, strict=True) if v is None}
+        new = {s: self.before[s] for s in missing if s in self.before}
+        new |= self.learn([s for s in missing if s not in new])
         self.known.update((s, v) for s, v in new.items() if len(s) <= KEPT_LENGTH)
-        for (text, start, low, high), segments in zip(chunks, split, strict=True):
-            values = [new[s] if s in new else self.known[s] for s in segments]
-            end = start + sum(map(len, map(str.encode, segments))) + len(segments)
-            if any(v is None for v in values):
+        for (_, start, low, high, end), segments, values in zip(chunks, split, found, strict=True):
+            if None in values:
+                values = [new[s] if v is None else v for s, v in zip(segments, values, strict=True)]
+            if False in values:
                 yield False, 0, 0, Fragment(), []
                 continue
-            edges, inner = {}, slice(int(start < low), len(values) - int(high < end))
+            edges = {}
             if start < low:
                 edges[0] = start
             if high < end:
                 edges[len(values) - 1] = end - len(segments[-1].encode()) - 1
-            whole = values[inner] if inner.start < inner.stop else []
-            n_a, n_b = sum(v[0] for v in whole), sum(v[1] for v in whole)
-            pairs = list(itertools.chain.from_iterable(v[3] for v in whole))
-            fragment = Fragment(True, ((), ()), ";".join([v[2] for v in whole])) if whole else Fragment()
+            whole = values[int(start < low):len(values) - int(high < end)]
+            counts_a, counts_b, texts, links = zip(*whole, strict=True) if whole else ((), (), (), ())
+            n_a, n_b, pairs = sum(counts_a), sum(counts_b), list(itertools.chain.from_iterable(links))
+            fragment = Fragment(True, closed=";".join(texts)) if whole else Fragment()
             for place, at in edges.items():
-                a, a_ends, b, b_ends = next(self.tokens([segments[place]]))
-                own = [([i for i, e in zip(ids, ends) if low < at + e <= high], [e for e in ends if low < at + e <= high]) for ids, ends in ((a, a_ends), (b, b_ends))]
+                sides, _, _ = self.tokens([segments[place]])
+                own = [(ids[(low < at + ends) & (at + ends <= high)].tolist(), ends[(low < at + ends) & (at + ends <= high)].tolist()) for ids, _, ends in sides]
                 edge, links = fragment_of(*own[0], *own[1])
                 n_a, n_b, pairs = n_a + len(own[0][0]), n_b + len(own[1][0]), pairs + links
                 fragment = edge.then(fragment) if place == 0 else fragment.then(edge)
             yield True, n_a, n_b, fragment, pairs
 
 
-def chunks_of(raw: bytes):
-    """``(start, end, low, high)`` of the chunks of a text: the byte ranges, and slices around them that end at sure boundaries."""
+def chunks_of(raw: bytes, chunk: int):
+    """``(start, end, low, high)`` of the chunks of a text: the byte ranges, and slices around them that end at sure boundaries.
+
+    Where both tokenizers have no sure boundary within a quarter of a chunk of
+    a cut, the chunk goes on to the next one.
+    """
     bounds = []
-    for at in range(CHUNK, len(raw), CHUNK):
-        sure = [m.start() for m in _SURE.finditer(raw, max(0, at - SLACK), min(len(raw), at + SLACK))]
+    for at in range(chunk, len(raw), chunk):
+        sure = [m.start() for m in _SURE.finditer(raw, max(0, at - chunk // 4), min(len(raw), at + chunk // 4 + 1))]
         before, after = [p for p in sure if p <= at], [p for p in sure if p >= at]
         if before and after:
             bounds.append((at, before[-1], after[0]))
@@ -215,7 +239,7 @@ def _short(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for start in range(0, batch.num_rows, DOCS_AT_ONCE):
                 part = batch.slice(start, DOCS_AT_ONCE)
                 texts = [" " + (t or "") for t in part.column(1).to_pylist()]
-                found = aligner.aligned([(t, 0, 0, len(t.encode())) for t in texts])
+                found = aligner.aligned([(t, 0, 0, 0, 0) for t in texts])
                 rows = []
                 for text, (ok, n_a, n_b, fragment, pairs) in zip(texts, found, strict=True):
                     ok = ok and text != " "
@@ -242,10 +266,10 @@ def _unpacked(row):
 
 
 _ids = pa.list_(pa.int64())
-_FRAGMENT_FIELDS = [("cut", pa.bool_()), ("head_a", _ids), ("head_b", _ids), ("closed", pa.large_string()), ("tail_a", _ids), ("tail_b", _ids)]
+_FRAGMENT_FIELDS = [("cut", pa.bool_()), ("head_a", _ids), ("head_b", _ids), ("closed", pa.string()), ("tail_a", _ids), ("tail_b", _ids)]
 
 
-def _chunk_rows(docs: DataFrame) -> DataFrame:
+def _chunk_rows(docs: DataFrame, chunk: int) -> DataFrame:
     """``(key, doc_id, number, start, low, high, slice)`` of long documents, written once."""
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("number", pa.int64()), ("start", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("slice", pa.binary())])
 
@@ -254,7 +278,7 @@ def _chunk_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw, key = b" " + text.as_py().encode(), -1 - next(keys)
-                rows = [(key, doc_id, i, start, low, high, raw[start:end]) for i, (start, end, low, high) in enumerate(chunks_of(raw))]
+                rows = [(key, doc_id, i, start, low, high, raw[start:end]) for i, (start, end, low, high) in enumerate(chunks_of(raw, chunk))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return materialize(docs.mapInArrow(cut, "key bigint, doc_id bigint, number bigint, start bigint, low bigint, high bigint, slice binary"), "align-chunks")
@@ -270,7 +294,7 @@ def _fragments(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ok, n_a, n_b, fragment, pairs = next(aligner.aligned([(row["slice"].decode(), row["start"], row["low"], row["high"])]))
+                ok, n_a, n_b, fragment, pairs = next(aligner.aligned([(row["slice"].decode(), row["start"], row["low"], row["high"], row["start"] + len(row["slice"]))]))
                 pair, n = _counted(pairs)
                 yield pa.RecordBatch.from_pylist([{
                     "key": row["key"], "doc_id": row["doc_id"], "number": row["number"], "ok": ok, "n_a": n_a, "n_b": n_b, "n_links": len(pairs), "pairs": pair, "n": n, **_packed(fragment)}], schema=schema)
@@ -280,8 +304,8 @@ def _fragments(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
     return materialize(dealt.mapInArrow(compute, f"key bigint, doc_id bigint, number bigint, ok boolean, n_a bigint, n_b bigint, n_links bigint, {LINKS}, {FRAGMENT}"), "align-fragments")
 
 
-def composed(fragments: DataFrame) -> DataFrame:
-    """``(key, number, ...)``: the fragments of each key composed in the order of ``number``, ``FAN`` at a time, round by round."""
+def composed(fragments: DataFrame, fan: int) -> DataFrame:
+    """``(key, number, ...)``: the fragments of each key composed in the order of ``number``, ``fan`` at a time, round by round."""
     schema = pa.schema([("key", pa.int64()), ("number", pa.int64()), *_FRAGMENT_FIELDS])
 
     def join(table):
@@ -289,21 +313,21 @@ def composed(fragments: DataFrame) -> DataFrame:
         whole = Fragment()
         for row in rows:
             whole = whole.then(_unpacked(row))
-        return pa.Table.from_pylist([{"key": rows[0]["key"], "number": rows[0]["number"] // FAN, **_packed(whole)}], schema=schema)
+        return pa.Table.from_pylist([{"key": rows[0]["key"], "number": rows[0]["number"] // fan, **_packed(whole)}], schema=schema)
 
     names = ["key", "number", *[name for name, _ in _FRAGMENT_FIELDS]]
     left = fragments.agg(F.max("number")).first()[0] or 0
     found = fragments.select(*names)
     while left:
-        found = materialize(found.groupBy("key", F.floor(F.col("number") / FAN).alias("bunch")).applyInArrow(
+        found = materialize(found.groupBy("key", F.floor(F.col("number") / fan).alias("bunch")).applyInArrow(
             lambda table: join(table.select(names)), f"key bigint, number bigint, {FRAGMENT}"), "align-composed")
-        left //= FAN
+        left //= fan
     return found
 
 
-def _long(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFrame]:
+def _long(docs: DataFrame, path_a: str, path_b: str, chunk: int, fan: int) -> tuple[DataFrame, DataFrame]:
     """Documents of several chunks: the same columns as ``_short`` without links, and their links chunk by chunk."""
-    fragments = _fragments(_chunk_rows(docs), path_a, path_b)
+    fragments = _fragments(_chunk_rows(docs, chunk), path_a, path_b)
     sums = fragments.groupBy("key").agg(
         F.first("doc_id").alias("doc_id"), F.min("ok").alias("ok"), *[F.sum(c).cast("bigint").alias(c) for c in ("n_a", "n_b", "n_links")])
     sums = materialize(sums, "align-long")
@@ -313,7 +337,7 @@ def _long(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
             texts = (_unpacked(batch.slice(i, 1).to_pylist()[0]).text() for i in range(batch.num_rows))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())], names=["key", "digest"])
 
-    digests = composed(fragments).select("key", *[name for name, _ in _FRAGMENT_FIELDS]).mapInArrow(digest, "key bigint, digest string")
+    digests = composed(fragments, fan).select("key", *[name for name, _ in _FRAGMENT_FIELDS]).mapInArrow(digest, "key bigint, digest string")
     number = lambda c: F.when(F.col("ok"), F.col(c)).otherwise(0).alias(c)
     rows = sums.join(digests, "key").select(
         "key", "doc_id", number("n_a"), number("n_b"), number("n_links"), F.when(F.col("ok"), F.col("digest")).otherwise("").alias("digest"))
@@ -321,7 +345,7 @@ def _long(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
     return rows, links
 
 
-def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """``(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)`` per row of ``(doc_id, text)``.
 
     A blank and the text are encoded by the byte-level file ``path_a``, the
@@ -334,15 +358,15 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     Null and empty texts, and those that either tokenizer does not give back
     byte by byte, have no tokens: zeros, and no digest. Repeated rows count as
-    often as they occur. Documents above ``CHUNK`` bytes are cut into byte
+    often as they occur. Documents of ``chunk`` bytes or more are cut into byte
     ranges that are aligned apart: whatever is open at their ends is closed as
     fragments are composed, so the ranges change nothing. A document with no
     sure boundary of both tokenizers near any cut stays one chunk.
     """
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    is_long = F.coalesce(F.octet_length("text") >= CHUNK, F.lit(False))
+    is_long = F.coalesce(F.octet_length("text") >= chunk, F.lit(False))
     short = _short(rows.where(~is_long), path_a, path_b)
-    long_rows, long_links = _long(rows.where(is_long), path_a, path_b)
+    long_rows, long_links = _long(rows.where(is_long), path_a, path_b, chunk, fan)
     columns = ["key", "doc_id", "n_a", "n_b", "n_links", "digest"]
     every = short.select(*columns).unionByName(long_rows)
     links = short.select("key", "pairs", "n").unionByName(long_links).select("key", F.explode(F.arrays_zip("pairs", "n")).alias("l")) \

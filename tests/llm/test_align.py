@@ -61,17 +61,14 @@ def rows_of(frame):
     return sorted((str(r.doc_id), r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in frame.collect())
 
 
-@pytest.mark.parametrize("chunk", [1 << 16, 50])
-def test_alignment_equals_whole_texts(spark, monkeypatch, chunk):
-    monkeypatch.setattr(align, "CHUNK", chunk)
-    monkeypatch.setattr(align, "SLACK", chunk // 4)
-    monkeypatch.setattr(align, "FAN", 3)
+@pytest.mark.parametrize("chunk", [1 << 16, 64, 20])
+def test_alignment_equals_whole_texts(spark, chunk):
     rng = random.Random(3)
     texts = [r.text for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").collect()]
     texts = ODD + [t for t in texts if t][:40] + [" ".join(rng.choice(["the", "señor", "λόγος", "x y", "don't", "a,b", "12345678"]) for _ in range(4000))]
     rows = [*enumerate(texts), (None, "no id"), (3, "a"), (3, "a")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'x' AS key", "1 AS pairs", "2 AS n_a")
-    got = align.align(docs.repartition(3), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    got = align.align(docs.repartition(3), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), chunk, 3)
     assert rows_of(got) == brute(rows)
 
 
@@ -98,6 +95,6 @@ def test_composition_is_associative():
 
 def test_chunks_cover_the_text():
     raw = (" " + "word " * 40_000 + "x" * 200_000 + " end").encode()
-    spans = list(align.chunks_of(raw))
+    spans = list(align.chunks_of(raw, align.CHUNK))
     assert [s[2] for s in spans[1:]] == [s[3] for s in spans[:-1]] and spans[0][2] == 0 and spans[-1][3] == len(raw)
     assert len(spans) > 3 and all(start <= low < high <= end and raw[start:start + 1] == b" " for start, end, low, high in spans)

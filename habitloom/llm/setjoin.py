@@ -1,11 +1,12 @@
 """Exact links between sets of 64-bit tokens, group by group."""
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from habitloom.llm.common import kept_in_worker, pick
+from habitloom.llm.common import pick
 from habitloom.session import materialize
 
 # Tokens of a group that one task holds; larger groups are split into parts of about this size.
@@ -14,20 +15,13 @@ GROUP_TOKENS = 1 << 19
 ROWS, COLUMNS = 512, 2048
 # A token in more pairs of sets than these is a column of a matrix product; rarer ones are counted pair by pair.
 DENSE = 4096
-WORD_CACHE = 1_000_000
+# Bytes of text that are hashed at once.
+PIECE = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-# Odd multipliers, one per place in a shingle.
-_STEP = 0x9E3779B97F4A7C15
-
-
-class _WordHashes(dict):
-    """XXH3 of words, kept for those met before; the bound is one of memory only."""
-
-    def __missing__(self, word):
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) < WORD_CACHE:
-            self[word] = found
-        return found
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+# Odd, so that its powers have inverses.
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(20).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(x):
@@ -36,23 +30,83 @@ def _mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """Distinct 64-bit hashes, in order, of the word shingles of a UTF-8 text.
+@functools.cache
+def _powers(inverse):
+    """Powers of the base, or of its inverse, up to a piece."""
+    factor = np.full(PIECE + 1, pow(_BASE, -1, 1 << 64) if inverse else _BASE, np.uint64)
+    factor[0] = 1
+    return np.cumprod(factor)
+
+
+def _hashed_words(raw: bytes):
+    """Where each word of a lower-cased text begins, and its 64-bit hash: a polynomial in its bytes, mixed."""
+    starts, hashes, at = [], [], 0
+    while at < len(raw):
+        end = min(len(raw), at + PIECE)
+        if end < len(raw):  # no word is cut; one longer than a piece is hashed in steps
+            blanks = np.flatnonzero(_BLANK[np.frombuffer(raw, np.uint8, end - at, at)])
+            end = at + int(blanks[-1]) + 1 if len(blanks) else end
+        piece = np.frombuffer(raw, np.uint8, end - at, at)
+        sums = np.cumsum(_BYTES[piece] * _powers(False)[:len(piece)])
+        inside = np.concatenate([[False], ~_BLANK[piece], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        value = (sums[last - 1] - np.where(first > 0, sums[first - 1], np.uint64(0))) * _powers(True)[first]
+        size = last - first
+        if starts and len(first) and first[0] == 0 and not _BLANK[raw[at - 1]]:
+            # The word goes on from the piece before, which it began.
+            hashes[-1][-1:] = _mixed(hashes[-1][-1:] + value[:1] * np.uint64(3) + size[:1].astype(np.uint64))
+            first, value, size = first[1:], value[1:], size[1:]
+        if len(first):
+            starts.append(first + at)
+            hashes.append(_mixed(value + size.astype(np.uint64)))
+        at = end
+    return np.concatenate([np.zeros(0, np.int64), *starts]), np.concatenate([np.zeros(0, np.uint64), *hashes])
+
+
+def _folded(hashes, size):
+    """Hashes of all runs of ``size`` words."""
+    n = len(hashes) - size + 1
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total = _mixed(total * np.uint64((_BASE * (2 * k + 1) | 1) % (1 << 64)) + hashes[k:k + n])
+    return total
+
+
+def shingle_sets(texts, shingle: int):
+    """Per UTF-8 text the distinct 64-bit hashes, in order, of its word shingles.
 
     A-Z are lowered; words are runs of anything but ASCII white space. A text of
-    fewer words is one shingle, a text without words has none.
+    fewer words is one shingle; null and a text without words have none. Texts
+    are hashed many at a time.
     """
-    words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    known = kept_in_worker("word hashes", _WordHashes)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    size = min(shingle, len(words))
-    n = len(words) - size + 1
-    total = np.full(n, size, np.uint64)
-    for k in range(size):
-        total = _mixed(total * np.uint64((_STEP * (2 * k + 1) | 1) % (1 << 64)) + hashes[k:k + n])
-    return np.unique(total)
+    held, size = [], 0
+    for text in texts:
+        held.append(text or b"")
+        size += len(held[-1]) + 1
+        if size >= PIECE:
+            yield from _sets_of(held, shingle)
+            held, size = [], 0
+    yield from _sets_of(held, shingle)
+
+
+def _sets_of(texts, shingle):
+    if not texts:
+        return
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts, hashes = _hashed_words(b"\n".join([*texts, b""]).translate(_LOWER))
+    cuts = np.searchsorted(starts, bounds).tolist()
+    every = _folded(hashes, shingle) if len(hashes) >= shingle else hashes[:0]
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        if last - first >= shingle:
+            yield np.unique(every[first:last - shingle + 1])
+        else:
+            yield _folded(hashes[first:last], last - first) if last > first else hashes[:0]
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """``shingle_sets`` of one text."""
+    return next(shingle_sets([text], shingle))
 
 
 def least_overlap(n, percent: int):
@@ -76,12 +130,12 @@ def thin(u, v, n):
 
 
 class Group:
-    """Sets of a group: their ids and sizes, and all (token, set) incidences in token order."""
+    """Sets of a group: their ids and sizes, the token union, in how many sets each token is, and these sets in token order."""
 
-    FIELDS = ("ids", "sizes", "tokens", "rows")
+    FIELDS = {"ids": "<i8", "sizes": "<i8", "union": "<u8", "counts": "<i4", "rows": "<i4"}
 
-    def __init__(self, ids, sizes, tokens, rows):
-        self.ids, self.sizes, self.tokens, self.rows = ids, sizes, tokens, rows
+    def __init__(self, ids, sizes, union, counts, rows):
+        self.ids, self.sizes, self.union, self.counts, self.rows = ids, sizes, union, counts, rows
 
     @classmethod
     def of(cls, ids, sets):
@@ -89,37 +143,35 @@ class Group:
         tokens = np.concatenate([np.zeros(0, np.uint64), *sets])
         rows = np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(tokens, kind="stable")
-        return cls(np.asarray(ids, np.int64), sizes, tokens[order], rows[order])
+        return cls(np.asarray(ids, np.int64), sizes, *np.unique(tokens, return_counts=True), rows[order])
 
     @classmethod
     def read(cls, row, prefix=""):
-        ids, sizes, tokens, rows = (row[prefix + name] for name in cls.FIELDS)
-        return cls(np.frombuffer(ids, "<i8"), np.frombuffer(sizes, "<i8"), np.frombuffer(tokens, "<u8"), np.frombuffer(rows, "<i4").astype(np.int64))
+        ids, sizes, union, counts, rows = (np.frombuffer(row[prefix + name], kind) for name, kind in cls.FIELDS.items())
+        return cls(ids, sizes, union, counts.astype(np.int64), rows.astype(np.int64))
 
     def row(self, prefix=""):
-        data = (self.ids.astype("<i8"), self.sizes.astype("<i8"), self.tokens.astype("<u8"), self.rows.astype("<i4"))
-        return {prefix + name: values.tobytes() for name, values in zip(self.FIELDS, data, strict=True)}
-
-    def union(self):
-        return np.unique(self.tokens)
+        return {prefix + name: getattr(self, name).astype(kind).tobytes() for name, kind in self.FIELDS.items()}
 
     def overlaps(self, union):
         """How many tokens of each set are in ``union``, sorted tokens of another group: a bound on any overlap inside it."""
-        at = np.minimum(np.searchsorted(union, self.tokens), max(0, len(union) - 1))
-        inside = union[at] == self.tokens if len(union) else np.zeros(len(self.tokens), bool)
-        return np.bincount(self.rows[inside], minlength=len(self.ids))
+        at = np.minimum(np.searchsorted(union, self.union), max(0, len(union) - 1))
+        inside = union[at] == self.union if len(union) else np.zeros(len(self.union), bool)
+        return np.bincount(self.rows[np.repeat(inside, self.counts)], minlength=len(self.ids))
 
     def only(self, kept):
         """The group with the sets of the mask ``kept`` alone."""
-        place = np.cumsum(kept) - 1
         held = kept[self.rows]
-        return Group(self.ids[kept], self.sizes[kept], self.tokens[held], place[self.rows[held]])
-
+        token = np.repeat(np.arange(len(self.union)), self.counts)[held]
+        counts = np.bincount(token, minlength=len(self.union))
+        return Group(self.ids[kept], self.sizes[kept], self.union[counts > 0], counts[counts > 0], (np.cumsum(kept) - 1)[self.rows[held]])
 
-def _stretches(tokens):
-    """Distinct tokens, and where each begins and ends."""
-    union, first = np.unique(tokens, return_index=True)
-    return union, first, np.append(first[1:], len(tokens))
+    def stretch(self, start, rows):
+        """Tokens of the sets ``start`` to ``start + rows``, and where each begins and ends in the list of these sets, counted from ``start``."""
+        mine = (self.rows >= start) & (self.rows < start + rows)
+        counts = np.bincount(np.repeat(np.arange(len(self.union)), self.counts)[mine], minlength=len(self.union))
+        last = np.cumsum(counts[counts > 0])
+        return self.union[counts > 0], last - counts[counts > 0], last, self.rows[mine] - start
 
 
 def similar(a: Group, b: Group, same: bool, percent: int):
@@ -131,14 +183,12 @@ def similar(a: Group, b: Group, same: bool, percent: int):
     """
     nodes, shift = (len(a.ids), 0) if same else (len(a.ids) + len(b.ids), len(a.ids))
     held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    union, b_first, b_last = _stretches(b.tokens)
-    width = len(b.ids)
+    b_last = np.cumsum(b.counts)
+    b_first, width = b_last - b.counts, len(b.ids)
     for start in range(0, len(a.ids), ROWS):
         rows = min(ROWS, len(a.ids) - start)
-        mine = (a.rows >= start) & (a.rows < start + rows)
-        tokens, at = a.tokens[mine], a.rows[mine] - start
-        own, first, last = _stretches(tokens)
-        _, i, j = np.intersect1d(own, union, assume_unique=True, return_indices=True)
+        own, first, last, at = a.stretch(start, rows)
+        _, i, j = np.intersect1d(own, b.union, assume_unique=True, return_indices=True)
         n_a, n_b = last[i] - first[i], b_last[j] - b_first[j]
         counts = np.zeros(rows * width, np.float32)
         rare = n_a * n_b <= DENSE
@@ -188,7 +238,7 @@ def hashed_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``(gid, sid, hashes)``: the shingle sets of the rows of ``docs`` that ``wanted`` names as ``(doc_id, digest, sid, gid)``."""
     def compute(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle).astype("<u8").tobytes() for t in batch.column(2)]
+            sets = [s.astype("<u8").tobytes() for s in shingle_sets((t.as_py() for t in batch.column(2)), shingle)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["gid", "sid", "hashes"])
 
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.digest") == F.col("w.digest"))
@@ -197,59 +247,63 @@ def hashed_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
 
 def gathered(sets: DataFrame) -> DataFrame:
-    """``(gid, n_sets, tokens_union, ...)`` of ``(gid, sid, hashes)``: each group with its token union, written once."""
-    schema = f"gid bigint, n_sets bigint, token_union binary, {GROUP}"
-    fields = pa.schema([("gid", pa.int64()), ("n_sets", pa.int64()), *[(name, pa.binary()) for name in ("token_union", *Group.FIELDS)]])
+    """``(gid, n_sets, ...)`` of ``(gid, sid, hashes)``: each group with its token union, written once."""
+    fields = pa.schema([("gid", pa.int64()), ("n_sets", pa.int64()), *[(name, pa.binary()) for name in Group.FIELDS]])
 
     def gather(table):
         group = Group.of(table.column("sid").to_numpy(), [np.frombuffer(h.as_buffer(), "<u8") for h in table.column("hashes")])
-        row = {"gid": table.column("gid")[0].as_py(), "n_sets": len(group.ids), "token_union": group.union().astype("<u8").tobytes(), **group.row()}
-        return pa.Table.from_pylist([row], schema=fields)
+        return pa.Table.from_pylist([{"gid": table.column("gid")[0].as_py(), "n_sets": len(group.ids), **group.row()}], schema=fields)
+
+    return materialize(sets.groupBy("gid").applyInArrow(gather, f"gid bigint, n_sets bigint, {GROUP}"), "set-groups")
 
-    return materialize(sets.groupBy("gid").applyInArrow(gather, schema), "set-groups")
+
+def _links(query: Group, group: Group, same: bool, percent: int):
+    u, v = similar(query, group, same, percent)
+    ids = query.ids if same else np.concatenate([query.ids, group.ids])
+    return pa.RecordBatch.from_arrays([pa.array(ids[v]), pa.array(ids[u])], names=["a", "b"])
+
+
+def _one_by_one(batches):
+    """Rows as dicts; only one is held in Python at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
 def linked(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: links between sets of the paired groups ``(a, b)`` of ``gathered``, a forest per pair of groups.
+    """``(a, b)``: links between the sets of a group, and of the paired groups ``(a, b)`` of ``gathered``; a forest per pair of groups.
 
     First each set of ``a`` is held against the token union of ``b``: a set
     with fewer tokens there than any similar set must share can't have a
     partner in ``b``. Only groups with a set left to ask are opened.
     """
-    spark = groups.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    queries = groups.select(F.col("gid").alias("a"), *Group.FIELDS)
-    unions = groups.select(F.col("gid").alias("b"), "token_union")
-    asked = pairs.where("a <> b").join(unions, "b").join(queries, "a").repartition(partitions, "a", "b")
-    schema = pa.schema([("b", pa.int64()), *[(f"q_{name}", pa.binary()) for name in Group.FIELDS]])
+    partitions = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = materialize(pairs.where("a <> b"), "set-pairs")
+    meeting = materialize(pairs.select(F.explode(F.array("a", "b")).alias("gid")).distinct(), "set-meeting")
+    some = groups.join(meeting, "gid", "left_semi")
+    queries = some.select(F.col("gid").alias("a"), *Group.FIELDS)
+    asked = pairs.join(some.select(F.col("gid").alias("b"), F.col("union").alias("asked")), "b").join(queries, "a")
+    prefixed = [f"q_{name}" for name in Group.FIELDS]
+    schema = pa.schema([("b", pa.int64()), *[(name, pa.binary()) for name in prefixed]])
 
     def bound(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                group = Group.read(row)
-                kept = group.overlaps(np.frombuffer(row["token_union"], "<u8")) >= least_overlap(group.sizes, percent)
-                kept &= group.sizes > 0
-                if kept.any():
-                    yield pa.RecordBatch.from_pylist([{"b": row["b"], **group.only(kept).row("q_")}], schema=schema)
-
-    open_ = materialize(asked.select("b", "token_union", *Group.FIELDS).mapInArrow(bound, "b bigint, " + ", ".join(f"q_{name} binary" for name in Group.FIELDS)), "set-queries")
-    inside = pairs.where("a = b").select(F.col("a").alias("gid"))
-    none = [F.lit(None).cast("binary").alias(f"q_{name}") for name in Group.FIELDS]
-    own = groups.where("n_sets > 1").join(inside, "gid").select(*none, *Group.FIELDS)
-    across = open_.join(groups.withColumnRenamed("gid", "b"), "b").select(*[f"q_{name}" for name in Group.FIELDS], *Group.FIELDS)
-
-    def compare(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                group = Group.read(row)
-                same = row["q_ids"] is None
-                query = group if same else Group.read(row, "q_")
-                u, v = similar(query, group, same, percent)
-                ids = query.ids if same else np.concatenate([query.ids, group.ids])
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[v]), pa.array(ids[u])], names=["a", "b"])
-
-    dealt = own.unionByName(across).repartition(partitions, F.xxhash64("ids", "q_ids"))
-    return materialize(dealt.mapInArrow(compare, "a bigint, b bigint"), "set-links")
+        for row in _one_by_one(batches):
+            group = Group.read(row)
+            kept = (group.overlaps(np.frombuffer(row["asked"], "<u8")) >= least_overlap(group.sizes, percent)) & (group.sizes > 0)
+            if kept.any():
+                yield pa.RecordBatch.from_pylist([{"b": row["b"], **group.only(kept).row("q_")}], schema=schema)
+
+    def inside(batches):
+        for row in _one_by_one(batches):
+            group = Group.read(row)
+            yield _links(group, group, True, percent)
+
+    def across(batches):
+        for row in _one_by_one(batches):
+            yield _links(Group.read(row, "q_"), Group.read(row), False, percent)
+
+    # Comparing takes longer than reading, so what is opened is dealt out by number.
+    open_ = materialize(asked.select("b", "asked", *Group.FIELDS).mapInArrow(bound, "b bigint, " + ", ".join(f"{name} binary" for name in prefixed)), "set-queries")
+    opened = open_.join(some.withColumnRenamed("gid", "b"), "b").select(*prefixed, *Group.FIELDS).repartition(partitions, F.xxhash64("ids", "q_ids"))
+    own = groups.where("n_sets > 1").select(*Group.FIELDS).mapInArrow(inside, "a bigint, b bigint")
+    return materialize(own.unionByName(opened.mapInArrow(across, "a bigint, b bigint")), "set-links")

@@ -91,5 +91,23 @@ def test_overlaps_are_counted_exactly(monkeypatch, dense):
         expected = setjoin.thin(np.array([x for x, _ in links]), np.array([y for _, y in links]), len(both))
         got = setjoin.similar(left, right, same, 80)
         assert [x.tolist() for x in got] == [x.tolist() for x in expected]
-    bound = a.overlaps(b.union())
-    assert bound.tolist() == [len(np.intersect1d(s, b.union())) for s in sets[:30]]
+    bound = a.overlaps(b.union)
+    assert bound.tolist() == [len(np.intersect1d(s, b.union)) for s in sets[:30]]
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 37, 8])
+def test_shingles_are_told_apart(monkeypatch, piece):
+    monkeypatch.setattr(setjoin, "PIECE", piece)
+    setjoin._powers.cache_clear()
+    rng = random.Random(6)
+    texts = [None, b"", b" ", b"a", b"A b", b"a\tB\n", b"x" * 300, b"x" * 301, b"a b c d e", b"a b c d e f", b" a b c d  e\r\n", "été ÉTÉ λ 中文 x y z".encode()]
+    texts += [" ".join(rng.choice(["ab", "ba", "abc", "a", "ABC", "zzzzzzzzzzzz"]) for _ in range(rng.randint(1, 60))).encode() for _ in range(200)]
+    names = {}
+    for text, hashes in zip(texts, setjoin.shingle_sets(texts, 5), strict=True):
+        words = (text or b"").translate(setjoin._LOWER).split()
+        shingles = {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        assert len(hashes) == len(shingles) and (np.diff(hashes.astype(object)) > 0).all()
+        assert hashes.tolist() == setjoin.shingle_set(text, 5).tolist()
+        names.setdefault(frozenset(shingles), set()).add(tuple(hashes.tolist()))
+    assert all(len(v) == 1 for v in names.values()) and len({next(iter(v)) for v in names.values()}) == len(names)
+    setjoin._powers.cache_clear()

@@ -62,6 +62,41 @@ def _described(events):
     return kind("sequence"), shares, transitions, precedence
 
 
+def quality_by_variant(events: DataFrame, target: str, epsilon=1e-12) -> DataFrame:
+    """A row per corpus other than ``target``, as ``variant``: both sizes, device KL and the two graph similarities.
+
+    One counted pass describes all corpora; the target's counts, which the
+    vocabulary bounds, are then set beside those of each variant.
+    """
+    counts, shares, transitions, precedence = _described(events)
+    own = F.col("corpus_id") == target
+    names = counts.where(~own).agg(F.collect_set("corpus_id").alias("names")).scalar()
+    variant = F.explode(F.when(own, names).otherwise(F.array("corpus_id"))).alias("variant")
+
+    def beside(cells, value, *on):
+        sides = cells.select(variant, *on, F.when(own, F.col(value)).otherwise(0.0).alias("a"), F.when(own, 0.0).otherwise(F.col(value)).alias("b"))
+        return sides.groupBy("variant", *on).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+    def cosine(matrix, name):
+        sums = beside(matrix, "value", "source", "target").groupBy("variant").agg(
+            F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("b") * F.col("b")).alias("bb"))
+        return sums.select("variant", F.when((F.col("aa") == 0) & (F.col("bb") == 0), 1.0).when((F.col("aa") == 0) | (F.col("bb") == 0), 0.0)
+                           .otherwise(F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))).alias(name))
+
+    # A window holds a row per device of the vocabulary.
+    in_variant = Window.partitionBy("variant")
+    smooth = lambda x: (F.col(x) + epsilon) / F.sum(F.col(x) + epsilon).over(in_variant)
+    kl = beside(shares, "p", "device").select("variant", smooth("a").alias("p"), smooth("b").alias("q")).groupBy("variant").agg(
+        F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("device_distribution_kl"))
+    size = counts.where(own).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    rows = counts.where(~own).groupBy(F.col("corpus_id").alias("variant")).agg(F.sum("n").alias("num_synthetic_sequences"))
+    # Where neither corpus has a cell, they agree.
+    rows = rows.join(kl, "variant", "left").join(cosine(transitions, "transition_matrix_similarity"), "variant", "left") \
+        .join(cosine(precedence, "causal_graph_similarity"), "variant", "left")
+    return rows.select("variant", size.alias("num_target_sequences"), "num_synthetic_sequences", F.coalesce("device_distribution_kl", F.lit(0.0)).alias("device_distribution_kl"),
+                       *[F.coalesce(c, F.lit(1.0)).alias(c) for c in ("transition_matrix_similarity", "causal_graph_similarity")])
+
+
 def quality_summary(events: DataFrame, target: str, synthetic: str) -> DataFrame:
     """One row with both corpus sizes, device KL and the two graph similarities."""
     counts, shares, transitions, precedence = _described(events.where(F.col("corpus_id").isin(target, synthetic)))

@@ -61,8 +61,9 @@ class Detector:
 
 @dataclass(frozen=True)
 class MarkovModel:
-    pairs: DataFrame      # env, prev, token, n
-    contexts: DataFrame   # env, prev, n_context
+    pairs: DataFrame      # *by, prev, token, n
+    contexts: DataFrame   # *by, prev, n_context
+    by: tuple = ("env",)  # what a fit is for
 
 
 def cell_parameters(spark) -> DataFrame:
@@ -114,20 +115,21 @@ def _times(steps):
     return F.col("n") if "n" in steps.columns else F.lit(1).cast("bigint")
 
 
-def fit_markov(steps: DataFrame) -> MarkovModel:
-    """Count transitions of steps, counted or not; the tables are bounded by the squared vocabulary and written once."""
-    pairs = materialize(steps.groupBy("env", "prev", "token").agg(F.sum(_times(steps)).alias("n")), "markov")
-    return MarkovModel(pairs, pairs.groupBy("env", "prev").agg(F.sum("n").alias("n_context")))
+def fit_markov(steps: DataFrame, by=("env",)) -> MarkovModel:
+    """Count transitions of steps, counted or not, per group of ``by``; the tables are bounded by the squared vocabulary and written once."""
+    pairs = materialize(steps.groupBy(*by, "prev", "token").agg(F.sum(_times(steps)).alias("n")), "markov")
+    return MarkovModel(pairs, pairs.groupBy(*by, "prev").agg(F.sum("n").alias("n_context")), tuple(by))
 
 
 def sequence_losses(steps: DataFrame, model: MarkovModel, keep=()) -> DataFrame:
-    """``(env, corpus_id, seq_id, *keep, loss, n_tokens)``: mean ``-ln((n + 1) / (n_context + vocab))``."""
+    """``(env, corpus_id, seq_id, *keep, loss, n_tokens)``: mean ``-ln((n + 1) / (n_context + vocab))``; with the columns the model is fitted by."""
+    key = list(dict.fromkeys(["env", *model.by, *SEQ, *keep]))
     chance = (F.coalesce("_n_pair", F.lit(0)) + 1) / (F.coalesce("n_context", F.lit(0)) + F.col("vocab_size"))
     times = F.col("_times")
     return (
-        steps.withColumn("_times", _times(steps)).join(model.pairs.withColumnRenamed("n", "_n_pair"), ["env", "prev", "token"], "left")
-        .join(model.contexts, ["env", "prev"], "left")
-        .groupBy("env", *SEQ, *keep).agg((F.sum(times * -F.ln(chance)) / F.sum(times)).alias("loss"), F.sum(times).alias("n_tokens"))
+        steps.withColumn("_times", _times(steps)).join(model.pairs.withColumnRenamed("n", "_n_pair"), [*model.by, "prev", "token"], "left")
+        .join(model.contexts, [*model.by, "prev"], "left")
+        .groupBy(*key).agg((F.sum(times * -F.ln(chance)) / F.sum(times)).alias("loss"), F.sum(times).alias("n_tokens"))
     )
 
 
@@ -144,10 +146,18 @@ def loss_thresholds(losses: DataFrame, detectors) -> DataFrame:
     return exact_percentiles(losses, "loss", {"threshold": share}, by=["env"])
 
 
-def classify(losses: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Add ``predicted``: 1 when the loss reaches the threshold. One threshold row per env."""
+def cell_thresholds(losses: DataFrame, detectors, by) -> DataFrame:
+    """``(*by, threshold)``: per cell the percentile of validation losses that belongs to its dataset and env, else the detector's."""
+    share = _by_env({d.env: d.percentile / 100.0 for d in detectors})
+    for (dataset, env), percentile in PERCENTILE_BY_CELL.items():
+        share = F.when((F.col("dataset") == dataset) & (F.col("env") == env), F.lit(percentile / 100.0)).otherwise(share)
+    return exact_percentiles(losses, "loss", {"threshold": share}, by=by)
+
+
+def classify(losses: DataFrame, thresholds: DataFrame, by=("env",)) -> DataFrame:
+    """Add ``predicted``: 1 when the loss reaches the threshold. One threshold row per group of ``by``."""
     flagged = F.when(F.col("loss") < F.col("threshold"), 0).otherwise(1)
-    return losses.join(F.broadcast(thresholds), "env").withColumn("predicted", flagged)
+    return losses.join(F.broadcast(thresholds), list(by)).withColumn("predicted", flagged)
 
 
 def loss_summary(losses: DataFrame, by=("env",)) -> DataFrame:

@@ -36,10 +36,15 @@ def stage_files(events: DataFrame, by=("variant", "stage")) -> DataFrame:
 
 
 def stage_lineage(events: DataFrame) -> DataFrame:
-    """One row per stage: its purpose, number of events and whether target data was read."""
+    """One row per stage: its purpose, status, number of events and whether target data was read.
+
+    A stage is a success only if each of its events says so; events without a ``status`` count as such.
+    """
     read = F.col("operation") == "read"
+    status = F.coalesce("status", F.lit("success")) if "status" in events.columns else F.lit("success")
     return events.groupBy("variant", "stage", "stage_order").agg(
-        F.min("purpose").alias("purpose"), F.count(F.lit(1)).alias("num_events"),
+        F.min("purpose").alias("purpose"),
+        F.coalesce(F.min(F.when(status != "success", status)), F.lit("success")).alias("status"), F.count(F.lit(1)).alias("num_events"),
         F.count_if(read).alias("num_reads"), F.count_if(~read).alias("num_writes"),
         F.bool_or(read & F.col("target_normal")).alias("target_normal_consumed"),
         F.bool_or(read & F.col("target_attack")).alias("target_attack_consumed"),
@@ -80,8 +85,6 @@ def variant_lineage(stages: DataFrame) -> DataFrame:
     early = ~F.col("purpose").isin(*EVALUATION_PURPOSES)
     normal, attack = F.col("target_normal_consumed"), F.col("target_attack_consumed")
     status = F.when(F.bool_and(F.col("status") == "success"), "success").otherwise("mixed_or_blocked")
-    if "status" not in stages.columns:
-        stages = stages.withColumn("status", F.lit("success"))
     return stages.groupBy("variant").agg(
         F.count(F.lit(1)).alias("num_stages"), F.sum("num_events").alias("num_events"),
         F.bool_or(normal).alias("target_normal_consumed"), F.bool_or(attack).alias("target_attack_consumed"),

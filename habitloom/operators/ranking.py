@@ -23,29 +23,32 @@ def log_bucket(value):
     return F.when(value <= 0, F.lit(-(2**30))).when(value == float("inf"), F.lit(2**30)).otherwise(exact)
 
 
-def smallest_cutoff(rows: DataFrame, key: list, bucket, count, error="not enough rows") -> DataFrame:
-    """One row ``cutoff``: the key of the ``count``-th smallest row, as a struct.
+def smallest_cutoff(rows: DataFrame, key: list, bucket, count, error="not enough rows", by=()) -> DataFrame:
+    """One row ``cutoff``: the key of the ``count``-th smallest row, as a struct; with ``by``, one row per group, all in one job.
 
     ``key`` lists columns whose values together are unique. Rows belong to the
     smallest ``count`` exactly if their key struct is at most the cutoff, a
     test each row can make by itself, so the rows are never shuffled. ``count``
     is a function of the column holding the number of rows. ``bucket`` must
     rise with the first key and take at most some 10^6 values: the bucket
-    table is ordered in one task, and then the rows of one bucket are.
+    table of a group is ordered in one task, and then the rows of one bucket are.
     """
-    order = Window.orderBy("_bucket")
+    by = list(by)
+    in_group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    order = Window.partitionBy(*by).orderBy("_bucket")
     wanted = count(F.col("_total")).cast("bigint")
     table = (
-        rows.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        rows.groupBy(*by, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(*_BEFORE)), F.lit(0)))
-        .withColumn("_total", F.sum("_n").over(Window.partitionBy(F.lit(0))))
+        .withColumn("_total", F.sum("_n").over(in_group))
         .withColumn("_cut", F.when(wanted > F.col("_total"), F.raise_error(error).cast("bigint")).otherwise(wanted))
     )
     crossed = (F.col("_before") < F.col("_cut")) & (F.col("_cut") <= F.col("_before") + F.col("_n"))
-    bound = F.broadcast(table.where(crossed).select("_bucket", (F.col("_cut") - F.col("_before")).alias("_place")))
-    near = rows.select(F.struct(*key).alias("cutoff"), bucket.alias("_bucket")).join(bound, "_bucket")
-    placed = near.withColumn("_row", F.row_number().over(Window.partitionBy("_bucket").orderBy("cutoff")))
-    return materialize(placed.where(F.col("_row") == F.col("_place")).select("cutoff"), "cutoff")
+    # A row per group.
+    bound = F.broadcast(table.where(crossed).select(*by, "_bucket", (F.col("_cut") - F.col("_before")).alias("_place")))
+    near = rows.select(*by, F.struct(*key).alias("cutoff"), bucket.alias("_bucket")).join(bound, [*by, "_bucket"])
+    placed = near.withColumn("_row", F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy("cutoff")))
+    return materialize(placed.where(F.col("_row") == F.col("_place")).select(*by, "cutoff"), "cutoff")
 
 
 def within(key: list, cutoff: DataFrame):

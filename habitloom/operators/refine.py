@@ -214,8 +214,8 @@ def _split_key(seed):
     return [seeded_uniform(seed, *SEQ).alias("u"), *[F.col(c) for c in SEQ]]
 
 
-def split_cutoff(ids: DataFrame, ratio=0.8, seed=2024) -> DataFrame:
-    """Where to cut the seeded order of ``ids`` so that ``floor(n * ratio)`` sequences train."""
+def split_cutoff(ids: DataFrame, ratio=0.8, seed=2024, by=()) -> DataFrame:
+    """Where to cut the seeded order of ``ids`` so that ``floor(n * ratio)`` sequences train; with ``by``, of each group."""
     if not 0.0 < ratio < 1.0:
         raise ValueError("ratio must be between 0 and 1 (exclusive)")
 
@@ -223,7 +223,7 @@ def split_cutoff(ids: DataFrame, ratio=0.8, seed=2024) -> DataFrame:
         too_few = F.raise_error("at least 2 sequences are needed to split").cast("bigint")
         return F.when(total < 2, too_few).otherwise(F.floor(total * F.lit(ratio)))
 
-    return smallest_cutoff(ids.select(*SEQ), _split_key(seed), uniform_bucket(seeded_uniform(seed, *SEQ)), count)
+    return smallest_cutoff(ids.select(*by, *SEQ), _split_key(seed), uniform_bucket(seeded_uniform(seed, *SEQ)), count, by=by)
 
 
 def split_part(cutoff: DataFrame, seed=2024):
@@ -236,6 +236,16 @@ def split_train_validation(ids: DataFrame, ratio=0.8, seed=2024) -> DataFrame:
     return ids.withColumn("part", split_part(split_cutoff(ids, ratio, seed), seed))
 
 
+def split_cells(ids: DataFrame, by, ratio=0.8, seed=2024) -> DataFrame:
+    """Add ``part`` to a table with one row per sequence, each group of ``by`` split by itself, all in one job.
+
+    The cutoffs are a row per group; a group of fewer than two sequences is an error.
+    """
+    cutoffs = split_cutoff(ids, ratio, seed, by)
+    part = F.when(F.struct(*_split_key(seed)) <= F.col("cutoff"), "train").otherwise("validation")
+    return ids.join(F.broadcast(cutoffs), list(by)).withColumn("part", part).drop("cutoff")
+
+
 def lock_corpus(events: DataFrame, edges: DataFrame, seed=2024, max_copies=3) -> DataFrame:
     """Resample to the same size by consistency alone (no loss, no target)."""
     scores = sequence_scores(

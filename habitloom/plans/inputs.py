@@ -95,6 +95,20 @@ def attacked(rows: DataFrame) -> DataFrame:
     return base.select("seq_id", "pos", F.explode(F.array(*kinds)).alias("_k")).select("_k.*", "seq_id", "pos")
 
 
+def in_cells(rows: DataFrame, variants=("full", "half")) -> DataFrame:
+    """Rows in every cell they belong to: a dataset by the digest of the sequence, two seeds, and variants with all or some sequences."""
+    digest = F.md5("seq_id")
+    dataset = F.when(F.substring(digest, 1, 1) < "8", "fr").otherwise("sp")
+    kinds = F.array(*[F.when(F.lit(v != "half") | (F.substring(digest, 2, 1) < "8"), F.lit(v)) for v in variants])
+    return rows.withColumns({"dataset": dataset, "seed": F.explode(F.array(F.lit(42), F.lit(2024)))}).withColumn("variant", F.explode(F.array_compact(kinds)))
+
+
+def described(spark, sf_dir) -> DataFrame:
+    """The source and target corpora and the three attacked ones: four corpora to hold against the target."""
+    rows = events(spark, sf_dir)
+    return rows.select(*EVENT_COLUMNS).unionByName(attacked(rows).where("label = 1").select(*EVENT_COLUMNS))
+
+
 def faulty_corpus(spark, sf_dir) -> DataFrame:
     """Flat sequences with every kind of fault, for the validator."""
     rows = events(spark, sf_dir)
@@ -170,6 +184,8 @@ def lineage_events(spark, sf_dir) -> DataFrame:
         F.when(slot >= 6, "downstream_ad_evaluation").when(slot == 5, "offline_generation_quality_evaluation")
         .otherwise("filtering").alias("purpose"),
         (F.col("pos") - F.col("_start")).alias("event_index"),
+        # A stage that begins late in its sequence was stopped.
+        F.when(F.col("_start") >= 3, "blocked").otherwise("success").alias("status"),
         F.when(action % 4 == 3, "write").otherwise("read").alias("operation"),
         F.concat(F.lit("data/"), F.col("device_id").cast("string"), F.lit("/"), F.floor(action / 2).cast("string")).alias("path"),
         (F.col("device_id") == 2).alias("target_normal"),

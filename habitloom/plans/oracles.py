@@ -203,6 +203,71 @@ sim_t AS (
 sim_p AS (
   SELECT sum(coalesce(a.value, 0) * coalesce(b.value, 0)) / (sqrt(sum(coalesce(a.value, 0) ** 2)) * sqrt(sum(coalesce(b.value, 0) ** 2))) AS s
   FROM (SELECT * FROM prec WHERE corpus_id = 'target') a FULL OUTER JOIN (SELECT * FROM prec WHERE corpus_id = 'source') b USING (source, target))""",
+    "all_quality": """
+qe AS (SELECT corpus_id, seq_id, pos, device_id FROM ev UNION ALL SELECT corpus_id, seq_id, pos, device_id FROM att WHERE label = 1),
+qv AS (SELECT DISTINCT corpus_id AS variant FROM qe WHERE corpus_id <> 'target'),
+qd AS (SELECT corpus_id, device_id, count(*) AS n, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY corpus_id) AS p FROM qe GROUP BY 1, 2),
+qkl AS (
+  SELECT variant, sum(p * ln(p / q)) AS kl FROM (
+    SELECT variant, p / sum(p) OVER (PARTITION BY variant) AS p, q / sum(q) OVER (PARTITION BY variant) AS q FROM (
+      SELECT variant, device_id, sum(p) + 1e-12 AS p, sum(q) + 1e-12 AS q FROM (
+        SELECT variant, device_id, p, 0 AS q FROM qv, qd WHERE corpus_id = 'target'
+        UNION ALL SELECT corpus_id, device_id, 0, p FROM qd WHERE corpus_id <> 'target') GROUP BY 1, 2)) GROUP BY 1),
+qnext AS (SELECT corpus_id, device_id AS s, lead(device_id) OVER (PARTITION BY corpus_id, seq_id ORDER BY pos) AS t FROM qe),
+qlast AS (SELECT corpus_id, seq_id, device_id, max(pos) AS mp FROM qe GROUP BY 1, 2, 3),
+qm AS (
+  SELECT 'next' AS kind, corpus_id, s, t, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY corpus_id, s) AS v FROM qnext WHERE t IS NOT NULL GROUP BY 2, 3, 4
+  UNION ALL
+  SELECT 'later', e.corpus_id, e.device_id, l.device_id, count(*)::DOUBLE / any_value(d.n)
+  FROM qe e JOIN qlast l ON l.corpus_id = e.corpus_id AND l.seq_id = e.seq_id AND l.mp > e.pos AND l.device_id <> e.device_id
+  JOIN qd d ON d.corpus_id = e.corpus_id AND d.device_id = e.device_id GROUP BY 2, 3, 4),
+qc AS (
+  SELECT variant, kind, sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))) AS c FROM (
+    SELECT variant, kind, s, t, sum(a) AS a, sum(b) AS b FROM (
+      SELECT variant, kind, s, t, v AS a, 0::DOUBLE AS b FROM qv, qm WHERE corpus_id = 'target'
+      UNION ALL SELECT corpus_id, kind, s, t, 0, v FROM qm WHERE corpus_id <> 'target') GROUP BY 1, 2, 3, 4) GROUP BY 1, 2),
+compared AS (
+  SELECT variant, (SELECT count(*) FROM qe WHERE pos = 0 AND corpus_id = 'target') AS num_target_sequences,
+    (SELECT count(*) FROM qe WHERE pos = 0 AND corpus_id = variant) AS num_synthetic_sequences, round(kl, 9) AS device_distribution_kl,
+    (SELECT round(CASE WHEN isnan(c) THEN 0 ELSE c END, 9) FROM qc WHERE qc.variant = qkl.variant AND kind = 'next') AS transition_matrix_similarity,
+    (SELECT round(CASE WHEN isnan(c) THEN 0 ELSE c END, 9) FROM qc WHERE qc.variant = qkl.variant AND kind = 'later') AS causal_graph_similarity
+  FROM qkl)""",
+    "cells": """
+kinds AS (SELECT seed, variant FROM (SELECT unnest([42, 2024])::INTEGER AS seed), (SELECT unnest(['full', 'half']) AS variant)),
+cev AS (
+  SELECT dataset, seed, variant, dataset || '/' || seed || '/' || variant || '/' || corpus_id AS corpus_id, seq_id, pos, hour_slot, device_id, action_id
+  FROM (SELECT *, CASE WHEN md5(seq_id)[1] < '8' THEN 'fr' ELSE 'sp' END AS dataset FROM ev WHERE corpus_id = 'source'), kinds
+  WHERE variant = 'full' OR md5(seq_id)[2] < '8'),
+cplace AS (
+  SELECT dataset, seed, variant, corpus_id, seq_id, count(*) OVER w AS n, row_number() OVER (w ORDER BY CAST('0x' || substr(md5('2024:' || corpus_id || ':' || seq_id), 1, 13) AS BIGINT), corpus_id, seq_id) AS place
+  FROM cev WHERE pos = 0 WINDOW w AS (PARTITION BY dataset, seed, variant)),
+cparts AS (SELECT dataset, seed, variant, corpus_id, seq_id, CASE WHEN place <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'validation' END AS part FROM cplace)""",
+    "cell_detect": """
+cenv AS (SELECT unnest(['spring', 'night', 'multiple']) AS env, unnest([20, 8, 5]) AS v),
+ctok AS (
+  SELECT env, v, dataset, seed, variant, corpus_id, seq_id, part, token,
+    coalesce(lag(token) OVER (PARTITION BY env, corpus_id, seq_id ORDER BY pos), CAST(-2147483648 AS INTEGER)) AS prev
+  FROM (SELECT *, CASE env WHEN 'spring' THEN action_id WHEN 'night' THEN hour_slot ELSE device_id END AS token FROM cev, cenv)
+  JOIN cparts USING (dataset, seed, variant, corpus_id, seq_id)),
+ccnt AS (SELECT env, dataset, seed, variant, prev, token, count(*) AS n FROM ctok WHERE part = 'train' OR env = 'multiple' GROUP BY ALL),
+cctx AS (SELECT env, dataset, seed, variant, prev, sum(n) AS n FROM ccnt GROUP BY ALL),
+cval AS (
+  SELECT env, dataset, seed, variant, corpus_id, seq_id, avg(-ln((coalesce(c.n, 0) + 1)::DOUBLE / (coalesce(x.n, 0) + v))) AS loss
+  FROM ctok LEFT JOIN ccnt c USING (env, dataset, seed, variant, prev, token) LEFT JOIN cctx x USING (env, dataset, seed, variant, prev)
+  WHERE part = 'validation' OR env = 'multiple' GROUP BY ALL),
+cthr AS (SELECT env, dataset, seed, variant, CASE WHEN env = 'multiple' THEN quantile_cont(loss, 0.99) WHEN env = 'spring' AND dataset = 'fr' THEN quantile_cont(loss, 0.955) ELSE quantile_cont(loss, 0.95) END AS threshold FROM cval GROUP BY env, dataset, seed, variant),
+ctest AS (
+  SELECT env, v, label, dataset, seed, variant, corpus_id, seq_id, token,
+    coalesce(lag(token) OVER (PARTITION BY seed, variant, corpus_id, seq_id ORDER BY pos), CAST(-2147483648 AS INTEGER)) AS prev
+  FROM (SELECT *, CASE WHEN md5(seq_id)[1] < '8' THEN 'fr' ELSE 'sp' END AS dataset, CASE env WHEN 'spring' THEN action_id WHEN 'night' THEN hour_slot ELSE device_id END AS token
+    FROM att JOIN cenv USING (env)), kinds),
+closs AS (
+  SELECT env, dataset, seed, variant, label, corpus_id, seq_id, avg(-ln((coalesce(c.n, 0) + 1)::DOUBLE / (coalesce(x.n, 0) + v))) AS loss
+  FROM ctest LEFT JOIN ccnt c USING (env, dataset, seed, variant, prev, token) LEFT JOIN cctx x USING (env, dataset, seed, variant, prev) GROUP BY ALL),
+cconf AS (
+  SELECT env, dataset, seed, variant, count(CASE WHEN label = 1 AND loss >= threshold THEN 1 END) AS tp, count(CASE WHEN label = 0 AND loss < threshold THEN 1 END) AS tn,
+    count(CASE WHEN label = 0 AND loss >= threshold THEN 1 END) AS fp, count(CASE WHEN label = 1 AND loss < threshold THEN 1 END) AS fn, count(*) AS test_size
+  FROM closs JOIN cthr USING (env, dataset, seed, variant) GROUP BY ALL)""",
     "faulty": """
 bad AS (
   SELECT corpus_id, seq_id, pos, day + CASE WHEN pos = 3 THEN 7 ELSE 0 END AS day,
@@ -248,10 +313,11 @@ lin AS (
     CASE WHEN hour_slot >= 6 THEN 'downstream_ad_evaluation' WHEN hour_slot = 5 THEN 'offline_generation_quality_evaluation' ELSE 'filtering' END AS purpose,
     CAST(row_number() OVER (PARTITION BY seq_id, hour_slot ORDER BY pos) - 1 AS INTEGER) AS event_index, pos,
     CASE WHEN action_id % 4 = 3 THEN 'write' ELSE 'read' END AS operation, 'data/' || device_id || '/' || (action_id // 2) AS path,
-    device_id = 2 AS target_normal, device_id = 4 AND action_id % 4 = 1 AS target_attack
+    device_id = 2 AS target_normal, device_id = 4 AND action_id % 4 = 1 AS target_attack,
+    CASE WHEN min(pos) OVER (PARTITION BY seq_id, hour_slot) >= 3 THEN 'blocked' ELSE 'success' END AS status
   FROM ev),
 stages AS (
-  SELECT variant, stage, stage_order, min(purpose) AS purpose, count(*) AS num_events,
+  SELECT variant, stage, stage_order, min(purpose) AS purpose, min(status) AS status, count(*) AS num_events,
     count(CASE WHEN operation = 'read' THEN 1 END) AS num_reads, count(CASE WHEN operation = 'write' THEN 1 END) AS num_writes,
     bool_or(operation = 'read' AND target_normal) AS target_normal_consumed, bool_or(operation = 'read' AND target_attack) AS target_attack_consumed
   FROM lin GROUP BY 1, 2, 3)""",
@@ -377,6 +443,7 @@ SELECT (SELECT count(*) FROM ev WHERE pos = 0 AND corpus_id = 'target') AS num_t
   (SELECT round(kl, 9) FROM kl) AS device_distribution_kl, (SELECT round(s, 9) FROM sim_t) AS transition_matrix_similarity,
   (SELECT round(s, 9) FROM sim_p) AS causal_graph_similarity"""
 _sql("quality_summary", _QUALITY, _SUMMARY)
+_sql("quality_by_variant", "ev attack all_quality", "SELECT * FROM compared")
 _sql("case_study_matrices", "ev steps_next dist trans prec", """
 , ch AS (SELECT DISTINCT 'd:' || device_id AS c FROM ev),
 g AS (SELECT corpus_id, a.c AS source, b.c AS target FROM (SELECT unnest(['source', 'target']) AS corpus_id), ch a, ch b)
@@ -519,15 +586,20 @@ SELECT env, corpus_id, seq_id, round(loss, 9) AS loss, round(fence, 9) AS upper_
 _sql("utility_readmission", "ev tok filt", "SELECT corpus_id, seq_id, is_outlier, readmit, kept, round(change, 9) AS loss_change FROM filt")
 _sql("loss_threshold", "ev tok loss", """
 SELECT env, round(CASE WHEN env = 'multiple' THEN quantile_cont(loss, 0.99) ELSE quantile_cont(loss, 0.95) END, 9) AS threshold FROM loss GROUP BY env""")
-_sql("labelled_test", "ev attack", f"SELECT env, label, {_EV_COLUMNS} FROM att")
 _DETECT = "ev tok attack detect"
 _sql("labelled_rows", "ev attack", f"""
-SELECT way, seq_id, {_FLAT} AS flat, label FROM att, (SELECT unnest(['stored', 'tables']) AS way) WHERE env = 'night' GROUP BY way, seq_id, label""")
+SELECT way, env || '/' || seq_id AS seq_id, {_FLAT} AS flat, label FROM att, (SELECT unnest(['stored', 'tables']) AS way) GROUP BY way, env, att.seq_id, label""")
 _sql("flat_detector_tokens", "ev", """
 , q AS (SELECT corpus_id, seq_id, CAST(4 * pos + i AS INTEGER) AS pos, [day, hour_slot, device_id, action_id][i + 1] AS token FROM ev, range(4) r(i))
 SELECT 'filter' AS env, corpus_id, seq_id, pos, coalesce(lag(token) OVER (PARTITION BY corpus_id, seq_id ORDER BY pos), CAST(-2147483648 AS INTEGER)) AS prev, token
-FROM q QUALIFY pos < 12""")
+FROM q QUALIFY pos < 40""")
 _sql("anomaly_eval", _DETECT, "SELECT * FROM eval")
+_sql("train_validation_split_cells", "ev cells", "SELECT * FROM cparts")
+_sql("anomaly_eval_cells", "ev attack cells cell_detect", """
+SELECT *, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END, 9) AS recall,
+  round((tp + tn)::DOUBLE / test_size, 9) AS accuracy, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp::DOUBLE / (2 * tp + fp + fn) END, 9) AS f1,
+  round(fp::DOUBLE / nullif(fp + tn, 0), 9) AS fpr, round(fn::DOUBLE / nullif(fn + tp, 0), 9) AS fnr
+FROM cconf""")
 _sql("cell_parameters", "met", """
 SELECT dataset, env, n, field, percentile, filter_tag FROM (
   SELECT dataset, CASE scenario WHEN 'st' THEN 'spring' WHEN 'tt' THEN 'night' ELSE 'multiple' END AS env, count(*) AS n FROM met GROUP BY 1, 2)
@@ -625,10 +697,9 @@ _sql("stage_funnel", "ev tok filt prec cons", """
 SELECT 'zero_target_full' AS variant, count(*) AS before_filter, count(CASE WHEN kept THEN 1 END) AS after_filter,
   count(CASE WHEN kept AND exp((score - 1) / 2) >= 0.62 THEN 1 END) AS after_consistency
 FROM filt JOIN cons USING (corpus_id, seq_id)""")
-_sql("variant_comparison", "ev steps_next dist shares trans prec quality tok attack detect", """
-SELECT env AS variant, f1, fpr, CASE WHEN env = 'spring' THEN (SELECT round(kl, 9) FROM kl) END AS device_distribution_kl,
-  CASE WHEN env = 'spring' THEN (SELECT round(s, 9) FROM sim_t) END AS transition_matrix_similarity,
-  CASE WHEN env = 'spring' THEN (SELECT round(s, 9) FROM sim_p) END AS causal_graph_similarity FROM eval""")
+_sql("variant_comparison", "ev tok attack detect all_quality", """
+SELECT split_part(variant, ':', 2) AS variant, f1, fpr, device_distribution_kl, transition_matrix_similarity, causal_graph_similarity
+FROM compared JOIN eval ON variant = 'attack:' || env""")
 
 # Lineage
 _sql("stage_lineage", "ev lin", "SELECT * FROM stages")
@@ -638,14 +709,15 @@ SELECT variant, stage, role, path, min(event_index) AS first_index FROM (
   UNION ALL SELECT variant, stage, path, event_index, 'target_normal' FROM lin WHERE operation = 'read' AND target_normal
   UNION ALL SELECT variant, stage, path, event_index, 'target_attack' FROM lin WHERE operation = 'read' AND target_attack) GROUP BY 1, 2, 3, 4""")
 _sql("boundary_violations", "ev lin", """
-SELECT variant, stage, stage_order, purpose, event_index, operation, path, target_normal, target_attack FROM lin
+SELECT variant, stage, stage_order, purpose, event_index, operation, path, target_normal, target_attack, status FROM lin
 WHERE operation = 'read' AND (target_normal OR target_attack) AND purpose = 'filtering'""")
 _sql("merged_lineage", "ev lin", "SELECT variant, stage, event_index, pos::BIGINT AS merged_index, path FROM lin")
 _sql("variant_lineage", "ev lin", """
 SELECT variant, count(*) AS num_stages, sum(num_events)::BIGINT AS num_events, bool_or(target_normal_consumed) AS target_normal_consumed,
   bool_or(target_attack_consumed) AS target_attack_consumed,
   bool_or(purpose = 'filtering' AND target_normal_consumed) AS pre_evaluation_target_normal_consumed,
-  bool_or(purpose = 'filtering' AND target_attack_consumed) AS pre_evaluation_target_attack_consumed, 'success' AS status
+  bool_or(purpose = 'filtering' AND target_attack_consumed) AS pre_evaluation_target_attack_consumed,
+  CASE WHEN bool_and(status = 'success') THEN 'success' ELSE 'mixed_or_blocked' END AS status
 FROM stages GROUP BY 1""")
 _sql("feedback_check", "ev lin", """
 SELECT path FROM lin WHERE purpose = 'offline_generation_quality_evaluation' AND operation = 'write'
@@ -683,7 +755,7 @@ SELECT a.corpus_id AS context, a.action::VARCHAR AS action, r.next_action::VARCH
 FROM (SELECT DISTINCT corpus_id, action_id AS action FROM ev) a LEFT JOIN (SELECT * FROM r WHERE rank <= 5) r ON r.corpus_id = a.corpus_id AND r.action = a.action""")
 _sql("metrics_scan", "met", "SELECT dataset, scenario, seed, variant, f1, train_size, run_dir || '/' || k || '.json' AS metrics_path FROM met")
 _sql("quality_scan", _QUALITY, f"SELECT 'baseline' AS variant, num_target_sequences, device_distribution_kl, causal_graph_similarity FROM ({_SUMMARY})")
-_sql("lineage_scan", "ev lin", "SELECT variant, stage, stage_order, purpose, event_index::BIGINT AS event_index, operation, path, target_normal, target_attack FROM lin")
+_sql("lineage_scan", "ev lin", "SELECT variant, stage, stage_order, purpose, event_index::BIGINT AS event_index, operation, path, target_normal, target_attack, status FROM lin")
 _sql("loss_scan", "ev tok", """
 SELECT CAST(row_number() OVER (ORDER BY env, token, prev) - 1 AS INTEGER) AS row_index, count(*)::DOUBLE AS loss FROM tok GROUP BY env, token, prev""")
 _sql("csv_sink", "met", "SELECT dataset, scenario, seed, variant, train_size, NULL::VARCHAR AS not_there FROM kept")

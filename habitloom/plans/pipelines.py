@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from habitloom.model import SEQ
 from habitloom.operators.descriptive import device_distribution, transition_graph
 from habitloom.operators.detect import (
-    START, classify, confusion, counted_steps, fit_markov, iqr_outliers, loss_thresholds, sequence_losses, token_steps, utility_change,
+    START, cell_thresholds, classify, confusion, counted_steps, fit_markov, iqr_outliers, loss_thresholds, sequence_losses, token_steps, utility_change,
 )
 from habitloom.operators.edges import fuse_edges, overuse_guard, target_weighted
-from habitloom.operators.refine import split_cutoff, split_part
+from habitloom.operators.refine import split_cells, split_cutoff, split_part
 from habitloom.session import materialize
 
+CELL = ("dataset", "seed", "variant")
+
 
 def generation_hints(
     source_events: DataFrame, prior: DataFrame, target_events: DataFrame = None, *, guard=None,
@@ -94,3 +96,35 @@ def evaluate_detectors(train_events: DataFrame, test_events: DataFrame, detector
     """Confusion counts and scores per detector."""
     predictions, _ = run_detectors(train_events, test_events, detectors, ratio, seed)
     return confusion(predictions, by=("env",))
+
+
+def in_cell(rows: DataFrame, cell=CELL) -> DataFrame:
+    """``rows`` with the cell in ``corpus_id``: a sequence used in several cells is another one in each."""
+    return rows.withColumn("corpus_id", F.concat_ws("/", *[F.col(c).cast("string") for c in (*cell, "corpus_id")]))
+
+
+def evaluate_cells(train_events: DataFrame, test_events: DataFrame, detectors, ratio=0.8, seed=2024) -> DataFrame:
+    """Confusion counts and scores of every cell: dataset, env, seed and variant, all in one job.
+
+    Both tables carry the columns of ``CELL``, ``test_events`` also ``env`` and
+    ``label``. Each cell has a split of its own (the seed is part of the key
+    that orders it), a fit, and a threshold at the percentile of its dataset
+    and env. The events of all cells are read in one pass; what a cell needs
+    of itself afterwards is a row in a table keyed by cell. Test sequences of a
+    cell without training data are left out.
+    """
+    by = ("env", *CELL)
+    steps = materialize(counted_steps(token_steps(in_cell(train_events), detectors, keep=CELL), keep=CELL), "steps")
+    # Every sequence has one first step for each detector.
+    ids = steps.where((F.col("env") == detectors[0].env) & (F.col("prev") == START)).select(*CELL, *SEQ)
+    parts = materialize(split_cells(ids, CELL, ratio, seed), "parts")
+    whole = F.col("env").isin([d.env for d in detectors if d.whole_corpus])
+    placed = steps.join(parts, [*CELL, *SEQ])
+    model = fit_markov(placed.where(whole | (F.col("part") == "train")), by)
+    validation = sequence_losses(placed.where(whole | (F.col("part") == "validation")), model)
+    thresholds = cell_thresholds(validation, detectors, by)
+
+    aimed = in_cell(test_events).withColumnRenamed("env", "_aim")
+    test_steps = token_steps(aimed, detectors, keep=["_aim", "label", *CELL]).where(F.col("env") == F.col("_aim"))
+    losses = sequence_losses(counted_steps(test_steps, keep=["label", *CELL]), model, keep=["label"])
+    return confusion(classify(losses, thresholds, by), by=by)

@@ -232,6 +232,12 @@ def quality_summary(spark, sf_dir):
     )
 
 
+@query
+def quality_by_variant(spark, sf_dir):
+    table = compare.quality_by_variant(inputs.described(spark, sf_dir), "target")
+    return rounded(table, "device_distribution_kl", "transition_matrix_similarity", "causal_graph_similarity")
+
+
 @query
 def case_study_matrices(spark, sf_dir):
     return rounded(compare.case_study_matrices(inputs.events(spark, sf_dir), ["source", "target"]), "value")
@@ -533,17 +539,12 @@ def loss_threshold(spark, sf_dir):
     return rounded(detect.loss_thresholds(detect.sequence_losses(steps, model), inputs.DETECTORS), "threshold")
 
 
-@query
-def labelled_test(spark, sf_dir):
-    return inputs.attacked(inputs.events(spark, sf_dir)).select("env", "label", *EVENT_COLUMNS)
-
-
 @query
 def labelled_rows(spark, sf_dir):
     """Normal rows and attack rows stored apart and read as one labelled test set."""
     normal, attack = _folder(spark, "normal"), _folder(spark, "attack")
-    rows = inputs.attacked(inputs.events(spark, sf_dir)).where(F.col("env") == "night")
-    flat = sequences.events_to_flat(rows, keep=["label"]).select("seq_id", "flat", "label")
+    rows = inputs.attacked(inputs.events(spark, sf_dir))
+    flat = sequences.events_to_flat(rows, keep=["env", "label"]).select(F.concat_ws("/", "env", "seq_id").alias("seq_id"), "flat", "label")
     flat.where("label = 0").select("seq_id", "flat", F.lit(7).alias("label")).write.parquet(normal)
     flat.where("label = 1").write.parquet(attack)
     stored = corpora.read_labelled(spark, normal, attack).withColumn("way", F.lit("stored"))
@@ -553,8 +554,8 @@ def labelled_rows(spark, sf_dir):
 
 @query
 def flat_detector_tokens(spark, sf_dir):
-    """A detector over whole events, 12 numbers of each sequence."""
-    detector = detect.Detector("filter", detect.FLAT, 40, max_tokens=12)
+    """A detector over whole events, 40 numbers of each sequence, as the filter takes."""
+    detector = detect.Detector("filter", detect.FLAT, 40, max_tokens=40)
     return detect.token_steps(inputs.events(spark, sf_dir), [detector]).select("env", *SEQ, "pos", "prev", "token")
 
 
@@ -565,6 +566,20 @@ def anomaly_eval(spark, sf_dir):
     return rounded(scores, "precision", "recall", "accuracy", "f1", "fpr", "fnr")
 
 
+@query
+def anomaly_eval_cells(spark, sf_dir):
+    """Every dataset, env, seed and variant in one job."""
+    rows = inputs.events(spark, sf_dir)
+    scores = pipelines.evaluate_cells(inputs.in_cells(inputs.only(rows, "source")), inputs.in_cells(inputs.attacked(rows), ("full", "all")).replace({"all": "half"}, subset=["variant"]), inputs.DETECTORS)
+    return rounded(scores, "precision", "recall", "accuracy", "f1", "fpr", "fnr")
+
+
+@query
+def train_validation_split_cells(spark, sf_dir):
+    ids = pipelines.in_cell(inputs.in_cells(inputs.only(inputs.events(spark, sf_dir), "source").where(F.col("pos") == 0).select(*SEQ)))
+    return refine.split_cells(ids, pipelines.CELL, 0.8, 2024)
+
+
 @query
 def cell_parameters(spark, sf_dir):
     raw = inputs.metric_rows(spark, sf_dir).select("dataset", reporting.env_of("scenario").alias("env"))
@@ -708,10 +723,11 @@ def stage_funnel(spark, sf_dir):
 
 @query
 def variant_comparison(spark, sf_dir):
-    """Each detector taken as a variant, next to the corpus quality figures."""
+    """Each detector taken as a variant, next to the quality figures of the corpus attacked for it."""
     rows = inputs.events(spark, sf_dir)
     scores = pipelines.evaluate_detectors(inputs.only(rows, "source"), inputs.attacked(rows), inputs.DETECTORS)
-    quality = compare.quality_summary(rows, "target", "source").withColumn("variant", F.lit("spring"))
+    quality = compare.quality_by_variant(inputs.described(spark, sf_dir).where(F.col("corpus_id") != "source"), "target")
+    quality = quality.withColumn("variant", F.substring_index("variant", ":", -1))
     table = reporting.variant_comparison(scores.withColumnRenamed("env", "variant"), quality)
     return rounded(table, *[x for x in table.columns if x != "variant"])
 
@@ -899,12 +915,12 @@ def lineage_scan(spark, sf_dir):
     """A stage is written as documents of up to 1,000 events, so that no document is unbounded."""
     root = _folder(spark, "lineage")
     entry = F.struct(*[F.col(x) for x in ("event_index", "operation", "path", "target_normal", "target_attack")])
-    keys = ["variant", "stage", "stage_order", "purpose"]
+    keys = ["variant", "stage", "stage_order", "purpose", "status"]
     (
         inputs.lineage_events(spark, sf_dir).groupBy(*keys, F.floor(F.col("event_index") / 1000).alias("_document"))
         .agg(F.collect_list(entry).alias("open_events")).drop("_document").write.json(root)
     )
-    return reports.read_lineage(spark, root, lines=True).drop("status")
+    return reports.read_lineage(spark, root, lines=True)
 
 
 @query

@@ -129,3 +129,18 @@ def test_percentiles_are_exact(spark):
             assert found[key][name] == pytest.approx(np.percentile(vs, q))
     whole = ranking.exact_percentiles(frame, "v", {"m": 0.5}).head().m
     assert whole == pytest.approx(np.percentile(np.concatenate(list(values.values())), 50))
+
+
+def test_cells_are_split_each_by_itself(spark):
+    sizes = {("a", 1): 2, ("a", 2): 5, ("b", 1): 10, ("b", 2): 333}
+    rows = [(d, s, "c", f"s{i}") for (d, s), n in sizes.items() for i in range(n)]
+    ids = spark.createDataFrame(rows, "dataset string, seed int, corpus_id string, seq_id string")
+    found = refine.split_cells(ids, ("dataset", "seed"), 0.8, 7).collect()
+    assert len(found) == len(rows)
+    for (d, s), n in sizes.items():
+        assert sum(r.part == "train" for r in found if (r.dataset, r.seed) == (d, s)) == int(n * 0.8)
+    # A cell gets what a table of that cell alone gets.
+    alone = refine.split_train_validation(ids.where("dataset = 'b' AND seed = 2").select("corpus_id", "seq_id"), 0.8, 7).collect()
+    assert {(r.seq_id, r.part) for r in alone} == {(r.seq_id, r.part) for r in found if (r.dataset, r.seed) == ("b", 2)}
+    with pytest.raises(Exception, match="at least 2"):
+        refine.split_cells(ids.where("dataset = 'b'").unionByName(ids.where("dataset = 'a'").limit(1)), ("dataset", "seed"), 0.8, 7).collect()

@@ -56,18 +56,26 @@ def within(key: list, cutoff: DataFrame):
     return F.coalesce(F.struct(*key) <= cutoff.select("cutoff").scalar(), F.lit(False))
 
 
-def exact_percentiles(rows: DataFrame, value: str, quantiles: dict, by=(), resolution=1e-4) -> DataFrame:
+def value_bucket(value):
+    """4,096 buckets per factor of two on either side of zero, rising with the value: some 17 million for all doubles, whatever their range."""
+    x = F.abs(value)
+    size = F.when(x == float("inf"), F.lit(2**24)).otherwise(F.floor(F.log2(x) * 4096).cast("bigint") + 2**23)
+    return F.when(F.isnan(value), F.lit(2**25)).when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("bigint")
+
+
+def exact_percentiles(rows: DataFrame, value: str, quantiles: dict, by=()) -> DataFrame:
     """Linearly interpolated percentiles per group, as columns.
 
     ``quantiles`` maps a name to a fraction (a number, or a column made of the
     ``by`` columns). Equal values are counted together first, so a value held
-    by a third of all rows costs one row; the rest is spread over buckets of
-    width ``resolution``.
+    by a third of all rows costs one row; the rest is spread over buckets whose
+    width grows with the value, so that few decades or many make no difference.
+    NaN is greater than any number.
     """
     by = list(by)
     values = (
         rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value"))
-        .agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", F.floor(F.col("_value") / resolution).cast("bigint"))
+        .agg(F.count(F.lit(1)).alias("_n")).withColumn("_bucket", value_bucket(F.col("_value").cast("double")))
     )
     values = materialize(values, "values")  # read twice below
     in_group = Window.partitionBy(*by)

@@ -30,16 +30,23 @@ def action_devices(devices: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def _vocabulary(devices, actions):
-    """One row: legal device ids, and per action id, shifted by the least, its device and allowed devices.
+    """One row: legal device ids, and the actions with their device and allowed devices in as many short lists as there are actions.
 
-    An array indexed by the id makes a lookup one step however many actions there are.
+    An id's digest says which list it is in, so a lookup takes about one step
+    however many actions there are and however far apart their ids lie.
     """
-    entries = F.map_from_entries(F.collect_list(F.struct("action_id", F.struct("device_id", "allowed"))))
-    ids = action_devices(devices, actions).where("action_id IS NOT NULL").agg(
-        entries.alias("_by_id"), F.coalesce(F.min("action_id"), F.lit(0)).alias("_least"), F.coalesce(F.max("action_id"), F.lit(-1)).alias("_most"))
-    listed = F.when(F.col("_most") >= F.col("_least"), F.transform(F.sequence("_least", "_most"), lambda i: F.try_element_at("_by_id", i)))
+    entries = action_devices(devices, actions).where("action_id IS NOT NULL")
+    lists = entries.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_lists"))
+    by_list = entries.crossJoin(F.broadcast(lists)).groupBy(_list_of(F.col("action_id"), F.col("_lists")).alias("_list")).agg(  # one row
+        F.collect_list(F.struct("action_id", F.struct("device_id", "allowed").alias("entry"))).alias("_entries"))
+    kept = by_list.agg(F.map_from_entries(F.collect_list(F.struct("_list", "_entries"))).alias("_by_list")).crossJoin(lists)
+    listed = F.transform(F.sequence(F.lit(0), F.col("_lists").cast("int") - 1), lambda i: F.try_element_at("_by_list", i))
     legal = devices.agg(F.collect_set("device_id").alias("_legal"))
-    return ids.select("_least", listed.alias("_listed")).crossJoin(legal)  # one row each
+    return kept.select(listed.alias("_listed")).crossJoin(legal)  # one row each
+
+
+def _list_of(action, lists):
+    return F.pmod(F.xxhash64(action.cast("bigint")), lists).cast("int")
 
 
 def with_reasons(corpus: DataFrame, devices: DataFrame, actions: DataFrame, expected_length=None) -> DataFrame:
@@ -61,8 +68,8 @@ def with_reasons(corpus: DataFrame, devices: DataFrame, actions: DataFrame, expe
 
     def event_reasons(event):
         day, slot, device, action = (event[c] for c in ("day", "hour_slot", "device_id", "action_id"))
-        place = action - F.col("_least")
-        entry = F.when(place >= 0, F.get("_listed", place))
+        near = F.get("_listed", _list_of(action, F.size("_listed")))
+        entry = F.get(F.filter(near, lambda x: x["action_id"] == action), 0)["entry"]
         legal_device = F.array_contains(legal, device)
         mismatch = legal_device & entry["allowed"].isNotNull() & ~F.array_contains(entry["allowed"], device)
         pair = F.concat(
@@ -92,7 +99,7 @@ def with_reasons(corpus: DataFrame, devices: DataFrame, actions: DataFrame, expe
         .when(size == 0, F.array(F.lit("empty_sequence")))
         .otherwise(F.concat(F.array_compact(F.array(*of_row)), of_events))
     )
-    return corpus.withColumn("reasons", reasons).drop("_legal", "_listed", "_least", "_whole")
+    return corpus.withColumn("reasons", reasons).drop("_legal", "_listed", "_whole")
 
 
 def validation_report(checked: DataFrame, expected_count: int, by=("corpus_id",)) -> DataFrame:

@@ -594,6 +594,14 @@ _sql("flat_detector_tokens", "ev", """
 SELECT 'filter' AS env, corpus_id, seq_id, pos, coalesce(lag(token) OVER (PARTITION BY corpus_id, seq_id ORDER BY pos), CAST(-2147483648 AS INTEGER)) AS prev, token
 FROM q QUALIFY pos < 40""")
 _sql("anomaly_eval", _DETECT, "SELECT * FROM eval")
+_sql("wide_percentiles", "", """
+SELECT priority, round(quantile_cont(value, 0.05), 3) AS p05, round(quantile_cont(value, 0.5), 3) AS p50, round(quantile_cont(value, 0.955), 3) AS p955, round(max(value), 3) AS most
+FROM (SELECT o_orderpriority AS priority,
+  o_totalprice * ([1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1e0, 1e1, 1e2, 1e3, 1e4, 1e5]::DOUBLE[])[CAST(o_orderkey % 12 + 1 AS INTEGER)] * CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE 1 END::DOUBLE AS value
+  FROM orders) GROUP BY 1""")
+_sql("sparse_vocabulary", "ev", """
+SELECT corpus_id, seq_id, coalesce(string_agg('illegal_action_id@event_' || pos || ':' || CASE WHEN action_id % 2 = 1 THEN action_id + 2000000000 ELSE action_id END, ',' ORDER BY pos)
+  FILTER (action_id >= 16), '') AS reasons FROM ev GROUP BY 1, 2""")
 _sql("train_validation_split_cells", "ev cells", "SELECT * FROM cparts")
 _sql("anomaly_eval_cells", "ev attack cells cell_detect", """
 SELECT *, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END, 9) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END, 9) AS recall,

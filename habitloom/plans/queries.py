@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from habitloom.functions import columns as c
 from habitloom.model import EVENT_COLUMNS, SEQ
-from habitloom.operators import compare, descriptive, detect, edges, lineage, mining, refine, reporting, sequences, validate
+from habitloom.operators import compare, descriptive, detect, edges, lineage, mining, ranking, refine, reporting, sequences, validate
 from habitloom.plans import inputs, pipelines
 from habitloom.session import materialize, shared_folder
 from habitloom.sources import corpora, priors, reports, sinks, vocabulary
@@ -531,6 +531,28 @@ def utility_readmission(spark, sf_dir):
     return rounded(filtered.select(*SEQ, "is_outlier", "readmit", "kept", "loss_change"), "loss_change")
 
 
+@query
+def wide_percentiles(spark, sf_dir):
+    """Percentiles of numbers of either sign over twelve decades."""
+    orders = inputs.table(spark, sf_dir, "orders")
+    power = F.element_at(F.array(*[F.lit(10.0 ** k) for k in range(-6, 6)]), (F.col("o_orderkey") % 12 + 1).cast("int"))
+    sign = F.when(F.col("o_orderkey") % 5 == 0, -1.0).otherwise(1.0)
+    values = orders.select(F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") * power * sign).alias("value"))
+    found = ranking.exact_percentiles(values, "value", {"p05": 0.05, "p50": 0.5, "p955": 0.955, "most": 1.0}, by=["priority"])
+    return found.select("priority", *[F.round(c, 3).alias(c) for c in ("p05", "p50", "p955", "most")])
+
+
+@query
+def sparse_vocabulary(spark, sf_dir):
+    """Checks against a vocabulary whose ids lie two thousand millions apart."""
+    far = lambda c: F.when(F.col(c) % 2 == 1, F.col(c) + 2_000_000_000).otherwise(F.col(c))
+    rows = inputs.events(spark, sf_dir).withColumn("action_id", far("action_id").cast("int"))
+    devices = spark.createDataFrame([(i, f"D{i}") for i in range(5)], "device_id int, name string")
+    actions = spark.range(0, 16).select(F.col("id").cast("int").alias("action_id"), F.concat(F.lit("D"), F.floor(F.col("id") / 4).cast("string"), F.lit(":x")).alias("name"))
+    checked = validate.with_reasons(sequences.events_to_flat(rows), devices, actions.withColumn("action_id", far("action_id").cast("int")))
+    return checked.select(*SEQ, F.array_join("reasons", ",").alias("reasons"))
+
+
 @query
 def loss_threshold(spark, sf_dir):
     rows = inputs.events(spark, sf_dir)

@@ -127,6 +127,9 @@ def test_percentiles_are_exact(spark):
     for key, vs in values.items():
         for name, q in (("a", 0), ("q", 25), ("m", 95.5), ("b", 100)):
             assert found[key][name] == pytest.approx(np.percentile(vs, q))
+    wide = [float(s * v) for s in (1, -1) for v in 10.0 ** np.linspace(-300, 300, 101)] + [0.0, 0.0]
+    found = ranking.exact_percentiles(spark.createDataFrame([(v,) for v in wide], "v double"), "v", {"a": 0.0, "m": 0.5, "q": 0.9, "b": 1.0}).head()
+    assert [found.a, found.m, found.q, found.b] == pytest.approx([np.percentile(wide, q) for q in (0, 50, 90, 100)])
     whole = ranking.exact_percentiles(frame, "v", {"m": 0.5}).head().m
     assert whole == pytest.approx(np.percentile(np.concatenate(list(values.values())), 50))
 

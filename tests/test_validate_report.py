@@ -32,6 +32,16 @@ def test_reasons(spark, vocabulary):
     ]
 
 
+def test_ids_far_apart(spark):
+    devices = spark.createDataFrame([(1, "Lamp"), (2_000_000_000, "Lock")], "device_id int, name string")
+    actions = spark.createDataFrame([(1, "Lamp:on"), (2_000_000_000, "Lock:lock"), (-2_000_000_000, "Lock:open")], "action_id int, name string")
+    flats = [[0, 0, 1, 1, 0, 0, 2_000_000_000, 2_000_000_000], [0, 0, 2_000_000_000, -2_000_000_000], [0, 0, 1, 2], [0, 0, 1, 2_000_000_000]]
+    found = [r.reasons for r in check(spark, (devices, actions), flats).orderBy("seq_id").collect()]
+    assert found == [[], [], ["illegal_action_id@event_0:2"], ["device_action_mismatch@event_0:device=1,action=2000000000,expected_device=2000000000"]]
+    none = check(spark, (devices, actions.where("false")), [[0, 0, 1, 1]]).head().reasons
+    assert none == ["illegal_action_id@event_0:1"]
+
+
 def test_report(spark, vocabulary):
     good = [0, 1, 11, 68, 6, 7, 13, 80]
     report = validate.validation_report(check(spark, vocabulary, [good, good, good], expected_length=8), 3).head()

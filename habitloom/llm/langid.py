@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from habitloom.llm.common import kept_in_worker, pick
 from habitloom.session import materialize
 
-# Letters of a stretch that is segmented as one; longer runs of letters are cut into such stretches.
-STRETCH = 24
 # Longer pieces of the vocabulary are left out.
 PIECE = 16
 # Probability of a letter by itself where no piece of the vocabulary holds it.
 UNKNOWN = 1e-7
 WORDS_AT_ONCE = 4096
+# Places of the prefix sums that are held at once; one longer word is held alone.
+PLACES_AT_ONCE = 1 << 17
 TEXTS_AT_ONCE = 64
 # Labelled rows that limits of evidence are taken from, at least; languages with fewer share one limit.
 LEAST_ROWS = 20
@@ -50,9 +50,16 @@ def letters(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "))
 
 
-def stretches(word: str) -> list[str]:
-    marked = "▁" + word
-    return [marked[i:i + STRETCH] for i in range(0, len(marked), STRETCH)]
+def _in_blocks(words):
+    """Places of the words, by length, in blocks whose prefix sums take little memory."""
+    block = []
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if block and (len(block) == WORDS_AT_ONCE or (len(block) + 1) * (len(words[i]) + 2) > PLACES_AT_ONCE):
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
 
 
 class _Pieces:
@@ -65,10 +72,15 @@ class _Pieces:
 
 
 class _Lattice:
-    """All segmentations of some stretches: for each start, which piece leads from it to which end."""
+    """All segmentations of some words with their marks: for each start, which piece leads from it to which end.
+
+    Sums are scaled anew every ``PIECE`` letters: no step reaches further, so
+    all sums of such a block have one scale, kept as a logarithm, and words of
+    any length neither vanish nor need a cut.
+    """
 
     def __init__(self, texts, pieces):
-        unknown, get, found = pieces.unknown, pieces.places.get, []
+        unknown, get, found, parts = pieces.unknown, pieces.places.get, [], []
         for w, text in enumerate(texts):
             n = len(text)
             for i in range(n):
@@ -82,33 +94,59 @@ class _Lattice:
                         alone = alone and end > i + 1
                 if alone:
                     found += w, i, 1, unknown
-        word, start, size, piece = np.array(found, dtype=np.int64).reshape(-1, 4).T
+                if len(found) > PLACES_AT_ONCE:
+                    parts.append(np.array(found, dtype=np.int32))
+                    found = []
+        word, start, size, piece = np.concatenate([*parts, np.array(found, dtype=np.int32)]).reshape(-1, 4).T
         order = np.argsort(start, kind="stable")
         self.word, self.start, self.piece = word[order], start[order], piece[order]
         self.end = self.start + size[order]
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
         self.cuts = np.searchsorted(self.start, np.arange(self.lengths.max(initial=0) + 1))
 
+    def _empty(self, width):
+        most = int(self.lengths.max(initial=0))
+        return np.zeros((len(self.lengths), most + 1, width)), np.zeros((len(self.lengths), most // PIECE + 2, width))
+
+    @staticmethod
+    def _rescale(sums, logs, block, before):
+        """Divide the sums of a block, so far on the scale of the block ``before``, by their greatest."""
+        held = sums[:, block * PIECE:(block + 1) * PIECE]
+        most = held.max(axis=1)
+        most[most == 0] = 1
+        held /= most[:, None]
+        logs[:, block] = logs[:, before] + np.log(most)
+
     def forward(self, p):
-        """Probability of each prefix; ``p`` has a row per step of the lattice."""
-        sums = np.zeros((len(self.lengths), self.lengths.max(initial=0) + 1, p.shape[1]))
+        """Sums of each prefix, and the logarithms of their scales by block; ``p`` has a row per step of the lattice."""
+        sums, logs = self._empty(p.shape[1])
         sums[:, 0] = 1
-        for a, b in zip(self.cuts[:-1], self.cuts[1:]):
+        for i, (a, b) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
+            if i and i % PIECE == 0:
+                self._rescale(sums, logs, i // PIECE, i // PIECE - 1)
             # Steps from one start have different ends, so no place is met twice.
             sums[self.word[a:b], self.end[a:b]] += sums[self.word[a:b], self.start[a:b]] * p[a:b]
-        return sums
+        last = len(self.cuts) - 1
+        if last and last % PIECE == 0:
+            self._rescale(sums, logs, last // PIECE, last // PIECE - 1)
+        return sums, logs
 
-    def totals(self, sums):
-        return sums[np.arange(len(self.lengths)), self.lengths]
+    def totals(self, sums, logs):
+        """Logarithm of the probability of each word."""
+        every = np.arange(len(self.lengths))
+        return np.log(sums[every, self.lengths]) + logs[every, self.lengths // PIECE]
 
     def expected(self, p):
         """Expected uses of each step, over all segmentations weighed by their probability."""
-        sums = self.forward(p)
-        back = np.zeros_like(sums)
+        sums, logs = self.forward(p)
+        back, back_logs = self._empty(p.shape[1])
         back[np.arange(len(self.lengths)), self.lengths] = 1
-        for a, b in reversed(list(zip(self.cuts[:-1], self.cuts[1:]))):
+        for i, (a, b) in reversed(list(enumerate(zip(self.cuts[:-1], self.cuts[1:])))):
             np.add.at(back, (self.word[a:b], self.start[a:b]), back[self.word[a:b], self.end[a:b]] * p[a:b])
-        return sums[self.word, self.start] * p * back[self.word, self.end] / self.totals(sums)[self.word]
+            if i % PIECE == 0:
+                self._rescale(back, back_logs, i // PIECE, i // PIECE + 1)
+        scale = logs[self.word, self.start // PIECE] + back_logs[self.word, self.end // PIECE] - self.totals(sums, logs)[self.word]
+        return sums[self.word, self.start] * p * back[self.word, self.end] * np.exp(scale)
 
 
 def _sample(docs: DataFrame, rows_per_language: int) -> tuple[DataFrame, DataFrame]:
@@ -144,15 +182,10 @@ def fit(docs: DataFrame, pieces: tuple[str, ...], rows_per_language: int, iterat
         def expect(batches):
             total = np.zeros_like(probabilities)
             for batch in batches:
-                for a in range(0, batch.num_rows, WORDS_AT_ONCE):
-                    part = batch.slice(a, WORDS_AT_ONCE)
-                    texts, of, weight = [], [], []
-                    for lang, word, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                        for text in stretches(word):
-                            texts.append(text)
-                            of.append(column[lang])
-                            weight.append(n)
-                    lattice, of, weight = _Lattice(texts, index), np.array(of), np.array(weight, dtype=float)
+                langs, words, counted = (c.to_pylist() for c in batch.columns)
+                for block in _in_blocks(words):
+                    lattice = _Lattice(["▁" + words[i] for i in block], index)
+                    of, weight = np.array([column[langs[i]] for i in block]), np.array([counted[i] for i in block], dtype=float)
                     uses = lattice.expected(probabilities[lattice.piece, of[lattice.word]][:, None])[:, 0] * weight[lattice.word]
                     np.add.at(total, (lattice.piece, of[lattice.word]), uses)
             piece, lang = np.nonzero(total)
@@ -180,17 +213,10 @@ class _Scorer:
         self.known, self.table, self.size = {}, np.zeros((1 << 14, len(self.model.languages))), 0
 
     def learn(self, words):
-        for a in range(0, len(words), WORDS_AT_ONCE):
-            part = words[a:a + WORDS_AT_ONCE]
-            texts, owner = [], []
-            for i, word in enumerate(part):
-                for text in stretches(word):
-                    texts.append(text)
-                    owner.append(i)
-            lattice = _Lattice(texts, self.index)
-            logs = np.log(lattice.totals(lattice.forward(self.model.probabilities[lattice.piece])))
-            rows = np.zeros((len(part), logs.shape[1]))
-            np.add.at(rows, np.array(owner), logs)
+        for block in _in_blocks(words):
+            part = [words[i] for i in block]
+            lattice = _Lattice(["▁" + word for word in part], self.index)
+            rows = lattice.totals(*lattice.forward(self.model.probabilities[lattice.piece]))
             while self.size + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[self.size:self.size + len(part)] = rows
@@ -206,7 +232,7 @@ class _Scorer:
             places.append(list(map(get, words)))
         missing = {w for words, at in zip(texts, places, strict=True) if None in at for w, p in zip(words, at, strict=True) if p is None}
         if missing:
-            self.learn(sorted(missing, key=len))
+            self.learn(list(missing))
             places = [list(map(get, words)) if None in at else at for words, at in zip(texts, places, strict=True)]
         return [self.table[at].sum(axis=0) if at else None for at in places]
 
@@ -221,8 +247,8 @@ def predict(docs: DataFrame, model: Model, names=("lang_pred", "score"), evidenc
     Languages are equally likely beforehand. A text that is null or has no
     letter gets ``und`` and 0, as has every text if the model knows no
     language. A text's probability is the product over its words; that of a
-    word is the sum over all its segmentations into pieces, by a forward pass.
-    Only ``text`` is used.
+    word is the sum over all its segmentations into pieces, by a forward pass
+    over the whole run of letters, however long. Only ``text`` is used.
     """
     names = (*names, *(evidence or ()))
     columns = [c for c in docs.columns if c not in names]

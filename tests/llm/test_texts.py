@@ -1,6 +1,8 @@
 """Operators on texts against brute force."""
 
 import collections
+import functools
+import math
 import random
 import re
 import zlib
@@ -181,6 +183,7 @@ def test_forward_sum_is_over_all_segmentations():
     pieces = ("▁", "a", "b", "ab", "▁a", "ba", "▁ab")
     p = np.array([[0.1], [0.2], [0.15], [0.25], [0.1], [0.05], [0.15], [1e-7]])
 
+    @functools.cache
     def total(text):
         if not text:
             return 1.0
@@ -188,15 +191,28 @@ def test_forward_sum_is_over_all_segmentations():
         return out + (1e-7 * total(text[1:]) if text[0] not in pieces else 0)
 
     index = langid._Pieces(pieces)
-    words = ["▁", "▁a", "▁abab", "▁bxa", "ab"]
+    rng = random.Random(5)
+    words = ["▁", "▁a", "▁abab", "▁bxa", "ab"] + ["▁" + "".join(rng.choices("abx", (9, 9, 1), k=k)) for k in range(14, 61)]
     lattice = langid._Lattice(words, index)
-    np.testing.assert_allclose(lattice.totals(lattice.forward(p[lattice.piece]))[:, 0], [total(w) for w in words])
+    np.testing.assert_allclose(lattice.totals(*lattice.forward(p[lattice.piece]))[:, 0], [math.log(total(w)) for w in words])
     uses = lattice.expected(p[lattice.piece])[:, 0]
     # Expected uses times lengths cover every letter once.
     covered = np.bincount(lattice.word, uses * (lattice.end - lattice.start), len(words))
     np.testing.assert_allclose(covered, [len(w) for w in words])
 
 
+def test_runs_of_letters_of_any_length_have_a_score():
+    pieces = ("▁", "a", "b", "ab")
+    scorer = langid._Scorer(langid.Model(pieces, ("x", "y"), np.array([[0.5, 0.1], [0.1, 0.3], [0.1, 0.3], [0.3, 0.3], [1e-7, 1e-7]])))
+    long, unknown = "ab" * 100_000, "q" * 3000
+    found = scorer.scores([[long], [unknown], [long, "ab"], []])
+    # "ab" is a piece or two letters: 0.31 and 0.39.
+    np.testing.assert_allclose(found[0], [math.log(0.5) + 100_000 * math.log(0.31), math.log(0.1) + 100_000 * math.log(0.39)])
+    np.testing.assert_allclose(found[1], [math.log(0.5) + 3000 * math.log(1e-7), math.log(0.1) + 3000 * math.log(1e-7)])
+    np.testing.assert_allclose(found[2] - found[0], [math.log(0.5 * 0.31), math.log(0.1 * 0.39)])
+    assert found[3] is None
+
+
 def test_language_needs_letters_and_labels(spark):
     docs = spark.createDataFrame([(1, "123 !", "en"), (2, None, "en"), (3, "hello there", None)], "doc_id bigint, text string, lang string")
     model = fitted_languages(docs)

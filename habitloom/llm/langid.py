@@ -95,9 +95,9 @@ class _Lattice:
                 if alone:
                     found += w, i, 1, unknown
                 if len(found) > PLACES_AT_ONCE:
-                    parts.append(np.array(found, dtype=np.int32))
+                    parts.append(np.array(found, dtype=np.int64))
                     found = []
-        word, start, size, piece = np.concatenate([*parts, np.array(found, dtype=np.int32)]).reshape(-1, 4).T
+        word, start, size, piece = np.concatenate([*parts, np.array(found, dtype=np.int64)]).reshape(-1, 4).T
         order = np.argsort(start, kind="stable")
         self.word, self.start, self.piece = word[order], start[order], piece[order]
         self.end = self.start + size[order]

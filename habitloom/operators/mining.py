@@ -8,7 +8,7 @@ with N the number of windows.
 """
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from habitloom.model import SEQ, SLOTS_PER_WEEK
@@ -49,26 +49,29 @@ def lag_moments(cells: DataFrame, lag: int) -> DataFrame:
     return alone.unionByName(both).groupBy("back", "source", "ahead", "target").agg(F.sum("product").alias("total"))
 
 
-def slot_windows(tensor: DataFrame, channels: int, lag: int, decay=0.0) -> DataFrame:
-    """``(window)`` lists: ``lag`` past slots and the slot itself, each with all channels.
+def residual_sums(cells: DataFrame, weights: DataFrame, intercepts: DataFrame, lag: int, total: int) -> DataFrame:
+    """``(target, residual)``: the sum of absolute residuals of each target over ``total`` windows of ``lag`` past slots.
 
-    ``tensor`` is ``(corpus_id, seq_id, slot, channel_index, value)``. A sequence
-    gathers at most one week per channel, however long it is, and windows are
-    cut from that inside the row. Windows that are zero throughout are left out.
+    ``cells`` is as for ``lag_moments``; ``weights`` is ``(back, source, target,
+    weight)``, ``intercepts`` ``(target, intercept)``. Predictions are summed
+    from the cells that are there, at most a week of each channel per sequence,
+    within the partitioning of the sequences. Windows without any have the
+    intercept as their residual and are counted, not made. Targets without a
+    weight or cell have the intercept everywhere.
     """
-    weeks = F.map_from_entries(F.collect_list(F.struct("channel_index", "week")))
-    per_sequence = weekly_activity(tensor, decay, ["channel_index"]).groupBy(*SEQ).agg(weeks.alias("_weeks"))
-
-    def cell(k):
-        week = F.try_element_at("_weeks", (k % channels).cast("int"))
-        slot = (F.col("_t") - lag + F.floor(k / channels)).cast("int")
-        return F.coalesce(F.get(week, slot), F.lit(0.0))
-
-    window = F.transform(F.sequence(F.lit(0), F.lit((lag + 1) * channels - 1)), cell)
-    return (
-        per_sequence.withColumn("_t", F.explode(F.sequence(F.lit(lag), F.lit(SLOTS_PER_WEEK - 1))))
-        .select(window.alias("window")).where(F.exists("window", lambda x: x != 0))
-    )
+    met = cells.groupBy(*SEQ).agg(F.collect_list(F.struct("slot", "channel_index", "value")).alias("_cells"))
+    cell = met.select(*SEQ, F.explode("_cells").alias("a"))
+    # Slots that a window with this cell predicts; at the last one the cell is what is predicted.
+    ahead = F.sequence(F.greatest(F.lit(lag), F.col("a.slot")), F.least(F.col("a.slot") + lag, F.lit(SLOTS_PER_WEEK - 1)))
+    reached = cell.select(*SEQ, F.explode(ahead).alias("t"), "a.slot", F.col("a.channel_index").alias("source"), "a.value") \
+        .withColumn("back", F.col("slot") - F.col("t") + lag)
+    itself = intercepts.select(F.lit(lag).alias("back"), F.col("target").alias("source"), "target", F.lit(-1.0).alias("weight"))
+    terms = materialize(weights.select("back", "source", "target", "weight").unionByName(itself), "mining-weights")
+    missed = reached.join(terms, ["back", "source"]).groupBy(*SEQ, "t", "target").agg(F.sum(F.col("value") * F.col("weight")).alias("missed"))
+    seen = missed.join(intercepts, "target").groupBy("target").agg(
+        F.sum(F.abs(F.col("missed") + F.col("intercept"))).alias("seen"), F.count(F.lit(1)).alias("windows"))
+    rest = (F.lit(total) - F.coalesce("windows", F.lit(0))) * F.abs("intercept")
+    return intercepts.join(seen, "target", "left").select("target", (F.coalesce("seen", F.lit(0.0)) + rest).alias("residual"))
 
 
 def _moments(sums, count, lag, total):
@@ -85,23 +88,6 @@ def _moments(sums, count, lag, total):
     return mean, (products - total * np.outer(mean, mean)) / (total - 1)
 
 
-def _residual_sums(windows, weights, intercept):
-    """``(channel_index, total, listed)``: sums of absolute residuals over the listed windows, and their number."""
-    width, channels = weights.shape
-
-    def residuals(batches):
-        total, listed = np.zeros(channels), 0
-        for batch in batches:
-            block = np.stack(batch["window"].to_numpy())
-            listed += len(block)
-            total += np.abs(block[:, :width] @ weights + intercept - block[:, width:]).sum(axis=0)
-        yield pd.DataFrame({"channel_index": np.arange(channels, dtype="int32"), "total": total, "listed": listed})
-
-    return windows.mapInPandas(residuals, "channel_index int, total double, listed bigint").groupBy("channel_index").agg(
-        F.sum("total").alias("total"), F.sum("listed").alias("listed")
-    )
-
-
 def influence_matrix(
     tensor: DataFrame, channels: DataFrame, num_sequences: int, lag=4, ridge=1e-6, decay=0.0, max_features=MAX_FEATURES,
 ) -> DataFrame:
@@ -119,7 +105,7 @@ def influence_matrix(
         raise ValueError(f"channels x lag must be at most {max_features}")
     cells = tensor.join(channels, "channel").select(*SEQ, "slot", "channel_index", "value")
     weeks = weekly_activity(cells, decay, ["channel_index"])
-    filled = weeks.select(*SEQ, "channel_index", F.posexplode("week").alias("slot", "value")).where("value <> 0")
+    filled = materialize(weeks.select(*SEQ, "channel_index", F.posexplode("week").alias("slot", "value")).where("value <> 0"), "mining-cells")
 
     total = num_sequences * (SLOTS_PER_WEEK - lag)
     mean, covariance = _moments(lag_moments(filled, lag), count, lag, total)
@@ -128,14 +114,16 @@ def influence_matrix(
     intercept = mean[width:] - mean[:width] @ weights
     strength = np.abs(weights).reshape(lag, count, count).mean(axis=0)
 
-    table = tensor.sparkSession.createDataFrame(
-        [(names[i], names[j], j, float(strength[i, j]), float(abs(intercept[j]))) for i in range(count) for j in range(count)],
-        "source string, target string, channel_index int, strength double, silent double",
-    )
-    # Windows that are zero throughout leave the intercept as their residual.
-    residual = (F.col("total") + (total - F.col("listed")) * F.col("silent")) / total
-    return table.join(_residual_sums(slot_windows(cells, count, lag, decay), weights, intercept), "channel_index").select(
-        "source", "target", (2.0 / total * residual * F.col("strength")).alias("weight"),
+    spark = tensor.sparkSession
+    source, target = (x.ravel() for x in np.indices((count, count), dtype=np.int32))
+    table = spark.createDataFrame(pa.table({"source_index": source, "target": target, "strength": strength.ravel()}))
+    back, source, target = (x.ravel() for x in np.indices((lag, count, count), dtype=np.int32))
+    terms = spark.createDataFrame(pa.table({"back": back, "source": source, "target": target, "weight": weights.ravel()}))
+    intercepts = spark.createDataFrame(pa.table({"target": np.arange(count, dtype=np.int32), "intercept": intercept}))
+    residuals = residual_sums(filled, terms, intercepts, lag, total)
+    named = lambda name, index: channels.select(F.col("channel").alias(name), F.col("channel_index").alias(index))
+    return table.join(residuals, "target").join(named("source", "source_index"), "source_index").join(named("target_name", "target"), "target").select(
+        "source", F.col("target_name").alias("target"), (2.0 / total * F.col("residual") / total * F.col("strength")).alias("weight"),
     )
 
 

@@ -5,19 +5,22 @@ linear model; the influence of channel i on channel j is the mean absolute
 gradient of j's squared error with respect to i's inputs. For a linear model it
 has the closed form ``2/N * mean|residual_j| * mean over lags |w(lag, i, j)|``,
 with N the number of windows.
+
+The normal equations of all channels stay in Spark, as the products that are not
+zero, and are solved for all targets at once by conjugate gradients. The driver
+gets one number per round: how far the worst target still is.
 """
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from habitloom.model import SEQ, SLOTS_PER_WEEK
 from habitloom.operators.descriptive import channels_in_order, event_tensor, weekly_activity
 from habitloom.operators.edges import sparsify
-from habitloom.session import materialize
+from habitloom.session import discard, materialize
 
-# Channels x lag up to which the driver solves the system, unless the caller says otherwise.
-MAX_FEATURES = 4096
+# Residual, relative to that of zero weights, at which a target counts as solved, and rounds after which a system counts as unsolvable.
+TOLERANCE = 1e-11
+MAX_ROUNDS = 2000
 
 
 def lag_moments(cells: DataFrame, lag: int) -> DataFrame:
@@ -74,56 +77,127 @@ def residual_sums(cells: DataFrame, weights: DataFrame, intercepts: DataFrame, l
     return intercepts.join(seen, "target", "left").select("target", (F.coalesce("seen", F.lit(0.0)) + rest).alias("residual"))
 
 
-def _moments(sums, count, lag, total):
-    """Mean and covariance of the places of a window over ``total`` windows, from ``lag_moments``: vocabulary-sized arrays."""
-    size = (lag + 1) * count
-    rows = sums.toPandas()
-    place = rows["back"].to_numpy() * count + rows["source"].to_numpy()
-    alone = rows["ahead"].isna().to_numpy()
-    first, products = np.zeros(size), np.zeros((size, size))
-    first[place[alone]] = rows["total"].to_numpy()[alone]
-    other = (rows["ahead"] * count + rows["target"]).to_numpy()[~alone].astype(int)
-    products[place[~alone], other] = products[other, place[~alone]] = rows["total"].to_numpy()[~alone]
-    mean = first / total
-    return mean, (products - total * np.outer(mean, mean)) / (total - 1)
-
-
-def influence_matrix(
-    tensor: DataFrame, channels: DataFrame, num_sequences: int, lag=4, ridge=1e-6, decay=0.0, max_features=MAX_FEATURES,
-) -> DataFrame:
-    """``(source, target, weight)`` before sparsifying.
-
-    ``channels`` is ``(channel, channel_index)``. The driver gets the moments
-    and solves one system of size channels x lag, whatever the data size; that
-    size is checked against ``max_features``.
+class NormalEquations:
+    """The regression of every channel on the ``lag`` slots before it, from ``lag_moments``.
+
+    ``features`` is ``(back, source, mean, scale)``, one row per place of the
+    window and channel that occurs there (others have no weight); ``scale`` is
+    the diagonal of the system. ``products`` is ``(back, source, ahead, other,
+    total)``, uncentred and without zeros; the rank-one part that centres them is
+    added in ``applied``. ``right`` is ``(back, source, target, value)`` for all
+    features and targets, ``targets`` ``(target, mean)``.
     """
-    names = [row.channel for row in channels.orderBy("channel_index").limit(max_features + 1).collect()]
-    count = len(names)
-    if not names:
-        raise ValueError("no channels found in the source events")
-    if count * lag > max_features:
-        raise ValueError(f"channels x lag must be at most {max_features}")
+
+    def __init__(self, sums: DataFrame, channels: DataFrame, lag: int, total: int, ridge: float):
+        self.total, self.ridge, self.lag = total, ridge, lag
+        sums = materialize(sums, "mining-sums")
+        alone = sums.where(F.col("ahead").isNull()).select("back", "source", (F.col("total") / total).alias("mean"))
+        both = sums.where(F.col("ahead") < lag).select("back", "source", "ahead", F.col("target").alias("other"), "total")
+        mirrored = both.where(F.col("back") < F.col("ahead")).select(
+            F.col("ahead").alias("back"), F.col("other").alias("source"), F.col("back").alias("ahead"), F.col("source").alias("other"), "total")
+        self.products = materialize(both.unionByName(mirrored), "mining-products")
+        diagonal = both.where((F.col("back") == F.col("ahead")) & (F.col("source") == F.col("other"))).select("back", "source", "total")
+        scale = (F.col("total") - total * F.col("mean") * F.col("mean")) / (total - 1) + ridge
+        self.features = materialize(
+            alone.where(F.col("back") < lag).join(diagonal, ["back", "source"]).select("back", "source", "mean", scale.alias("scale")), "mining-features")
+        ends = alone.where(F.col("back") == lag).select(F.col("source").alias("target"), "mean")
+        self.targets = materialize(
+            channels.select(F.col("channel_index").cast("int").alias("target")).join(ends, "target", "left").fillna(0.0, ["mean"]), "mining-targets")
+        # The vocabulary as one array value, spread over the features.
+        every = self.targets.agg(F.collect_list(F.struct("target", "mean"))).scalar()
+        grid = self.features.withColumn("_e", F.explode(every)).select("back", "source", "mean", F.col("_e.target").alias("target"), F.col("_e.mean").alias("_end"))
+        crossed = sums.where((F.col("ahead") == lag) & (F.col("back") < lag)).select("back", "source", "target", "total")
+        self.right = grid.join(crossed, ["back", "source", "target"], "left").select(
+            "back", "source", "target",
+            ((F.coalesce("total", F.lit(0.0)) - total * F.col("mean") * F.col("_end")) / (total - 1)).alias("value"))
+
+    def applied(self, vectors: DataFrame, column: str, name: str) -> DataFrame:
+        """``vectors`` ``(back, source, target, …)`` with the mean and scale of each feature and ``name``: the system times ``column``."""
+        spread = vectors.select(F.col("back").alias("ahead"), F.col("source").alias("other"), "target", F.col(column).alias("_v"))
+        summed = self.products.join(spread, ["ahead", "other"]).groupBy("back", "source", "target").agg(F.sum(F.col("total") * F.col("_v")).alias("_s"))
+        along = F.sum(F.col("mean") * F.col(column)).over(Window.partitionBy("target"))
+        value = (F.coalesce("_s", F.lit(0.0)) - self.total * F.col("mean") * along) / (self.total - 1) + self.ridge * F.col(column)
+        return vectors.join(summed, ["back", "source", "target"], "left").join(self.features, ["back", "source"]).withColumn(name, value).drop("_s")
+
+    def solve(self, tolerance=TOLERANCE, max_rounds=MAX_ROUNDS) -> DataFrame:
+        """``(back, source, target, weight)`` by conjugate gradients, features scaled by the diagonal.
+
+        A round is one product of the sparse system with the directions of all
+        targets (a join and a sum) and three sums per target. Solved targets stand
+        still. A round's table replaces that of the round before. A system not
+        solved after ``max_rounds`` rounds fails the job.
+        """
+        target = Window.partitionBy("target")
+        scaled = F.col("r") / F.col("scale")
+        open_ = F.col("_left") > tolerance * tolerance * F.col("_start")
+
+        def written(round_):
+            """The round as a table, and how many of its rows belong to open targets, counted while it is written."""
+            seen = Observation()
+            table = materialize(round_.observe(seen, F.count_if(open_).alias("open")), "mining-round")
+            return table, seen.get["open"]
+
+        state, left = written(
+            self.right.join(self.features, ["back", "source"])
+            .select("back", "source", "target", F.lit(0.0).alias("weight"), F.col("value").alias("r"), (F.col("value") / F.col("scale")).alias("p"))
+            .withColumn("_left", F.sum(F.col("r") * F.col("p")).over(target)).withColumn("_start", F.col("_left")))
+        for _ in range(max_rounds):
+            if not left:
+                return state.select("back", "source", "target", "weight")
+            length = F.col("_left") / F.sum(F.col("p") * F.col("_q")).over(target)
+            after = (
+                self.applied(state, "p", "_q").withColumn("_length", F.when(open_, length).otherwise(0.0))
+                .withColumns({"weight": F.col("weight") + F.col("_length") * F.col("p"), "r": F.col("r") - F.col("_length") * F.col("_q")})
+                .withColumn("_next", F.sum(F.col("r") * scaled).over(target))
+                .withColumn("p", F.when(open_, scaled + F.col("_next") / F.col("_left") * F.col("p")).otherwise(F.col("p")))
+                .select("back", "source", "target", "weight", "r", "p", F.col("_next").alias("_left"), "_start")
+            )
+            before = state
+            state, left = written(after)
+            discard(before)
+        raise ValueError(f"influence weights are not solved after {max_rounds} rounds; a larger ridge helps")
+
+    def intercepts(self, weights: DataFrame) -> DataFrame:
+        """``(target, intercept)``: what is left of a target's mean without its features."""
+        explained = weights.join(self.features, ["back", "source"]).groupBy("target").agg(F.sum(F.col("mean") * F.col("weight")).alias("_x"))
+        return self.targets.join(explained, "target", "left").select("target", (F.col("mean") - F.coalesce("_x", F.lit(0.0))).alias("intercept"))
+
+
+def activity_cells(tensor: DataFrame, channels: DataFrame, decay=0.0) -> DataFrame:
+    """``(corpus_id, seq_id, channel_index, slot, value)`` without zeros, as ``lag_moments`` takes them; ``channels`` is ``(channel, channel_index)``."""
     cells = tensor.join(channels, "channel").select(*SEQ, "slot", "channel_index", "value")
     weeks = weekly_activity(cells, decay, ["channel_index"])
-    filled = materialize(weeks.select(*SEQ, "channel_index", F.posexplode("week").alias("slot", "value")).where("value <> 0"), "mining-cells")
-
-    total = num_sequences * (SLOTS_PER_WEEK - lag)
-    mean, covariance = _moments(lag_moments(filled, lag), count, lag, total)
-    width = lag * count
-    weights = np.linalg.solve(covariance[:width, :width] + ridge * np.eye(width), covariance[:width, width:])
-    intercept = mean[width:] - mean[:width] @ weights
-    strength = np.abs(weights).reshape(lag, count, count).mean(axis=0)
-
-    spark = tensor.sparkSession
-    source, target = (x.ravel() for x in np.indices((count, count), dtype=np.int32))
-    table = spark.createDataFrame(pa.table({"source_index": source, "target": target, "strength": strength.ravel()}))
-    back, source, target = (x.ravel() for x in np.indices((lag, count, count), dtype=np.int32))
-    terms = spark.createDataFrame(pa.table({"back": back, "source": source, "target": target, "weight": weights.ravel()}))
-    intercepts = spark.createDataFrame(pa.table({"target": np.arange(count, dtype=np.int32), "intercept": intercept}))
-    residuals = residual_sums(filled, terms, intercepts, lag, total)
-    named = lambda name, index: channels.select(F.col("channel").alias(name), F.col("channel_index").alias(index))
-    return table.join(residuals, "target").join(named("source", "source_index"), "source_index").join(named("target_name", "target"), "target").select(
-        "source", F.col("target_name").alias("target"), (2.0 / total * F.col("residual") / total * F.col("strength")).alias("weight"),
+    return weeks.select(*SEQ, "channel_index", F.posexplode("week").alias("slot", "value")).where("value <> 0")
+
+
+def normal_equations(cells: DataFrame, channels: DataFrame, num_sequences: int, lag=4, ridge=1e-6) -> NormalEquations:
+    """The system of the given cells; a window lies inside the week of its sequence."""
+    if not 1 <= lag < SLOTS_PER_WEEK:
+        raise ValueError(f"lag must be at least 1 and below {SLOTS_PER_WEEK}")
+    return NormalEquations(lag_moments(cells, lag), channels, lag, num_sequences * (SLOTS_PER_WEEK - lag), ridge)
+
+
+def influence_matrix(tensor: DataFrame, channels: DataFrame, num_sequences: int, lag=4, ridge=1e-6, decay=0.0) -> DataFrame:
+    """``(source, target, weight)`` before sparsifying, for all pairs of channels.
+
+    ``channels`` is ``(channel, channel_index)``. Any vocabulary: the system
+    and its solution are tables, as large as the pairs of channels that meet
+    within a window, and as the pairs of channels.
+    """
+    if not channels.head(1):
+        raise ValueError("no channels found in the source events")
+    filled = materialize(activity_cells(tensor, channels, decay), "mining-cells")
+    system = normal_equations(filled, channels, num_sequences, lag, ridge)
+    weights = system.solve()
+    residuals = residual_sums(filled, weights, materialize(system.intercepts(weights), "mining-intercepts"), lag, system.total)
+    strength = weights.groupBy("source", "target").agg((F.sum(F.abs("weight")) / lag).alias("strength"))
+    names = materialize(channels.select("channel", F.col("channel_index").cast("int").alias("channel_index")), "channels")
+    every = names.agg(F.collect_list(F.struct("channel", "channel_index"))).scalar()
+    grid = names.select(F.col("channel").alias("source_name"), F.col("channel_index").alias("source"), F.explode(every).alias("_e")).select(
+        "source_name", "source", F.col("_e.channel").alias("target_name"), F.col("_e.channel_index").alias("target"))
+    return grid.join(residuals, "target").join(strength, ["source", "target"], "left").select(
+        F.col("source_name").alias("source"), F.col("target_name").alias("target"),
+        (2.0 / system.total * F.col("residual") / system.total * F.coalesce("strength", F.lit(0.0))).alias("weight"),
     )
 
 

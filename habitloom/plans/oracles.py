@@ -424,6 +424,55 @@ SELECT place AS back, device_id AS source, CAST(NULL AS INTEGER) AS ahead, CAST(
 UNION ALL
 SELECT a.place, a.device_id, b.place, b.device_id, count(*)::DOUBLE
 FROM placed a JOIN placed b ON a.corpus_id = b.corpus_id AND a.seq_id = b.seq_id AND a.t = b.t AND a.place <= b.place GROUP BY ALL""")
+# Dense windows of the source half: place 0 to 3 of each channel, then the slot that is predicted.
+_WINDOWS = """
+, cell AS (SELECT DISTINCT seq_id, day * 8 + hour_slot AS slot, {channel} AS id FROM ev WHERE corpus_id = 'source'),
+ch AS (SELECT id, row_number() OVER (ORDER BY {order}) - 1 AS c FROM (SELECT DISTINCT id FROM cell)),
+seqs AS (SELECT DISTINCT seq_id FROM cell),
+total AS (SELECT count(*) * 52 AS n FROM seqs),
+act AS (
+  SELECT seq_id, c, t, sum({decay}) AS v FROM cell JOIN ch USING (id), range(0, 56) r(t) WHERE t >= slot {only} GROUP BY ALL),
+placed AS (SELECT seq_id, w.t, a.t - w.t + 4 AS back, c, v FROM act a, range(4, 56) w(t) WHERE a.t BETWEEN w.t - 4 AND w.t),
+mean AS (SELECT back, c, sum(v) / (SELECT n FROM total) AS m FROM placed GROUP BY ALL),
+prods AS (
+  SELECT a.back, a.c, b.back AS back2, b.c AS c2, sum(a.v * b.v) AS s
+  FROM placed a JOIN placed b ON a.seq_id = b.seq_id AND a.t = b.t GROUP BY ALL),
+cov AS (
+  SELECT a.back, a.c, b.back AS back2, b.c AS c2, (coalesce(s, 0) - n * a.m * b.m) / (n - 1) AS v
+  FROM total, mean a CROSS JOIN mean b LEFT JOIN prods p ON p.back = a.back AND p.c = a.c AND p.back2 = b.back AND p.c2 = b.c)"""
+# Gaussian elimination of the augmented system, one row of features, then one column per target.
+_sql("mined_prior", "ev", _WINDOWS.format(channel="device_id", order="id", decay="pow(0.1, t - slot)", only="") + """,
+entry AS (
+  SELECT back * (SELECT count(*) FROM ch) + c AS i, back2 * (SELECT count(*) FROM ch) + c2 AS j,
+    v + CASE WHEN back = back2 AND c = c2 THEN 1e-6 ELSE 0 END AS v
+  FROM cov WHERE back < 4),
+lines AS (SELECT i, list(v ORDER BY j) AS line FROM entry GROUP BY i),
+solved AS (
+  WITH RECURSIVE step(k, m) AS (
+    SELECT 1, (SELECT list(line ORDER BY i) FROM lines)
+    UNION ALL
+    SELECT k + 1, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m[1]) + 1), lambda j:
+      CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))
+    FROM step WHERE k <= len(m))
+  SELECT m FROM step WHERE k = len(m) + 1),
+w AS (
+  SELECT f.back, f.c, g.c AS target, (SELECT m FROM solved)[f.back * (SELECT count(*) FROM ch) + f.c + 1][4 * (SELECT count(*) FROM ch) + g.c + 1] AS w
+  FROM (SELECT * FROM mean WHERE back < 4) f CROSS JOIN ch g),
+base AS (
+  SELECT g.c AS target, e.m - sum(f.m * w.w) AS b FROM w JOIN mean f USING (back, c) JOIN ch g ON g.c = w.target JOIN mean e ON e.back = 4 AND e.c = g.c GROUP BY g.c, e.m),
+said AS (SELECT seq_id, t, target, sum(p.v * w.w) AS x FROM placed p JOIN w USING (back, c) GROUP BY ALL),
+missed AS (
+  SELECT target, sum(abs(b + coalesce(x, 0) - coalesce(y.v, 0))) / (SELECT n FROM total) AS r
+  FROM base CROSS JOIN seqs CROSS JOIN range(4, 56) s(t) LEFT JOIN said USING (seq_id, t, target)
+  LEFT JOIN (SELECT seq_id, t, c AS target, v FROM placed WHERE back = 4) y USING (seq_id, t, target) GROUP BY target),
+raw_edges AS (SELECT c AS s, w.target AS t, r * sum(abs(w)) AS v FROM w JOIN missed USING (target) GROUP BY c, w.target, r),
+kept AS (
+  SELECT a.s, a.t, CASE WHEN a.s = a.t THEN a.v ELSE a.v - b.v END AS v FROM raw_edges a JOIN raw_edges b ON b.s = a.t AND b.t = a.s),
+scaled AS (SELECT s, t, v / (SELECT max(v) FROM kept) AS v FROM kept WHERE v > 0)
+SELECT 'd:' || x.id AS source, 'd:' || y.id AS target, round(v, 6) AS weight
+FROM scaled JOIN ch x ON x.c = s JOIN ch y ON y.c = t WHERE v >= 0.001""")
+_sql("mined_action_equations", "ev", _WINDOWS.format(channel="action_id", order="id::VARCHAR", decay="1.0", only="AND t = slot") + """
+SELECT back::INTEGER AS back, c::INTEGER AS source, c2::INTEGER AS target, round(v, 8) AS value FROM cov WHERE back < 4 AND back2 = 4""")
 _sql("top_successors", "ev steps_next", """
 , f AS (SELECT corpus_id, action_id AS action, next_action, count(*) AS n FROM nx WHERE next_action IS NOT NULL GROUP BY 1, 2, 3),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY corpus_id, action ORDER BY n DESC, next_action) AS INTEGER) AS rank FROM f)
@@ -733,6 +782,18 @@ INTERSECT SELECT path FROM lin WHERE purpose = 'filtering' AND operation = 'read
 
 # Files written from the tables and read back
 _sql("jsonl_scan", "ev", f"SELECT seq_id AS sequence_id, 0::INTEGER AS start, {_FLAT} AS sequence, CAST(NULL AS VARCHAR) AS problem FROM ev GROUP BY corpus_id, seq_id")
+_sql("jsonl_faults", "ev", """
+, written AS (
+  SELECT corpus_id AS file, seq_id, count(*) AS events, CAST('0x' || substr(md5(seq_id), 1, 2) AS INTEGER) % 9 AS kind,
+    row_number() OVER (PARTITION BY corpus_id ORDER BY seq_id) AS line_number
+  FROM ev GROUP BY 1, 2),
+judged AS (
+  SELECT *, CASE kind WHEN 1 THEN 'sequence_not_list:int' WHEN 2 THEN 'sequence_not_list:str' WHEN 3 THEN 'sequence_not_list:dict'
+    WHEN 4 THEN 'sequence_not_list:bool' WHEN 5 THEN 'sequence_not_list:float' WHEN 6 THEN 'non_integer_value:x' WHEN 7 THEN 'invalid_json'
+    WHEN 8 THEN CASE WHEN events = 1 THEN 'missing_sequence' END END AS problem
+  FROM written)
+SELECT file, line_number, problem, CASE WHEN kind <> 7 THEN seq_id END AS sequence_id, CASE WHEN kind = 7 THEN 'broken ' || seq_id END AS line
+FROM judged WHERE problem IS NOT NULL""")
 _sql("vocabulary_scan", "ev", """
 SELECT DISTINCT device_id AS id, ['click', 'error', 'purchase', 'signup', 'view'][device_id + 1] AS name FROM ev""")
 _sql("action_vocabulary", "ev", """

@@ -798,7 +798,17 @@ def lag_moments(spark, sf_dir):
 
 @query
 def mined_prior(spark, sf_dir):
-    return mining.mine_prior(inputs.only(inputs.events(spark, sf_dir), "source"))
+    return mining.mine_prior(inputs.only(inputs.events(spark, sf_dir), "source")).withColumn("weight", F.round("weight", 6))
+
+
+@query
+def mined_action_equations(spark, sf_dir):
+    """The weights of all actions put back into their normal equations: the covariances of places and targets again."""
+    rows = inputs.only(inputs.events(spark, sf_dir), "source")
+    tensor = materialize(descriptive.event_tensor(rows, "action", "binary"), "tensor")
+    channels = materialize(descriptive.channels_in_order(tensor.select("channel")), "channels")
+    system = mining.normal_equations(mining.activity_cells(tensor, channels), channels, rows.where("pos = 0").count())
+    return system.applied(system.solve(), "weight", "value").select("back", "source", "target", F.round("value", 8).alias("value"))
 
 
 def _folder(spark, label):
@@ -813,6 +823,22 @@ def jsonl_scan(spark, sf_dir):
     return corpora.read_generated(spark, path).select("sequence_id", "start", F.array_join("sequence", ",").alias("sequence"), "problem")
 
 
+@query
+def jsonl_faults(spark, sf_dir):
+    """Lines of every kind of fault among good and blank ones, by file, line number and reason."""
+    path = _folder(spark, "faulty")
+    rows = sequences.events_to_flat(inputs.events(spark, sf_dir))
+    kind, flat = F.conv(F.substring(F.md5("seq_id"), 1, 2), 16, 10).cast("int") % 9, F.array_join("flat", ",")
+    sequence = F.when(kind == 1, "7").when(kind == 2, '"7"').when(kind == 3, "{}").when(kind == 4, "true").when(kind == 5, "1.5") \
+        .when(kind == 6, F.concat(F.lit("["), flat, F.lit(',"x"]'))).otherwise(F.concat(F.lit("["), flat, F.lit("]")))
+    whole = F.concat(F.lit('{"sequence_id":"'), F.col("seq_id"), F.lit('","sequence":'), sequence, F.lit("}"))
+    line = F.when(kind == 0, "  ").when(kind == 7, F.concat(F.lit("broken "), F.col("seq_id"))) \
+        .when((kind == 8) & (F.size("flat") == 4), F.concat(F.lit('{"sequence_id":"'), F.col("seq_id"), F.lit('"}'))).otherwise(whole)
+    rows.repartition("corpus_id").sortWithinPartitions("corpus_id", "seq_id").select("corpus_id", line.alias("value")).write.partitionBy("corpus_id").text(path)
+    found = corpora.read_generated(spark, path).where(F.col("problem").isNotNull())
+    return found.select(F.regexp_extract("file_path", "corpus_id=([^/]+)/", 1).alias("file"), "line_number", "problem", "sequence_id", "line")
+
+
 @query
 def vocabulary_scan(spark, sf_dir):
     """Device names of the log written as one ``{name: id}`` document and read back."""

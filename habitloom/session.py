@@ -60,3 +60,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     written = context._jvm.org.apache.hadoop.fs.Path(path)
     written.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(written)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` wrote, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        written = context._jvm.org.apache.hadoop.fs.Path(folder)
+        written.getFileSystem(context._jsc.hadoopConfiguration()).delete(written, True)

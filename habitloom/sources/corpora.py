@@ -1,8 +1,9 @@
 """Read and write sequence corpora."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from habitloom.model import CORPUS_SCHEMA, LABELLED_SCHEMA
+from habitloom.session import materialize
 
 LINE_SCHEMA = "sequence_id string, sequence string, start int, notes string"
 
@@ -23,18 +24,39 @@ def labelled(normal: DataFrame, attack: DataFrame) -> DataFrame:
     return normal.withColumn("label", F.lit(0)).unionByName(attack.withColumn("label", F.lit(1)))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their place: ``(value, file_path, line_number)``, numbers from 1 in each file.
+
+    Files are read in splits as always. A first pass counts the lines of every
+    split; their prefix sums, one row per split, say with which line a split
+    begins. Within a split, rows come in the order of the file. A line whose
+    split the first pass did not meet (files changed in between) fails the job.
+    """
+    split = ("file_path", "_begin")
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("_begin"),
+        F.monotonically_increasing_id().alias("_row"))
+    earlier = Window.partitionBy("file_path").orderBy("_begin").rowsBetween(Window.unboundedPreceding, -1)
+    splits = materialize(
+        lines.groupBy(*split).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+        .select(*split, (1 + F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")), "splits")
+    unknown = F.raise_error(F.concat(F.lit("files changed while they were read: "), F.col("file_path"))).cast("bigint")
+    return lines.join(splits, list(split), "left").select(
+        "value", "file_path", F.coalesce(F.col("_row") + F.col("_shift"), unknown).alias("line_number"))
+
+
 def read_generated(spark: SparkSession, path: str) -> DataFrame:
     """Line-delimited JSON ``{sequence_id, sequence, start, notes}``; blank lines are skipped.
 
-    ``(sequence_id, start, sequence, notes, problem, file_path, line)``.
+    ``(sequence_id, start, sequence, notes, problem, file_path, line_number, line)``;
+    ``line_number`` counts all lines of the file, blank ones too.
     ``problem`` is null for a list of whole numbers, else it is what the
     validator reports: ``missing_sequence``, ``sequence_not_list:<type>`` or
     ``non_integer_value:<value>``, or ``invalid_json`` for a line that can't be
     read at all; ``line`` then holds its text. Numbers with a fraction are cut
     towards zero, and whole numbers in text are read.
     """
-    text = spark.read.text(path).where(F.trim("value") != "").select(
-        F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file_path"))
+    text = numbered_lines(spark, path).where(F.trim("value") != "").select(F.trim("value").alias("line"), "file_path", "line_number")
     parsed = text.withColumn("_object", F.from_json("line", LINE_SCHEMA)).withColumn(
         "_valid", F.coalesce(F.get_json_object("line", "$").startswith("{"), F.lit(False)))
     raw = F.col("_object.sequence")
@@ -52,14 +74,14 @@ def read_generated(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select(
         F.col("_object.sequence_id").alias("sequence_id"), F.coalesce("_object.start", F.lit(0)).alias("start"),
         F.when(problem.isNull(), F.transform(items, number)).alias("sequence"), F.col("_object.notes").alias("notes"),
-        problem.alias("problem"), "file_path", F.when(problem == "invalid_json", F.col("line")).alias("line"))
+        problem.alias("problem"), "file_path", "line_number", F.when(problem == "invalid_json", F.col("line")).alias("line"))
 
 
 def require_readable(generated: DataFrame) -> None:
-    """Fail on the first line of ``read_generated`` that is not JSON, naming its file and text; looks at one row only."""
-    found = generated.where(F.col("problem") == "invalid_json").select("file_path", "line").head(1)
+    """Fail on the first line of ``read_generated`` that is not JSON, naming its file, line number and text."""
+    found = generated.where(F.col("problem") == "invalid_json").select("file_path", "line_number", "line").orderBy("file_path", "line_number").head(1)
     if found:
-        raise ValueError(f"invalid JSON in {found[0].file_path}: {found[0].line[:200]}")
+        raise ValueError(f"invalid JSON in {found[0].file_path}, line {found[0].line_number}: {found[0].line[:200]}")
 
 
 def read_losses(spark: SparkSession, path: str) -> DataFrame:

@@ -30,7 +30,7 @@ def test_generated_lines(spark, tmp_path):
     }
     assert {r.start for r in rows if r.sequence_id == "h"} == {3}
     assert [(r.line, r.problem) for r in rows if r.line] == [("{oops", "invalid_json")] and all(r.file_path.endswith("bad.jsonl") for r in rows)
-    with pytest.raises(ValueError, match="oops"):
+    with pytest.raises(ValueError, match="line 12: {oops"):
         corpora.require_readable(found)
     corpora.require_readable(found.where("problem IS NULL"))
     checked = validate.with_reasons(
@@ -153,3 +153,21 @@ def test_sinks(spark, tmp_path):
     corpus = spark.createDataFrame([("c", "s", [1, 2, 3, 4])], "corpus_id string, seq_id string, flat array<int>")
     corpora.write_corpus(corpus, str(tmp_path / "corpus"))
     assert corpora.read_corpus(spark, str(tmp_path / "corpus")).head().flat == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("size", [1, 37, 1000, 10**6])
+def test_line_numbers_in_split_files(spark, tmp_path, size):
+    texts = {
+        "a.txt": ["x" * (i % 23) for i in range(700)], "b.txt": ["", "one", ""], "c.txt": [], "d.txt": ["y" * 3000, "", "z"],
+        "e.txt": [f"é{i}" for i in range(90)],
+    }
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("".join(line + "\n" for line in lines), newline="\r\n" if name == "e.txt" else "\n")
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", max(size, 20))
+    session.conf.set("spark.sql.files.openCostInBytes", size % 50)
+    found = corpora.numbered_lines(session, str(tmp_path)).collect()
+    by_file = {}
+    for r in found:
+        by_file.setdefault(r.file_path.rsplit("/", 1)[1], []).append((r.line_number, r.value))
+    assert {name: sorted(rows) for name, rows in by_file.items()} == {name: list(enumerate(lines, 1)) for name, lines in texts.items() if lines}

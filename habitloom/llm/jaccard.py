@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from habitloom.llm.components import components
 from habitloom.llm.setjoin import gathered, hashed_sets, keyed_texts, least_overlap, linked, parts_of, shingle_sets
-from habitloom.session import materialize
+from habitloom.session import discard, materialize
 
 # Tokens whose counts order the tokens of a set, at most: what is sent to every executor.
 FREQUENT = 1 << 18
@@ -134,8 +134,8 @@ def _partners(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """
     tokens = prefixes.select("sid", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    shared = materialize(tokens.join(often, "token").join(prefixes.select("sid", "n"), "sid"), "jaccard-shared")
-    homes = shared.groupBy("sid").agg(F.max(F.struct("often", "token"))["token"].alias("home"), F.max("n").alias("n"))
+    shared = materialize(tokens.join(often, "token"), "jaccard-shared")
+    homes = shared.groupBy("sid").agg(F.max(F.struct("often", "token"))["token"].alias("home")).join(prefixes.select("sid", "n"), "sid")
     homes = materialize(homes.withColumn("class", F.floor(F.log("n") / math.log(SIZE_CLASS))), "jaccard-homes")
     members = materialize(parts_of(homes, "home", "class").select("sid", "n", F.xxhash64("home", "class", "part").alias("gid")), "jaccard-members")
     sizes = materialize(members.groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most")), "jaccard-groups")
@@ -149,7 +149,10 @@ def _partners(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     inside = matrix.where("sets > 1").groupBy(F.col("gid").alias("a"), F.col("gid").alias("b")).agg(
         F.count(F.lit(1)).alias("shared"), F.first("least").alias("low"), F.first("most").alias("high"))
     pairs = across.unionByName(inside).where(F.col("shared") >= least_shared(F.col("low"), F.col("high"), percent))
-    return members.select("sid", "gid"), materialize(pairs.select("a", "b"), "jaccard-pairs")
+    pairs = materialize(pairs.select("a", "b"), "jaccard-pairs")
+    discard(shared)
+    discard(matrix)
+    return members.select("sid", "gid"), pairs
 
 
 def jaccard_classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -178,7 +181,9 @@ def jaccard_classes(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("first")
     named = materialize(rows.where("name IS NOT NULL").groupBy("name").agg(first), "jaccard-names")
     wanted = members.join(asked, "gid").join(prefixes.select("sid", "name"), "sid").join(named, "name").select("first.doc_id", "first.digest", "sid", "gid")
-    links = linked(gathered(hashed_sets(docs, materialize(wanted, "jaccard-wanted"), shingle)), pairs, percent)
+    groups = gathered(hashed_sets(docs, materialize(wanted, "jaccard-wanted"), shingle))
+    links = linked(groups, pairs, percent)
+    discard(groups)
     roots = components(links).select(F.col("node").alias("sid"), "root")
     classes = materialize(prefixes.select("sid", "name").join(roots, "sid", "left").join(named, "name")
                           .select("name", F.coalesce("root", "sid").alias("root"), F.col("first.doc_id").alias("doc_id")), "jaccard-classes")

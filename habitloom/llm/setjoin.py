@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from habitloom.llm.common import pick
-from habitloom.session import materialize
+from habitloom.session import discard, materialize
 
 # Tokens of a group that one task holds; larger groups are split into parts of about this size.
 GROUP_TOKENS = 1 << 19
@@ -235,15 +235,24 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
 
 
 def hashed_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(gid, sid, hashes)``: the shingle sets of the rows of ``docs`` that ``wanted`` names as ``(doc_id, digest, sid, gid)``."""
+    """``(gid, sid, hashes)``: the shingle sets of the rows of ``docs`` that ``wanted`` names as ``(doc_id, digest, sid, gid)``.
+
+    A set comes once, in the partition of its group; texts are moved by the
+    join alone. Repeated rows that follow each other, as a sorted join gives
+    them, are left out before sets are moved.
+    """
     def compute(batches):
+        last = None
         for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            batch = batch.filter(pa.array([key != before for key, before in zip(keys, [last, *keys[:-1]], strict=True)], pa.bool_()))
+            last = keys[-1] if keys else last
             sets = [s.astype("<u8").tobytes() for s in shingle_sets((t.as_py() for t in batch.column(2)), shingle)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["gid", "sid", "hashes"])
 
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.digest") == F.col("w.digest"))
-    rows = keyed_texts(docs).alias("t").join(wanted.alias("w"), same).dropDuplicates(["gid", "sid"])
-    return rows.select("gid", "sid", "text").mapInArrow(compute, "gid bigint, sid bigint, hashes binary")
+    rows = keyed_texts(docs).alias("t").join(wanted.alias("w"), same).select("gid", "sid", "text")
+    return rows.mapInArrow(compute, "gid bigint, sid bigint, hashes binary").repartition("gid").dropDuplicates(["gid", "sid"])
 
 
 def gathered(sets: DataFrame) -> DataFrame:
@@ -306,4 +315,6 @@ def linked(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     open_ = materialize(asked.select("b", "asked", *Group.FIELDS).mapInArrow(bound, "b bigint, " + ", ".join(f"{name} binary" for name in prefixed)), "set-queries")
     opened = open_.join(some.withColumnRenamed("gid", "b"), "b").select(*prefixed, *Group.FIELDS).repartition(partitions, F.xxhash64("ids", "q_ids"))
     own = groups.where("n_sets > 1").select(*Group.FIELDS).mapInArrow(inside, "a bigint, b bigint")
-    return materialize(own.unionByName(opened.mapInArrow(across, "a bigint, b bigint")), "set-links")
+    links = materialize(own.unionByName(opened.mapInArrow(across, "a bigint, b bigint")), "set-links")
+    discard(open_)
+    return links

@@ -8,8 +8,6 @@ from habitloom.llm.queries import (
 )
 from habitloom.session import materialize
 
-# Labelled rows per language that show how little evidence for it a clean text has.
-LIMIT_ROWS = 1000
 SIMILARITY = 0.8
 # Fingerprints only form groups, whose shingles are then compared. Near copies differ in about 10 bits
 # of the first word; one in a thousand in more than 22.
@@ -22,7 +20,7 @@ MARGIN = 5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without any letter or less like any learned language than its labelled texts go."""
     columns, model = docs.columns, fitted_languages(docs)
-    limits = langid.limits(docs.where(langid.held_out(F.col("doc_id"))), model, LIMIT_ROWS)
+    limits = langid.limits(docs.where(langid.held_out(F.col("doc_id"))), model)
     evidence = ("_lang_log", "_lang_letters", "_lang_words")
     found = langid.predict(docs, model, ("_lang_pred", "_lang_score"), evidence)
     return found.where((F.col("_lang_pred") != "und") & langid.has_evidence(limits, "_lang_pred", *evidence)).select(*columns)

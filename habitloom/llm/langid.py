@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from habitloom.llm.common import kept_in_worker, pick
+from habitloom.operators.ranking import exact_percentiles
 from habitloom.session import materialize
 
 # Longer pieces of the vocabulary are left out.
@@ -149,28 +150,26 @@ class _Lattice:
         return sums[self.word, self.start] * p * back[self.word, self.end] * np.exp(scale)
 
 
-def _sample(docs: DataFrame, rows_per_language: int) -> tuple[DataFrame, DataFrame]:
-    """About so many labelled rows of each language, by a digest of the id, and the number of all per language."""
-    rows = pick(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(float(1 << 20)) * rows_per_language / F.col("count")
-    return rows.join(F.broadcast(sizes), "lang").where(share), sizes  # a row per language
+def _labelled(docs: DataFrame) -> DataFrame:
+    return pick(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
 
 
-def fit(docs: DataFrame, pieces: tuple[str, ...], rows_per_language: int, iterations: int = 2, smoothing: float = 0.01) -> Model:
+def fit(docs: DataFrame, pieces: tuple[str, ...], iterations: int = 2, smoothing: float = 0.01) -> Model:
     """Piece probabilities per language from ``(doc_id, text, lang)``.
 
-    Rows without text, id or language are left out. Of each language about
-    ``rows_per_language`` rows are taken, by a digest of the id: this bounds
-    the fit at any size of the corpus. Their words are counted in Spark; each
-    iteration computes expected piece counts of the distinct words by forward
-    and backward sums, in parallel, starting from equal probabilities. What
-    comes back to the driver is a number per piece and language.
+    Rows without text, id or language are left out; all others are fitted on.
+    Their words are counted in Spark; each iteration computes expected piece
+    counts of the distinct words by forward and backward sums, in parallel,
+    starting from equal probabilities. What comes back to the driver is a number
+    per piece and language.
     """
-    sample, sizes = _sample(docs, rows_per_language)
-    counts = materialize(sample.select("lang", F.explode(F.split(letters(F.col("text")), " ")).alias("word")).where("word <> ''")
+    rows = _labelled(docs)
+    # An empty word per text keeps languages whose texts have no letter.
+    counts = materialize(rows.select("lang", F.explode(F.split(letters(F.col("text")), " ")).alias("word"))
                          .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")), "langid-words")
-    languages = tuple(sorted(r.lang for r in sizes.collect()))
+    languages = tuple(sorted(r.lang for r in counts.select("lang").distinct().collect()))
+    # The counts take little room and much time: they are dealt to all tasks anew.
+    spread = counts.where("word <> ''").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "word")
     index = _Pieces(pieces)
     column = {name: i for i, name in enumerate(languages)}
     uniform = np.full((len(pieces) + 1, len(languages)), 1 / max(1, len(pieces)))
@@ -191,7 +190,7 @@ def fit(docs: DataFrame, pieces: tuple[str, ...], rows_per_language: int, iterat
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(total[piece, lang])], names=["piece", "lang", "uses"])
 
-        uses = counts.select("lang", "word", "n").mapInArrow(expect, "piece bigint, lang bigint, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
+        uses = spread.select("lang", "word", "n").mapInArrow(expect, "piece bigint, lang bigint, uses double").groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
         found = np.zeros_like(probabilities)
         # At most the vocabulary times the languages.
         table = uses.toArrow()
@@ -283,11 +282,11 @@ def predict(docs: DataFrame, model: Model, names=("lang_pred", "score"), evidenc
     return inner.select(*kept, letters(F.col(place["text"])).alias("_letters")).mapInArrow(classify, schema).toDF(*columns, *names)
 
 
-def limits(docs: DataFrame, model: Model, rows_per_language: int) -> dict:
+def limits(docs: DataFrame, model: Model) -> dict:
     """Per language, and under null for all others: how little evidence clean labelled texts have.
 
-    ``docs`` are labelled rows that the model was not fitted on; those found in
-    their own language count. A limit is ``(mean, rate, excess)``: the mean
+    ``docs`` are labelled rows that the model was not fitted on; all that are found
+    in their own language count. A limit is ``(mean, rate, excess)``: the mean
     logarithm per letter over all letters, the least logarithm per letter of a
     text, and the least excess over the mean by the root of the number of words.
     The least logarithm per letter is twice as far below the median as the
@@ -296,20 +295,23 @@ def limits(docs: DataFrame, model: Model, rows_per_language: int) -> dict:
     as far below the median as the lower quartile. Nothing is given where too
     few rows are labelled.
     """
-    found = predict(_sample(docs, rows_per_language)[0], model, ("_pred", "_score"), EVIDENCE).where("_pred = lang AND words > 0")
+    found = predict(_labelled(docs), model, ("_pred", "_score"), EVIDENCE).where("_pred = lang AND words > 0")
     found = materialize(found.select("lang", *EVIDENCE), "langid-evidence")
 
     def of(rows, *by):
         means = rows.groupBy(*by).agg((F.sum("log") / F.sum("letters")).alias("mean"), F.count(F.lit(1)).alias("n"))
         rows = rows.join(F.broadcast(means), list(by)) if by else rows.crossJoin(F.broadcast(means))  # a row per language
-        rate, excess = F.col("log") / F.col("letters"), (F.col("log") - F.col("mean") * F.col("letters")) / F.sqrt("words")
-        at = lambda x, share: F.percentile(x, F.lit(share))
-        return rows.where(F.col("n") >= LEAST_ROWS).groupBy(*by, "mean").agg(
-            F.least(2 * at(rate, 0.01) - at(rate, 0.5), SLACK * at(rate, 0.5)).alias("rate"),
-            (7 * at(excess, 0.25) - 6 * at(excess, 0.5)).alias("excess")).collect()  # a row per language
-
-    every = {None: (r.mean, r.rate, r.excess) for r in of(found)}
-    return every | {r.lang: (r.mean, r.rate, r.excess) for r in of(found, "lang")}
+        rows = rows.where(F.col("n") >= LEAST_ROWS).select(
+            *by, "mean", (F.col("log") / F.col("letters")).alias("rate"),
+            ((F.col("log") - F.col("mean") * F.col("letters")) / F.sqrt("words")).alias("excess"))
+        group = (*by, "mean")
+        rates = exact_percentiles(rows, "rate", {"low": 0.01, "middle": 0.5}, group).collect()  # a row per language
+        excesses = {r[:len(group)]: r for r in exact_percentiles(rows, "excess", {"low": 0.25, "middle": 0.5}, group).collect()}
+        for r in rates:
+            e = excesses[r[:len(group)]]
+            yield r[0] if by else None, (r.mean, min(2 * r.low - r.middle, SLACK * r.middle), 7 * e.low - 6 * e.middle)
+
+    return dict(of(found)) | dict(of(found, "lang"))
 
 
 def has_evidence(limits: dict, lang: str, log: str, letters: str, words: str) -> Column:

@@ -19,8 +19,6 @@ MAX_OWNERS = 3
 # A value in more documents than these is a copied example, however few sources hold it.
 MAX_REPOSITORIES = 30
 MAX_REPETITION = 2
-# Labelled rows per language that language models are fitted on.
-FIT_ROWS = 4000
 MIX_SEED = "mix"
 COMPONENTS = 32
 
@@ -192,7 +190,7 @@ def op7_delta_rollups(spark, sf_dir):
 
 
 def fitted_languages(docs):
-    return langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), langid.vocabulary(tokenizer_path("piece_bpe_32k.model")), FIT_ROWS)
+    return langid.fit(docs.where(~langid.held_out(F.col("doc_id"))), langid.vocabulary(tokenizer_path("piece_bpe_32k.model")))
 
 
 @query()

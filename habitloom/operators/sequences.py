@@ -79,7 +79,7 @@ def with_neighbour(events: DataFrame, step: int, part_events=None, **wanted) ->
     return events.join(shifted, [*SEQ, "pos"], "left")
 
 
-def _running_counts(rows, group, keep=()):
+def _running_counts(rows, group):
     """Per event and device already met in ``group``: how often it was met before.
 
     ``rows`` holds ``pos, device, n``; rows with ``pos`` -1 bring counts carried
@@ -93,7 +93,7 @@ def _running_counts(rows, group, keep=()):
         .select("*", F.explode("_met").alias("earlier"))
         .withColumn("n_earlier", F.coalesce(met, F.lit(0)))
         .where((F.col("pos") >= 0) & ((F.col("n_earlier") > 0) | (F.col("earlier") == F.col("device"))))
-        .select(*SEQ, "pos", "device", "earlier", "n_earlier", *keep)
+        .select(*SEQ, "pos", "device", "earlier", "n_earlier")
     )
 
 
@@ -151,24 +151,28 @@ def corpus_cells(events: DataFrame) -> DataFrame:
 
     ``sequence``: how many there are; ``device``: events of a device;
     ``adjacent``: a device right before another; ``followed``: events of a
-    device that have the other later in their sequence. The counts of a
-    sequence are made where its events are; only they are shuffled.
+    device that have the other later in their sequence. Each event gives its
+    part of the counts where its sequence is, walked once from its end: the
+    devices met until then follow the event. Nothing is grouped by sequence;
+    what the tasks count, and what is shuffled, is as large as the pairs of
+    devices.
     """
-    order = Window.partitionBy(*SEQ).orderBy("pos")
-    rows = _met_once(events).withColumn("_next", F.lead("device").over(order))
-    own = F.col("earlier") == F.col("device")
-
-    def cell(kind, source, target, n, most):
-        return F.struct(F.lit(kind).alias("kind"), source.cast("int").alias("source"), target.cast("int").alias("target"), n.cast("bigint").alias("n"), most.cast("bigint").alias("most"))
-
-    none, one, zero = F.lit(None), F.lit(1), F.lit(0)
-    cells = F.array_compact(F.array(
-        F.when(own, cell("device", F.col("device"), none, one, zero)),
-        F.when(own & (F.col("pos") == 0), cell("sequence", none, none, one, zero)),
-        F.when(own & F.col("_next").isNotNull(), cell("adjacent", F.col("device"), F.col("_next"), one, zero)),
-        F.when(~own, cell("followed", F.col("earlier"), F.col("device"), zero, F.col("n_earlier"))),
-    ))
-    walked = _running_counts(rows, SEQ, keep=["_next"])
-    per_sequence = walked.select(*SEQ, F.explode(cells).alias("_c")).groupBy(*SEQ, "_c.kind", "_c.source", "_c.target").agg(
-        (F.sum("_c.n") + F.max("_c.most")).alias("n"))
-    return per_sequence.groupBy("corpus_id", "kind", "source", "target").agg(F.sum("n").alias("n"))
+    back = Window.partitionBy(*SEQ).orderBy(F.desc("pos"))
+    rows = events.select(*SEQ, "pos", F.col("device_id").alias("device")).withColumns({
+        "_next": F.lag("device").over(back),
+        "_later": F.collect_set("device").over(back.rowsBetween(Window.unboundedPreceding, -1)),
+    }).where(F.col("device").isNotNull())
+
+    def cell(kind, source, target):
+        return F.struct(F.lit(kind).alias("kind"), source.cast("int").alias("source"), target.cast("int").alias("target"))
+
+    none, own = F.lit(None), F.col("device")
+    cells = F.concat(
+        F.array_compact(F.array(
+            cell("device", own, none),
+            F.when(F.col("pos") == 0, cell("sequence", none, none)),
+            F.when(F.col("_next").isNotNull(), cell("adjacent", own, F.col("_next"))),
+        )),
+        F.transform(F.array_remove("_later", own), lambda x: cell("followed", own, x)),
+    )
+    return rows.select("corpus_id", F.explode(cells).alias("_c")).groupBy("corpus_id", "_c.kind", "_c.source", "_c.target").agg(F.count(F.lit(1)).alias("n"))

@@ -117,3 +117,18 @@ def test_stored_events_come_back(random_events, spark, tmp_path):
 def test_id_in_marks_unknown_words(spark):
     frame = spark.createDataFrame([("b",), ("z",)], "w string")
     assert [r[0] for r in frame.select(id_in(["a", "b"], F.col("w"))).collect()] == [1, -1]
+
+
+def test_corpus_cells_group_nothing_by_sequence(random_events):
+    events, data = random_events
+    found = sequences.corpus_cells(events)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Aggregate [" in line and "seq_id" in line]
+    counted = {}
+    for (corpus, _), quads in data.items():
+        devices = [q[2] for q in quads]
+        seen = [("sequence", None, None), *[("device", d, None) for d in devices], *[("adjacent", *pair) for pair in zip(devices, devices[1:])]]
+        seen += [("followed", d, e) for i, d in enumerate(devices) for e in set(devices[i + 1:]) if e != d]
+        for cell in seen:
+            counted[corpus, *cell] = counted.get((corpus, *cell), 0) + 1
+    assert {tuple(r)[:4]: r.n for r in found.collect()} == counted

@@ -5,6 +5,8 @@ names what the detector looks at, so that many detectors run in one job.
 """
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -75,12 +77,13 @@ def cell_parameters(spark) -> DataFrame:
     return spark.createDataFrame(rows, "dataset string, env string, field string, percentile double, filter_tag string")
 
 
-def token_steps(events: DataFrame, detectors, keep=()) -> DataFrame:
+def token_steps(events: DataFrame, detectors, keep=(), aim=None) -> DataFrame:
     """``(env, corpus_id, seq_id, pos, prev, token, vocab_size, *keep)``.
 
     One pass over the events serves all detectors: neighbours are looked up
-    once, then each event gives one row per detector. Padding never appears, as
-    a sequence has rows only for its events.
+    once, then each event gives one row per detector, or with ``aim`` only for
+    the detector whose ``env`` that column holds. Padding never appears, as a
+    sequence has rows only for its events.
     """
     fields = sorted({f for d in detectors for f in ([EVENT_COLUMNS[-1]] if d.field == FLAT else [d.field])})
     rows = with_neighbour(events, -1, **{f"_prev_{field}": field for field in fields})
@@ -98,8 +101,11 @@ def token_steps(events: DataFrame, detectors, keep=()) -> DataFrame:
             before = F.col(names[i - 1]) if i else F.col(f"_prev_{names[-1]}")
             place = F.col("pos") * len(names) + i
             made = step(d, place, before, name)
-            steps.append(made if d.max_tokens is None else F.when(place < d.max_tokens, made))
-    return rows.select(*SEQ, *keep, F.explode(F.array_compact(F.array(*steps))).alias("_t")).select("_t.*", *SEQ, *keep)
+            wanted = [] if aim is None else [F.col(aim) == d.env]
+            if d.max_tokens is not None:
+                wanted.append(place < d.max_tokens)
+            steps.append(F.when(reduce(and_, wanted), made) if wanted else made)
+    return rows.select(*SEQ, *keep, F.explode(F.array(*steps)).alias("_t")).where("_t IS NOT NULL").select("_t.*", *SEQ, *keep)
 
 
 def counted_steps(steps: DataFrame, keep=()) -> DataFrame:

@@ -95,12 +95,20 @@ def attacked(rows: DataFrame) -> DataFrame:
     return base.select("seq_id", "pos", F.explode(F.array(*kinds)).alias("_k")).select("_k.*", "seq_id", "pos")
 
 
-def in_cells(rows: DataFrame, variants=("full", "half")) -> DataFrame:
-    """Rows in every cell they belong to: a dataset by the digest of the sequence, two seeds, and variants with all or some sequences."""
-    digest = F.md5("seq_id")
-    dataset = F.when(F.substring(digest, 1, 1) < "8", "fr").otherwise("sp")
-    kinds = F.array(*[F.when(F.lit(v != "half") | (F.substring(digest, 2, 1) < "8"), F.lit(v)) for v in variants])
-    return rows.withColumns({"dataset": dataset, "seed": F.explode(F.array(F.lit(42), F.lit(2024)))}).withColumn("variant", F.explode(F.array_compact(kinds)))
+def cells_of(every=False):
+    """The cells of a sequence, as an array: a dataset by its digest, two seeds, and variants with all and, unless ``every``, some sequences."""
+    def cells(digest):
+        dataset = F.when(F.substring(digest, 1, 1) < "8", "fr").otherwise("sp").alias("dataset")
+        full, half = ([F.struct(dataset, F.lit(seed).alias("seed"), F.lit(v).alias("variant")) for seed in (42, 2024)] for v in ("full", "half"))
+        return F.when(F.lit(every) | (F.substring(digest, 2, 1) < "8"), F.array(*full, *half)).otherwise(F.array(*full))
+
+    # One digest per row, whatever is asked of it.
+    return F.transform(F.array(F.md5("seq_id")), cells)[0]
+
+
+def in_cells(rows: DataFrame) -> DataFrame:
+    """Rows in every cell they belong to."""
+    return rows.select("*", F.inline(cells_of()))
 
 
 def described(spark, sf_dir) -> DataFrame:

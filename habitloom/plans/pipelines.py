@@ -103,18 +103,31 @@ def in_cell(rows: DataFrame, cell=CELL) -> DataFrame:
     return rows.withColumn("corpus_id", F.concat_ws("/", *[F.col(c).cast("string") for c in (*cell, "corpus_id")]))
 
 
-def evaluate_cells(train_events: DataFrame, test_events: DataFrame, detectors, ratio=0.8, seed=2024) -> DataFrame:
+def _steps_in_cells(events, detectors, cells, keep=(), aim=None):
+    """Counted steps of the sequences in each of their cells: counted once, then dealt to the cells that ``cells`` gives a sequence."""
+    if cells is None:
+        return counted_steps(token_steps(in_cell(events), detectors, [*keep, *CELL, *([aim] if aim else [])], aim), [*keep, *CELL])
+    return counted_steps(token_steps(events, detectors, [*keep, *([aim] if aim else [])], aim), keep).select("*", F.inline(cells))
+
+
+def evaluate_cells(train_events: DataFrame, test_events: DataFrame, detectors, ratio=0.8, seed=2024, train_cells=None, test_cells=None) -> DataFrame:
     """Confusion counts and scores of every cell: dataset, env, seed and variant, all in one job.
 
     Both tables carry the columns of ``CELL``, ``test_events`` also ``env`` and
-    ``label``. Each cell has a split of its own (the seed is part of the key
-    that orders it), a fit, and a threshold at the percentile of its dataset
-    and env. The events of all cells are read in one pass; what a cell needs
-    of itself afterwards is a row in a table keyed by cell. Test sequences of a
-    cell without training data are left out.
+    ``label``. Where a sequence is in several cells, ``train_cells`` and
+    ``test_cells`` may tell them instead, as a column over the columns of
+    ``SEQ``: an array of structs of ``CELL``. Its events then come once, and are
+    ordered and counted once for all its cells, with the same result. Each cell
+    has a split of its own (the seed is part of the key that orders it), a fit,
+    and a threshold at the percentile of its dataset and env. The events of all
+    cells are read in one pass; what a cell needs of itself afterwards is a row
+    in a table keyed by cell. Test sequences of a cell without training data are
+    left out.
     """
     by = ("env", *CELL)
-    steps = materialize(counted_steps(token_steps(in_cell(train_events), detectors, keep=CELL), keep=CELL), "steps")
+    steps = _steps_in_cells(train_events, detectors, train_cells)
+    # Sequences that come once are named by cell now: the split orders them by name.
+    steps = materialize(steps if train_cells is None else in_cell(steps), "steps")
     # Every sequence has one first step for each detector.
     ids = steps.where((F.col("env") == detectors[0].env) & (F.col("prev") == START)).select(*CELL, *SEQ)
     parts = materialize(split_cells(ids, CELL, ratio, seed), "parts")
@@ -124,7 +137,6 @@ def evaluate_cells(train_events: DataFrame, test_events: DataFrame, detectors, r
     validation = sequence_losses(placed.where(whole | (F.col("part") == "validation")), model)
     thresholds = cell_thresholds(validation, detectors, by)
 
-    aimed = in_cell(test_events).withColumnRenamed("env", "_aim")
-    test_steps = token_steps(aimed, detectors, keep=["_aim", "label", *CELL]).where(F.col("env") == F.col("_aim"))
-    losses = sequence_losses(counted_steps(test_steps, keep=["label", *CELL]), model, keep=["label"])
+    test_steps = _steps_in_cells(test_events.withColumnRenamed("env", "_aim"), detectors, test_cells, ["label"], "_aim")
+    losses = sequence_losses(test_steps, model, keep=["label"])
     return confusion(classify(losses, thresholds, by), by=by)

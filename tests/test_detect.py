@@ -104,3 +104,14 @@ def test_whole_corpus_protocol(spark):
 def test_detector_arguments():
     with pytest.raises(ValueError):
         detect.Detector("night", "hour_slot", 8, 101)
+
+
+def test_cells_told_by_column_give_what_rows_per_cell_give(random_events):
+    from habitloom.plans import inputs, pipelines
+
+    events, _ = random_events
+    env = F.when(F.crc32("seq_id") % 3 == 0, "night").when(F.crc32("seq_id") % 3 == 1, "multiple").otherwise("spring")
+    tested = events.withColumns({"env": env, "label": (F.crc32("seq_id") % 2).cast("int")})
+    expanded = pipelines.evaluate_cells(inputs.in_cells(events), inputs.in_cells(tested), inputs.DETECTORS).collect()
+    found = pipelines.evaluate_cells(events, tested, inputs.DETECTORS, train_cells=inputs.cells_of(), test_cells=inputs.cells_of()).collect()
+    assert sorted(map(str, found)) == sorted(map(str, expanded)) and len(found) == 24

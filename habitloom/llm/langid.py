@@ -300,6 +300,8 @@ def limits(docs: DataFrame, model: Model) -> dict:
 
     def of(rows, *by):
         means = rows.groupBy(*by).agg((F.sum("log") / F.sum("letters")).alias("mean"), F.count(F.lit(1)).alias("n"))
+        # Summed once: the last digits depend on the order of the rows, and both percentiles are told apart by the mean.
+        means = materialize(means, "langid-means")
         rows = rows.join(F.broadcast(means), list(by)) if by else rows.crossJoin(F.broadcast(means))  # a row per language
         rows = rows.where(F.col("n") >= LEAST_ROWS).select(
             *by, "mean", (F.col("log") / F.col("letters")).alias("rate"),

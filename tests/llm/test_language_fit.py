@@ -1,7 +1,9 @@
 """Language models and limits of evidence learn from every labelled row."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +48,22 @@ def test_limits_are_taken_over_all_rows(spark):
 def test_languages_without_letters_and_corpora_without_labels(spark):
     assert langid.fit(spark.createDataFrame([(1, "12 34", "xx"), (2, "word", "yy"), (3, None, "zz")], SCHEMA), ("▁word",)).languages == ("xx", "yy")
     assert langid.limits(spark.createDataFrame([], SCHEMA), fitted_languages(spark.createDataFrame([], SCHEMA))) == {}
+
+
+def test_limits_do_not_depend_on_the_order_in_which_means_are_summed(spark, monkeypatch):
+    model = langid.Model(("a", "b", "c"), ("xx",), np.array([[0.31], [0.47], [0.22], [1e-7]]))
+    rng = random.Random(4)
+    rows = spark.createDataFrame([(i, " ".join(rng.choices(["a", "ab", "bbc", "cab"], k=rng.randint(1, 60))), "xx") for i in range(2000)], SCHEMA)
+    rows, percentiles, name = rows.repartition(4), langid.exact_percentiles, "spark.sql.files.minPartitionNum"
+
+    def in_other_tasks(of, value, *args):
+        # Where the mean is summed anew, it is summed in another order.
+        spark.conf.set(name, "1" if value == "excess" else "4")
+        try:
+            return percentiles(of, value, *args)
+        finally:
+            spark.conf.unset(name)
+
+    expected = langid.limits(rows, model)
+    monkeypatch.setattr(langid, "exact_percentiles", in_other_tasks)
+    assert langid.limits(rows, model) == {k: pytest.approx(v) for k, v in expected.items()}

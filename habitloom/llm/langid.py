@@ -64,12 +64,36 @@ def _in_blocks(words):
 
 
 class _Pieces:
-    """Place of each piece in the vocabulary; -1 for texts that only begin a piece."""
+    """All beginnings of pieces as numbered states: which letter leads from one to which, and the piece that each is, or -1."""
 
     def __init__(self, pieces):
         self.unknown = len(pieces)
-        self.places = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
-        self.places.update({p: i for i, p in enumerate(pieces)})
+        states = {"": 0}
+        for piece in pieces:
+            for k in range(1, len(piece) + 1):
+                states.setdefault(piece[:k], len(states))
+        self.pieces = np.full(len(states), -1)
+        self.pieces[[states[p] for p in pieces]] = np.arange(len(pieces))
+        alphabet = {c: i for i, c in enumerate(sorted(set("".join(pieces))), 1)}
+        # Letters of no piece, and whatever lies beyond, have number 0.
+        self.letters = np.zeros(max(map(ord, alphabet), default=0) + 2, np.int64)
+        self.letters[[ord(c) for c in alphabet]] = list(alphabet.values())
+        self.width = len(alphabet) + 1
+        steps = sorted((states[s[:-1]] * self.width + alphabet[s[-1]], state) for s, state in states.items() if s)
+        self.steps = np.array([step for step, _ in steps] + [np.iinfo(np.int64).max])
+        self.next = np.array([state for _, state in steps] + [0])
+
+    def numbered(self, texts):
+        """Letters of the texts as numbers, each text followed by a 0."""
+        codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self.letters[np.minimum(codes, len(self.letters) - 1)]
+
+    def follow(self, state, letter):
+        """Which of the states lead on by their letter, and where those lead."""
+        step = state * self.width + letter
+        at = np.searchsorted(self.steps, step)
+        on = np.flatnonzero((self.steps[at] == step) & (letter > 0))
+        return on, self.next[at[on]]
 
 
 class _Lattice:
@@ -81,28 +105,33 @@ class _Lattice:
     """
 
     def __init__(self, texts, pieces):
-        unknown, get, found, parts = pieces.unknown, pieces.places.get, [], []
-        for w, text in enumerate(texts):
-            n = len(text)
-            for i in range(n):
-                alone = True
-                for end in range(i + 1, n + 1):
-                    piece = get(text[i:end])
-                    if piece is None:  # no piece begins like this
-                        break
-                    if piece >= 0:
-                        found += w, i, end - i, piece
-                        alone = alone and end > i + 1
-                if alone:
-                    found += w, i, 1, unknown
-                if len(found) > PLACES_AT_ONCE:
-                    parts.append(np.array(found, dtype=np.int64))
-                    found = []
-        word, start, size, piece = np.concatenate([*parts, np.array(found, dtype=np.int64)]).reshape(-1, 4).T
-        order = np.argsort(start, kind="stable")
-        self.word, self.start, self.piece = word[order], start[order], piece[order]
-        self.end = self.start + size[order]
         self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        letters, before = pieces.numbered(texts), np.cumsum(self.lengths + 1) - self.lengths - 1
+        word = np.repeat(np.arange(len(texts)), self.lengths)
+        start = np.arange(len(word)) - np.repeat(before - np.arange(len(texts)), self.lengths)
+        place = start + before[word]
+        # All starts at once, a letter further each round; most leave after a few.
+        active, state, found = np.arange(len(word)), np.zeros(len(word), np.int64), []
+        for size in range(1, PIECE + 1):
+            on, state = pieces.follow(state, letters[place[active] + size - 1])
+            active, piece = active[on], pieces.pieces[state]
+            whole = np.flatnonzero(piece >= 0)
+            of, piece = active[whole], piece[whole]
+            if size == 1:
+                # Where no piece is the letter alone, it is a step by itself.
+                single = np.full(len(word), pieces.unknown)
+                single[of] = piece
+                of, piece = np.arange(len(word)), single
+            found.append((of, np.full(len(of), size), piece))
+            if not len(active):
+                break
+        of, size, piece = (np.concatenate(column) for column in zip(*found))
+        # Stable sorts of short numbers take no comparisons.
+        first = start[of]
+        order = np.argsort(first.astype(np.uint16) if self.lengths.max(initial=0) < 1 << 16 else first, kind="stable")
+        of = of[order]
+        self.word, self.start, self.piece = word[of], start[of], piece[order]
+        self.end = self.start + size[order]
         self.cuts = np.searchsorted(self.start, np.arange(self.lengths.max(initial=0) + 1))
 
     def _empty(self, width):

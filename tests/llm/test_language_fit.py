@@ -67,3 +67,17 @@ def test_limits_do_not_depend_on_the_order_in_which_means_are_summed(spark, monk
     expected = langid.limits(rows, model)
     monkeypatch.setattr(langid, "exact_percentiles", in_other_tasks)
     assert langid.limits(rows, model) == {k: pytest.approx(v) for k, v in expected.items()}
+
+
+def test_steps_of_a_lattice_are_found_for_all_starts_at_once(monkeypatch):
+    pieces, follow, calls = ("▁", "a", "ab", "abab", "ba", "中", "\U00010428a"), langid._Pieces.follow, []
+    monkeypatch.setattr(langid._Pieces, "follow", lambda self, *args: calls.append(1) or follow(self, *args))
+    rng = random.Random(2)
+    words = ["▁" + "".join(rng.choices("abx中\U00010428\U0010fffd", k=rng.randint(0, 90))) for _ in range(300)] + ["", "▁"]
+    for known in (pieces, ()):
+        lattice = langid._Lattice(words, langid._Pieces(known))
+        place = {p: i for i, p in enumerate(known)}
+        expected = [(w, i, j, place[text[i:j]]) for w, text in enumerate(words) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in place]
+        expected += [(w, i, i + 1, len(known)) for w, text in enumerate(words) for i in range(len(text)) if text[i] not in place]
+        assert sorted(zip(lattice.word, lattice.start, lattice.end, lattice.piece)) == sorted(expected)
+    assert len(calls) <= 2 * langid.PIECE

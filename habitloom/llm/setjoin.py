@@ -15,6 +15,8 @@ GROUP_TOKENS = 1 << 19
 ROWS, COLUMNS = 512, 2048
 # A token in more pairs of sets than these is a column of a matrix product; rarer ones are counted pair by pair.
 DENSE = 4096
+# Bits of the map that leaves out texts nobody asks for: so many for each that is asked for, but no more than these in all.
+MAP_SHARE, MAP_BITS = 8, 1 << 24
 # Bytes of text that are hashed at once.
 PIECE = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -234,12 +236,27 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"), F.col("text").cast("binary").alias("text"))
 
 
+def likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without most of the rows that ``wanted``, a written table, does not name by ``doc_id`` and ``digest``.
+
+    Each wanted row sets the bit of its hash in a map, words of which are sent
+    to every executor. The map does not grow beyond ``MAP_BITS``; the fuller
+    it is, the more rows stay that an exact join has to leave out.
+    """
+    bits = min(MAP_BITS, 1 << max(6, (MAP_SHARE * wanted.count() - 1).bit_length()))
+    placed = lambda df: df.withColumn("_place", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(bits))).withColumns({
+        "_word": F.expr("_place div 64"), "_bit": F.expr("shiftleft(1L, CAST(_place % 64 AS INT))")})
+    words = placed(wanted.select("doc_id", "digest")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = placed(texts).join(F.broadcast(words), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0)
+    return held.select(*texts.columns)
+
+
 def hashed_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``(gid, sid, hashes)``: the shingle sets of the rows of ``docs`` that ``wanted`` names as ``(doc_id, digest, sid, gid)``.
+    """``(gid, sid, hashes)``: the shingle sets of the rows of ``docs`` that ``wanted``, a written table, names as ``(doc_id, digest, sid, gid)``.
 
     A set comes once, in the partition of its group; texts are moved by the
-    join alone. Repeated rows that follow each other, as a sorted join gives
-    them, are left out before sets are moved.
+    join alone, and only those likely to be wanted. Repeated rows that follow
+    each other, as a sorted join gives them, are left out before sets are moved.
     """
     def compute(batches):
         last = None
@@ -251,7 +268,7 @@ def hashed_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sets, pa.binary())], names=["gid", "sid", "hashes"])
 
     same = F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("t.digest") == F.col("w.digest"))
-    rows = keyed_texts(docs).alias("t").join(wanted.alias("w"), same).select("gid", "sid", "text")
+    rows = likely(keyed_texts(docs), wanted).alias("t").join(wanted.alias("w"), same).select("gid", "sid", "text")
     return rows.mapInArrow(compute, "gid bigint, sid bigint, hashes binary").repartition("gid").dropDuplicates(["gid", "sid"])
 
 

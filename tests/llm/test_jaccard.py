@@ -111,3 +111,33 @@ def test_shingles_are_told_apart(monkeypatch, piece):
         names.setdefault(frozenset(shingles), set()).add(tuple(hashes.tolist()))
     assert all(len(v) == 1 for v in names.values()) and len({next(iter(v)) for v in names.values()}) == len(names)
     setjoin._powers.cache_clear()
+
+
+def moved_rows(plan):
+    """Rows that the shuffles of an executed plan wrote."""
+    name = plan.getClass().getSimpleName()
+    inner = plan.executedPlan() if name == "AdaptiveSparkPlanExec" else plan.plan() if name.endswith("QueryStageExec") else None
+    if inner is not None:
+        return moved_rows(inner)
+    own = plan.metrics().get("shuffleRecordsWritten").get().value() if name == "ShuffleExchangeExec" else 0
+    children = plan.children()
+    return own + sum(moved_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_only_wanted_texts_are_moved(spark, tmp_path):
+    texts = [(i if i % 7 else None, f"word{i} " * 9 + str(i % 5)) for i in range(3000)]
+    docs = spark.createDataFrame([*texts, *texts[:40]], "doc_id bigint, text string")
+    keyed = setjoin.keyed_texts(docs).select("doc_id", "digest").distinct().where("digest % 50 = 0")
+    keyed.selectExpr("doc_id", "digest", "digest AS sid", "pmod(digest, 4) AS gid").write.parquet(f"{tmp_path}/wanted")
+    wanted = spark.read.parquet(f"{tmp_path}/wanted")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = setjoin.hashed_sets(docs, wanted, 5)
+        found = sets.collect()
+        moved = moved_rows(sets._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    expected = {row.sid: row.gid for row in wanted.collect()}
+    assert 20 < len(expected) < 200 and {row.sid: row.gid for row in found} == expected and len(found) == len(expected)
+    assert moved < 1000

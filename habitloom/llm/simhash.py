@@ -5,16 +5,21 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from habitloom.llm.common import pick
+from habitloom.llm.common import pick, running_offsets
 from habitloom.llm.components import components
 from habitloom.llm.setjoin import gathered, hashed_sets, linked, parts_of, thin
-from habitloom.session import materialize
-
-# Fingerprints of one tile; what a task holds of either side of a comparison.
-TILE = 32768
-# Rows of a tile that are compared with the other tile at once, and links held before they are thinned.
+from habitloom.session import discard, materialize
+
+# Fingerprints of one tile, at least and at most; what a task holds of either side of a comparison.
+TILE, LARGEST_TILE = 7 << 12, 1 << 18
+# Tiles of as many fingerprints as lie between these two sizes: their pairs occupy the tasks, and fewer tiles are sent less often.
+TILES = 16
+# Sorted fingerprints that are written together; tiles are made of them.
+RUN = 4096
+# Rows of the least tile that are compared with the other tile at once, and links held before they are thinned.
 ROWS, HELD = 32, 1 << 20
 # Shingles hashed before their bits are added up.
 CHUNK = 1 << 16
@@ -117,34 +122,44 @@ def _array(fps: bytes, size: int):
 def _tiles(fps: DataFrame, size: int) -> DataFrame:
     """Distinct fingerprints in tiles, ordered by population count of the first word, in whole and by 16-bit blocks.
 
-    A tile carries the least and greatest of these counts.
+    A tile carries the least and greatest of these counts. How many there are
+    goes by the number of fingerprints, not by that of partitions: each is sent
+    to as many tasks as there are others.
     """
     first = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("bigint")
     block = lambda shift: F.bit_count(F.shiftrightunsigned("first", shift).bitwiseAND(F.lit(0xFFFF)))
     order = [F.bit_count("first"), *[block(shift) for shift in BLOCKS[:-1]], F.col("fp")]
-    # As many partitions as make full tiles: what is sent for the comparison grows with the number of pairs.
-    parts = max(1, math.ceil(fps.count() / (0.9 * TILE)))
-    dealt = fps.select("fp", first.alias("first")).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("fp")
+    total = fps.count()
+    number = max(1, math.ceil(total / min(LARGEST_TILE, max(TILE, total // TILES))))
+    dealt = fps.select("fp", first.alias("first")).repartitionByRange(max(1, math.ceil(total / TILE)), *order).sortWithinPartitions(*order).select("fp")
 
     def cut(batches):
-        held = []
+        held, run = [], TaskContext.get().partitionId() << 32
         for batch in batches:
             held += batch.column(0).to_pylist()
-            while len(held) >= TILE:
-                yield tile(held[:TILE])
-                held = held[TILE:]
+            while len(held) >= RUN:
+                yield written(run, held[:RUN])
+                held, run = held[RUN:], run + 1
         if held:
-            yield tile(held)
+            yield written(run, held)
+
+    def written(run, fps):
+        return pa.RecordBatch.from_arrays([pa.array([run], pa.int64()), pa.array([len(fps)], pa.int64()), pa.array([b"".join(fps)], pa.binary())], names=["run", "n", "fps"])
 
-    def tile(fps):
-        raw = b"".join(fps)
+    def tile(table):
+        raw = b"".join(table.sort_by("run").column("fps").to_pylist())
         first = _array(raw, size)[:, 0]
         counts = [np.bitwise_count(first), *[np.bitwise_count((first >> np.uint64(s)) & np.uint64(0xFFFF)) for s in BLOCKS]]
-        return pa.RecordBatch.from_pylist([{
-            "tile": fps[0], "least": [int(c.min()) for c in counts], "most": [int(c.max()) for c in counts], "fps": raw,
-        }], schema=pa.schema([("tile", pa.binary()), ("least", pa.list_(pa.int32())), ("most", pa.list_(pa.int32())), ("fps", pa.binary())]))
+        return pa.Table.from_pylist([{
+            "tile": table.column("tile")[0].as_py(), "least": [int(c.min()) for c in counts], "most": [int(c.max()) for c in counts], "fps": raw,
+        }], schema=pa.schema([("tile", pa.int64()), ("least", pa.list_(pa.int32())), ("most", pa.list_(pa.int32())), ("fps", pa.binary())]))
 
-    return materialize(dealt.mapInArrow(cut, "tile binary, least array<int>, most array<int>, fps binary"), "simhash-tiles")
+    runs = materialize(dealt.mapInArrow(cut, "run bigint, n bigint, fps binary"), "simhash-runs")
+    offsets = F.broadcast(running_offsets(runs.select("run", "n"), "run", "n"))  # a row per run
+    placed = runs.join(offsets, "run").select(F.floor(F.col("n_before") * number / F.col("n_all")).alias("tile"), "run", "fps")
+    tiles = materialize(placed.groupBy("tile").applyInArrow(tile, "tile bigint, least array<int>, most array<int>, fps binary"), "simhash-tiles")
+    discard(runs)
+    return tiles
 
 
 def _pairs(tiles: DataFrame, radius: int) -> DataFrame:
@@ -180,8 +195,9 @@ def tile_links(a, b, same: bool, radius: int, first_radius: int, compared: int |
     first_b = np.ascontiguousarray(b[:, 0])
     n, shift = (len(a), 0) if same else (len(a) + len(b), len(a))
     held, size = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))], 0
-    for at in range(0, len(a), ROWS):
-        rows = a[at:at + ROWS]
+    step = max(1, min(ROWS, ROWS * TILE // max(1, len(b))))
+    for at in range(0, len(a), step):
+        rows = a[at:at + step]
         first = np.searchsorted(ones_b, ones_a[at] - first_radius, "left")
         last = np.searchsorted(ones_b, ones_a[at + len(rows) - 1] + first_radius, "right")
         if same:
@@ -202,13 +218,13 @@ def tile_links(a, b, same: bool, radius: int, first_radius: int, compared: int |
 
 
 def _dealt(fps: DataFrame, size: int, radius: int) -> DataFrame:
-    """``(a, b, a_fps, b_fps)``: every pair of tiles that the counts can't tell apart."""
+    """``(a, b, tile, fps)``: for every pair of tiles that the counts can't tell apart, each of them, in the partition of the pair."""
     tiles = _tiles(fps, size)
     pairs = materialize(_pairs(tiles, radius), "simhash-pairs")
-    blob = lambda x: tiles.select(F.col("tile").alias(x), F.col("fps").alias(f"{x}_fps"))
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
     # Comparing takes far longer than reading, so pairs are dealt out by number, not by bytes.
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return pairs.join(blob("a"), "a").join(blob("b"), "b").repartition(partitions, "a", "b")
+    return sides.join(tiles.select("tile", "fps"), "tile").select("a", "b", "tile", "fps").repartition(partitions, "a", "b")
 
 
 def links(fps: DataFrame, radius: int, size: int, first_radius: int, width: int | None = None) -> DataFrame:
@@ -219,16 +235,15 @@ def links(fps: DataFrame, radius: int, size: int, first_radius: int, width: int
     """
     width = width or size
 
-    def compare(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                same = row["a"] == row["b"]
-                u, v = tile_links(_array(row["a_fps"], width), _array(row["b_fps"], width), same, radius, first_radius, size)
-                nodes = row["a_fps"] if same else row["a_fps"] + row["b_fps"]
-                name = lambda k: pa.array([nodes[8 * width * i:8 * width * (i + 1)] for i in k.tolist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([name(v), name(u)], names=["a", "b"])
+    def compare(table):
+        tiles = dict(zip(table.column("tile").to_pylist(), table.column("fps").to_pylist(), strict=True))
+        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        u, v = tile_links(_array(tiles[a], width), _array(tiles[b], width), a == b, radius, first_radius, size)
+        nodes = tiles[a] if a == b else tiles[a] + tiles[b]
+        name = lambda k: pa.array([nodes[8 * width * i:8 * width * (i + 1)] for i in k.tolist()], pa.binary())
+        return pa.table([name(v), name(u)], names=["a", "b"])
 
-    return _dealt(fps, width, first_radius).mapInArrow(compare, "a binary, b binary")
+    return _dealt(fps, width, first_radius).groupBy("a", "b").applyInArrow(compare, "a binary, b binary")
 
 
 def _key(name):
@@ -255,7 +270,10 @@ def _similar(docs: DataFrame, nodes: DataFrame, similarity: float, radius: int,
     several = dealt.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.max("parts").alias("parts")).where("size > 1")
     ahead = several.select("group", "parts", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     pairs = materialize(ahead.select("group", "i", F.explode(F.sequence("i", last)).alias("j")).select(name("i").alias("a"), name("j").alias("b")), "simhash-parts")
-    found = linked(gathered(dealt.select(name("part").alias("gid"), "sid", "hashes")), pairs, round(100 * similarity))
+    groups = gathered(dealt.select(name("part").alias("gid"), "sid", "hashes"))
+    discard(sets)
+    found = linked(groups, pairs, round(100 * similarity))
+    discard(groups)
     of = lambda x: members.select(F.col("sid").alias(x), F.col("fp").alias(f"{x}_fp"))
     return components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
 
@@ -289,6 +307,8 @@ def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1
     rooted = materialize(found.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "simhash-roots")
     firsts = materialize(rooted.groupBy("root").agg(F.min("first").alias("component")), "simhash-firsts")
     members = materialize(rooted.join(firsts, "root").select("fp", "component"), "simhash-members")
+    for done in (found, rooted, firsts):
+        discard(done)
     return rows.join(members, "fp").select("doc_id", "digest", "fp", "component")
 
 
@@ -301,5 +321,6 @@ def deduplicate(docs: DataFrame, radius: int, shingle: int, seed: int, size: int
     found = classes(docs, radius, shingle, seed, size, first_radius, similarity)
     # Join and removal of equal rows share one exchange.
     kept = materialize(found.select(_key("component.doc_id").alias("_key"), F.col("component.digest").alias("_digest")).distinct(), "simhash-kept")
+    discard(found)
     keyed = docs.withColumns({"_key": _key("doc_id"), "_digest": F.xxhash64("text")})
     return keyed.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).drop("_key", "_digest")

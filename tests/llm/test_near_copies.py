@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from habitloom.llm import setjoin
+from habitloom.llm import setjoin, simhash
 
 
 def brute_kept(rows):
@@ -74,3 +74,37 @@ def test_template_pages_below_the_limit_stay(spark):
             rows.append((len(rows), " ".join(page)))
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), None)
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+
+
+def test_tiles_go_by_the_number_of_fingerprints_not_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 100)
+    monkeypatch.setattr(simhash, "RUN", 16)
+    monkeypatch.setattr(simhash, "LARGEST_TILE", 200)
+    rng = random.Random(6)
+    roots = [rng.getrandbits(64) for _ in range(150)]
+    values = sorted({root ^ sum(1 << rng.randrange(64) for _ in range(k)) % (1 << 64) for root in roots for k in range(4)})
+    fps = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fp binary")
+    frame = type(fps)
+    by_range = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *by: by_range(self, max(n, 40), *by))
+    tiles = simhash._tiles(fps, 1).collect()
+    assert len(tiles) == -(-len(values) // 100)
+    assert sorted(b"".join(t.fps for t in tiles)[8 * i:8 * i + 8] for i in range(len(values))) == sorted(v.to_bytes(8, "big") for v in values)
+    ones = [[int.from_bytes(t.fps[i:i + 8], "big").bit_count() for i in range(0, len(t.fps), 8)] for t in sorted(tiles)]
+    assert sum(ones, []) == sorted(sum(ones, []))
+
+    def root(parent, x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def classes(links):
+        parent = {v: v for v in values}
+        for a, b in links:
+            a, b = sorted((root(parent, a), root(parent, b)))
+            parent[b] = a
+        return [root(parent, v) for v in values]
+
+    near = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4]
+    found = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in simhash.links(fps, 4, 1, 4).collect()]
+    assert classes(found) == classes(near)

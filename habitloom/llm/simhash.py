@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from habitloom.llm.common import pick, running_offsets
 from habitloom.llm.components import components
-from habitloom.llm.setjoin import gathered, hashed_sets, linked, parts_of, thin
+from habitloom.llm.setjoin import gathered, hashed_sets, least_overlap, linked, parts_of, thin
 from habitloom.session import discard, materialize
 
 # Fingerprints of one tile, at least and at most; what a task holds of either side of a comparison.
@@ -19,8 +19,8 @@ TILE, LARGEST_TILE = 7 << 12, 1 << 18
 TILES = 16
 # Sorted fingerprints that are written together; tiles are made of them.
 RUN = 4096
-# Rows of the least tile that are compared with the other tile at once, and links held before they are thinned.
-ROWS, HELD = 32, 1 << 20
+# Fingerprints of either tile that are compared at once, so that what is made of them stays in a core's cache; links held before they are thinned.
+ROWS, COLUMNS, HELD = 32, 4096, 1 << 20
 # Shingles hashed before their bits are added up.
 CHUNK = 1 << 16
 BLOCKS = (0, 16, 32, 48)
@@ -94,10 +94,10 @@ def shingle_set(text: bytes | None, shingle: int, seed: int) -> np.ndarray:
 
 
 def set_fingerprint(text: bytes | None, shingle: int, seed: int, size: int) -> bytes:
-    """SimHash like ``fingerprint``, each distinct shingle once, and a word more that is a digest of their set."""
+    """SimHash like ``fingerprint``, each distinct shingle once, and two words more: a digest of their set and how many they are."""
     hashes = shingle_set(text, shingle, seed)
     chunks = (hashes[at:at + CHUNK] for at in range(0, len(hashes), CHUNK))
-    return _majority(chunks, size) + xxhash.xxh3_64_digest(hashes.tobytes())
+    return _majority(chunks, size) + xxhash.xxh3_64_digest(hashes.tobytes()) + len(hashes).to_bytes(8, "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int, seed: int, size: int, of=fingerprint) -> DataFrame:
@@ -119,16 +119,17 @@ def _array(fps: bytes, size: int):
     return np.frombuffer(fps, ">u8").astype(np.uint64).reshape(-1, size)
 
 
-def _tiles(fps: DataFrame, size: int) -> DataFrame:
+def _tiles(fps: DataFrame, size: int, sized: bool = False) -> DataFrame:
     """Distinct fingerprints in tiles, ordered by population count of the first word, in whole and by 16-bit blocks.
 
     A tile carries the least and greatest of these counts. How many there are
     goes by the number of fingerprints, not by that of partitions: each is sent
-    to as many tasks as there are others.
+    to as many tasks as there are others. If ``sized``, the last word is the
+    size of a set; the order, and what a tile carries, is that size alone.
     """
-    first = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("bigint")
+    first = F.conv(F.hex(F.substring("fp", 8 * size - 7 if sized else 1, 8)), 16, -10).cast("bigint")
     block = lambda shift: F.bit_count(F.shiftrightunsigned("first", shift).bitwiseAND(F.lit(0xFFFF)))
-    order = [F.bit_count("first"), *[block(shift) for shift in BLOCKS[:-1]], F.col("fp")]
+    order = [F.col("first"), F.col("fp")] if sized else [F.bit_count("first"), *[block(shift) for shift in BLOCKS[:-1]], F.col("fp")]
     total = fps.count()
     number = max(1, math.ceil(total / min(LARGEST_TILE, max(TILE, total // TILES))))
     dealt = fps.select("fp", first.alias("first")).repartitionByRange(max(1, math.ceil(total / TILE)), *order).sortWithinPartitions(*order).select("fp")
@@ -148,8 +149,8 @@ def _tiles(fps: DataFrame, size: int) -> DataFrame:
 
     def tile(table):
         raw = b"".join(table.sort_by("run").column("fps").to_pylist())
-        first = _array(raw, size)[:, 0]
-        counts = [np.bitwise_count(first), *[np.bitwise_count((first >> np.uint64(s)) & np.uint64(0xFFFF)) for s in BLOCKS]]
+        first = _array(raw, size)[:, -1 if sized else 0]
+        counts = [first] if sized else [np.bitwise_count(first), *[np.bitwise_count((first >> np.uint64(s)) & np.uint64(0xFFFF)) for s in BLOCKS]]
         return pa.Table.from_pylist([{
             "tile": table.column("tile")[0].as_py(), "least": [int(c.min()) for c in counts], "most": [int(c.max()) for c in counts], "fps": raw,
         }], schema=pa.schema([("tile", pa.int64()), ("least", pa.list_(pa.int32())), ("most", pa.list_(pa.int32())), ("fps", pa.binary())]))
@@ -162,13 +163,20 @@ def _tiles(fps: DataFrame, size: int) -> DataFrame:
     return tiles
 
 
-def _pairs(tiles: DataFrame, radius: int) -> DataFrame:
+def _pairs(tiles: DataFrame, radius: int, percent: int | None = None) -> DataFrame:
     """Pairs of tiles that may hold fingerprints within the radius.
 
     Two fingerprints differ in at least as many bits as their population counts
-    do, in whole and summed over the blocks. Tiles meet on a common count.
+    do, in whole and summed over the blocks. Tiles meet on a common count. With
+    a ``percent``, tiles carry sizes of sets: those of a pair of such a
+    similarity differ by that share at most.
     """
     ends = tiles.select("tile", "least", "most")
+    if percent is not None:
+        side = lambda x: ends.select(F.col("tile").alias(x), F.col("least")[0].alias(f"{x}_least"), F.col("most")[0].alias(f"{x}_most"))
+        near = (100 * F.col("a_most") >= percent * F.col("b_least")) & (100 * F.col("b_most") >= percent * F.col("a_least"))
+        # A row per tile, which holds thousands of fingerprints.
+        return side("a").join(F.broadcast(side("b")), (F.col("a") <= F.col("b")) & near).select("a", "b")
     left = ends.select(F.col("tile").alias("a"), F.col("least").alias("a_least"), F.col("most").alias("a_most"),
                        F.explode(F.sequence(F.get("least", F.lit(0)), F.get("most", F.lit(0)))).alias("ones"))
     right = ends.select(F.col("tile").alias("b"), F.col("least").alias("b_least"), F.col("most").alias("b_most"),
@@ -179,71 +187,97 @@ def _pairs(tiles: DataFrame, radius: int) -> DataFrame:
     return left.join(right, "ones").where(F.col("a") <= F.col("b")).where(apart <= radius).select("a", "b").distinct()
 
 
-def tile_links(a, b, same: bool, radius: int, first_radius: int, compared: int | None = None):
+def tile_links(a, b, same: bool, radius: int, first_radius: int, compared: int | None = None, percent: int | None = None):
     """Links between the fingerprints of two tiles, thinned to a forest: indices into ``a`` followed by ``b``.
 
     The first ``compared`` words are compared (all, if not given); further ones only name a fingerprint.
 
     Both are sorted by population count, so each few rows of ``a`` meet only
-    the stretch of ``b`` whose counts are near enough. First words are all
+    the stretch of ``b`` whose counts are near enough. With a ``percent``, both
+    are sorted by the last word, the size of a set, and rows meet the stretch
+    whose sizes allow that similarity. First words are all
     compared; where there are more, pairs within ``first_radius`` are compared
     in whole. Of a dense group no more than a link per fingerprint is kept;
     its component stays the same.
     """
     compared = compared or a.shape[1]
-    ones_a, ones_b = np.bitwise_count(a[:, 0]).astype(int), np.bitwise_count(b[:, 0]).astype(int)
-    first_b = np.ascontiguousarray(b[:, 0])
+    if percent is None:
+        order_a, order_b = np.bitwise_count(a[:, 0]).astype(int), np.bitwise_count(b[:, 0]).astype(int)
+        least, most = order_a - first_radius, order_a + first_radius
+    else:
+        order_a, order_b = a[:, -1].astype(int), b[:, -1].astype(int)
+        least, most = least_overlap(order_a, percent), 100 * order_a // percent
     n, shift = (len(a), 0) if same else (len(a) + len(b), len(a))
     held, size = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))], 0
-    step = max(1, min(ROWS, ROWS * TILE // max(1, len(b))))
-    for at in range(0, len(a), step):
-        rows = a[at:at + step]
-        first = np.searchsorted(ones_b, ones_a[at] - first_radius, "left")
-        last = np.searchsorted(ones_b, ones_a[at + len(rows) - 1] + first_radius, "right")
+    words_a, words_b = ([np.ascontiguousarray(x[:, k]) for k in range(compared)] for x in (a, b))
+    differ, ones = np.empty(ROWS * COLUMNS, np.uint64), np.empty(ROWS * COLUMNS, np.uint8)
+    near = np.zeros(ROWS * COLUMNS + 8, bool)
+    for at in range(0, len(a), ROWS):
+        rows = min(ROWS, len(a) - at)
+        first = np.searchsorted(order_b, least[at], "left")
+        last = np.searchsorted(order_b, most[at + rows - 1], "right")
         if same:
             first = max(first, at)
-        near = np.bitwise_count(rows[:, :1] ^ first_b[first:last]) <= first_radius
-        if same:
-            near[np.arange(len(rows)), np.arange(len(rows)) + at - first] = False
-        if near.any():
-            i, j = np.nonzero(near)
-            if compared > 1:
-                close = np.bitwise_count(rows[i, :compared] ^ b[j + first, :compared]).sum(axis=1) <= radius
-                i, j = i[close], j[close]
-            held.append((i + at, j + first + shift))
-            size += len(i)
-            if size > HELD:
-                held, size = [thin(*map(np.concatenate, zip(*held, strict=True)), n)], 0
+        for start in range(first, last, COLUMNS):
+            columns = min(COLUMNS, last - start)
+            pairs = rows * columns
+            np.bitwise_xor(words_a[0][at:at + rows, None], words_b[0][start:start + columns], out=differ[:pairs].reshape(rows, columns))
+            np.bitwise_count(differ[:pairs], out=ones[:pairs])
+            np.less_equal(ones[:pairs], first_radius, out=near[:pairs])
+            near[pairs:pairs + 8] = False
+            # Few pairs are near, so eight are looked at in one step.
+            eights = np.flatnonzero(near[:-(-pairs // 8) * 8].view(np.uint64))
+            if not len(eights):
+                continue
+            found = np.flatnonzero(near.reshape(-1, 8)[eights])
+            found = eights[found >> 3] * 8 + (found & 7)
+            bits = ones[found].astype(np.int64)
+            i, j = np.divmod(found, columns)
+            i, j = i + at, j + start
+            for k in range(1, compared):
+                bits += np.bitwise_count(words_a[k][i] ^ words_b[k][j])
+            kept = bits <= radius
+            i, j = i[kept], j[kept]
+            kept = (least[i] <= order_b[j]) & (order_b[j] <= most[i])
+            if same:
+                kept &= i < j
+            if kept.any():
+                held.append((i[kept], j[kept] + shift))
+                size += len(held[-1][0])
+                if size > HELD:
+                    held, size = [thin(*map(np.concatenate, zip(*held, strict=True)), n)], 0
     return thin(*map(np.concatenate, zip(*held, strict=True)), n)
 
 
-def _dealt(fps: DataFrame, size: int, radius: int) -> DataFrame:
-    """``(a, b, tile, fps)``: for every pair of tiles that the counts can't tell apart, each of them, in the partition of the pair."""
-    tiles = _tiles(fps, size)
-    pairs = materialize(_pairs(tiles, radius), "simhash-pairs")
+def _dealt(fps: DataFrame, size: int, radius: int, percent: int | None = None) -> DataFrame:
+    """``(a, b, tile, fps)``: for every pair of tiles that the counts or sizes can't tell apart, each of them, in the partition of the pair."""
+    tiles = _tiles(fps, size, percent is not None)
+    pairs = materialize(_pairs(tiles, radius, percent), "simhash-pairs")
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("tile"))
     # Comparing takes far longer than reading, so pairs are dealt out by number, not by bytes.
     partitions = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return sides.join(tiles.select("tile", "fps"), "tile").select("a", "b", "tile", "fps").repartition(partitions, "a", "b")
 
 
-def links(fps: DataFrame, radius: int, size: int, first_radius: int, width: int | None = None) -> DataFrame:
+def links(fps: DataFrame, radius: int, size: int, first_radius: int, width: int | None = None, percent: int | None = None) -> DataFrame:
     """``(a, b)``: links of distinct fingerprints ``fp`` within ``radius`` bits, a forest per pair of tiles.
 
     Every pair of tiles that the counts can't tell apart is compared in whole.
-    Fingerprints are ``width`` words long, of which ``size`` are compared.
+    Fingerprints are ``width`` words long, of which ``size`` are compared. With
+    a ``percent``, the last word is the size of a set, and pairs whose sizes
+    rule out that similarity in hundredths are not linked.
     """
     width = width or size
 
     def compare(table):
         tiles = dict(zip(table.column("tile").to_pylist(), table.column("fps").to_pylist(), strict=True))
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        u, v = tile_links(_array(tiles[a], width), _array(tiles[b], width), a == b, radius, first_radius, size)
+        u, v = tile_links(_array(tiles[a], width), _array(tiles[b], width), a == b, radius, first_radius, size, percent)
         nodes = tiles[a] if a == b else tiles[a] + tiles[b]
         name = lambda k: pa.array([nodes[8 * width * i:8 * width * (i + 1)] for i in k.tolist()], pa.binary())
         return pa.table([name(v), name(u)], names=["a", "b"])
 
-    return _dealt(fps, width, first_radius).groupBy("a", "b").applyInArrow(compare, "a binary, b binary")
+    return _dealt(fps, width, first_radius, percent).groupBy("a", "b").applyInArrow(compare, "a binary, b binary")
 
 
 def _key(name):
@@ -254,12 +288,13 @@ def _key(name):
 def _similar(docs: DataFrame, nodes: DataFrame, similarity: float, radius: int, shingle: int, size: int, first_radius: int) -> DataFrame:
     """``(node, root)`` over ``nodes`` ``(fp, first)`` whose shingle sets are similar enough.
 
-    Fingerprints only form groups: whatever is reachable within the radius.
-    The sets of a group are then compared with each other exactly, part by
+    Fingerprints only form groups: whatever is reachable within the radius,
+    from sizes to sizes that such a similarity allows. The sets of a group are then compared with each other exactly, part by
     part, so a group of thousands costs a few exchanges of its sets and no
     pair is sent anywhere.
     """
-    near = components(links(nodes.select("fp"), radius, size, first_radius, size + 1)).select(F.col("node").alias("fp"), "root")
+    percent = round(100 * similarity)
+    near = components(links(nodes.select("fp"), radius, size, first_radius, size + 2, percent)).select(F.col("node").alias("fp"), "root")
     members = materialize(near.join(nodes, "fp").select(
         F.monotonically_increasing_id().alias("sid"), "fp", F.xxhash64("root").alias("gid"), "first.doc_id", "first.digest"), "simhash-members")
     sets = materialize(hashed_sets(docs, members, shingle).select("sid", F.col("gid").alias("group"), (F.length("hashes") / 8).cast("bigint").alias("n"), "hashes"), "simhash-sets")
@@ -272,7 +307,7 @@ def _similar(docs: DataFrame, nodes: DataFrame, similarity: float, radius: int,
     pairs = materialize(ahead.select("group", "i", F.explode(F.sequence("i", last)).alias("j")).select(name("i").alias("a"), name("j").alias("b")), "simhash-parts")
     groups = gathered(dealt.select(name("part").alias("gid"), "sid", "hashes"))
     discard(sets)
-    found = linked(groups, pairs, round(100 * similarity))
+    found = linked(groups, pairs, percent)
     discard(groups)
     of = lambda x: members.select(F.col("sid").alias(x), F.col("fp").alias(f"{x}_fp"))
     return components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
@@ -290,10 +325,11 @@ def classes(docs: DataFrame, radius: int, shingle: int, seed: int, size: int = 1
     ``first_radius`` bits at most.
 
     With a ``similarity``, fingerprints take each distinct shingle once and end
-    in a word that tells different sets apart; they only form groups. Two rows
+    in two words that tell different sets apart; they only form groups. Two rows
     of a group are linked if their distinct shingles have that share in common,
     counted on their hashes, however far apart their fingerprints are. A pair
-    that no chain of fingerprints within the radius joins is not looked at.
+    that no chain of fingerprints within the radius joins, each link between
+    sets whose sizes allow that share, is not looked at.
     """
     rows = fingerprints(docs, shingle, seed, size, fingerprint if similarity is None else set_fingerprint)
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -76,6 +77,64 @@ def test_template_pages_below_the_limit_stay(spark):
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
 
 
+def test_tiles_whose_sets_differ_too_much_in_size_do_not_meet(spark, monkeypatch):
+    """The limit lies between sizes, and some pairs are just as far apart as it allows."""
+    monkeypatch.setattr(simhash, "TILE", 20)
+    monkeypatch.setattr(simhash, "RUN", 4)
+    monkeypatch.setattr(simhash, "LARGEST_TILE", 20)
+    written, materialize = {}, simhash.materialize
+
+    def counted(df, label):
+        table = materialize(df, label)
+        written[label] = table.count()
+        return table
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    rng = random.Random(9)
+    fresh = lambda n: [f"s{rng.randrange(10 ** 6)}" for _ in range(n)]
+    texts = [[], ["one"], ["One"]]
+    for size in [round(6 * 1.04 ** k) for k in range(110)]:
+        base = fresh(size + 4)
+        # A text of all these shingles, of four fifths of them, of one less, and an unrelated one.
+        texts += [base, base[:-(-4 * size // 5) + 4], base[:-(-4 * size // 5) + 3]][:1 + rng.randrange(3)] + [fresh(size + 4)]
+    rng.shuffle(texts)
+    rows = list(enumerate(" ".join(t) for t in texts))
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), None)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+    tiles = -(-written["simhash-fingerprints"] // 20)
+    assert tiles > 12 and written["simhash-pairs"] <= 3 * tiles
+
+
+@pytest.mark.parametrize("columns", [16, 4096])
+def test_sized_tiles_link_all_that_sizes_allow(monkeypatch, columns):
+    monkeypatch.setattr(simhash, "ROWS", 8)
+    monkeypatch.setattr(simhash, "COLUMNS", columns)
+    rng = np.random.default_rng(3)
+    fps = np.repeat(rng.integers(0, 1 << 63, (30, 4), dtype=np.uint64), 12, axis=0)
+    for row in range(len(fps)):
+        fps[row, rng.integers(2)] ^= np.uint64(1) << np.uint64(rng.integers(64))
+    # The third word names a fingerprint, the fourth is a size.
+    fps[:, 3] = rng.integers(0, 60, len(fps))
+    fps = fps[np.lexsort((fps[:, 2], fps[:, 3]))]
+    a, b = fps[:150], fps[150:]
+    size = fps[:, 3].astype(int)
+    bits = np.bitwise_count(fps[:, None, :2] ^ fps[None, :, :2])
+    near = (bits.sum(axis=2) <= 2) & (bits[..., 0] <= 1) & (100 * np.minimum.outer(size, size) >= 80 * np.maximum.outer(size, size))
+
+    def label(links, n):
+        found = np.arange(n)
+        for _ in range(n):
+            for x, y in links:
+                found[x] = found[y] = min(found[x], found[y])
+        return found.tolist()
+
+    for left, right, same, wanted in (
+        (a, a, True, [(i, j) for i, j in np.argwhere(near[:150, :150])]), (a, b, False, [(i, j + 150) for i, j in np.argwhere(near[:150, 150:])]),
+    ):
+        n = len(left) if same else len(fps)
+        assert label(zip(*simhash.tile_links(left, right, same, 2, 1, 2, 80)), n) == label(wanted, n)
+
+
 def test_tiles_go_by_the_number_of_fingerprints_not_of_partitions(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 100)
     monkeypatch.setattr(simhash, "RUN", 16)
